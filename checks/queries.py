@@ -2,23 +2,50 @@
 
 Each query reads the driver's tables (through the adapter views), runs the
 library operator over the whole table, and aliases its output columns as the
-matching SQL in ``checks/oracle.py`` does.  Doubles computed differently by
-the two engines are rounded on both sides.
+matching SQL in ``checks/oracle.py`` does.  Where two engines compute a
+double differently (window sums, recursions) both sides round it.
+
+Splits such as "target = rows before a date, batch = all rows" are how a
+keyed-table operator gets a table and a batch from one input table; they are
+part of each check's meaning and mirrored in the oracle SQL.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketpulse.functions import scalars as sc
+from marketpulse.operators import coins as cn
+from marketpulse.operators import conversations as cv
+from marketpulse.operators import enrich as en
 from marketpulse.operators import indicators as ind
+from marketpulse.operators import quality as q
+from marketpulse.operators import retrieval as rt
+from marketpulse.operators import tables as tb
+from marketpulse.plans import market, news as newsplan, prompts, scrape
+from marketpulse.plans.sql import sql as run_sql
+from marketpulse.session import checkpoint_dir
 from marketpulse.sources import adapters as ad
+from marketpulse.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
+# Fixed check parameters (mirrored in checks/oracle.py).
+PRICE_CUTOFF = "1998-01-01"
+NOW = dt.datetime(2024, 1, 1, 12, 0, 0)
+NOW_EPOCH = 1704110400.0  # NOW as epoch seconds (UTC)
+WINDOW_DAYS = 0.25
+SYMBOL_MAP = [("1-URGENT", "BTC"), ("2-HIGH", "ETH"), ("3-MEDIUM", "SOL"),
+              ("4-NOT SPECIFIED", "XRP"), ("5-LOW", "DOGE")]
+QUESTION_TEMPLATES = ["比特幣適合買進嗎？", "除了BTC，還有什麼幣值得關注？", "ETH and SOL outlook: ",
+                      "Is 狗狗幣 or XRP better? ", "market today ", "Besides ETH what else? "]
+
 
 def register(name: str):
     def deco(fn: Query) -> Query:
@@ -29,11 +56,703 @@ def register(name: str):
 
 def _round(df: DataFrame, cols, places: int = 4) -> DataFrame:
     for c in cols:
-        df = df.withColumn(c, F.round(F.col(c), places))
+        df = df.withColumn(c, F.round(F.col(c).cast("double"), places))
     return df
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# ---------------------------------------------------------------- windows
+
 @register("w12_indicators")
-def q_indicators(spark: SparkSession, sf: str) -> DataFrame:
-    out = ind.indicators(ad.prices_v(spark, sf))
-    return _round(out, ind.INDICATOR_COLUMNS)
+def q_indicators(spark, sf):
+    return _round(ind.indicators(ad.prices_v(spark, sf)), ind.INDICATOR_COLUMNS)
+
+
+@register("w4_rsi")
+def q_rsi(spark, sf):
+    out = ind.rsi(ad.prices_v(spark, sf))
+    return _round(out, ["delta", "gain", "loss", "avg_gain", "avg_loss", "rsi"])
+
+
+@register("w9_bollinger")
+def q_bollinger(spark, sf):
+    return _round(ind.bollinger(ad.prices_v(spark, sf)), ["mean", "sd", "upper", "lower"])
+
+
+@register("w7_macd")
+def q_macd(spark, sf):
+    return _round(ind.macd(ad.prices_v(spark, sf)), ["macd", "signal", "hist"])
+
+
+@register("w5_ema")
+def q_ema(spark, sf):
+    out = ind.ema_series(ad.prices_v(spark, sf), {"ema_12": 12, "ema_26": 26})
+    return _round(out, ["ema_12", "ema_26"])
+
+
+@register("w10_first_per_key")
+def q_first_per_key(spark, sf):
+    n = ad.news_v(spark, sf)
+    return tb.first_per_key(n, ["title"], ["doc_id"]).select("title", "doc_id", "id")
+
+
+@register("w11_triples")
+def q_triples(spark, sf):
+    # page texts = the lines of each document; dates = texts matching m/d/yy
+    d = ad.table(spark, sf, "documents")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return scrape.triples(lines, "doc_id", "pos", "text", r"^.{0,12}$")
+
+
+@register("w13_number_titles")
+def q_number_titles(spark, sf):
+    c = ad.table(spark, sf, "conversations")
+    new = (c.where(F.col("turn") == 0)
+            .select(F.concat(F.lit("n-"), F.col("conv_id").cast("string")).alias("id"),
+                    (F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+                     + F.make_dt_interval(F.lit(0), F.lit(0), F.col("conv_id").cast("int"))).alias("created_at"),
+                    F.when(F.col("conv_id") % 4 == 0, F.lit("kept title")).alias("title")))
+    return cv.number_titles(new, ad.sessions_v(spark, sf))
+
+
+# ---------------------------------------------------------------- quantise / market
+
+@register("p4_price_rows")
+def q_price_rows(spark, sf):
+    return market.price_rows(ad.prices_v(spark, sf))
+
+
+@register("p5_quantize_half_even")
+def q_quantize_even(spark, sf):
+    p = ad.prices_v(spark, sf)
+    return p.select("symbol", "Date",
+                    sc.quantize_half_even(F.col("Close") / F.lit(7.0), 4, 10).alias("q4"),
+                    sc.quantize_half_even(F.col("Close") / F.lit(7.0), 8, 20).alias("q8"))
+
+
+@register("c2_new_prices")
+def q_new_prices(spark, sf):
+    p = ad.prices_v(spark, sf)
+    target = market.price_rows(p.where(F.col("Date") < F.lit(PRICE_CUTOFF)))
+    return market.new_prices(target, p)
+
+
+@register("c3_new_indicators")
+def q_new_indicators(spark, sf):
+    p = ad.prices_v(spark, sf)
+    target = market.indicator_rows(p).where(F.col("recorded_at") < F.lit(PRICE_CUTOFF))
+    return _round(market.new_indicators(target, p), ind.INDICATOR_COLUMNS)
+
+
+@register("a1_max_per_key")
+def q_max_per_key(spark, sf):
+    return tb.max_per_key(ad.prices_v(spark, sf), ["symbol"], "Date")
+
+
+@register("a2_global_max")
+def q_global_max(spark, sf):
+    return tb.global_max(ad.news_v(spark, sf), "published_at")
+
+
+@register("a5_first_trade")
+def q_first_trade(spark, sf):
+    return market.first_trade(ad.prices_v(spark, sf))
+
+
+@register("l3_latest")
+def q_latest(spark, sf):
+    return rt.latest(ad.prices_v(spark, sf), ["symbol"], "Date")
+
+
+@register("j2_attach_latest")
+def q_attach_latest(spark, sf):
+    c = ad.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("symbol"))
+    o = ad.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("symbol"))
+    symbols = c.union(o).distinct()
+    return rt.attach_latest(symbols, ad.prices_v(spark, sf), "symbol", "Date")
+
+
+@register("c7_top_pairs")
+def q_top_pairs(spark, sf):
+    return market.top_pairs(ad.listings_v(spark, sf), 10, ad.LISTING_EXCLUDED)
+
+
+@register("l4_rank_by_cap")
+def q_rank_by_cap(spark, sf):
+    return market.rank_by_cap(ad.listings_v(spark, sf), 10, ad.LISTING_EXCLUDED)
+
+
+@register("l1_top_k")
+def q_top_k(spark, sf):
+    o = ad.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return rt.top_k(o, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3)
+
+
+# ---------------------------------------------------------------- filters & checks
+
+@register("f2_by_key")
+def q_by_key(spark, sf):
+    return q.by_key(ad.chat_v(spark, sf), "session_id", "s-7").select("id", "sender", "message")
+
+
+@register("f3_since")
+def q_since(spark, sf):
+    return q.since(_vectors(spark, sf), "timestamp", NOW_EPOCH, WINDOW_DAYS).select("vec_id", "timestamp")
+
+
+@register("f3_since_ts")
+def q_since_ts(spark, sf):
+    return q.since(ad.news_v(spark, sf), "published_at", NOW, WINDOW_DAYS).select("doc_id", "published_at")
+
+
+@register("f4_exclude")
+def q_exclude(spark, sf):
+    return q.exclude(ad.listings_v(spark, sf), "symbol", ad.LISTING_EXCLUDED)
+
+
+@register("x1_exclude_table")
+def q_exclude_table(spark, sf):
+    c = ad.table(spark, sf, "customer")
+    gone = c.where(F.col("c_acctbal") < 0).select(F.col("c_name").alias("symbol"))
+    return q.exclude_table(ad.listings_v(spark, sf), gone, "symbol")
+
+
+@register("f5_title_prefix")
+def q_title_prefix(spark, sf):
+    return q.title_prefix(ad.sessions_v(spark, sf), "title", cv.DEFAULT_TITLE_PREFIX)
+
+
+@register("a4_count_default_titles")
+def q_count_default(spark, sf):
+    return cv.count_default_titles(ad.sessions_v(spark, sf))
+
+
+@register("f6_require_rejected")
+def q_require(spark, sf):
+    _, bad = q.require(ad.news_v(spark, sf), ["title", "body"])
+    return bad.select("doc_id", "title")
+
+
+@register("f7_short_text")
+def q_short_text(spark, sf):
+    d = ad.table(spark, sf, "documents")
+    return d.select("doc_id", sc.word_count("text").alias("n_words"), q.short_text("text").alias("short"))
+
+
+@register("s1_null_tokens_dropna")
+def q_null_tokens(spark, sf):
+    n = ad.news_v(spark, sf)
+    t = n.select("doc_id", "published_at", sc.null_tokens("title").alias("title"),
+                 sc.null_tokens("body").alias("body"))
+    return q.dropna(t, ["published_at", "title", "body"]).select("doc_id")
+
+
+@register("q1_not_null")
+def q_not_null(spark, sf):
+    n = ad.news_v(spark, sf).select("doc_id", "title", sc.null_tokens("body").alias("body"))
+    return q.check_not_null(n, ["title", "body"]).select("doc_id", "violations")
+
+
+@register("q2_unique")
+def q_unique(spark, sf):
+    return q.check_unique(ad.news_v(spark, sf), ["id"])
+
+
+@register("q3_domain")
+def q_domain(spark, sf):
+    return q.check_domain(ad.chat_v(spark, sf), "sender", q.SENDERS).select("id", "sender")
+
+
+@register("q4_fk")
+def q_fk(spark, sf):
+    sessions = ad.sessions_v(spark, sf).where(~F.col("id").endswith("9"))
+    return q.check_fk(ad.chat_v(spark, sf), sessions, "session_id", "id").select("id", "session_id")
+
+
+@register("q5_fits_varchar")
+def q_fits_varchar(spark, sf):
+    return q.check_fits(ad.table(spark, sf, "nation"), "n_name", "varchar(8)").select("n_name")
+
+
+@register("q5_fits_decimal")
+def q_fits_decimal(spark, sf):
+    li = ad.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber",
+                                                (F.col("l_extendedprice") * F.lit(1e7)).alias("scaled"))
+    return q.check_fits(li, "scaled", "decimal(20,8)").select("l_orderkey", "l_linenumber")
+
+
+@register("q6_partition_list")
+def q_partition_list(spark, sf):
+    p = ad.prices_v(spark, sf)
+    m = spark.createDataFrame(SYMBOL_MAP, "symbol string, ticker string")
+    mapped = p.join(F.broadcast(m), "symbol", "left").select(
+        F.coalesce("ticker", "symbol").alias("symbol"), "Date")
+    return q.check_domain(mapped, "symbol", ["BTC", "ETH", "SOL", "DOGE"]).select("symbol", "Date")
+
+
+# ---------------------------------------------------------------- keyed tables
+
+def _news_table(spark, sf):
+    return ad.news_v(spark, sf).select("id", "title", "body", "published_at", "url", "keywords",
+                                       F.lit(None).cast("timestamp_ntz").alias("created_at"), "doc_id")
+
+
+@register("j3_newer_than")
+def q_newer_than(spark, sf):
+    n = _news_table(spark, sf)
+    return tb.newer_than(n, n.where(F.col("doc_id") < 500), "published_at").select("doc_id")
+
+
+@register("j3_newer_than_by_key")
+def q_newer_than_by_key(spark, sf):
+    p = ad.prices_v(spark, sf)
+    target = p.where(F.col("Date") < F.lit(PRICE_CUTOFF))
+    return tb.newer_than(p, target, "Date", by=["symbol"]).select("symbol", "Date")
+
+
+@register("j4_insert_absent")
+def q_insert_absent(spark, sf):
+    rows = market.price_rows(ad.prices_v(spark, sf))
+    target = rows.where(F.dayofmonth("recorded_at") <= 15)
+    return tb.insert_absent(target, rows, ["symbol", "recorded_at"], ["recorded_at"])
+
+
+@register("x3_append_rows")
+def q_append(spark, sf):
+    rows = market.price_rows(ad.prices_v(spark, sf))
+    target = rows.where(F.dayofmonth("recorded_at") <= 15)
+    new = tb.insert_absent(target, rows, ["symbol", "recorded_at"], ["recorded_at"])
+    return tb.append_rows(target, new)
+
+
+@register("j5_upsert")
+def q_upsert(spark, sf):
+    n = _news_table(spark, sf)
+    target = n.where(F.col("doc_id") < 300).drop("doc_id")
+    batch = (n.where(F.col("doc_id") >= 200)
+              .withColumn("url", F.concat("url", F.lit("?v2")))
+              .withColumn("published_at", F.col("published_at") + F.expr("INTERVAL 1 DAY")))
+    return tb.upsert(target, batch, "id", "doc_id", ["url", "keywords"])
+
+
+@register("c1_merge_news")
+def q_merge_news(spark, sf):
+    n = _news_table(spark, sf)
+    target = n.where(F.col("doc_id") < 500).drop("doc_id")
+    batch = n.withColumn("keywords", F.concat("keywords", F.lit("|new")))
+    return newsplan.merge_news(target, batch, order="doc_id")
+
+
+@register("s10_ensure_columns")
+def q_ensure(spark, sf):
+    n = ad.news_v(spark, sf).select("id", "title", "doc_id")
+    return tb.ensure_columns(n, {"url": "string", "keywords": "string", "doc_id": "bigint"})
+
+
+@register("a3_title_exists")
+def q_title_exists(spark, sf):
+    n = ad.news_v(spark, sf)
+    table = n.where(F.col("doc_id") < 500)
+    titles = n.select("title").union(n.select(F.concat("title", F.lit(" (draft)")).alias("title")))
+    return tb.title_exists(table, titles)
+
+
+# ---------------------------------------------------------------- conversations
+
+@register("j6_delete_sessions")
+def q_delete_sessions(spark, sf):
+    ids = ad.sessions_v(spark, sf).where(F.col("id").endswith("7")).select("id")
+    s, _ = cv.delete_sessions(ad.sessions_v(spark, sf), ad.chat_v(spark, sf), ids)
+    return s
+
+
+@register("j6_delete_messages")
+def q_delete_messages(spark, sf):
+    ids = ad.sessions_v(spark, sf).where(F.col("id").endswith("7")).select("id")
+    _, m = cv.delete_sessions(ad.sessions_v(spark, sf), ad.chat_v(spark, sf), ids)
+    return m.select("id", "session_id")
+
+
+@register("j7_rename_sessions")
+def q_rename(spark, sf):
+    s = ad.sessions_v(spark, sf)
+    c = ad.table(spark, sf, "conversations").where(F.col("turn") == 0)
+    changes = c.select(
+        F.when(F.col("conv_id") % 5 == 2, F.concat(F.lit("x-"), F.col("conv_id").cast("string")))
+         .otherwise(F.concat(F.lit("s-"), F.col("conv_id").cast("string"))).alias("id"),
+        F.when(F.col("conv_id") % 5 == 1, F.lit(""))
+         .otherwise(F.concat(F.lit("renamed "), F.col("conv_id").cast("string"))).alias("new_title"))
+    return cv.rename_sessions(s, changes)
+
+
+@register("l5_histories")
+def q_histories(spark, sf):
+    return cv.histories(ad.chat_v(spark, sf)).select("session_id", "id", "pos")
+
+
+@register("l5_history_one")
+def q_history_one(spark, sf):
+    return cv.history(ad.chat_v(spark, sf), "s-3")
+
+
+@register("l6_list_sessions")
+def q_list_sessions(spark, sf):
+    return cv.list_sessions(ad.sessions_v(spark, sf))
+
+
+def _known_sessions(spark, sf):
+    return ad.sessions_v(spark, sf).where(~F.col("id").endswith("9"))
+
+
+@register("c6_rejected_messages")
+def q_rejected(spark, sf):
+    _, bad = cv.validate_messages(ad.chat_v(spark, sf), _known_sessions(spark, sf))
+    return bad.select("id", "reason")
+
+
+@register("c6_append_messages")
+def q_append_messages(spark, sf):
+    m = ad.chat_v(spark, sf).select("id", "session_id", "sender", "message", "created_at")
+    existing = m.where(F.col("created_at") < F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"))
+    batch = m.where(F.col("created_at") >= F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"))
+    return cv.append_messages(existing, batch, _known_sessions(spark, sf)).select("id")
+
+
+@register("c6_create_sessions")
+def q_create_sessions(spark, sf):
+    s = ad.sessions_v(spark, sf)
+    c = ad.table(spark, sf, "conversations").where(F.col("turn") == 1)
+    new = c.select(F.concat(F.lit("n-"), F.col("conv_id").cast("string")).alias("id"),
+                   (F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+                    + F.make_dt_interval(F.lit(0), F.col("conv_id").cast("int"))).alias("created_at"))
+    return cv.create_sessions(s, new)
+
+
+@register("a6_join_lines")
+def q_join_lines(spark, sf):
+    c = ad.table(spark, sf, "conversations")
+    return rt.join_lines(c, "conv_id", "text", "turn", alias="transcript")
+
+
+# ---------------------------------------------------------------- scalars
+
+@register("p1_content_key")
+def q_content_key(spark, sf):
+    n = ad.news_v(spark, sf)
+    return n.select("doc_id", sc.content_key("title", "body").alias("key"))
+
+
+@register("p2_document_text")
+def q_document_text(spark, sf):
+    n = ad.news_v(spark, sf)
+    return n.select("doc_id", F.md5(sc.document_text("title", "body")).alias("text_md5"),
+                    F.length(sc.document_text("title", "body")).alias("text_len"))
+
+
+@register("p3_pair_symbol")
+def q_pair(spark, sf):
+    return ad.listings_v(spark, sf).select("symbol", sc.pair_symbol("symbol").alias("pair"))
+
+
+@register("p6_volume_or_null")
+def q_volume_or_null(spark, sf):
+    p = ad.prices_v(spark, sf)
+    return p.select("symbol", "Date", sc.volume_or_null(F.col("Volume") - F.lit(1.0)).alias("v"))
+
+
+@register("p8_to_epoch")
+def q_to_epoch(spark, sf):
+    n = ad.news_v(spark, sf)
+    return n.select("doc_id", sc.to_epoch("published_at", "Asia/Taipei").alias("epoch"),
+                    sc.ts_text("published_at").alias("published_time"))
+
+
+@register("p9_epoch_to_local")
+def q_epoch_to_local(spark, sf):
+    o = ad.table(spark, sf, "orders")
+    s = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") * F.lit(37)
+    return o.select("o_orderkey", sc.epoch_to_local(s).alias("local_time"))
+
+
+@register("p10_millis_to_date")
+def q_millis(spark, sf):
+    e = ad.table(spark, sf, "events")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return e.select("event_id", sc.millis_to_date(ms).alias("d_utc"),
+                    sc.millis_to_date(ms, "Asia/Taipei").alias("d_taipei"))
+
+
+@register("p12_or_default")
+def q_or_default(spark, sf):
+    n = ad.news_v(spark, sf)
+    t = F.when(F.col("body") != "", F.col("title"))
+    return n.select("doc_id", sc.or_default(t, sc.NO_TITLE).alias("title"))
+
+
+def _questions_text(spark, sf):
+    d = ad.table(spark, sf, "documents")
+    tmpl = F.array(*[F.lit(t) for t in QUESTION_TEMPLATES])
+    text = F.concat(F.element_at(tmpl, (F.col("doc_id") % len(QUESTION_TEMPLATES) + 1).cast("int")),
+                    F.substring_index("text", "\n", 1))
+    return d.select(F.col("doc_id").alias("qid"), text.alias("question"))
+
+
+@register("p13_translate")
+def q_translate(spark, sf):
+    qs = _questions_text(spark, sf)
+    return qs.select("qid", sc.translate_coins("question").alias("translated"))
+
+
+@register("p14_short_date")
+def q_short_date(spark, sf):
+    o = ad.table(spark, sf, "orders")
+    d = F.col("o_orderdate")
+    cands = {"a": F.date_format(d, "M/d/yy"), "b": F.date_format(d, "MM/dd/yy"),
+             "c": F.date_format(d, "d/M/yy"), "e": F.date_format(d, "M/d/yyyy")}
+    return o.select("o_orderkey", *[sc.is_short_date(v).alias(f"m_{k}") for k, v in cands.items()])
+
+
+@register("p15_word_count")
+def q_word_count(spark, sf):
+    c = ad.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", sc.word_count("text").alias("n_words"))
+
+
+@register("p16_indicator_line")
+def q_indicator_line(spark, sf):
+    p = ad.prices_v(spark, sf)
+    dec = lambda c: F.col(c).cast("decimal(20,8)")
+    return p.select("symbol", "Date", sc.indicator_line(
+        "symbol", "Date", F.col("Volume").cast("decimal(10,4)"), dec("Close"),
+        F.lit(None).cast("decimal(20,8)"), dec("Close"), dec("Volume"), F.lit(None)).alias("line"))
+
+
+@register("p17_source_line")
+def q_source_line(spark, sf):
+    n = ad.news_v(spark, sf)
+    return n.select("doc_id", sc.source_line("title", "url").alias("line"))
+
+
+@register("p18_iso_timestamp")
+def q_iso(spark, sf):
+    e = ad.table(spark, sf, "events")
+    return e.select("event_id", sc.iso_timestamp("ts").alias("iso"),
+                    sc.iso_timestamp(F.date_trunc("second", "ts")).alias("iso_s"))
+
+
+@register("p20_preview")
+def q_preview(spark, sf):
+    d = ad.table(spark, sf, "documents")
+    return d.select("doc_id", F.md5(sc.preview("text", 200)).alias("preview_md5"))
+
+
+@register("p21_strip")
+def q_strip(spark, sf):
+    c = ad.table(spark, sf, "conversations")
+    padded = F.concat(F.lit(" \t"), F.col("text"), F.lit("\n "))
+    return c.select("conv_id", "turn", F.md5(sc.strip(padded)).alias("stripped_md5"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+def _vectors(spark, sf):
+    # one vector record per id, as in a keyed vector store
+    v = tb.first_per_key(ad.vectors_v(spark, sf), ["news_id"], ["vec_id"])
+    return v.select(F.col("news_id").alias("id"), "content", "embedding", "title",
+                    sc.ts_text("published_at").alias("published_time"), "timestamp", "vec_id")
+
+
+@register("j8_knn")
+def q_knn(spark, sf):
+    hits = rt.knn(_vectors(spark, sf), ad.questions_v(spark, sf), 5)
+    return _round(hits, ["distance"], 6)
+
+
+@register("j8_knn_blocked")
+def q_knn_blocked(spark, sf):
+    hits = rt.knn(_vectors(spark, sf), ad.questions_v(spark, sf), 5, max_broadcast_queries=7,
+                  vector_block_rows=128)
+    return _round(hits, ["distance"], 6)
+
+
+@register("l2_newest_first")
+def q_newest_first(spark, sf):
+    v = _vectors(spark, sf)
+    hits = rt.knn(v, ad.questions_v(spark, sf), 5)
+    hits = hits.join(v.select(F.col("id").alias("_h"), "timestamp"), F.col("id") == F.col("_h")).drop("_h")
+    return rt.newest_first(hits).select("qid", "id", "pos")
+
+
+@register("j1_attach_sources")
+def q_attach_sources(spark, sf):
+    v = _vectors(spark, sf)
+    hits = rt.knn(v, ad.questions_v(spark, sf), 5)
+    hits = hits.join(v.select(F.col("id").alias("_h"), "title"), F.col("id") == F.col("_h")).drop("_h")
+    n = tb.first_per_key(ad.news_v(spark, sf), ["id"], ["doc_id"])
+    table = n.where(F.col("doc_id") % 5 != 0).select(
+        "id", F.when(F.col("doc_id") % 7 != 0, F.col("url")).alias("url"))
+    return rt.attach_sources(hits, table).select("qid", "id", "url_text", "source")
+
+
+@register("c4_search")
+def q_search(spark, sf):
+    out = rt.search(_vectors(spark, sf), ad.questions_v(spark, sf), 5)
+    return _round(out, ["score"], 6)
+
+
+@register("c4_get_by_id")
+def q_get_by_id(spark, sf):
+    v = _vectors(spark, sf)
+    ids = ad.news_v(spark, sf).where(F.col("doc_id") % 3 == 0).select("id")
+    return rt.get_by_id(v, ids)
+
+
+@register("c5_delete_vectors")
+def q_delete_vectors(spark, sf):
+    v = _vectors(spark, sf)
+    ids = ad.news_v(spark, sf).where(F.col("doc_id") % 3 == 0).select("id")
+    return rt.delete_vectors(v, ids).select("vec_id")
+
+
+@register("u4_tag_coins")
+def q_tag_coins(spark, sf):
+    return cn.tag_coins(_questions_text(spark, sf), "question", "qid")
+
+
+def _ticker_indicators(spark, sf):
+    m = spark.createDataFrame(SYMBOL_MAP, "symbol string, ticker string")
+    rows = market.indicator_rows(ad.prices_v(spark, sf))
+    rows = rows.join(F.broadcast(m), "symbol").drop("symbol").withColumnRenamed("ticker", "symbol")
+    for c in ind.INDICATOR_COLUMNS:
+        rows = rows.withColumn(c, F.bround(F.col(c), 2).cast("decimal(20,2)"))
+    return rows
+
+
+@register("u5_build_prompts")
+def q_prompts(spark, sf):
+    qv = ad.questions_v(spark, sf)
+    qs = qv.join(_questions_text(spark, sf), "qid")
+    n = tb.first_per_key(ad.news_v(spark, sf), ["id"], ["doc_id"])
+    out = prompts.build_prompts(qs, _vectors(spark, sf), n, _ticker_indicators(spark, sf),
+                                NOW_EPOCH, 5, WINDOW_DAYS)
+    return out
+
+
+@register("u1_summarize")
+def q_summarize(spark, sf):
+    n = ad.news_v(spark, sf)
+    return en.summarize(n, "body", "summary").select("doc_id", F.md5("summary").alias("summary_md5"))
+
+
+@register("c9_sql")
+def q_sql(spark, sf):
+    ad.table(spark, sf, "orders").createOrReplaceTempView("orders")
+    return run_sql(spark, "SELECT o_orderkey, o_totalprice FROM orders "
+                          "WHERE o_orderpriority = :p AND o_totalprice > :v",
+                   {"p": "1-URGENT", "v": 100000.0})
+
+
+# ---------------------------------------------------------------- sources
+
+@register("s1_read_news")
+def q_read_news(spark, sf):
+    n = ad.news_v(spark, sf)
+    path = _scratch(spark, "news-csv")
+    csv = n.select(
+        F.unix_timestamp(F.col("published_at").cast("timestamp")).cast("string").alias("Timestamp"),
+        F.when(F.col("doc_id") % 11 == 0, F.lit("not a time"))
+         .otherwise(sc.ts_text("published_at")).alias("Published Time"),
+        F.col("title").alias("Title"), F.col("body").alias("Body"),
+        F.when(F.col("doc_id") % 13 == 0, F.lit("N/A")).otherwise(F.col("url")).alias("URL"),
+        F.col("keywords").alias("Keywords"))
+    from marketpulse.sources.sinks import write_csv
+    write_csv(csv, path)
+    out = files.read_news(spark, path)
+    return out.select(F.md5(F.concat_ws("\u0001", "title", "body")).alias("row_md5"),
+                      "timestamp", "published_at", "url", "keywords")
+
+
+@register("s4_decode_articles")
+def q_decode_articles(spark, sf):
+    n = ad.news_v(spark, sf)
+    base = F.struct(
+        F.unix_timestamp(F.col("published_at").cast("timestamp")).alias("PUBLISHED_ON"),
+        F.col("title").alias("TITLE"), F.col("body").alias("BODY"), F.col("url").alias("URL"))
+    with_text = F.struct(*[base[c].alias(c) for c in ["PUBLISHED_ON", "TITLE", "BODY", "URL"]],
+                         F.replace(F.col("keywords"), F.lit("|"), F.lit(",")).alias("KEYWORDS"))
+    plain = F.to_json(base)
+    open_obj = F.expr("substr(to_json(struct(unix_timestamp(cast(published_at as timestamp)) AS PUBLISHED_ON, "
+                      "title AS TITLE, body AS BODY, url AS URL)), 1, "
+                      "length(to_json(struct(unix_timestamp(cast(published_at as timestamp)) AS PUBLISHED_ON, "
+                      "title AS TITLE, body AS BODY, url AS URL))) - 1)")
+    # KEYWORDS: text, absent (every 7th), JSON null, or a JSON number
+    js = (F.when(F.col("doc_id") % 7 == 0, plain)
+           .when(F.col("doc_id") % 7 == 1, F.concat(open_obj, F.lit(',"KEYWORDS":null}')))
+           .when(F.col("doc_id") % 7 == 2, F.concat(open_obj, F.lit(',"KEYWORDS":'),
+                                                    F.col("doc_id").cast("string"), F.lit("}")))
+           .otherwise(F.to_json(with_text)))
+    pages = (n.select((F.col("doc_id") / 100).cast("long").alias("page"), "doc_id", js.alias("a"))
+              .groupBy("page")
+              .agg(F.concat(F.lit('{"Data":['), F.array_join(F.transform(
+                  F.array_sort(F.collect_list(F.struct("doc_id", "a"))), lambda s: s["a"]), ","),
+                  F.lit("]}")).alias("json")))
+    out = files.decode_articles(pages, "json")
+    return out.select("timestamp", "published_time", F.md5(F.concat("title", "body")).alias("id"),
+                      "url", "keywords")
+
+
+@register("s5_decode_candles")
+def q_decode_candles(spark, sf):
+    p = ad.prices_v(spark, sf)
+    k = F.to_json(F.array(F.unix_millis(F.col("Date").cast("timestamp")).cast("string"),
+                          F.col("Close").cast("string"), F.col("Close").cast("string"),
+                          F.col("Close").cast("string"), F.col("Close").cast("string"),
+                          F.col("Volume").cast("string")))
+    docs = (p.select("symbol", F.year("Date").alias("y"), "Date", k.alias("k"))
+              .groupBy("symbol", "y")
+              .agg(F.concat(F.lit("["), F.array_join(F.transform(
+                  F.array_sort(F.collect_list(F.struct("Date", "k"))), lambda s: s["k"]), ","),
+                  F.lit("]")).alias("json")))
+    out = files.decode_candles(docs, "json")
+    return out.select("Date", F.col("Close").cast("double").alias("Close"),
+                      F.col("Volume").cast("double").alias("Volume"))
+
+
+@register("s6_decode_listings")
+def q_decode_listings(spark, sf):
+    c = ad.table(spark, sf, "customer")
+    docs = (c.select((F.col("c_custkey") / 100).cast("long").alias("page"), "c_custkey",
+                     F.to_json(F.struct(F.col("c_name").alias("symbol"))).alias("o"))
+             .groupBy("page")
+             .agg(F.concat(F.lit('{"data":['), F.array_join(F.transform(
+                 F.array_sort(F.collect_list(F.struct("c_custkey", "o"))), lambda s: s["o"]), ","),
+                 F.lit("]}")).alias("json")))
+    return files.decode_listings(docs, "json")
+
+
+@register("s7_extract_texts")
+def q_extract_texts(spark, sf):
+    return files.extract_texts(ad.table(spark, sf, "pages"), "html", "page_id", "ad", "div")
+
+
+@register("c8_extract_triples")
+def q_extract_triples(spark, sf):
+    return scrape.extract_triples(ad.table(spark, sf, "pages"), css_class="ad", inner_tag="div")
+
+
+@register("u3_embed")
+def q_embed(spark, sf):
+    d = ad.table(spark, sf, "documents")
+    model = en.fit_embedder(d, "text")
+    return en.embed(d.select("doc_id", "text"), "text", model).select("doc_id", F.size("embedding").alias("dim"))
+
+
+@register("u2_classify")
+def q_classify(spark, sf):
+    model = en.fit_sentiment(ad.labels_v(spark, sf))
+    d = ad.table(spark, sf, "documents").select("doc_id", "text")
+    return en.classify(d, "text", model, "label").select("doc_id", "label")
