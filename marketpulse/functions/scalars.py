@@ -145,7 +145,7 @@ def is_short_date(c: ColumnOrName, pattern: str = SHORT_DATE_PATTERN) -> Column:
 
 def word_count(c: ColumnOrName) -> Column:
     """Number of whitespace-separated words (Python ``len(s.split())``)."""
-    return F.size(F.regexp_extract_all(_c(c), F.lit(WORD_PATTERN), 0))
+    return F.regexp_count(_c(c), F.lit(WORD_PATTERN))
 
 
 def _text_or_none(x: ColumnOrName) -> Column:

@@ -22,27 +22,55 @@ DEFAULT_COINS = ["BTC", "ETH"]
 EXCLUSION_WORDS = ["除了", "BESIDES", "EXCEPT", "OTHER THAN"]
 
 
-def _mentions(upper_text: Column) -> Column:
-    hits = [F.when(upper_text.rlike(f"(^|[^A-Z0-9]){t}([^A-Z0-9]|$)"), F.lit(t)) for t in TICKERS]
-    return F.array_compact(F.array(*hits))
+def _tokens(upper_text: Column) -> Column:
+    """Maximal [A-Z0-9] runs of the text (one regex split)."""
+    return F.split(upper_text, "[^A-Z0-9]+")
 
 
-def coins_expr(text: Column) -> Column:
-    """Array of coin tickers a question is about, by the three rules."""
-    up = F.upper(translate_coins(text))
-    mentioned = _mentions(up)
-    besides = F.lit(False)
+def _mentions(tokens: Column) -> Column:
+    """Tickers, in TICKERS order, present as a whole token.  ``tokens``
+    should be a column reference: a lambda re-evaluates what it captures."""
+    return F.filter(F.array(*[F.lit(t) for t in TICKERS]), lambda t: F.array_contains(tokens, t))
+
+
+def _besides(up: Column) -> Column:
+    out = F.lit(False)
     for w in EXCLUSION_WORDS:
-        besides = besides | F.contains(up, F.lit(w))
+        out = out | F.contains(up, F.lit(w))
+    return out
+
+
+def _rules(mentioned: Column, besides: Column) -> Column:
     popular = F.array(*[F.lit(p) for p in POPULAR])
     return (F.when(F.size(mentioned) == 0, F.array(*[F.lit(d) for d in DEFAULT_COINS]))
              .when(besides, F.filter(popular, lambda p: ~F.array_contains(mentioned, p)))
              .otherwise(mentioned))
 
 
+def coins_expr(text: Column) -> Column:
+    """Array of coin tickers a question is about, by the three rules."""
+    up = F.upper(translate_coins(text))
+    return _rules(_mentions(_tokens(up)), _besides(up))
+
+
+def with_coins(df: DataFrame, text_col: str, out: str = "coins") -> DataFrame:
+    """Adds ``out``: the coin array of each text.  The normalised text and
+    the mention list are projected once each (staged columns, so the
+    optimizer does not repeat them inside the rule expression)."""
+    staged = df.withColumn("_up", F.upper(translate_coins(F.col(text_col))))
+    staged = staged.withColumn("_tok", _tokens(F.col("_up"))).withColumn("_b", _besides(F.col("_up")))
+    staged = staged.withColumn("_m", _mentions(F.col("_tok")))
+    return staged.withColumn(out, _rules(F.col("_m"), F.col("_b"))).drop("_up", "_tok", "_m", "_b")
+
+
 def tag_coins(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """U4: one row per (id, pos, symbol) — the coins each text is about."""
-    return df.select(id_col, F.posexplode(coins_expr(F.col(text_col))).alias("pos", "symbol"))
+    # outer explode + null filter: an inner explode would make the optimizer
+    # push a size(coins) > 0 filter below the staged projections, inlining
+    # (and so repeating) the whole rule expression there
+    return (with_coins(df.select(id_col, text_col), text_col, "_coins")
+            .select(id_col, F.posexplode_outer("_coins").alias("pos", "symbol"))
+            .where(F.col("symbol").isNotNull()))
 
 
 def coins_from_json(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
