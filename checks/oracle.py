@@ -601,3 +601,18 @@ FROM prices_v"""
 ORACLE["s6_decode_listings"] = """
 SELECT row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1 AS pos, c_name AS symbol
 FROM customer"""
+
+# --- streaming -----------------------------------------------------------------------
+
+ORACLE["t1_stream_ingest"] = _w(NEWS_V) + """
+SELECT id, arg_min_null(title, doc_id) AS title, arg_min_null(body, doc_id) AS body,
+       arg_min_null(published_at, doc_id) AS published_at,
+       arg_max_null(url, doc_id) AS url, arg_max_null(keywords, doc_id) AS keywords,
+       NULL::TIMESTAMP AS created_at
+FROM news_v GROUP BY id"""
+
+BARS_V = """prices_v AS (
+  SELECT event_type AS symbol, date_trunc('hour', ts) AS "Date", arg_max(value, ts) AS "Close"
+  FROM events GROUP BY 1, 2)"""
+
+ORACLE["t2_stream_indicators"] = INDICATORS.replace(PRICES_V, BARS_V)

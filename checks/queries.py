@@ -756,3 +756,61 @@ def q_classify(spark, sf):
     model = en.fit_sentiment(ad.labels_v(spark, sf))
     d = ad.table(spark, sf, "documents").select("doc_id", "text")
     return en.classify(d, "text", model, "label").select("doc_id", "label")
+
+
+# ---------------------------------------------------------------- streaming
+
+def _stream_in_chunks(spark, chunks: list[DataFrame], schema, build, out_fmt="parquet"):
+    """Write ``chunks`` one after another into a watched folder and let the
+    streaming query ``build(stream_df) -> DataStreamWriter`` process each
+    before the next arrives (so micro-batches see the data in order)."""
+    src = _scratch(spark, "stream-src")
+    ck = _scratch(spark, "stream-ck")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(src)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    stream = spark.readStream.schema(schema).parquet(src)
+    query = build(stream).option("checkpointLocation", ck).trigger(processingTime="100 milliseconds").start()
+    try:
+        for i, c in enumerate(chunks):
+            c.write.mode("append").parquet(src)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+@register("t1_stream_ingest")
+def q_stream_ingest(spark, sf):
+    from marketpulse import schemas
+    from marketpulse.sources import sinks
+    from marketpulse.streaming.ingest import merge_into
+    n = _news_table(spark, sf)
+    bounds = n.agg(F.min("doc_id"), F.max("doc_id")).first()
+    lo, hi = int(bounds[0]), int(bounds[1])
+    step = (hi - lo) // 3 + 1
+    chunks = [n.where((F.col("doc_id") >= lo + k * step) & (F.col("doc_id") < lo + (k + 1) * step))
+              for k in range(3)]
+    table = _scratch(spark, "news-table")
+    merge = lambda t, b: newsplan.merge_news(t, b, order="doc_id")
+    _stream_in_chunks(spark, chunks, n.schema,
+                      lambda s: s.writeStream.foreachBatch(merge_into(table, schemas.NEWS, merge)))
+    return sinks.read_table(spark, table, schemas.NEWS)
+
+
+@register("t2_stream_indicators")
+def q_stream_indicators(spark, sf):
+    from marketpulse.streaming.indicators import stream_indicators
+    bars = ad.bars_v(spark, sf).select("symbol", "Date", "Close")
+    bounds = bars.agg(F.min("Date"), F.max("Date")).first()
+    lo, hi = bounds[0], bounds[1]
+    span = (hi - lo) / 3
+    cuts = [lo + span * k for k in range(1, 3)]
+    chunks = [bars.where(F.col("Date") < F.lit(cuts[0])),
+              bars.where((F.col("Date") >= F.lit(cuts[0])) & (F.col("Date") < F.lit(cuts[1]))),
+              bars.where(F.col("Date") >= F.lit(cuts[1]))]
+    out = _scratch(spark, "stream-out")
+    _stream_in_chunks(spark, chunks, bars.schema,
+                      lambda s: stream_indicators(s).writeStream.format("parquet")
+                                                    .option("path", out).outputMode("append"))
+    res = spark.read.parquet(out)
+    return _round(res, ind.INDICATOR_COLUMNS)
