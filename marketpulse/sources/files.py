@@ -118,6 +118,11 @@ def decode_listings(df: DataFrame, json_col: str) -> DataFrame:
     return parsed.select(F.posexplode("_j.data").alias("pos", "c")).select("pos", F.col("c.symbol").alias("symbol"))
 
 
+def _joined(fragments: list[str]) -> str:
+    """Text of an element: each text fragment stripped, empty ones dropped."""
+    return "".join(f.strip() for f in fragments if f.strip())
+
+
 def _extract_page(html: str, css_class: str, inner_tag: str) -> list[str]:
     """Texts of the first ``inner_tag`` inside each element of ``css_class``."""
     from html.parser import HTMLParser
@@ -156,7 +161,7 @@ def _extract_page(html: str, css_class: str, inner_tag: str) -> list[str]:
                 for st in self.open_targets:
                     if st["inner_depth"] == depth and not st["done"]:
                         st["done"] = True
-                        self.out[st["slot"]] = "".join(st["buf"]).strip()
+                        self.out[st["slot"]] = _joined(st["buf"])
                 self.open_targets = [s for s in self.open_targets if s["depth"] < depth
                                      or s["depth"] > len(self.stack) + 1]
                 self.open_targets = [s for s in self.open_targets if s["depth"] <= len(self.stack)]
@@ -172,7 +177,7 @@ def _extract_page(html: str, css_class: str, inner_tag: str) -> list[str]:
             super().close()
             for st in self.open_targets:
                 if st["inner_depth"] is not None and not st["done"]:
-                    self.out[st["slot"]] = "".join(st["buf"]).strip()
+                    self.out[st["slot"]] = _joined(st["buf"])
 
     p = P()
     p.feed(html or "")
