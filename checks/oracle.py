@@ -58,7 +58,7 @@ VECTORS_V = """vectors_v AS (
   QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY e.vec_id) = 1)"""
 
 QUESTIONS_V = """questions_v AS (
-  SELECT vec_id AS qid, embedding AS qvec FROM embeddings WHERE vec_id < 20)"""
+  SELECT vec_id AS qid, embedding AS qvec FROM embeddings)"""
 
 QTEXT = f"""qtext AS (
   SELECT doc_id AS qid,
@@ -536,7 +536,7 @@ def _prompts_sql() -> str:
          arg_max_null(bb_lower, recorded_at) AS bb_lower
   FROM tind GROUP BY symbol)""", NEWS_V, VECTORS_V, QTEXT, """questions_v AS (
   SELECT e.vec_id AS qid, e.embedding AS qvec FROM embeddings e
-  JOIN qtext t ON e.vec_id = t.qid WHERE e.vec_id < 20 AND coalesce(t.question, '') <> '')""",
+  JOIN qtext t ON e.vec_id = t.qid WHERE coalesce(t.question, '') <> '')""",
             f"""recent AS (SELECT * FROM vectors_v WHERE "timestamp" >= {FLOOR_EPOCH!r})""",
             SCORED.format(src="recent"), RANKED, NEWS_FIRST, """src AS (
   SELECT h.qid,

@@ -1,7 +1,8 @@
 """Coin mentions per text (U4, with P13 and P19).
 
 The source application asks a chat model to apply three rules; here the
-rules are applied as data with built-in expressions (no join, no UDF):
+rules are applied as data with built-in expressions (no join, no UDF, no
+lambda):
 explicit tickers -> those tickers; "besides X" -> the popular list without
 X; no ticker -> the default list.
 """
@@ -27,10 +28,17 @@ def _tokens(upper_text: Column) -> Column:
     return F.split(upper_text, "[^A-Z0-9]+")
 
 
+def _present(conds: list[tuple[str, Column]]) -> Column:
+    """Array of the names whose condition holds, in list order.  Built from
+    plain expressions (no lambda), so it stays inside whole-stage codegen
+    and each condition is evaluated once per row."""
+    joined = F.concat_ws(",", *[F.when(c, F.lit(t)) for t, c in conds])
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, ","))
+
+
 def _mentions(tokens: Column) -> Column:
-    """Tickers, in TICKERS order, present as a whole token.  ``tokens``
-    should be a column reference: a lambda re-evaluates what it captures."""
-    return F.filter(F.array(*[F.lit(t) for t in TICKERS]), lambda t: F.array_contains(tokens, t))
+    """Tickers, in TICKERS order, present as a whole token."""
+    return _present([(t, F.array_contains(tokens, t)) for t in TICKERS])
 
 
 def _besides(up: Column) -> Column:
@@ -40,17 +48,18 @@ def _besides(up: Column) -> Column:
     return out
 
 
-def _rules(mentioned: Column, besides: Column) -> Column:
-    popular = F.array(*[F.lit(p) for p in POPULAR])
+def _rules(tokens: Column, mentioned: Column, besides: Column) -> Column:
+    others = _present([(p, ~F.array_contains(tokens, p)) for p in POPULAR])
     return (F.when(F.size(mentioned) == 0, F.array(*[F.lit(d) for d in DEFAULT_COINS]))
-             .when(besides, F.filter(popular, lambda p: ~F.array_contains(mentioned, p)))
+             .when(besides, others)
              .otherwise(mentioned))
 
 
 def coins_expr(text: Column) -> Column:
     """Array of coin tickers a question is about, by the three rules."""
     up = F.upper(translate_coins(text))
-    return _rules(_mentions(_tokens(up)), _besides(up))
+    tok = _tokens(up)
+    return _rules(tok, _mentions(tok), _besides(up))
 
 
 def with_coins(df: DataFrame, text_col: str, out: str = "coins") -> DataFrame:
@@ -60,7 +69,8 @@ def with_coins(df: DataFrame, text_col: str, out: str = "coins") -> DataFrame:
     staged = df.withColumn("_up", F.upper(translate_coins(F.col(text_col))))
     staged = staged.withColumn("_tok", _tokens(F.col("_up"))).withColumn("_b", _besides(F.col("_up")))
     staged = staged.withColumn("_m", _mentions(F.col("_tok")))
-    return staged.withColumn(out, _rules(F.col("_m"), F.col("_b"))).drop("_up", "_tok", "_m", "_b")
+    return (staged.withColumn(out, _rules(F.col("_tok"), F.col("_m"), F.col("_b")))
+                  .drop("_up", "_tok", "_m", "_b"))
 
 
 def tag_coins(df: DataFrame, text_col: str, id_col: str) -> DataFrame:

@@ -104,10 +104,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "id",
         n_v = vsel.count()
         nqb = math.ceil(n_q / max_broadcast_queries)
         nvb = max(1, math.ceil(n_v / vector_block_rows))
-        qs = (qsel.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(nqb)))
-                  .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(nvb - 1)))))
-        vs = (vsel.withColumn("_vb", F.pmod(F.xxhash64("id"), F.lit(nvb)))
-                  .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))))
+        # both sides' cell keys must have the same type (bigint): cogroup
+        # hash-partitions each side by its own key types
+        qs = (qsel.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(nqb)).cast("long"))
+                  .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(nvb - 1)).cast("array<bigint>"))))
+        vs = (vsel.withColumn("_vb", F.pmod(F.xxhash64("id"), F.lit(nvb)).cast("long"))
+                  .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)).cast("array<bigint>"))))
 
         def cell(vpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
             return _best_k(qpdf["qid"].to_numpy(), _matrix(qpdf["qvec"]),

@@ -71,9 +71,10 @@ def vectors_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query vectors: the first twenty embeddings."""
+    """Query vectors: every embedding is also a question (its nearest
+    articles are its related news)."""
     e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") < 20).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
 def chat_v(spark: SparkSession, sf_dir: str) -> DataFrame:
