@@ -11,7 +11,8 @@ from marketpulse.functions.scalars import NULL_TOKENS, WORD_PATTERN, WHITESPACE_
 from marketpulse.operators.coins import DEFAULT_COINS, EXCLUSION_WORDS, POPULAR, TICKERS
 from marketpulse.sources.adapters import LISTING_EXCLUDED
 from checks.queries import (
-    NOW_EPOCH, PRICE_CUTOFF, QUESTION_TEMPLATES, SYMBOL_MAP, WINDOW_DAYS,
+    BATCH_FEEDS, DEFAULT_TITLE_PREFIX, LOADED_FEEDS, NOW_EPOCH, PRICE_CUTOFF, QUESTION_TEMPLATES,
+    SYMBOL_MAP, WINDOW_DAYS,
 )
 
 
@@ -27,6 +28,10 @@ def _in(xs) -> str:
     return "(" + ", ".join(_lit(x) for x in xs) + ")"
 
 
+def _feed_in(feeds) -> str:
+    return f"split_part(keywords, '|', 1) IN {_in(feeds)}"
+
+
 WP = _lit(WORD_PATTERN)
 TOKENS = _in(NULL_TOKENS)
 FLOOR_EPOCH = NOW_EPOCH - WINDOW_DAYS * 86400.0
@@ -47,7 +52,8 @@ NEWS_V = """news_v AS (
         FROM documents))"""
 
 NEWS_FIRST = """news_first AS (
-  SELECT id, arg_min(doc_id, doc_id) AS doc_id, arg_min_null(url, doc_id) AS url
+  SELECT id, arg_min(doc_id, doc_id) AS doc_id, arg_min_null(url, doc_id) AS url,
+         arg_min_null(keywords, doc_id) AS keywords
   FROM news_v GROUP BY id)"""
 
 VECTORS_V = """vectors_v AS (
@@ -82,7 +88,7 @@ SESSIONS_V = """sessions_v AS (
               ELSE substr(first_text, 1, 30) END AS title
   FROM (SELECT conv_id, arg_min_null(text, turn) AS first_text FROM conversations GROUP BY conv_id))"""
 
-KNOWN_SESSIONS = """known AS (SELECT * FROM sessions_v WHERE id NOT LIKE '%9')"""
+KNOWN_SESSIONS = f"""known AS (SELECT * FROM sessions_v WHERE NOT starts_with(title, {_lit(DEFAULT_TITLE_PREFIX)}))"""
 
 LISTINGS_V = """listings_v AS (
   SELECT c_name AS symbol, c_acctbal AS market_cap, c_custkey AS pos FROM customer)"""
@@ -211,7 +217,7 @@ SELECT * FROM t WHERE "Title" IS NOT NULL AND regexp_matches("Date", '^.{0,12}$'
 ORACLE["w13_number_titles"] = _w(SESSIONS_V, """new AS (
   SELECT 'n-' || conv_id::VARCHAR AS id,
          TIMESTAMP '2024-02-01 00:00:00' + to_minutes(conv_id::BIGINT) AS created_at,
-         CASE WHEN conv_id % 4 = 0 THEN 'kept title' END AS title
+         CASE WHEN role = 'system' THEN 'kept title' END AS title
   FROM conversations WHERE turn = 0)""", """n0 AS (SELECT count(*) AS n FROM sessions_v WHERE title LIKE '新對話 %')""") + """
 SELECT id, created_at,
        coalesce(title, '新對話 ' || ((SELECT n FROM n0) + row_number() OVER (ORDER BY created_at, id))::VARCHAR)
@@ -309,9 +315,9 @@ WHERE coalesce(ticker, p.symbol) NOT IN ('BTC', 'ETH', 'SOL', 'DOGE')"""
 
 # --- keyed tables ----------------------------------------------------------
 
-ORACLE["j3_newer_than"] = _w(NEWS_V) + """
+ORACLE["j3_newer_than"] = _w(NEWS_V) + f"""
 SELECT doc_id FROM news_v
-WHERE published_at > (SELECT max(published_at) FROM news_v WHERE doc_id < 500)"""
+WHERE published_at > (SELECT max(published_at) FROM news_v WHERE {_feed_in(LOADED_FEEDS)})"""
 ORACLE["j3_newer_than_by_key"] = _w(PRICES_V, f"""mx AS (
   SELECT symbol, max("Date") AS m FROM prices_v WHERE "Date" < TIMESTAMP '{PRICE_CUTOFF}' GROUP BY symbol)""") + """
 SELECT symbol, "Date" FROM prices_v LEFT JOIN mx USING (symbol) WHERE m IS NULL OR "Date" > m"""
@@ -343,30 +349,35 @@ NEWS_TABLE = """news_t AS (
   SELECT id, title, body, published_at, url, keywords, NULL::TIMESTAMP AS created_at, doc_id FROM news_v)"""
 
 ORACLE["j5_upsert"] = _w(NEWS_V, NEWS_TABLE) + ", " + _upsert_sql(
-    "SELECT * EXCLUDE (doc_id) FROM news_t WHERE doc_id < 300",
+    f"SELECT * EXCLUDE (doc_id) FROM news_t WHERE {_feed_in(LOADED_FEEDS)}",
     "SELECT id, title, body, published_at + INTERVAL 1 DAY AS published_at, url || '?v2' AS url, "
-    "keywords, created_at, doc_id FROM news_t WHERE doc_id >= 200")
+    f"keywords, created_at, doc_id FROM news_t WHERE {_feed_in(BATCH_FEEDS)}")
 
 ORACLE["c1_merge_news"] = _w(NEWS_V, NEWS_TABLE) + ", " + _upsert_sql(
-    "SELECT * EXCLUDE (doc_id) FROM news_t WHERE doc_id < 500",
+    f"SELECT * EXCLUDE (doc_id) FROM news_t WHERE {_feed_in(LOADED_FEEDS)}",
     "SELECT id, title, body, published_at, url, keywords || '|new' AS keywords, created_at, doc_id "
-    "FROM news_t WHERE published_at > (SELECT max(published_at) FROM news_t WHERE doc_id < 500)")
+    f"FROM news_t WHERE published_at > (SELECT max(published_at) FROM news_t WHERE {_feed_in(LOADED_FEEDS)})")
 
 ORACLE["s10_ensure_columns"] = _w(NEWS_V) + \
     "SELECT id, title, doc_id, NULL::VARCHAR AS url, NULL::VARCHAR AS keywords FROM news_v"
 ORACLE["a3_title_exists"] = _w(NEWS_V, """asked AS (
   SELECT title FROM news_v UNION ALL SELECT title || ' (draft)' FROM news_v)""") + """
-SELECT title, title IN (SELECT title FROM news_v WHERE doc_id < 500) AS "exists" FROM asked"""
+SELECT title, title IN (SELECT title FROM news_v WHERE """ + _feed_in(LOADED_FEEDS) + """) AS "exists" FROM asked"""
 
 # --- conversations -----------------------------------------------------------
 
-ORACLE["j6_delete_sessions"] = _w(SESSIONS_V) + "SELECT * FROM sessions_v WHERE id NOT LIKE '%7'"
-ORACLE["j6_delete_messages"] = _w(CHAT_V) + \
-    "SELECT id, session_id FROM chat_v WHERE session_id NOT LIKE '%7'"
+FLAGGED = "flagged AS (SELECT DISTINCT session_id AS id FROM chat_v WHERE sender = 'system')"
+ORACLE["j6_delete_sessions"] = _w(CHAT_V, SESSIONS_V, FLAGGED) + \
+    "SELECT * FROM sessions_v WHERE id NOT IN (SELECT id FROM flagged)"
+ORACLE["j6_delete_messages"] = _w(CHAT_V, FLAGGED) + \
+    "SELECT id, session_id FROM chat_v WHERE session_id NOT IN (SELECT id FROM flagged)"
 ORACLE["j7_rename_sessions"] = _w(SESSIONS_V) + """
-SELECT id, created_at,
-       CASE WHEN (conv_id % 5) IN (0, 3, 4) THEN 'renamed ' || conv_id::VARCHAR ELSE title END AS title
-FROM (SELECT *, CAST(substr(id, 3) AS BIGINT) AS conv_id FROM sessions_v)"""
+SELECT s.id, s.created_at,
+       CASE WHEN c.role <> 'system' AND coalesce(length(c.text), 0) >= 40
+            THEN 'renamed ' || c.conv_id::VARCHAR ELSE s.title END AS title
+FROM sessions_v s
+LEFT JOIN (SELECT conv_id, role, text FROM conversations WHERE turn = 0) c
+  ON s.id = 's-' || c.conv_id::VARCHAR"""
 ORACLE["l5_histories"] = _w(CHAT_V) + """
 SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS pos
 FROM chat_v"""
@@ -482,7 +493,8 @@ ORACLE["l2_newest_first"] = _w(NEWS_V, VECTORS_V, QUESTIONS_V, SCORED.format(src
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY "timestamp" DESC, distance, id) AS pos FROM hits"""
 ORACLE["j1_attach_sources"] = _w(NEWS_V, VECTORS_V, QUESTIONS_V, SCORED.format(src="vectors_v"), RANKED,
                                  NEWS_FIRST, """tbl AS (
-  SELECT id, CASE WHEN doc_id % 7 <> 0 THEN url END AS url FROM news_first WHERE doc_id % 5 <> 0)""") + """
+  SELECT id, CASE WHEN NOT """ + _feed_in(["de"]) + """ THEN url END AS url FROM news_first
+  WHERE NOT """ + _feed_in(["es"]) + ")") + """
 SELECT h.qid, h.id,
        CASE WHEN t.id IS NULL THEN '無連結' ELSE coalesce(t.url, 'None') END AS url_text,
        coalesce(h.title, '無標題') || ' : ' ||
@@ -495,9 +507,9 @@ FROM hits h JOIN vectors_v v ON h.id = v.id"""
 ORACLE["c4_get_by_id"] = _w(NEWS_V, VECTORS_V) + """
 SELECT id, coalesce(title, '無標題') AS title, coalesce(content, '無內容') AS content,
        coalesce(published_time, '未知時間') AS published_time
-FROM vectors_v WHERE id IN (SELECT id FROM news_v WHERE doc_id % 3 = 0)"""
+FROM vectors_v WHERE id IN (SELECT id FROM news_v JOIN labels USING (doc_id) WHERE toxic = 1)"""
 ORACLE["c5_delete_vectors"] = _w(NEWS_V, VECTORS_V) + """
-SELECT vec_id FROM vectors_v WHERE id NOT IN (SELECT id FROM news_v WHERE doc_id % 3 = 0)"""
+SELECT vec_id FROM vectors_v WHERE id NOT IN (SELECT id FROM news_v JOIN labels USING (doc_id) WHERE toxic = 1)"""
 
 
 def _coins_sql(text: str) -> str:

@@ -41,6 +41,11 @@ PRICE_CUTOFF = "1998-01-01"
 NOW = dt.datetime(2024, 1, 1, 12, 0, 0)
 NOW_EPOCH = 1704110400.0  # NOW as epoch seconds (UTC)
 WINDOW_DAYS = 0.25
+# Feeds (document languages, the first keyword) a keyed news table already
+# holds, and the feeds an upsert batch brings.
+LOADED_FEEDS = ["en", "fr"]
+BATCH_FEEDS = ["en", "de"]
+DEFAULT_TITLE_PREFIX = "新對話 "
 SYMBOL_MAP = [("1-URGENT", "BTC"), ("2-HIGH", "ETH"), ("3-MEDIUM", "SOL"),
               ("4-NOT SPECIFIED", "XRP"), ("5-LOW", "DOGE")]
 QUESTION_TEMPLATES = ["比特幣適合買進嗎？", "除了BTC，還有什麼幣值得關注？", "ETH and SOL outlook: ",
@@ -115,7 +120,7 @@ def q_number_titles(spark, sf):
             .select(F.concat(F.lit("n-"), F.col("conv_id").cast("string")).alias("id"),
                     (F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
                      + F.make_dt_interval(F.lit(0), F.lit(0), F.col("conv_id").cast("int"))).alias("created_at"),
-                    F.when(F.col("conv_id") % 4 == 0, F.lit("kept title")).alias("title")))
+                    F.when(F.col("role") == "system", F.lit("kept title")).alias("title")))
     return cv.number_titles(new, ad.sessions_v(spark, sf))
 
 
@@ -269,8 +274,8 @@ def q_domain(spark, sf):
 
 @register("q4_fk")
 def q_fk(spark, sf):
-    sessions = ad.sessions_v(spark, sf).where(~F.col("id").endswith("9"))
-    return q.check_fk(ad.chat_v(spark, sf), sessions, "session_id", "id").select("id", "session_id")
+    return q.check_fk(ad.chat_v(spark, sf), _known_sessions(spark, sf), "session_id", "id").select(
+        "id", "session_id")
 
 
 @register("q5_fits_varchar")
@@ -296,6 +301,10 @@ def q_partition_list(spark, sf):
 
 # ---------------------------------------------------------------- keyed tables
 
+def _feed_in(feeds):
+    return F.substring_index(F.col("keywords"), "|", 1).isin(feeds)
+
+
 def _news_table(spark, sf):
     return ad.news_v(spark, sf).select("id", "title", "body", "published_at", "url", "keywords",
                                        F.lit(None).cast("timestamp_ntz").alias("created_at"), "doc_id")
@@ -304,7 +313,7 @@ def _news_table(spark, sf):
 @register("j3_newer_than")
 def q_newer_than(spark, sf):
     n = _news_table(spark, sf)
-    return tb.newer_than(n, n.where(F.col("doc_id") < 500), "published_at").select("doc_id")
+    return tb.newer_than(n, n.where(_feed_in(LOADED_FEEDS)), "published_at").select("doc_id")
 
 
 @register("j3_newer_than_by_key")
@@ -332,8 +341,8 @@ def q_append(spark, sf):
 @register("j5_upsert")
 def q_upsert(spark, sf):
     n = _news_table(spark, sf)
-    target = n.where(F.col("doc_id") < 300).drop("doc_id")
-    batch = (n.where(F.col("doc_id") >= 200)
+    target = n.where(_feed_in(LOADED_FEEDS)).drop("doc_id")
+    batch = (n.where(_feed_in(BATCH_FEEDS))
               .withColumn("url", F.concat("url", F.lit("?v2")))
               .withColumn("published_at", F.col("published_at") + F.expr("INTERVAL 1 DAY")))
     return tb.upsert(target, batch, "id", "doc_id", ["url", "keywords"])
@@ -342,7 +351,7 @@ def q_upsert(spark, sf):
 @register("c1_merge_news")
 def q_merge_news(spark, sf):
     n = _news_table(spark, sf)
-    target = n.where(F.col("doc_id") < 500).drop("doc_id")
+    target = n.where(_feed_in(LOADED_FEEDS)).drop("doc_id")
     batch = n.withColumn("keywords", F.concat("keywords", F.lit("|new")))
     return newsplan.merge_news(target, batch, order="doc_id")
 
@@ -356,23 +365,29 @@ def q_ensure(spark, sf):
 @register("a3_title_exists")
 def q_title_exists(spark, sf):
     n = ad.news_v(spark, sf)
-    table = n.where(F.col("doc_id") < 500)
+    table = n.where(_feed_in(LOADED_FEEDS))
     titles = n.select("title").union(n.select(F.concat("title", F.lit(" (draft)")).alias("title")))
     return tb.title_exists(table, titles)
 
 
 # ---------------------------------------------------------------- conversations
 
+def _flagged_sessions(spark, sf):
+    """Sessions to delete: those with a system message."""
+    return (ad.chat_v(spark, sf).where(F.col("sender") == "system")
+              .select(F.col("session_id").alias("id")).distinct())
+
+
 @register("j6_delete_sessions")
 def q_delete_sessions(spark, sf):
-    ids = ad.sessions_v(spark, sf).where(F.col("id").endswith("7")).select("id")
+    ids = _flagged_sessions(spark, sf)
     s, _ = cv.delete_sessions(ad.sessions_v(spark, sf), ad.chat_v(spark, sf), ids)
     return s
 
 
 @register("j6_delete_messages")
 def q_delete_messages(spark, sf):
-    ids = ad.sessions_v(spark, sf).where(F.col("id").endswith("7")).select("id")
+    ids = _flagged_sessions(spark, sf)
     _, m = cv.delete_sessions(ad.sessions_v(spark, sf), ad.chat_v(spark, sf), ids)
     return m.select("id", "session_id")
 
@@ -382,9 +397,9 @@ def q_rename(spark, sf):
     s = ad.sessions_v(spark, sf)
     c = ad.table(spark, sf, "conversations").where(F.col("turn") == 0)
     changes = c.select(
-        F.when(F.col("conv_id") % 5 == 2, F.concat(F.lit("x-"), F.col("conv_id").cast("string")))
+        F.when(F.col("role") == "system", F.concat(F.lit("x-"), F.col("conv_id").cast("string")))
          .otherwise(F.concat(F.lit("s-"), F.col("conv_id").cast("string"))).alias("id"),
-        F.when(F.col("conv_id") % 5 == 1, F.lit(""))
+        F.when(F.coalesce(F.length("text"), F.lit(0)) < 40, F.lit(""))
          .otherwise(F.concat(F.lit("renamed "), F.col("conv_id").cast("string"))).alias("new_title"))
     return cv.rename_sessions(s, changes)
 
@@ -405,7 +420,8 @@ def q_list_sessions(spark, sf):
 
 
 def _known_sessions(spark, sf):
-    return ad.sessions_v(spark, sf).where(~F.col("id").endswith("9"))
+    # the session table holds the titled sessions; default-titled ones are unknown
+    return ad.sessions_v(spark, sf).where(~F.col("title").startswith(DEFAULT_TITLE_PREFIX))
 
 
 @register("c6_rejected_messages")
@@ -593,8 +609,10 @@ def q_attach_sources(spark, sf):
     hits = rt.knn(v, ad.questions_v(spark, sf), 5)
     hits = hits.join(v.select(F.col("id").alias("_h"), "title"), F.col("id") == F.col("_h")).drop("_h")
     n = tb.first_per_key(ad.news_v(spark, sf), ["id"], ["doc_id"])
-    table = n.where(F.col("doc_id") % 5 != 0).select(
-        "id", F.when(F.col("doc_id") % 7 != 0, F.col("url")).alias("url"))
+    # the news table lacks the Spanish feed (no row: 無連結) and has no URL
+    # for the German feed (a matched null URL prints None)
+    table = n.where(~_feed_in(["es"])).select(
+        "id", F.when(~_feed_in(["de"]), F.col("url")).alias("url"))
     return rt.attach_sources(hits, table).select("qid", "id", "url_text", "source")
 
 
@@ -604,17 +622,23 @@ def q_search(spark, sf):
     return _round(out, ["score"], 6)
 
 
+def _toxic_news_ids(spark, sf):
+    """News ids of the documents labelled toxic."""
+    lab = ad.table(spark, sf, "labels").where(F.col("toxic") == 1).select("doc_id")
+    return ad.news_v(spark, sf).join(lab, "doc_id", "left_semi").select("id")
+
+
 @register("c4_get_by_id")
 def q_get_by_id(spark, sf):
     v = _vectors(spark, sf)
-    ids = ad.news_v(spark, sf).where(F.col("doc_id") % 3 == 0).select("id")
+    ids = _toxic_news_ids(spark, sf)
     return rt.get_by_id(v, ids)
 
 
 @register("c5_delete_vectors")
 def q_delete_vectors(spark, sf):
     v = _vectors(spark, sf)
-    ids = ad.news_v(spark, sf).where(F.col("doc_id") % 3 == 0).select("id")
+    ids = _toxic_news_ids(spark, sf)
     return rt.delete_vectors(v, ids).select("vec_id")
 
 
