@@ -3,7 +3,9 @@
 All series are computed in one plan.  Rows are shuffled twice at most: once
 to number them inside their series (``index_series``) and once into
 (symbol, block) partitions with a halo of earlier rows, which every window
-below shares.  The EMA carry and its join back touch only one row per block.
+below shares.  MACD and its signal come from one block scan
+(``macd_scan``): its block table is an aggregate of the input rows, so the
+window pass over the rows runs once; the carries touch one row per block.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.operators.series import (
     BLK, DEFAULT_BLOCK_ROWS, DEFAULT_BUCKET_SECONDS, HALO, IDX,
-    ema, ema_block, halo_blocks, index_series,
+    ema, ema_block, halo_blocks, index_series, macd_scan,
 )
 
 # Indicator parameters and output order of the indicator table.
@@ -66,6 +68,7 @@ def indicators(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: s
     halo = max(rsi_n, bb_n - 1)
     rows = _prepare(prices, by, ts, close, bucket_seconds, block, halo)
 
+    own = rows.where(~F.col(HALO)).select(by, ts, IDX, BLK, "_x")
     w = Window.partitionBy(by, BLK).orderBy(IDX)
     rows = rows.withColumn("_d", diff("_x", w))
     gain, loss = gain_loss(F.col("_d"))
@@ -81,10 +84,8 @@ def indicators(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: s
         F.when(F.col(IDX) >= bb_n - 1, sd20).alias("_sd"),
     ).where(~F.col(HALO)).drop(HALO)
 
-    rows = ema(rows, [by], IDX, {"_ef": ("_x", fast), "_es": ("_x", slow)},
-               block=block, blk_col=BLK)
-    rows = rows.withColumn("macd", F.col("_ef") - F.col("_es"))
-    rows = ema(rows, [by], IDX, {"macd_signal": ("macd", signal)}, block=block, blk_col=BLK)
+    rows = macd_scan(rows, [by], IDX, "_x", fast, slow, signal, block=block, blk_col=BLK,
+                     blocks_from=own)
     return rows.select(
         by, ts, "rsi_14", "macd", "macd_signal",
         (F.col("bb_middle") + F.lit(bb_k) * F.col("_sd")).alias("bb_upper"),
@@ -139,13 +140,9 @@ def macd(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: str = "
          fast: int = MACD_FAST, slow: int = MACD_SLOW, signal: int = MACD_SIGNAL,
          block: int = DEFAULT_BLOCK_ROWS, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """MACD line, signal line and their difference (histogram)."""
-    block = ema_block([fast, slow, signal], block)
     base = prices.select(by, ts, F.col(close).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     rows = index_series(base, [by], ts, bucket_seconds)
-    rows = rows.withColumn(BLK, F.floor(F.col(IDX) / F.lit(block)))
-    rows = ema(rows, [by], IDX, {"_ef": ("_x", fast), "_es": ("_x", slow)}, block=block, blk_col=BLK)
-    rows = rows.withColumn("macd", F.col("_ef") - F.col("_es"))
-    rows = ema(rows, [by], IDX, {"signal": ("macd", signal)}, block=block, blk_col=BLK)
+    rows = macd_scan(rows, [by], IDX, "_x", fast, slow, signal, block=block, out=("macd", "signal"))
     return rows.select(by, ts, "macd", "signal", (F.col("macd") - F.col("signal")).alias("hist"))
 
 

@@ -121,27 +121,54 @@ def ema(df: DataFrame, by: Sequence[str], idx: str, cols: dict[str, tuple[str, f
         out = df.withColumnRenamed(blk_col, BLK) if blk_col != BLK else df
     j = F.col(idx) - F.col(BLK) * F.lit(blk_rows)
     w_in = Window.partitionBy(*by, BLK).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    partial_cols = []
+    base = out
+    partial_cols, last = [], []
     for name, (src, span) in cols.items():
         a = 2.0 / (span + 1.0)
         r = 1.0 - a
         wt = F.when(F.col(idx) == 0, F.lit(1.0)).otherwise(F.lit(a))
         if r == 0.0:
             out = out.withColumn(f"_l_{name}", F.col(src).cast("double"))
+            last.append(F.max_by(F.col(src).cast("double"), F.col(idx)).alias(f"_L_{name}"))
         else:
             scaled = wt * F.col(src) * F.pow(F.lit(r), -j)
             out = out.withColumn(f"_l_{name}", F.pow(F.lit(r), j) * F.sum(scaled).over(w_in))
+            # the block's last partial value l_J = r**J * sum(scaled), as a
+            # plain aggregate of the input rows: the block table does not
+            # depend on the window pass, so that pass runs once
+            last.append((F.pow(F.lit(r), F.max(j)) * F.sum(scaled)).alias(f"_L_{name}"))
         partial_cols.append(name)
 
     # one row per block: last partial value of each column
-    last = [F.max_by(F.col(f"_l_{n}"), F.col(idx)).alias(f"_L_{n}") for n in partial_cols]
-    blocks = out.groupBy(*by, BLK).agg(*last)
+    blocks = base.groupBy(*by, BLK).agg(*last)
 
-    # carry per block from the previous blocks, over a bounded frame, chunked
-    # so that one long series is spread over many tasks
-    frames = {}
+    rates = {name: 1.0 - 2.0 / (span + 1.0) for name, (_, span) in cols.items()}
+    carry = _carry(blocks, by, rates, blk_rows, carry_chunk)
+
+    res = out.join(carry, on=[*by, BLK], how="inner")
     for name, (src, span) in cols.items():
         r = 1.0 - 2.0 / (span + 1.0)
+        jj = F.col(idx) - F.col(BLK) * F.lit(blk_rows)
+        res = res.withColumn(name, F.col(f"_l_{name}") + F.pow(F.lit(r), jj + 1) * F.col(f"_c_{name}"))
+    drop = [c for c in res.columns if c.startswith(("_l_", "_c_"))]
+    res = res.drop(*drop)
+    if blk_col is None:
+        return res.drop(BLK)
+    return res.withColumnRenamed(BLK, blk_col) if blk_col != BLK else res
+
+
+def _carry(blocks: DataFrame, by: Sequence[str], rates: dict[str, float], blk_rows: int,
+           carry_chunk: int = 4096, keep: Sequence[str] = ()) -> DataFrame:
+    """Per block b, ``_c_<name>`` = sum_{m>=1} _L_<name>[b-m] * R**(m-1) with
+    R = rate**blk_rows: the recursion's value at the end of block b-1.
+
+    The sum runs over a bounded frame of earlier blocks (older terms are
+    below the smallest double), and the block table is itself cut into
+    chunks of ``carry_chunk`` blocks with a halo of that frame, so one long
+    series is spread over many tasks.  Returns (by, BLK, keep, _c_*).
+    """
+    frames = {}
+    for name, r in rates.items():
         if r == 0.0:
             frames[name] = (0.0, 1)
             continue
@@ -156,16 +183,99 @@ def ema(df: DataFrame, by: Sequence[str], idx: str, cols: dict[str, tuple[str, f
         prev = F.collect_list(F.col(f"_L_{name}")).over(w_prev.rowsBetween(-k, -1))
         folded = F.aggregate(prev, F.lit(0.0), _fold_step(R))
         carry_exprs.append(folded.alias(f"_c_{name}"))
-    carry = (chunked.select(*by, BLK, "_ch", *carry_exprs)
-                    .where(~F.col("_ch")).drop("_ch"))
+    return (chunked.select(*by, BLK, *keep, "_ch", *carry_exprs)
+                   .where(~F.col("_ch")).drop("_ch"))
 
-    res = out.join(carry, on=[*by, BLK], how="inner")
-    for name, (src, span) in cols.items():
-        r = 1.0 - 2.0 / (span + 1.0)
-        jj = F.col(idx) - F.col(BLK) * F.lit(blk_rows)
-        res = res.withColumn(name, F.col(f"_l_{name}") + F.pow(F.lit(r), jj + 1) * F.col(f"_c_{name}"))
-    drop = [c for c in res.columns if c.startswith(("_l_", "_c_"))]
-    res = res.drop(*drop)
+
+def macd_scan(df: DataFrame, by: Sequence[str], idx: str, src: str, fast: float, slow: float,
+              signal: float, block: int = DEFAULT_BLOCK_ROWS, carry_chunk: int = 4096,
+              blk_col: str | None = None, out: tuple[str, str] = ("macd", "macd_signal"),
+              blocks_from: DataFrame | None = None) -> DataFrame:
+    """MACD = EMA(fast) - EMA(slow) and its signal EMA(signal) in one pass.
+
+    Same recursions and block scan as :func:`ema`, but the signal line's
+    block sums are taken in closed form from sums of the raw input, so the
+    block table never depends on a window pass: the rows are sorted and
+    windowed once, the small block table gets both carries, and one join
+    brings them back.
+
+    With r_s = 1 - 2/(s+1), rho = r_s / r_g (g = the signal span), the
+    fast/slow weights w (1 for the first row of the series, a_s after) and
+    the signal weights v (likewise with a_g), over block rows k = 0..J:
+      sum_k v_k r_g**-k l_k = a_g/(1-rho) * (sum_q w_q x_q r_g**-q
+                              - rho**(J+1) * sum_q w_q x_q r_s**-q) [+ (1-a_g) x_0]
+      sum_k v_k r_g**-k r_s**(k+1) = r_s * (a_g (1-rho**(J+1))/(1-rho) [+ (1-a_g)])
+    where l_k is the in-block EMA partial and the bracketed terms apply to
+    the block holding the first row of the series.
+
+    ``blocks_from`` (same rows, same ``blk_col``, before any window the
+    caller ran on ``df``) lets the block table skip those windows too.
+    """
+    by = list(by)
+    B = ema_block([fast, slow, signal], block)
+    rf, rs, rg = (1.0 - 2.0 / (s + 1.0) for s in (fast, slow, signal))
+    if 0.0 in (rf, rs, rg) or rg in (rf, rs):
+        raise ValueError("macd_scan needs spans > 1 and a signal span unlike the others")
+    af, as_, ag = 1.0 - rf, 1.0 - rs, 1.0 - rg
+    if blk_col is None:
+        rows = df.withColumn(BLK, F.floor(F.col(idx) / F.lit(B)))
+        src_rows = rows if blocks_from is None else blocks_from.withColumn(
+            BLK, F.floor(F.col(idx) / F.lit(B)))
+    else:
+        if B != block:
+            raise ValueError(f"block {block} too large for the spans; use ema_block()")
+        rows = df.withColumnRenamed(blk_col, BLK) if blk_col != BLK else df
+        src_rows = rows if blocks_from is None else (
+            blocks_from.withColumnRenamed(blk_col, BLK) if blk_col != BLK else blocks_from)
+    j = F.col(idx) - F.col(BLK) * F.lit(B)
+    first = F.col(idx) == 0
+    x = F.col(src).cast("double")
+    wf = F.when(first, F.lit(1.0)).otherwise(F.lit(af))
+    ws = F.when(first, F.lit(1.0)).otherwise(F.lit(as_))
+
+    def pw(r, e):
+        return F.pow(F.lit(r), e)
+
+    # block table from the input rows alone
+    J = F.col("_J")
+    blocks = src_rows.groupBy(*by, BLK).agg(
+        F.max(j).alias("_J"),
+        F.sum(wf * x * pw(rf, -j)).alias("_Af"), F.sum(ws * x * pw(rs, -j)).alias("_As"),
+        F.sum(wf * x * pw(rg, -j)).alias("_Bf"), F.sum(ws * x * pw(rg, -j)).alias("_Bs"),
+        F.max(F.when(first, x)).alias("_x0"))
+    blocks = blocks.select(*by, BLK, "_J", "_Af", "_As", "_Bf", "_Bs", "_x0",
+                           (pw(rf, J) * F.col("_Af")).alias("_L_f"),
+                           (pw(rs, J) * F.col("_As")).alias("_L_s"))
+    c1 = _carry(blocks, by, {"f": rf, "s": rs}, B, carry_chunk,
+                keep=["_J", "_Af", "_As", "_Bf", "_Bs", "_x0"])
+    has0 = F.col("_x0").isNotNull()
+
+    def t_term(r, a_col, b_col):
+        rho = r / rg
+        return (F.lit(ag / (1.0 - rho)) * (F.col(b_col) - pw(rho, J + 1) * F.col(a_col))
+                + F.when(has0, F.lit(1.0 - ag) * F.col("_x0")).otherwise(F.lit(0.0)))
+
+    def g_term(r):
+        rho = r / rg
+        return F.lit(r) * (F.lit(ag / (1.0 - rho)) * (F.lit(1.0) - pw(rho, J + 1))
+                           + F.when(has0, F.lit(1.0 - ag)).otherwise(F.lit(0.0)))
+
+    lam = pw(rg, J) * (t_term(rf, "_Af", "_Bf") - t_term(rs, "_As", "_Bs")
+                       + F.col("_c_f") * g_term(rf) - F.col("_c_s") * g_term(rs))
+    c2 = _carry(c1.select(*by, BLK, "_c_f", "_c_s", lam.alias("_L_g")), by, {"g": rg}, B,
+                carry_chunk, keep=["_c_f", "_c_s"])
+
+    # rows: in-block partials, carries joined once, then the signal's partial
+    w_in = Window.partitionBy(*by, BLK).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    res = (rows.withColumn("_lf", pw(rf, j) * F.sum(wf * x * pw(rf, -j)).over(w_in))
+               .withColumn("_ls", pw(rs, j) * F.sum(ws * x * pw(rs, -j)).over(w_in))
+               .join(c2, on=[*by, BLK], how="inner"))
+    m = (F.col("_lf") + pw(rf, j + 1) * F.col("_c_f")) - (F.col("_ls") + pw(rs, j + 1) * F.col("_c_s"))
+    res = res.withColumn(out[0], m)
+    vg = F.when(first, F.lit(1.0)).otherwise(F.lit(ag))
+    res = res.withColumn(out[1], pw(rg, j) * F.sum(vg * F.col(out[0]) * pw(rg, -j)).over(w_in)
+                         + pw(rg, j + 1) * F.col("_c_g"))
+    res = res.drop("_lf", "_ls", "_c_f", "_c_s", "_c_g")
     if blk_col is None:
         return res.drop(BLK)
     return res.withColumnRenamed(BLK, blk_col) if blk_col != BLK else res
