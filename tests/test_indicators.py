@@ -96,3 +96,15 @@ def test_quantize_indicators(spark):
     df = spark.createDataFrame([(1.23456789012, 2.000000005)], "rsi_14 double, macd double")
     row = ind.quantize_indicators(df).first()
     assert str(row.rsi_14) == "1.2346" and str(row.macd) == "2.00000000"
+
+
+def test_macd_scan_many_blocks_and_carry_chunks(spark):
+    from marketpulse.operators.series import IDX, index_series, macd_scan
+    closes = list(np.random.default_rng(11).normal(50, 4, 500))
+    rows = index_series(_series(spark, closes).withColumnRenamed("Close", "x"), ["symbol"], "Date",
+                        bucket_seconds=40 * 86400)
+    out = (macd_scan(rows, ["symbol"], IDX, "x", 12, 26, 9, block=8, carry_chunk=5)
+           .orderBy("Date").toPandas())
+    ref = _pandas(closes)
+    assert np.abs(out["macd"] - ref["macd"]).max() < 1e-8
+    assert np.abs(out["macd_signal"] - ref["macd_signal"]).max() < 1e-8
