@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketpulse.sources.files import balanced
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -21,8 +23,14 @@ LISTING_EXCLUDED = [
 ]
 
 
+# Tables whose rows carry long texts: per-row text work on them is CPU-bound,
+# so a scan with fewer splits than cores is spread first (see balanced()).
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(df) if name in TEXT_TABLES else df
 
 
 def prices_v(spark: SparkSession, sf_dir: str) -> DataFrame:

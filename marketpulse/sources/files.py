@@ -21,6 +21,22 @@ from marketpulse.functions.scalars import (
 NEWS_COLUMNS = ["timestamp", "published_at", "title", "body", "url", "keywords"]
 
 
+def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over at least ``min_partitions`` tasks (default: the
+    session's default parallelism) when it has fewer.
+
+    A Parquet row group is the smallest unit a scan splits, so a file
+    written as one large row group is read, and every per-row expression on
+    it evaluated, by a single task.  Inputs already split at least that
+    finely (every large table) come back unchanged: no shuffle is added at
+    scale.  Counting partitions plans the scan but runs no job.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n)
+
+
 def _csv(spark: SparkSession, path, schema) -> DataFrame:
     return (spark.read.schema(schema)
             .option("header", True).option("multiLine", True)
