@@ -12,6 +12,7 @@ from marketpulse.operators.coins import DEFAULT_COINS, EXCLUSION_WORDS, POPULAR,
 from marketpulse.sources.adapters import LISTING_EXCLUDED
 from checks.queries import (
     BATCH_FEEDS, DEFAULT_TITLE_PREFIX, LOADED_FEEDS, NOW_EPOCH, PRICE_CUTOFF, QUESTION_TEMPLATES,
+    WANTED_SYMBOLS,
     SYMBOL_MAP, WINDOW_DAYS,
 )
 
@@ -628,3 +629,30 @@ BARS_V = """prices_v AS (
   FROM events GROUP BY 1, 2)"""
 
 ORACLE["t2_stream_indicators"] = INDICATORS.replace(PRICES_V, BARS_V)
+
+
+# --- files and table sinks ---------------------------------------------------
+
+BARS_FULL = """bars AS (
+  SELECT event_type AS symbol, date_trunc('hour', ts) AS "Date",
+         arg_min(value, ts) AS "Open", max(value) AS "High", min(value) AS "Low",
+         arg_max(value, ts) AS "Close", count(*)::DOUBLE AS "Volume"
+  FROM events GROUP BY 1, 2)"""
+ORACLE["s3_read_prices"] = _w(BARS_FULL) + "SELECT * FROM bars"
+ORACLE["s3_missing_symbols"] = f"""
+SELECT symbol FROM (VALUES {', '.join(f'({_lit(s)})' for s in WANTED_SYMBOLS)}) w(symbol)
+WHERE symbol NOT IN (SELECT DISTINCT event_type FROM events)"""
+ORACLE["s2_read_news_strict"] = _w(NEWS_V) + """
+SELECT title, published_at, md5(body) AS body_md5 FROM (
+  SELECT title, published_at, coalesce(body, '') AS body,
+         row_number() OVER (PARTITION BY title ORDER BY published_at, coalesce(body, '')) AS rn
+  FROM news_v) WHERE rn = 1"""
+ORACLE["s9_partitioned_table"] = _w(PRICES_V, PRICE_ROWS) + \
+    "SELECT * FROM price_rows WHERE symbol = '1-URGENT'"
+ORACLE["c2_run_prices_twice"] = _w(PRICES_V, PRICE_ROWS) + "SELECT * FROM price_rows"
+ORACLE["c3_run_indicators_twice"] = _wr(*IND_CTES, IND_ROWS) + """
+SELECT symbol, recorded_at, round(rsi_14::DECIMAL(10,4), 4) AS rsi_14,
+       round(macd::DECIMAL(20,8), 4) AS macd, round(macd_signal::DECIMAL(20,8), 4) AS macd_signal,
+       round(bb_upper::DECIMAL(20,8), 4) AS bb_upper, round(bb_middle::DECIMAL(20,8), 4) AS bb_middle,
+       round(bb_lower::DECIMAL(20,8), 4) AS bb_lower
+FROM ind_rows"""

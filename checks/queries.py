@@ -838,3 +838,79 @@ def q_stream_indicators(spark, sf):
                                                     .option("path", out).outputMode("append"))
     res = spark.read.parquet(out)
     return _round(res, ind.INDICATOR_COLUMNS)
+
+
+# ---------------------------------------------------------------- files and table sinks
+
+def _price_files(spark, sf):
+    """Hourly event bars written as one price CSV per symbol; returns the folder."""
+    from marketpulse.sources import sinks
+    bars = ad.bars_v(spark, sf)
+    d = _scratch(spark, "price-csv")
+    sinks.write_price_files(bars.select(
+        "symbol", F.date_format("Date", "yyyy-MM-dd HH:mm:ss").alias("Date"),
+        "Open", "High", "Low", "Close", "Volume"), d)
+    return d
+
+
+@register("s3_read_prices")
+def q_read_prices(spark, sf):
+    return files.read_prices(spark, _price_files(spark, sf))
+
+
+# Fixed check parameters: symbols asked of the price scan, two without files.
+WANTED_SYMBOLS = ["click", "view", "purchase", "LEO", "HYPE"]
+
+
+@register("s3_missing_symbols")
+def q_missing_symbols(spark, sf):
+    p = files.read_prices(spark, _price_files(spark, sf), WANTED_SYMBOLS)
+    return files.missing_symbols(spark, p, WANTED_SYMBOLS)
+
+
+@register("s2_read_news_strict")
+def q_read_news_strict(spark, sf):
+    from marketpulse.sources.sinks import write_csv
+    n = ad.news_v(spark, sf)
+    path = _scratch(spark, "news-strict-csv")
+    write_csv(n.select(
+        F.unix_timestamp(F.col("published_at").cast("timestamp")).cast("string").alias("Timestamp"),
+        sc.ts_text("published_at").alias("Published Time"),
+        F.col("title").alias("Title"), F.col("body").alias("Body"),
+        F.col("url").alias("URL"), F.col("keywords").alias("Keywords")), path)
+    strict = files.read_news_strict(spark, path)
+    first = tb.first_per_key(strict, ["title"], ["published_at", "body"])
+    return first.select("title", "published_at", F.md5("body").alias("body_md5"))
+
+
+@register("s9_partitioned_table")
+def q_partitioned_table(spark, sf):
+    from marketpulse.sources import sinks
+    d = _scratch(spark, "prices-by-symbol")
+    sinks.write_partitioned(market.price_rows(ad.prices_v(spark, sf)), d)
+    return spark.read.parquet(d).where(F.col("symbol") == "1-URGENT")
+
+
+@register("c2_run_prices_twice")
+def q_run_prices_twice(spark, sf):
+    from marketpulse.sources import sinks
+    t = _scratch(spark, "crypto-prices")
+    batch = ad.prices_v(spark, sf)
+    market.run_prices(t, batch)
+    market.run_prices(t, batch)
+    return sinks.read_table(spark, t)
+
+
+@register("c3_run_indicators_twice")
+def q_run_indicators_twice(spark, sf):
+    from marketpulse.sources import sinks
+    t = _scratch(spark, "crypto-indicators")
+    p = ad.prices_v(spark, sf)
+    market.run_indicators(t, p.where(F.col("Date") < F.lit(PRICE_CUTOFF)))
+    market.run_indicators(t, p)
+    market.run_indicators(t, p)
+    # stored values are decimals: rounded as decimals (no double in between)
+    out = sinks.read_table(spark, t)
+    for c in ind.INDICATOR_COLUMNS:
+        out = out.withColumn(c, F.round(F.col(c), 4))
+    return out

@@ -86,7 +86,10 @@ def read_prices(spark: SparkSession, directory: str, symbols: Sequence[str] | No
     a filter on it.  A header-only file gives no rows.
     """
     raw = _csv(spark, f"{directory}/*{quote}_historical_prices.csv", schemas.PRICE_CSV)
-    sym = F.regexp_extract(F.col("_metadata.file_name"), rf"^(.+){quote}_historical_prices\.csv$", 1)
+    # a plain file ``BTCUSDT_historical_prices.csv`` or a folder of that
+    # name written by Spark (``[file=]BTCUSDT_historical_prices.csv/part-*``)
+    sym = F.regexp_extract(F.col("_metadata.file_path"),
+                           rf"([^/=]+){quote}_historical_prices\.csv(/[^/]*)?$", 1)
     df = raw.select(
         sym.alias("symbol"),
         F.to_timestamp(F.col("Date")).cast("timestamp_ntz").alias("Date"),

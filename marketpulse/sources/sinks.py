@@ -14,6 +14,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketpulse import schemas
@@ -46,6 +47,18 @@ def clustered(df: DataFrame, by: str, order: str | None = None) -> DataFrame:
     return df.repartitionByRange(by, order).sortWithinPartitions(by, order)
 
 
+def write_price_files(df: DataFrame, directory: str, quote: str = "USDT") -> None:
+    """S8 for prices: one ``{SYM}{quote}_historical_prices.csv`` folder per
+    symbol with columns Date, Open, High, Low, Close, Volume, in one job
+    (a partitioned write, so no loop over symbols); read back by
+    ``files.read_prices``."""
+    cols = ["Date", "Open", "High", "Low", "Close", "Volume"]
+    named = df.select(F.concat(F.col("symbol"), F.lit(f"{quote}_historical_prices.csv")).alias("file"),
+                      *cols)
+    (clustered(named, "file", "Date").write.mode("overwrite").option("header", True)
+       .option("encoding", "UTF-8").partitionBy("file").csv(directory))
+
+
 def write_partitioned(df: DataFrame, path: str, by: str = "symbol", mode: str = "overwrite",
                       order: str | None = None) -> None:
     """Parquet partitioned by ``by``; overwrite replaces only the
