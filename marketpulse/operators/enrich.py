@@ -105,7 +105,10 @@ def embed(df: DataFrame, col: str, encoder, out: str = "embedding") -> DataFrame
     ``PipelineModel`` (see :func:`fit_embedder`) or a pandas-Series callable
     returning lists of floats."""
     if isinstance(encoder, PipelineModel):
-        res = encoder.transform(df)
+        # feed ``col`` to the column the pipeline was fitted on
+        fitted_on = encoder.stages[0].getInputCol()
+        src = df if fitted_on == col else df.withColumn(fitted_on, F.col(col))
+        res = encoder.transform(src)
         return (res.withColumn(out, vector_to_array(F.col("_vec"), "float32"))
                    .select(*df.columns, out))
     return df.withColumn(out, _batch_udf(encoder, T.ArrayType(T.FloatType()))(F.col(col)))

@@ -74,7 +74,7 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(conf), p, jvm
 
 
-def current_version(spark: SparkSession, table_path: str) -> str | None:
+def _marker(spark: SparkSession, table_path: str) -> dict | None:
     fs, p, jvm = _fs(spark, table_path)
     marker = jvm.org.apache.hadoop.fs.Path(p, "_CURRENT")
     if not fs.exists(marker):
@@ -82,22 +82,33 @@ def current_version(spark: SparkSession, table_path: str) -> str | None:
     stream = fs.open(marker)
     try:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return json.loads(reader.readLine())["version"]
+        return json.loads(reader.readLine())
     finally:
         stream.close()
 
 
+def current_version(spark: SparkSession, table_path: str) -> str | None:
+    m = _marker(spark, table_path)
+    return None if m is None else m["version"]
+
+
 def read_table(spark: SparkSession, table_path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read the live version of a table (an empty frame if none exists yet)."""
-    v = current_version(spark, table_path)
-    if v is None:
+    """Read the live version of a table (an empty frame if none exists yet).
+
+    Without ``schema`` the schema recorded at the last write is used, so an
+    empty version (a partitioned write of no rows leaves no files) reads
+    back with its columns."""
+    m = _marker(spark, table_path)
+    if m is None:
         if schema is None:
             raise FileNotFoundError(table_path)
         return spark.createDataFrame([], schema)
+    if schema is None and "schema" in m:
+        schema = T.StructType.fromJson(m["schema"])
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.parquet(f"{table_path}/{v}")
+    return reader.parquet(f"{table_path}/{m['version']}")
 
 
 def write_table(df: DataFrame, table_path: str, partition_by: str | None = None) -> str:
@@ -111,7 +122,7 @@ def write_table(df: DataFrame, table_path: str, partition_by: str | None = None)
     fs, p, jvm = _fs(spark, table_path)
     tmp = jvm.org.apache.hadoop.fs.Path(p, f"_CURRENT.{uuid.uuid4().hex}")
     out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps({"version": v}).encode()))
+    out.write(bytearray(json.dumps({"version": v, "schema": df.schema.jsonValue()}).encode()))
     out.close()
     marker = jvm.org.apache.hadoop.fs.Path(p, "_CURRENT")
     if fs.exists(marker):

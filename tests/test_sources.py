@@ -95,3 +95,42 @@ def test_read_prices_header_only_and_missing(spark, tmp_dir):
     p = files.read_prices(spark, d, ["BTC", "LEO", "ETH"])
     assert sorted((r.symbol, r.Close) for r in p.collect()) == [("BTC", 1.5), ("BTC", 1.7)]
     assert {r.symbol for r in files.missing_symbols(spark, p, ["BTC", "LEO", "ETH"]).collect()} == {"LEO", "ETH"}
+
+
+def test_json_list_or_falls_back(spark):
+    from marketpulse.functions.scalars import json_list_or
+    rows = [(1, '["ETH", "SOL"]'), (2, ' ["XRP"] '), (3, "not json"), (4, '{"coins": ["ETH"]}'),
+            (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "k int, answer string")
+    got = {r.k: r.coins for r in df.select("k", json_list_or("answer").alias("coins")).collect()}
+    assert got == {1: ["ETH", "SOL"], 2: ["XRP"], 3: ["BTC"], 4: ["BTC"], 5: ["BTC"], 6: ["BTC"]}
+
+
+def test_create_tables_once(spark, tmp_dir):
+    from marketpulse import schemas
+    from marketpulse.sources import sinks
+    made = sinks.create_tables(spark, f"{tmp_dir}/db")
+    assert set(made) == set(schemas.TABLES)
+    for name, path in made.items():
+        t = sinks.read_table(spark, path)
+        assert t.count() == 0
+        assert [f.name for f in t.schema.fields if f.name != "symbol"] == \
+            [f.name for f in schemas.TABLES[name].fields if f.name != "symbol"]
+    v = sinks.current_version(spark, made["news"])
+    sinks.create_tables(spark, f"{tmp_dir}/db")          # existing tables are kept
+    assert sinks.current_version(spark, made["news"]) == v
+
+
+def test_rebuild_vectors_every_row(spark):
+    from marketpulse.functions.scalars import content_key
+    from marketpulse.operators import enrich
+    from marketpulse.plans import news as newsplan
+    from marketpulse.sources import adapters as ad
+    from tests.conftest import SMALL
+    n = ad.news_v(spark, SMALL).select("title", "body", "published_at")
+    enc = enrich.fit_embedder(n.select(F.concat_ws("\n", "title", "body").alias("t")), "t", 64)
+    v = newsplan.rebuild_vectors(n, enc).cache()
+    assert v.count() == n.count()                          # no title dedup in S11
+    assert v.where(F.size("embedding") != 64).count() == 0
+    keys = n.select(content_key("title", "body").alias("id"))
+    assert v.select("id").exceptAll(keys).count() == 0
