@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.operators import quality as q
 from marketpulse.operators import tables as tb
-from marketpulse.operators.series import index_series
+from marketpulse.operators.series import auto_bucket_seconds, index_series
 
 # Fixed value: prefix of generated session titles ("new conversation N").
 DEFAULT_TITLE_PREFIX = "新對話 "
@@ -33,7 +33,9 @@ def number_titles(new: DataFrame, sessions: DataFrame, order: str = "created_at"
     the bucketed series index, so a large batch is not sorted in one task.
     """
     n0 = count_default_titles(sessions, prefix).scalar()
-    indexed = index_series(new.withColumn("_g", F.lit(0)), ["_g"], order, tie=["id"], idx="_pos")
+    # a batch usually spans hours, not years: size the buckets from the batch
+    bucket = auto_bucket_seconds(new, order)
+    indexed = index_series(new.withColumn("_g", F.lit(0)), ["_g"], order, bucket, tie=["id"], idx="_pos")
     gen = F.concat(F.lit(prefix), (n0 + F.col("_pos") + F.lit(1)).cast("string"))
     cols = [c for c in new.columns if c != "title"]
     return indexed.select(*cols, F.coalesce(F.col("title"), gen).alias("title"))

@@ -40,6 +40,17 @@ def _epoch_seconds(c: Column) -> Column:
     return F.unix_timestamp(c.cast("timestamp"))
 
 
+def auto_bucket_seconds(df: DataFrame, order: str, rows_per_bucket: int = 1 << 20) -> int:
+    """A time-bucket width giving about ``rows_per_bucket`` rows per bucket
+    even if every row belonged to one key (one stats row: min, max, count)."""
+    t = _epoch_seconds(F.col(order))
+    st = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if st is None or st.n == 0 or st.lo is None:
+        return DEFAULT_BUCKET_SECONDS
+    span = st.hi - st.lo + 1
+    return max(1, int(math.ceil(span * rows_per_bucket / st.n)))
+
+
 def index_series(df: DataFrame, by: Sequence[str], order: str,
                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
                  tie: Sequence[str] = (), idx: str = IDX) -> DataFrame:
