@@ -80,10 +80,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "id",
                            T.StructField("distance", T.DoubleType())])
     vsel = vectors.select(F.col(vec_id).alias("id"), F.col(vec_col).alias("vec"))
     qsel = queries.select(F.col(q_id).alias("qid"), F.col(q_col).alias("qvec"))
-    n_q = qsel.count()
+    # one bounded probe: at most max_broadcast_queries + 1 query rows reach
+    # the driver; if they all fit, that is the broadcast set
+    qpd = qsel.limit(max_broadcast_queries + 1).toPandas()
+    n_q = len(qpd)
     if n_q <= max_broadcast_queries:
         # checked size: n_q vectors of the query side are shipped to every task
-        qpd = qsel.toPandas()
         bq = vectors.sparkSession.sparkContext.broadcast(
             (qpd["qid"].to_numpy(), _matrix(qpd["qvec"])))
 
@@ -101,6 +103,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "id",
 
         partial = vsel.mapInPandas(score, schema)
     else:
+        n_q = qsel.count()
         n_v = vsel.count()
         nqb = math.ceil(n_q / max_broadcast_queries)
         nvb = max(1, math.ceil(n_v / vector_block_rows))
