@@ -39,17 +39,29 @@ def news_context(questions: DataFrame, vectors: DataFrame, news: DataFrame, now,
     return ctx.join(n, "qid")
 
 
+def _ordered_text(pos, value, sep: str):
+    """Values joined by ``sep`` in ``pos`` order; rows with a null value
+    are left out (collect_list skips the null struct)."""
+    picked = F.when(value.isNotNull(), F.struct(pos.alias("o"), value.alias("v")))
+    return F.array_join(F.transform(F.array_sort(F.collect_list(picked)), lambda s: s["v"]), sep)
+
+
 def indicator_context(questions: DataFrame, indicators: DataFrame, text_col: str = "question") -> DataFrame:
-    """(qid, coin_names, indicators_text) per question."""
+    """(qid, coin_names, indicators_text) per question.
+
+    The coins are tagged once; a left join to the latest indicator row per
+    symbol (one row per symbol) and one aggregate per question give both
+    texts (A6 twice, over the same rows).  A coin without indicators is
+    named but has no line (J2 skips it).
+    """
     coins = cn.tag_coins(questions, text_col, "qid")
-    names = rt.join_lines(coins, "qid", "symbol", "pos", sep=", ", alias="coin_names")
-    latest = rt.latest(indicators, ["symbol"], "recorded_at")
-    lines = coins.join(latest, "symbol", "inner").select(
-        "qid", "pos",
-        indicator_line("symbol", "recorded_at", "rsi_14", "macd", "macd_signal",
-                       "bb_upper", "bb_middle", "bb_lower").alias("line"))
-    text = rt.join_lines(lines, "qid", "line", "pos", alias="indicators_text")
-    return names.join(text, "qid", "left")
+    latest = rt.latest(indicators, ["symbol"], "recorded_at").withColumn("_has", F.lit(True))
+    line = F.when(F.col("_has"), indicator_line("symbol", "recorded_at", "rsi_14", "macd", "macd_signal",
+                                                "bb_upper", "bb_middle", "bb_lower"))
+    j = coins.join(latest, "symbol", "left").select("qid", "pos", "symbol", line.alias("line"))
+    return j.groupBy("qid").agg(
+        _ordered_text(F.col("pos"), F.col("symbol"), ", ").alias("coin_names"),
+        _ordered_text(F.col("pos"), F.col("line"), "\n").alias("indicators_text"))
 
 
 def build_prompts(questions: DataFrame, vectors: DataFrame, news: DataFrame,
