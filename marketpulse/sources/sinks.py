@@ -2,9 +2,12 @@
 
 Keyed updates (J4–J7) produce a whole new table from (old table, batch).
 Writing that over the path being read would destroy the input mid-job, so
-a table is a folder of versions: each write goes to a fresh ``v=<n>``
-folder and a small ``_CURRENT`` marker names the live one; readers resolve
-the marker first.  A failed or retried job leaves the old version intact.
+a table is a folder of versions: each write goes to a fresh ``v=<id>``
+folder, then commits by creating the next numbered marker
+``_log/<seq>.json`` (create-if-absent, never overwritten or deleted).  The
+live version is the one named by the highest marker.  A job that dies
+before its marker exists leaves the previous version live; two writers
+racing for the same number cannot both commit.
 """
 
 from __future__ import annotations
@@ -74,12 +77,26 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(conf), p, jvm
 
 
-def _marker(spark: SparkSession, table_path: str) -> dict | None:
+LOG = "_log"
+
+
+def _markers(spark: SparkSession, table_path: str) -> list:
+    """Marker paths of the table, oldest first (zero-padded names)."""
     fs, p, jvm = _fs(spark, table_path)
-    marker = jvm.org.apache.hadoop.fs.Path(p, "_CURRENT")
-    if not fs.exists(marker):
+    log = jvm.org.apache.hadoop.fs.Path(p, LOG)
+    if not fs.exists(log):
+        return []
+    names = sorted(st.getPath().getName() for st in fs.listStatus(log)
+                   if st.getPath().getName().endswith(".json"))
+    return [jvm.org.apache.hadoop.fs.Path(log, n) for n in names]
+
+
+def _marker(spark: SparkSession, table_path: str) -> dict | None:
+    marks = _markers(spark, table_path)
+    if not marks:
         return None
-    stream = fs.open(marker)
+    fs, _, jvm = _fs(spark, table_path)
+    stream = fs.open(marks[-1])
     try:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
         return json.loads(reader.readLine())
@@ -119,15 +136,16 @@ def write_table(df: DataFrame, table_path: str, partition_by: str | None = None)
     if partition_by:
         w = clustered(df, partition_by).write.mode("errorifexists").partitionBy(partition_by)
     w.parquet(f"{table_path}/{v}")
+    # commit: create the next marker; overwrite=False fails if another
+    # writer took that number first, and nothing is ever deleted
     fs, p, jvm = _fs(spark, table_path)
-    tmp = jvm.org.apache.hadoop.fs.Path(p, f"_CURRENT.{uuid.uuid4().hex}")
-    out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps({"version": v, "schema": df.schema.jsonValue()}).encode()))
-    out.close()
-    marker = jvm.org.apache.hadoop.fs.Path(p, "_CURRENT")
-    if fs.exists(marker):
-        fs.delete(marker, False)
-    fs.rename(tmp, marker)
+    seq = len(_markers(spark, table_path))
+    marker = jvm.org.apache.hadoop.fs.Path(jvm.org.apache.hadoop.fs.Path(p, LOG), f"{seq:020d}.json")
+    out = fs.create(marker, False)
+    try:
+        out.write(bytearray(json.dumps({"version": v, "schema": df.schema.jsonValue()}).encode()))
+    finally:
+        out.close()
     return v
 
 
