@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marketpulse.functions.scalars import (
@@ -22,6 +22,14 @@ from marketpulse.operators import tables as tb
 from marketpulse.sources import sinks
 
 
+def observe_rows(df: DataFrame, name: str):
+    """``df`` with a row-count observation, and a function returning the
+    count once an action over ``df`` has run (no second pass)."""
+    obs = Observation(name)
+    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    return observed, lambda: int(obs.get["rows"])
+
+
 def price_rows(prices: DataFrame) -> DataFrame:
     """P4 + P6: (symbol, price, volume, recorded_at) typed for the price table."""
     return prices.select(
@@ -61,10 +69,10 @@ def run_prices(table_path: str, batch: DataFrame) -> int:
     spark = batch.sparkSession
     from marketpulse import schemas
     target = sinks.read_table(spark, table_path, schemas.CRYPTO_PRICES)
-    new = new_prices(target, batch)
+    new, rows = observe_rows(new_prices(target, batch), "prices")
     snapshot = tb.append_rows(target, new).checkpoint()
     sinks.write_table(snapshot, table_path, "symbol")
-    return snapshot.count() - target.count()
+    return rows()
 
 
 def run_indicators(table_path: str, prices: DataFrame) -> int:
@@ -72,10 +80,10 @@ def run_indicators(table_path: str, prices: DataFrame) -> int:
     spark = prices.sparkSession
     from marketpulse import schemas
     target = sinks.read_table(spark, table_path, schemas.CRYPTO_INDICATORS)
-    new = new_indicators(target, prices)
+    new, rows = observe_rows(new_indicators(target, prices), "indicators")
     snapshot = tb.append_rows(target, new).checkpoint()
     sinks.write_table(snapshot, table_path, "symbol")
-    return snapshot.count() - target.count()
+    return rows()
 
 
 def top_pairs(listings: DataFrame, n: int = 10, excluded: Sequence[str] = q.STABLECOINS,
