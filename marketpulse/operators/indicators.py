@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.operators.series import (
     BLK, DEFAULT_BLOCK_ROWS, DEFAULT_BUCKET_SECONDS, HALO, IDX,
-    ema, ema_block, halo_blocks, index_series, macd_scan,
+    _d, _over, _q, ema, ema_block, halo_blocks, index_series, macd_scan,
 )
 
 # Indicator parameters and output order of the indicator table.
@@ -45,7 +45,8 @@ def rsi_from_means(mean_gain: Column, mean_loss: Column) -> Column:
 
 def _prepare(prices: DataFrame, by: str, ts: str, close: str, bucket_seconds: int,
              block: int, halo: int) -> DataFrame:
-    base = prices.select(by, ts, F.col(close).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    base = (prices.selectExpr(_q(by), _q(ts), f"CAST({_q(close)} AS DOUBLE) AS _x")
+                  .where("_x IS NOT NULL"))
     indexed = index_series(base, [by], ts, bucket_seconds)
     return halo_blocks(indexed, IDX, block, halo)
 
@@ -62,35 +63,40 @@ def indicators(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: s
     MACD = EMA(fast) - EMA(slow), signal = EMA(signal) of MACD, both defined
     from i = 0; bands = mean ± k·sample sd over ``bb_n`` rows, from i = bb_n-1.
     Warm-up rows are kept with nulls.  Rows with a null close are left out
-    before the windows (the documented null rule).
+    before the windows (the documented null rule).  The expressions are the
+    Column helpers above (diff, gain_loss, rsi_from_means), written as SQL
+    text so the plan is built in a few calls.
     """
     block = ema_block([fast, slow, signal], block)
     halo = max(rsi_n, bb_n - 1)
     rows = _prepare(prices, by, ts, close, bucket_seconds, block, halo)
 
-    own = rows.where(~F.col(HALO)).select(by, ts, IDX, BLK, "_x")
-    w = Window.partitionBy(by, BLK).orderBy(IDX)
-    rows = rows.withColumn("_d", diff("_x", w))
-    gain, loss = gain_loss(F.col("_d"))
-    w_rsi = w.rowsBetween(-(rsi_n - 1), 0)
-    w_bb = w.rowsBetween(-(bb_n - 1), 0)
-    mean20 = F.avg("_x").over(w_bb)
-    sd20 = F.stddev_samp("_x").over(w_bb)
-    rows = rows.select(
-        by, ts, IDX, BLK, HALO, "_x",
-        F.when(F.col(IDX) >= rsi_n - 1,
-               rsi_from_means(F.avg(gain).over(w_rsi), F.avg(loss).over(w_rsi))).alias("rsi_14"),
-        F.when(F.col(IDX) >= bb_n - 1, mean20).alias("bb_middle"),
-        F.when(F.col(IDX) >= bb_n - 1, sd20).alias("_sd"),
-    ).where(~F.col(HALO)).drop(HALO)
+    own = rows.where(f"NOT {HALO}").select(by, ts, IDX, BLK, "_x")
+
+    def over(frame=None):
+        return _over([by, BLK], IDX, frame)
+
+    rows = rows.selectExpr("*", f"_x - lag(_x) {over()} AS _d")         # W1
+    gain = "CASE WHEN _d > 0 THEN _d ELSE 0.0D END"                     # W2 (null -> 0)
+    loss = "CASE WHEN _d < 0 THEN -_d ELSE 0.0D END"
+    w_rsi = over(f"{rsi_n - 1} PRECEDING AND CURRENT ROW")
+    w_bb = over(f"{bb_n - 1} PRECEDING AND CURRENT ROW")
+    g, l = f"avg({gain}) {w_rsi}", f"avg({loss}) {w_rsi}"                # W3
+    rsi = (f"CASE WHEN {IDX} >= {rsi_n - 1} THEN (CASE WHEN {l} = 0 THEN "   # W4
+           f"(CASE WHEN {g} > 0 THEN 100.0D END) ELSE 100.0D - 100.0D / (1.0D + {g} / {l}) END) END")
+    ready = f"{IDX} >= {bb_n - 1}"
+    rows = (rows.selectExpr(
+        _q(by), _q(ts), IDX, BLK, HALO, "_x", f"{rsi} AS rsi_14",
+        f"CASE WHEN {ready} THEN avg(_x) {w_bb} END AS bb_middle",        # W8
+        f"CASE WHEN {ready} THEN stddev_samp(_x) {w_bb} END AS _sd")
+        .where(f"NOT {HALO}").drop(HALO))
 
     rows = macd_scan(rows, [by], IDX, "_x", fast, slow, signal, block=block, blk_col=BLK,
-                     blocks_from=own)
-    return rows.select(
-        by, ts, "rsi_14", "macd", "macd_signal",
-        (F.col("bb_middle") + F.lit(bb_k) * F.col("_sd")).alias("bb_upper"),
-        "bb_middle",
-        (F.col("bb_middle") - F.lit(bb_k) * F.col("_sd")).alias("bb_lower"))
+                     blocks_from=own)                                    # W5-W7
+    k = _d(bb_k)
+    return rows.selectExpr(                                              # W9
+        _q(by), _q(ts), "rsi_14", "macd", "macd_signal",
+        f"bb_middle + {k} * _sd AS bb_upper", "bb_middle", f"bb_middle - {k} * _sd AS bb_lower")
 
 
 def rsi(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: str = "Close",
@@ -148,9 +154,9 @@ def macd(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: str = "
 
 def quantize_indicators(df: DataFrame) -> DataFrame:
     """P5 at the sink: RSI to 4 places, the rest to 8, half-even, as decimals."""
-    out = df
-    for c in INDICATOR_COLUMNS:
-        if c in df.columns:
-            places, prec = (4, 10) if c == "rsi_14" else (8, 20)
-            out = out.withColumn(c, F.bround(F.col(c), places).cast(f"decimal({prec},{places})"))
-    return out
+    def q(c):
+        if c not in INDICATOR_COLUMNS:
+            return _q(c)
+        places, prec = (4, 10) if c == "rsi_14" else (8, 20)
+        return f"CAST(bround({_q(c)}, {places}) AS DECIMAL({prec},{places})) AS {_q(c)}"
+    return df.selectExpr(*[q(c) for c in df.columns])

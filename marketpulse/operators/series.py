@@ -40,6 +40,24 @@ def _epoch_seconds(c: Column) -> Column:
     return F.unix_timestamp(c.cast("timestamp"))
 
 
+# The expressions below are written as Spark SQL text (``F.expr`` /
+# ``selectExpr``): the JVM parses a whole expression in one call, where
+# building it node by node from Python costs a round trip per operator.
+def _q(name: str) -> str:
+    """Quoted column name for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _d(v: float) -> str:
+    """Exact double literal for SQL text."""
+    return f"{float(v)!r}D"
+
+
+def _over(part: Sequence[str], order: str, frame: str | None = None) -> str:
+    w = f"PARTITION BY {', '.join(_q(c) for c in part)} ORDER BY {order}"
+    return f"OVER ({w}{' ROWS BETWEEN ' + frame if frame else ''})"
+
+
 def auto_bucket_seconds(df: DataFrame, order: str, rows_per_bucket: int = 1 << 20) -> int:
     """A time-bucket width giving about ``rows_per_bucket`` rows per bucket
     even if every row belonged to one key (one stats row: min, max, count)."""
@@ -64,14 +82,16 @@ def index_series(df: DataFrame, by: Sequence[str], order: str,
     once.  No task ever holds more than one bucket of one series.
     """
     by = list(by)
-    keyed = df.withColumn("_tb", F.floor(_epoch_seconds(F.col(order)) / F.lit(bucket_seconds)))
-    counts = keyed.groupBy(*by, "_tb").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_tb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    keyed = df.selectExpr(
+        "*", f"floor(unix_timestamp(CAST({_q(order)} AS TIMESTAMP)) / {int(bucket_seconds)}) AS _tb")
+    counts = keyed.groupBy(*by, "_tb").agg(F.expr("count(1) AS _n"))
+    offsets = counts.selectExpr(
+        *[_q(c) for c in by], "_tb",
+        f"coalesce(sum(_n) {_over(by, '_tb', 'UNBOUNDED PRECEDING AND 1 PRECEDING')}, 0) AS _off")
     rows = keyed.join(offsets, on=[*by, "_tb"], how="inner")
-    inside = Window.partitionBy(*by, "_tb").orderBy(order, *tie)
-    return (rows.withColumn(idx, F.col("_off") + F.row_number().over(inside) - F.lit(1))
-                .drop("_tb", "_off"))
+    order_sql = ", ".join(_q(c) for c in [order, *tie])
+    keep = [_q(c) for c in df.columns]
+    return rows.selectExpr(*keep, f"_off + row_number() {_over([*by, '_tb'], order_sql)} - 1 AS {_q(idx)}")
 
 
 def halo_blocks(df: DataFrame, idx: str, block: int, halo: int,
@@ -80,10 +100,10 @@ def halo_blocks(df: DataFrame, idx: str, block: int, halo: int,
     into every later block whose window frames can reach it (``halo`` rows
     back).  Rows are duplicated ``1 + halo / block`` times on average at most.
     """
-    own = F.floor(F.col(idx) / F.lit(block))
-    last = F.floor((F.col(idx) + F.lit(halo)) / F.lit(block))
-    return (df.withColumn(blk, F.explode(F.sequence(own, last)))
-              .withColumn(is_halo, F.col(blk) != own))
+    own = f"floor({_q(idx)} / {int(block)})"
+    last = f"floor(({_q(idx)} + {int(halo)}) / {int(block)})"
+    return (df.selectExpr("*", f"explode(sequence({own}, {last})) AS {_q(blk)}")
+              .selectExpr("*", f"{_q(blk)} != {own} AS {_q(is_halo)}"))
 
 
 def _block_for(span: float, block: int) -> int:
@@ -188,14 +208,12 @@ def _carry(blocks: DataFrame, by: Sequence[str], rates: dict[str, float], blk_ro
         frames[name] = (R, k)
     kmax = max(k for _, k in frames.values())
     chunked = halo_blocks(blocks, BLK, carry_chunk, kmax, blk="_cb", is_halo="_ch")
-    w_prev = Window.partitionBy(*by, "_cb").orderBy(BLK)
-    carry_exprs = []
-    for name, (R, k) in frames.items():
-        prev = F.collect_list(F.col(f"_L_{name}")).over(w_prev.rowsBetween(-k, -1))
-        folded = F.aggregate(prev, F.lit(0.0), _fold_step(R))
-        carry_exprs.append(folded.alias(f"_c_{name}"))
-    return (chunked.select(*by, BLK, *keep, "_ch", *carry_exprs)
-                   .where(~F.col("_ch")).drop("_ch"))
+    carry_exprs = [
+        f"aggregate(collect_list(_L_{name}) {_over([*by, '_cb'], BLK, f'{k} PRECEDING AND 1 PRECEDING')}, "
+        f"0.0D, (acc, v) -> acc * {_d(R)} + v) AS _c_{name}"
+        for name, (R, k) in frames.items()]
+    return (chunked.selectExpr(*[_q(c) for c in by], BLK, *[_q(c) for c in keep], "_ch", *carry_exprs)
+                   .where("NOT _ch").drop("_ch"))
 
 
 def macd_scan(df: DataFrame, by: Sequence[str], idx: str, src: str, fast: float, slow: float,
@@ -229,64 +247,65 @@ def macd_scan(df: DataFrame, by: Sequence[str], idx: str, src: str, fast: float,
         raise ValueError("macd_scan needs spans > 1 and a signal span unlike the others")
     af, as_, ag = 1.0 - rf, 1.0 - rs, 1.0 - rg
     if blk_col is None:
-        rows = df.withColumn(BLK, F.floor(F.col(idx) / F.lit(B)))
-        src_rows = rows if blocks_from is None else blocks_from.withColumn(
-            BLK, F.floor(F.col(idx) / F.lit(B)))
+        rows = df.selectExpr("*", f"floor({_q(idx)} / {B}) AS {BLK}")
+        src_rows = rows if blocks_from is None else blocks_from.selectExpr(
+            "*", f"floor({_q(idx)} / {B}) AS {BLK}")
     else:
         if B != block:
             raise ValueError(f"block {block} too large for the spans; use ema_block()")
         rows = df.withColumnRenamed(blk_col, BLK) if blk_col != BLK else df
         src_rows = rows if blocks_from is None else (
             blocks_from.withColumnRenamed(blk_col, BLK) if blk_col != BLK else blocks_from)
-    j = F.col(idx) - F.col(BLK) * F.lit(B)
-    first = F.col(idx) == 0
-    x = F.col(src).cast("double")
-    wf = F.when(first, F.lit(1.0)).otherwise(F.lit(af))
-    ws = F.when(first, F.lit(1.0)).otherwise(F.lit(as_))
+    i = _q(idx)
+    j = f"({i} - {BLK} * {B})"
+    x = f"CAST({_q(src)} AS DOUBLE)"
+
+    def w(a):                      # input weight: 1 for the series' first row
+        return f"(CASE WHEN {i} = 0 THEN 1.0D ELSE {_d(a)} END)"
 
     def pw(r, e):
-        return F.pow(F.lit(r), e)
+        return f"pow({_d(r)}, {e})"
 
+    keys = [_q(c) for c in by]
     # block table from the input rows alone
-    J = F.col("_J")
     blocks = src_rows.groupBy(*by, BLK).agg(
-        F.max(j).alias("_J"),
-        F.sum(wf * x * pw(rf, -j)).alias("_Af"), F.sum(ws * x * pw(rs, -j)).alias("_As"),
-        F.sum(wf * x * pw(rg, -j)).alias("_Bf"), F.sum(ws * x * pw(rg, -j)).alias("_Bs"),
-        F.max(F.when(first, x)).alias("_x0"))
-    blocks = blocks.select(*by, BLK, "_J", "_Af", "_As", "_Bf", "_Bs", "_x0",
-                           (pw(rf, J) * F.col("_Af")).alias("_L_f"),
-                           (pw(rs, J) * F.col("_As")).alias("_L_s"))
+        F.expr(f"max({j}) AS _J"),
+        F.expr(f"sum({w(af)} * {x} * {pw(rf, '-' + j)}) AS _Af"),
+        F.expr(f"sum({w(as_)} * {x} * {pw(rs, '-' + j)}) AS _As"),
+        F.expr(f"sum({w(af)} * {x} * {pw(rg, '-' + j)}) AS _Bf"),
+        F.expr(f"sum({w(as_)} * {x} * {pw(rg, '-' + j)}) AS _Bs"),
+        F.expr(f"max(CASE WHEN {i} = 0 THEN {x} END) AS _x0"))
+    blocks = blocks.selectExpr(*keys, BLK, "_J", "_Af", "_As", "_Bf", "_Bs", "_x0",
+                               f"{pw(rf, '_J')} * _Af AS _L_f", f"{pw(rs, '_J')} * _As AS _L_s")
     c1 = _carry(blocks, by, {"f": rf, "s": rs}, B, carry_chunk,
                 keep=["_J", "_Af", "_As", "_Bf", "_Bs", "_x0"])
-    has0 = F.col("_x0").isNotNull()
+    first_blk = f"(CASE WHEN _x0 IS NOT NULL THEN {_d(1.0 - ag)} ELSE 0.0D END)"
 
     def t_term(r, a_col, b_col):
         rho = r / rg
-        return (F.lit(ag / (1.0 - rho)) * (F.col(b_col) - pw(rho, J + 1) * F.col(a_col))
-                + F.when(has0, F.lit(1.0 - ag) * F.col("_x0")).otherwise(F.lit(0.0)))
+        return (f"({_d(ag / (1.0 - rho))} * ({b_col} - {pw(rho, '_J + 1')} * {a_col})"
+                f" + (CASE WHEN _x0 IS NOT NULL THEN {_d(1.0 - ag)} * _x0 ELSE 0.0D END))")
 
     def g_term(r):
         rho = r / rg
-        return F.lit(r) * (F.lit(ag / (1.0 - rho)) * (F.lit(1.0) - pw(rho, J + 1))
-                           + F.when(has0, F.lit(1.0 - ag)).otherwise(F.lit(0.0)))
+        return f"({_d(r)} * ({_d(ag / (1.0 - rho))} * (1.0D - {pw(rho, '_J + 1')}) + {first_blk}))"
 
-    lam = pw(rg, J) * (t_term(rf, "_Af", "_Bf") - t_term(rs, "_As", "_Bs")
-                       + F.col("_c_f") * g_term(rf) - F.col("_c_s") * g_term(rs))
-    c2 = _carry(c1.select(*by, BLK, "_c_f", "_c_s", lam.alias("_L_g")), by, {"g": rg}, B,
+    lam = (f"{pw(rg, '_J')} * ({t_term(rf, '_Af', '_Bf')} - {t_term(rs, '_As', '_Bs')}"
+           f" + _c_f * {g_term(rf)} - _c_s * {g_term(rs)}) AS _L_g")
+    c2 = _carry(c1.selectExpr(*keys, BLK, "_c_f", "_c_s", lam), by, {"g": rg}, B,
                 carry_chunk, keep=["_c_f", "_c_s"])
 
     # rows: in-block partials, carries joined once, then the signal's partial
-    w_in = Window.partitionBy(*by, BLK).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    res = (rows.withColumn("_lf", pw(rf, j) * F.sum(wf * x * pw(rf, -j)).over(w_in))
-               .withColumn("_ls", pw(rs, j) * F.sum(ws * x * pw(rs, -j)).over(w_in))
+    run = _over([*by, BLK], i, "UNBOUNDED PRECEDING AND CURRENT ROW")
+    res = (rows.selectExpr("*", f"{pw(rf, j)} * sum({w(af)} * {x} * {pw(rf, '-' + j)}) {run} AS _lf",
+                           f"{pw(rs, j)} * sum({w(as_)} * {x} * {pw(rs, '-' + j)}) {run} AS _ls")
                .join(c2, on=[*by, BLK], how="inner"))
-    m = (F.col("_lf") + pw(rf, j + 1) * F.col("_c_f")) - (F.col("_ls") + pw(rs, j + 1) * F.col("_c_s"))
-    res = res.withColumn(out[0], m)
-    vg = F.when(first, F.lit(1.0)).otherwise(F.lit(ag))
-    res = res.withColumn(out[1], pw(rg, j) * F.sum(vg * F.col(out[0]) * pw(rg, -j)).over(w_in)
-                         + pw(rg, j + 1) * F.col("_c_g"))
-    res = res.drop("_lf", "_ls", "_c_f", "_c_s", "_c_g")
+    macd = f"((_lf + {pw(rf, j + ' + 1')} * _c_f) - (_ls + {pw(rs, j + ' + 1')} * _c_s))"
+    res = res.selectExpr("*", f"{macd} AS {_q(out[0])}")
+    res = res.selectExpr(
+        *[_q(c) for c in res.columns if c not in ("_lf", "_ls", "_c_f", "_c_s", "_c_g")],
+        f"{pw(rg, j)} * sum({w(ag)} * {_q(out[0])} * {pw(rg, '-' + j)}) {run}"
+        f" + {pw(rg, j + ' + 1')} * _c_g AS {_q(out[1])}")
     if blk_col is None:
         return res.drop(BLK)
     return res.withColumnRenamed(BLK, blk_col) if blk_col != BLK else res
