@@ -60,9 +60,9 @@ def register(name: str):
 
 
 def _round(df: DataFrame, cols, places: int = 4) -> DataFrame:
-    for c in cols:
-        df = df.withColumn(c, F.round(F.col(c).cast("double"), places))
-    return df
+    cols = set(cols)
+    return df.select(*[F.round(F.col(c).cast("double"), places).alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -650,10 +650,9 @@ def q_tag_coins(spark, sf):
 def _ticker_indicators(spark, sf):
     m = spark.createDataFrame(SYMBOL_MAP, "symbol string, ticker string")
     rows = market.indicator_rows(ad.prices_v(spark, sf))
-    rows = rows.join(F.broadcast(m), "symbol").drop("symbol").withColumnRenamed("ticker", "symbol")
-    for c in ind.INDICATOR_COLUMNS:
-        rows = rows.withColumn(c, F.bround(F.col(c), 2).cast("decimal(20,2)"))
-    return rows
+    rows = rows.join(F.broadcast(m), "symbol")
+    return rows.select(F.col("ticker").alias("symbol"), "recorded_at",
+                       *[F.bround(F.col(c), 2).cast("decimal(20,2)").alias(c) for c in ind.INDICATOR_COLUMNS])
 
 
 @register("u5_build_prompts")
