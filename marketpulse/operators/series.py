@@ -24,6 +24,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IDX = "_i"
 BLK = "_blk"
@@ -36,10 +37,6 @@ DEFAULT_BUCKET_SECONDS = 366 * 86400
 DEFAULT_BLOCK_ROWS = 1024
 
 
-def _epoch_seconds(c: Column) -> Column:
-    return F.unix_timestamp(c.cast("timestamp"))
-
-
 # The expressions below are written as Spark SQL text (``F.expr`` /
 # ``selectExpr``): the JVM parses a whole expression in one call, where
 # building it node by node from Python costs a round trip per operator.
@@ -58,10 +55,27 @@ def _over(part: Sequence[str], order: str, frame: str | None = None) -> str:
     return f"OVER ({w}{' ROWS BETWEEN ' + frame if frame else ''})"
 
 
+def _order_seconds(df: DataFrame, order: str) -> str:
+    """SQL for seconds since 1970 of ``order``, increasing with the column's
+    own order and independent of the session time zone (a wall-clock value
+    is never mapped through a zone, so no DST gap can reorder it)."""
+    t = df.schema[order].dataType
+    c = _q(order)
+    if isinstance(t, T.TimestampNTZType):
+        # from the wall-clock fields: no conversion through a zone
+        return (f"(unix_date(CAST({c} AS DATE)) * 86400 + hour({c}) * 3600"
+                f" + minute({c}) * 60 + second({c}))")
+    if isinstance(t, T.TimestampType):
+        return f"unix_seconds({c})"
+    if isinstance(t, T.DateType):
+        return f"unix_date({c}) * 86400"
+    return f"CAST({c} AS BIGINT)"
+
+
 def auto_bucket_seconds(df: DataFrame, order: str, rows_per_bucket: int = 1 << 20) -> int:
     """A time-bucket width giving about ``rows_per_bucket`` rows per bucket
     even if every row belonged to one key (one stats row: min, max, count)."""
-    t = _epoch_seconds(F.col(order))
+    t = F.expr(_order_seconds(df, order))
     st = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if st is None or st.n == 0 or st.lo is None:
         return DEFAULT_BUCKET_SECONDS
@@ -82,8 +96,7 @@ def index_series(df: DataFrame, by: Sequence[str], order: str,
     once.  No task ever holds more than one bucket of one series.
     """
     by = list(by)
-    keyed = df.selectExpr(
-        "*", f"floor(unix_timestamp(CAST({_q(order)} AS TIMESTAMP)) / {int(bucket_seconds)}) AS _tb")
+    keyed = df.selectExpr("*", f"floor({_order_seconds(df, order)} / {int(bucket_seconds)}) AS _tb")
     counts = keyed.groupBy(*by, "_tb").agg(F.expr("count(1) AS _n"))
     offsets = counts.selectExpr(
         *[_q(c) for c in by], "_tb",

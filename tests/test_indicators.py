@@ -108,3 +108,22 @@ def test_macd_scan_many_blocks_and_carry_chunks(spark):
     ref = _pandas(closes)
     assert np.abs(out["macd"] - ref["macd"]).max() < 1e-8
     assert np.abs(out["macd_signal"] - ref["macd_signal"]).max() < 1e-8
+
+
+def test_numbering_does_not_depend_on_session_zone(spark):
+    """20-minute bars across a DST change, 20-minute buckets: the row index (and
+    so every indicator) is the same whatever the session time zone."""
+    from marketpulse.operators.series import IDX, index_series
+    start = dt.datetime(2024, 3, 10, 0, 0)          # US spring-forward night
+    rows = [("S", start + dt.timedelta(minutes=20 * i), float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "symbol string, Date timestamp_ntz, Close double")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        out = {}
+        for tz in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = index_series(df, ["symbol"], "Date", bucket_seconds=1200).orderBy("Date").collect()
+            out[tz] = [r[IDX] for r in got]
+        assert out["UTC"] == out["America/New_York"] == list(range(30))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
