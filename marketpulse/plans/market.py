@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.functions.scalars import (
@@ -22,12 +22,14 @@ from marketpulse.operators import tables as tb
 from marketpulse.sources import sinks
 
 
-def observe_rows(df: DataFrame, name: str):
-    """``df`` with a row-count observation, and a function returning the
-    count once an action over ``df`` has run (no second pass)."""
-    obs = Observation(name)
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    return observed, lambda: int(obs.get["rows"])
+def _append_new(table_path: str, target: DataFrame, new: DataFrame) -> int:
+    """Write target + new as the next table version; A7: return the number of
+    new rows.  Only the new rows are checkpointed (to the shared checkpoint
+    folder): the count reads those files, and the write reads the stored
+    version once, so the table is never written twice."""
+    new = new.checkpoint()
+    sinks.write_table(tb.append_rows(target, new), table_path, "symbol")
+    return new.count()
 
 
 def price_rows(prices: DataFrame) -> DataFrame:
@@ -69,10 +71,7 @@ def run_prices(table_path: str, batch: DataFrame) -> int:
     spark = batch.sparkSession
     from marketpulse import schemas
     target = sinks.read_table(spark, table_path, schemas.CRYPTO_PRICES)
-    new, rows = observe_rows(new_prices(target, batch), "prices")
-    snapshot = tb.append_rows(target, new).checkpoint()
-    sinks.write_table(snapshot, table_path, "symbol")
-    return rows()
+    return _append_new(table_path, target, new_prices(target, batch))
 
 
 def run_indicators(table_path: str, prices: DataFrame) -> int:
@@ -80,10 +79,7 @@ def run_indicators(table_path: str, prices: DataFrame) -> int:
     spark = prices.sparkSession
     from marketpulse import schemas
     target = sinks.read_table(spark, table_path, schemas.CRYPTO_INDICATORS)
-    new, rows = observe_rows(new_indicators(target, prices), "indicators")
-    snapshot = tb.append_rows(target, new).checkpoint()
-    sinks.write_table(snapshot, table_path, "symbol")
-    return rows()
+    return _append_new(table_path, target, new_indicators(target, prices))
 
 
 def top_pairs(listings: DataFrame, n: int = 10, excluded: Sequence[str] = q.STABLECOINS,
