@@ -784,22 +784,22 @@ def q_classify(spark, sf):
 # ---------------------------------------------------------------- streaming
 
 def _stream_in_chunks(spark, chunks: list[DataFrame], schema, build, out_fmt="parquet"):
-    """Write ``chunks`` one after another into a watched folder and let the
-    streaming query ``build(stream_df) -> DataStreamWriter`` process each
-    before the next arrives (so micro-batches see the data in order)."""
+    """Write ``chunks`` one after another into a watched folder; after each
+    chunk is committed, run the streaming query ``build(stream_df) ->
+    DataStreamWriter`` with an ``availableNow`` trigger on the same
+    checkpoint.  Each run sees only whole, committed chunks, in order (a
+    running trigger could list a chunk while its files are still being
+    moved into place)."""
     src = _scratch(spark, "stream-src")
     ck = _scratch(spark, "stream-ck")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(src)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
     stream = spark.readStream.schema(schema).parquet(src)
-    query = build(stream).option("checkpointLocation", ck).trigger(processingTime="100 milliseconds").start()
-    try:
-        for i, c in enumerate(chunks):
-            c.write.mode("append").parquet(src)
-            query.processAllAvailable()
-    finally:
-        query.stop()
+    for c in chunks:
+        c.write.mode("append").parquet(src)
+        query = build(stream).option("checkpointLocation", ck).trigger(availableNow=True).start()
+        query.awaitTermination()
 
 
 @register("t1_stream_ingest")
