@@ -134,3 +134,17 @@ def test_rebuild_vectors_every_row(spark):
     assert v.where(F.size("embedding") != 64).count() == 0
     keys = n.select(content_key("title", "body").alias("id"))
     assert v.select("id").exceptAll(keys).count() == 0
+
+
+def test_balanced_only_spreads_coarse_scans(spark):
+    from marketpulse.sources.files import balanced
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    coarse = spark.range(0, 1000, 1, numPartitions=1)
+    fine = spark.range(0, 1000, 1, numPartitions=16)
+    assert balanced(coarse, 8).rdd.getNumPartitions() == 8
+    assert exchanges(balanced(coarse, 8)) == 1
+    assert balanced(fine, 8) is fine                 # already split: unchanged, no shuffle
+    assert sorted(r.id for r in balanced(coarse, 8).collect()) == list(range(1000))
