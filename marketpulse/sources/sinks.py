@@ -5,7 +5,8 @@ Writing that over the path being read would destroy the input mid-job, so
 a table is a folder of versions: each write goes to a fresh ``v=<id>``
 folder, then commits by creating the next numbered marker
 ``_log/<seq>.json`` (create-if-absent, never overwritten or deleted).  The
-live version is the one named by the highest marker.  A job that dies
+live version is the one named by the highest marker; it lists its data
+folders (an append adds one folder of new rows to the previous list).  A job that dies
 before its marker exists leaves the previous version live; two writers
 racing for the same number cannot both commit.
 """
@@ -122,16 +123,33 @@ def read_table(spark: SparkSession, table_path: str, schema: T.StructType | None
         return spark.createDataFrame([], schema)
     if schema is None and "schema" in m:
         schema = T.StructType.fromJson(m["schema"])
-    reader = spark.read
+    # one scan over all listed folders: ``v=<id>`` is read as a partition
+    # column under the table root and dropped
+    reader = spark.read.option("basePath", table_path)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.parquet(f"{table_path}/{m['version']}")
+    df = reader.parquet(*[f"{table_path}/{part}" for part in _parts(m)])
+    return df.drop("v") if "v" in df.columns else df
 
 
-def write_table(df: DataFrame, table_path: str, partition_by: str | None = None) -> str:
-    """Write ``df`` as a new version of the table and switch the marker to it."""
+def _parts(marker: dict) -> list[str]:
+    """Data folders of a version: a rewrite has one, an append lists the
+    previous version's folders plus its own."""
+    return marker.get("parts", [marker["version"]])
+
+
+def write_table(df: DataFrame, table_path: str, partition_by: str | None = None,
+                append: bool = False) -> str:
+    """Write ``df`` as a new version of the table and commit it.
+
+    ``append=False``: ``df`` is the whole new table.  ``append=True``: ``df``
+    holds only rows to add; they go to a new folder and the version lists
+    the previous folders plus that one, so an append never rewrites the
+    stored rows."""
     spark = df.sparkSession
-    v = f"v={uuid.uuid4().hex}"
+    v = f"v=t{uuid.uuid4().hex}"  # a letter first: always read back as a string
+    prev = _marker(spark, table_path) if append else None
+    parts = (_parts(prev) if prev else []) + [v]
     w = df.write.mode("errorifexists")
     if partition_by:
         w = clustered(df, partition_by).write.mode("errorifexists").partitionBy(partition_by)
@@ -143,7 +161,8 @@ def write_table(df: DataFrame, table_path: str, partition_by: str | None = None)
     marker = jvm.org.apache.hadoop.fs.Path(jvm.org.apache.hadoop.fs.Path(p, LOG), f"{seq:020d}.json")
     out = fs.create(marker, False)
     try:
-        out.write(bytearray(json.dumps({"version": v, "schema": df.schema.jsonValue()}).encode()))
+        out.write(bytearray(json.dumps({"version": v, "parts": parts,
+                                        "schema": df.schema.jsonValue()}).encode()))
     finally:
         out.close()
     return v

@@ -79,3 +79,16 @@ def test_versioned_table_keeps_old_version(spark, tmp_dir):
     sinks.write_table(old.withColumn("x", F.col("x") + 1), path)
     assert sinks.read_table(spark, path).first().x == 2
     assert spark.read.parquet(f"{path}/{v1}").first().x == 1
+
+
+def test_append_writes_only_new_rows(spark, tmp_dir):
+    import os
+    path = f"{tmp_dir}/a"
+    sinks.write_table(spark.createDataFrame([("A", 1)], "symbol string, x int"), path, "symbol")
+    sinks.write_table(spark.createDataFrame([("A", 2), ("B", 3)], "symbol string, x int"), path,
+                      "symbol", append=True)
+    assert sorted((r.symbol, r.x) for r in sinks.read_table(spark, path).collect()) == \
+        [("A", 1), ("A", 2), ("B", 3)]
+    assert len([d for d in os.listdir(path) if d.startswith("v=")]) == 2
+    sinks.write_table(spark.createDataFrame([("C", 4)], "symbol string, x int"), path, "symbol")
+    assert [(r.symbol, r.x) for r in sinks.read_table(spark, path).collect()] == [("C", 4)]
