@@ -2,4 +2,49 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+#: The word class of the contracts: anything but ASCII white space.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: A text is covered where a window of 20 words occurs twice in it, and its
+#: longest repeat is over 100 words if a window of 101 words occurs twice.
+_OP4 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, text, {_WORDS} AS ws FROM d),
+p AS (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) >= 4),
+g3 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, list_slice(ws, i, i + 2)) AS n FROM p WHERE i + 2 <= len(ws)),
+g20 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(list_slice(ws, i, i + 19), ' ')) AS n
+        FROM p WHERE i + 19 <= len(ws)),
+g101 AS (SELECT rid FROM (SELECT rid, md5(array_to_string(list_slice(ws, i, i + 100), ' ')) AS h FROM p WHERE i + 100 <= len(ws))
+         GROUP BY rid, h HAVING count(*) > 1),
+c3 AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 3)) AS j FROM g3 WHERE n > 1) GROUP BY rid),
+c20 AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 20)) AS j FROM g20 WHERE n > 1) GROUP BY rid),
+l AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+f AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             coalesce(l.n, 0) AS n_dup_lines, coalesce(c3.n, 0) AS n_repeat_words, coalesce(c20.n, 0) AS n_covered_words,
+             w.rid IN (SELECT rid FROM g101) AS long_repeat
+      FROM w LEFT JOIN l USING (rid) LEFT JOIN c3 USING (rid) LEFT JOIN c20 USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered_words <= 20 * n_words AND NOT long_repeat AS kept,
+       n_covered_words
+FROM f"""
+
+_OP8 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, text FROM documents),
+e AS (SELECT rid, host, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT rid, host, string_split(text, chr(10)) AS ls FROM d)),
+b AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM e),
+n AS (SELECT host, bare, count(DISTINCT rid) AS n FROM b WHERE bare <> '' GROUP BY ALL HAVING count(DISTINCT rid) >= 5),
+t AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
+bad AS (SELECT host, bare FROM n JOIN t USING (host) WHERE 100 * n > 10 * pages),
+k AS (SELECT b.rid, count(*) AS n_lines, count(bad.bare) AS n_dropped,
+             string_agg(b.line, chr(10) ORDER BY i) FILTER (WHERE bad.bare IS NULL) AS kept
+      FROM b LEFT JOIN bad ON b.host = bad.host AND b.bare = bad.bare GROUP BY b.rid)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+       CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM d LEFT JOIN k USING (rid)"""
+
+ORACLE: dict[str, str] = {
+    "op4_repetition_quality": _OP4,
+    "op8_line_dedup": _OP8,
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketpulse.llm import simhash
+from marketpulse.llm import bpe, line_dedup, repetition, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,32 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules on every document."""
+    out = repetition.quality(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept", "n_covered_words")
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer file that the queries encode with."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document."""
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boilerplate lines dropped from every document, ``source`` being its site."""
+    out = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+                      F.sha2("text", 256).alias("kept_sha256"))
+
+
 REGISTRY = {f.__name__: f for f in (
-    op1_simhash_dedup,
+    op1_simhash_dedup, op4_repetition_quality, op5_bpe_encoding, op8_line_dedup,
 )}
