@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketpulse.llm import bpe, line_dedup, repetition, simhash
+from marketpulse.llm import bpe, line_dedup, repetition, secrets, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
 def op4_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules on every document."""
     out = repetition.quality(_table(spark, sf_dir, "documents"))
@@ -36,6 +41,12 @@ def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, from a ledger that starts empty."""
+    rows, _ = secrets.findings(_table(spark, sf_dir, "documents"))
+    return secrets.summary(rows)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boilerplate lines dropped from every document, ``source`` being its site."""
     out = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
@@ -44,5 +55,6 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_simhash_dedup, op4_repetition_quality, op5_bpe_encoding, op8_line_dedup,
+    op1_simhash_dedup, op2_url_filter, op4_repetition_quality, op5_bpe_encoding, op7_secret_scan,
+    op8_line_dedup,
 )}
