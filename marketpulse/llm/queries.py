@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketpulse.llm import bpe, line_dedup, repetition, secrets, simhash, url_filter
+from marketpulse.llm import bpe, decontaminate, line_dedup, repetition, secrets, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it copies."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_simhash_dedup, op2_url_filter, op4_repetition_quality, op5_bpe_encoding, op7_secret_scan,
-    op8_line_dedup,
+    op8_line_dedup, op9_decontamination,
 )}
