@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketpulse.llm import bpe, decontaminate, line_dedup, repetition, secrets, simhash, url_filter
+from marketpulse.llm import bpe, decontaminate, line_dedup, repetition, secrets, simhash, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated byte strings removed from every document."""
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_simhash_dedup, op2_url_filter, op4_repetition_quality, op5_bpe_encoding, op7_secret_scan,
-    op8_line_dedup, op9_decontamination,
+    op8_line_dedup, op9_decontamination, op10_suffix_dedup,
 )}
