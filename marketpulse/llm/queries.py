@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketpulse.llm import bpe, decontaminate, line_dedup, repetition, secrets, simhash, suffix_dedup, url_filter
+from marketpulse.llm import bpe, decontaminate, langid, line_dedup, quality_net, repetition, secrets, simhash, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,18 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def piece_path() -> str:
+    """The public piece vocabulary that language identification uses."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.identify(_table(spark, sf_dir, "documents"), piece_path())
+
+
 def op4_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules on every document."""
     out = repetition.quality(_table(spark, sf_dir, "documents"))
@@ -41,6 +53,11 @@ def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality_net.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, from a ledger that starts empty."""
     rows, _ = secrets.findings(_table(spark, sf_dir, "documents"))
@@ -67,6 +84,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_simhash_dedup, op2_url_filter, op4_repetition_quality, op5_bpe_encoding, op7_secret_scan,
+    op1_simhash_dedup, op2_url_filter, op3_language_id, op4_repetition_quality, op5_bpe_encoding, op6_quality_classifier, op7_secret_scan,
     op8_line_dedup, op9_decontamination, op10_suffix_dedup,
 )}
