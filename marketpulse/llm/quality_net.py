@@ -107,21 +107,33 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
     return (unit(scaled) + unit(index)).astype(np.float32), (1e-3 / (1e-3 + share)).astype(np.float32)
 
 
+#: Length of a pooled vector: mean, deviation, likeness at ``LAGS``, log length.
+LAGS = (1, 2)
+POOLED = 2 * DIM + len(LAGS) + 1
+
+
 def pooled(text: str | None, vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted mean and deviation of a text's word vectors, and its log length; zeros without words."""
+    """A text's word vectors in one: weighted mean and deviation, mean product
+    of each word's vector with the next and the next but one (high where words
+    are repeated), log length.  Zeros without words."""
     rows = token_rows(text)
+    out = np.zeros(POOLED)
     if not len(rows):
-        return np.zeros(2 * DIM + 1, np.float32)
-    counts = np.bincount(rows, minlength=ROWS) if len(rows) > ROWS else None
-    if counts is not None:
-        rows = np.flatnonzero(counts)
-    w = weights[rows] * (counts[rows] if counts is not None else 1)
-    w = (w / w.sum())[:, None]
-    v = vectors[rows]
-    mean = (w * v).sum(axis=0)
-    spread = np.sqrt(np.maximum((w * v * v).sum(axis=0) - mean * mean, 0))
-    length = np.log1p(len(rows) if counts is None else counts.sum()) / 10
-    return np.concatenate([mean, spread, [length]]).astype(np.float32)
+        return out
+    total = 0.0
+    for at in range(0, len(rows), 65536):
+        part = rows[at:at + 65536]
+        w, v = weights[part], vectors[part]
+        total += float(w.sum())
+        out[:DIM] += w @ v
+        out[DIM:2 * DIM] += w @ (v * v)
+        for k, lag in enumerate(LAGS):
+            out[2 * DIM + k] += np.einsum("ij,ij->", v[lag:], v[:-lag]) if len(part) > lag else 0.0
+    out[:2 * DIM] /= total
+    out[DIM:2 * DIM] = np.sqrt(np.maximum(out[DIM:2 * DIM] - out[:DIM] ** 2, 0))
+    out[2 * DIM:-1] /= len(rows)
+    out[-1] = np.log1p(len(rows)) / 10
+    return out
 
 
 class Network:
@@ -179,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, weights: np.nda
     hashed = F.pmod(F.xxhash64("key"), F.lit(1_000_000))
     chosen = known.where(hashed < F.lit(1_000_000 * min(1.0, train_docs / max(1, total))))
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series([pooled(t, vectors, weights) for t in b])
@@ -187,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, weights: np.nda
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key") \
         .select("key", "label", run("text").alias("x"), (F.pmod(F.xxhash64("key", F.lit(1)), F.lit(5)) == 0).alias("calibrate"))
     got = sorted(((str(r["key"]), list(r["x"]), r["label"], r["calibrate"]) for r in rows.toLocalIterator()))
-    x = np.array([g[1] for g in got], np.float64).reshape(len(got), 2 * DIM + 1)
+    x = np.array([g[1] for g in got], np.float64).reshape(len(got), POOLED)
     return Network(x, np.array([g[2] for g in got]), np.array([g[3] for g in got], bool))
 
 
@@ -196,7 +208,7 @@ def scored(docs: DataFrame, network: Network, vectors: np.ndarray, weights: np.n
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series(network.score(np.array([pooled(t, vectors, weights) for t in b], np.float64).reshape(len(b), 2 * DIM + 1)))
+            yield pd.Series(network.score(np.array([pooled(t, vectors, weights) for t in b], np.float64).reshape(len(b), POOLED)))
 
     return docs.withColumn("_score", run(F.col(text)))
 
