@@ -208,18 +208,21 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return out.select(*docs.columns, F.col("_bpe.ids").alias("_ids"), F.col("_bpe.decoded").alias("_decoded"))
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) for every row; repeated rows
-    and null keys are kept; other columns are not read.  The texts of ids and
-    tokens stay in the worker: only their digests leave it."""
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) for every row, and the ids
+    themselves (array<int>) where ``ids`` asks for them; repeated rows and null
+    keys are kept; other columns are not read.  Decoded texts stay in the
+    worker: only their digests leave it."""
     def digest(x: str) -> str:
         return hashlib.sha256(x.encode("utf-8")).hexdigest()
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
         for b in batches:
-            got = [(len(ids), digest(" ".join(map(str, ids))), digest(e.decode(ids))) for ids in map(e.encode, b)]
-            yield pd.DataFrame(got, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            got = [(len(x), digest(" ".join(map(str, x))), digest(e.decode(x)), x)[:len(names)] for x in map(e.encode, b)]
+            yield pd.DataFrame(got, columns=names)
 
     return docs.select(F.col(key), run(F.col(text)).alias("_bpe")).select(key, "_bpe.*")

@@ -141,3 +141,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ids = root.join(least, "fp").groupBy("root").agg(F.min("key").alias("component_id"))
     label = root.join(ids, "root").select("fp", "component_id")
     return rows.join(label, "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text",
+             shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row
+    with the least key stays (null keys last; of equal keys the first row).
+
+    Null and wordless texts are one group.  The columns are those of ``docs``,
+    which must read the same rows in the same order each time (a table),
+    because rows are numbered by place.  Only the numbers of dropped rows are
+    joined to the texts."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    group = near_duplicates(rows.select("_row", F.col(text).alias("_text")), "_row", "_text", shingle, max_bits)
+    named = saved(rows.select("_row", F.col(key).alias("_key")).join(group.select("_row", "component_id"), "_row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("_key").alias("none"), "_key", "_row")).alias("first"))
+    dropped = named.join(first, "component_id").where("_row <> first._row").select("_row")
+    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
