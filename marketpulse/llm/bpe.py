@@ -192,8 +192,8 @@ def encoder(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``_ids`` (array<int>) and ``_decoded`` (string) of each text.
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids: array<int>, decoded: string) of each text.
 
     Null and empty texts have no ids and decode to the empty string.  A map
     over the rows, without a shuffle; ``path`` must exist on the executors."""
@@ -204,8 +204,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             ids = [e.encode(t) for t in b]
             yield pd.DataFrame({"ids": ids, "decoded": [e.decode(x) for x in ids]})
 
-    out = docs.withColumn("_bpe", run(F.col(text)))
-    return out.select(*docs.columns, F.col("_bpe.ids").alias("_ids"), F.col("_bpe.decoded").alias("_decoded"))
+    return docs.select(F.col(key), run(F.col(text)).alias("bpe")).select(key, "bpe.*")
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
@@ -225,4 +224,4 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             got = [(len(x), digest(" ".join(map(str, x))), digest(e.decode(x)), x)[:len(names)] for x in map(e.encode, b)]
             yield pd.DataFrame(got, columns=names)
 
-    return docs.select(F.col(key), run(F.col(text)).alias("_bpe")).select(key, "_bpe.*")
+    return docs.select(F.col(key), run(F.col(text)).alias("bpe")).select(key, "bpe.*")

@@ -39,3 +39,9 @@ def saved(df: DataFrame) -> DataFrame:
 def crc32_mod(col: Column, n: int) -> Column:
     """crc32 of the value's text, modulo n (null stays null)."""
     return F.crc32(col.cast("string").cast("binary")) % n
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``doc``, so that no name of its columns
+    can clash with a helper column; ``select("doc.*")`` gives them back."""
+    return docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("doc"))

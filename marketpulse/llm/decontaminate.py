@@ -10,7 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from marketpulse.llm.common import packed
 
 #: Words of a seed.
 SEED_WORDS = 3
@@ -169,8 +171,8 @@ def _counts(docs: DataFrame, text: str, block: Block) -> dict[int, int]:
     return {r["code"]: r["n"] for r in got.collect()}
 
 
-def matched(docs: DataFrame, block: Block, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` with ``_items``: array of (item, score) that each text copies.
+def copied_items(block: Block, text: Column, min_score: float = MIN_SCORE) -> Column:
+    """Array of (item, score) that each text copies.
 
     A map over the rows, without a shuffle: hot items and hot passages are
     spread as the documents are."""
@@ -179,7 +181,7 @@ def matched(docs: DataFrame, block: Block, text: str = "text", min_score: float
         for b in batches:
             yield pd.Series([[{"item": i, "score": s} for i, s in block.matches(t, min_score)] for t in b])
 
-    return docs.withColumn("_items", run(F.col(text)))
+    return run(text)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id",
@@ -193,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = None
     for block in blocks(benchmark, rows, item, text, "text", block_words):
-        got = matched(rows, block, "text", min_score).select("key", F.explode("_items").alias("i")).select("key", "i.*")
+        got = rows.select("key", F.explode(copied_items(block, F.col("text"), min_score)).alias("i")).select("key", "i.*")
         found = got if found is None else found.unionByName(got)
     if found is None:
         found = rows.select("key", F.lit(0).cast("long").alias("item"), F.lit(0.0).alias("score")).limit(0)
@@ -204,7 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
 def keep(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text",
          min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that copy no benchmark item, with the columns of ``docs``."""
-    out = docs
+    out = packed(docs)
     for block in blocks(benchmark, docs, item, "text", text, block_words):
-        out = matched(out, block, text, min_score).where(F.size("_items") == 0).drop("_items")
-    return out
+        out = out.where(F.size(copied_items(block, F.col("doc")[text], min_score)) == 0)
+    return out.select("doc.*")

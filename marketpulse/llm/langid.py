@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketpulse.llm.common import crc32_mod, saved
 
@@ -242,14 +242,14 @@ def _expect(counted: DataFrame, pieces: Pieces, langs: list[str], table: np.ndar
         .groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``_lang`` (struct of lang_pred, score); no shuffle, whole texts."""
+def predicted(model: Model, text: Column) -> Column:
+    """Struct (lang_pred, score) of each whole text."""
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame(model.predict(b.tolist()), columns=["lang_pred", "score"])
 
-    return docs.withColumn("_lang", run(F.col(text)))
+    return run(text)
 
 
 def identify(docs: DataFrame, path: str, key: str = "doc_id", lang: str = "lang", text: str = "text",
@@ -263,5 +263,5 @@ def identify(docs: DataFrame, path: str, key: str = "doc_id", lang: str = "lang"
     Repeated rows are all returned."""
     fold = crc32_mod(F.col(key), folds)
     model = fit(docs.sparkSession, docs.where(fold != 0), path, lang, text)
-    rows = docs.select(F.col(key), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col(text).alias("_text"))
-    return predicted(rows, model, "_text").select(key, "held_out", "_lang.lang_pred", "_lang.score")
+    return docs.select(F.col(key), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), predicted(model, F.col(text)).alias("found")) \
+        .select(key, "held_out", "found.lang_pred", "found.score")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marketpulse.llm.common import packed
+
 #: A line is boilerplate on more than this share of its host's pages ...
 RATIO_PCT = 10
 #: ... and on at least this many of them (hosts with a page or two have no boilerplate).
@@ -37,33 +39,39 @@ def boilerplate(pages: DataFrame, ratio_pct: int = RATIO_PCT, min_pages: int = M
     return counts.join(totals, "host").where(100 * F.col("n") > ratio_pct * F.col("pages")).select("host", "line")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
-                     ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, all other columns
-    as they are, and two added: ``_n_lines`` and ``_n_dropped`` (long).
+def cleaned(docs: DataFrame, host: str = "source", text: str = "text",
+            ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(doc, n_lines, n_dropped): each row of ``docs`` as a struct, its text
+    without boilerplate lines, and the numbers (long) of its lines and of those dropped.
 
     A page is a row.  Lines are compared without surrounding white space;
-    blank lines are neither counted nor dropped, and a line that occurs
-    several times on a page counts once but is dropped each time.  A null
-    host is a site of its own, the one with the empty name.  Null texts stay
-    null (no lines).  Repeated rows are pages each.  A text that is
-    boilerplate throughout becomes empty.  ``docs`` must read the same rows
-    in the same order each time (a table), because rows are numbered by place.
+    blank lines are neither counted as boilerplate nor dropped, and a line that
+    occurs several times on a page counts once but is dropped each time.  A
+    null host is the site with the empty name.  Null texts stay null (no
+    lines).  Repeated rows are pages each.  A text that is boilerplate
+    throughout becomes empty; an empty table gives an empty one.  ``docs`` must
+    read the same rows in the same order each time (a table), because rows are
+    numbered by place.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    pages = rows.select("_row", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.array_distinct(
-        F.transform(F.filter(_lines(F.col(text)), lambda x: _bare(x) != ""), lambda x: _digest(_bare(x)))).alias("lines"))
+    body = F.col("doc")[text]
+    rows = packed(docs).withColumn("row", F.monotonically_increasing_id())
+    pages = rows.select("row", F.coalesce(F.col("doc")[host].cast("string"), F.lit("")).alias("host"), F.array_distinct(
+        F.transform(F.filter(_lines(body), lambda x: _bare(x) != ""), lambda x: _digest(_bare(x)))).alias("lines"))
     bad = boilerplate(pages, ratio_pct, min_pages)
-    hits = pages.select("_row", "host", F.explode("lines").alias("line")).join(bad, ["host", "line"]) \
-        .groupBy("_row").agg(F.collect_set("line").alias("_bad"))
-    known = rows.join(hits, "_row", "left")
+    hits = pages.select("row", "host", F.explode("lines").alias("line")).join(bad, ["host", "line"]) \
+        .groupBy("row").agg(F.collect_set("line").alias("bad"))
 
     def keeps(x: Column) -> Column:
-        return (_bare(x) == "") | ~F.array_contains("_bad", _digest(_bare(x)))
-
-    left = F.when(F.col("_bad").isNull(), _lines(F.col(text))).otherwise(F.filter(_lines(F.col(text)), keeps))
-    n = F.coalesce(F.size(_lines(F.col(text))), F.lit(0)).cast("long")
-    return known.withColumn("_left", left).select(
-        *[F.when(F.col(text).isNotNull(), F.array_join("_left", "\n")).alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(n).cast("long").alias("_n_lines"),
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(n - F.size("_left")).cast("long").alias("_n_dropped"))
+        return (_bare(x) == "") | ~F.array_contains("bad", _digest(_bare(x)))
+
+    left = F.when(F.col("bad").isNull(), _lines(body)).otherwise(F.filter(_lines(body), keeps))
+    n = F.when(body.isNull(), F.lit(0)).otherwise(F.size(_lines(body))).cast("long")
+    return rows.join(hits, "row", "left").withColumn("left", left).select(
+        F.col("doc").withField(text, F.when(body.isNotNull(), F.array_join("left", "\n"))).alias("doc"), n.alias("n_lines"),
+        F.when(body.isNull(), F.lit(0)).otherwise(n - F.size("left")).cast("long").alias("n_dropped"))
+
+
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
+                     ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of ``text``; see ``cleaned``."""
+    return cleaned(docs, host, text, ratio_pct, min_pages).select("doc.*")

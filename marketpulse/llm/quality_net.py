@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marketpulse.llm.common import crc32_mod
 
@@ -203,14 +203,14 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, weights: np.nda
     return Network(x, np.array([g[2] for g in got]), np.array([g[3] for g in got], bool))
 
 
-def scored(docs: DataFrame, network: Network, vectors: np.ndarray, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with ``_score``; a map over whole texts, without a shuffle."""
+def scored(network: Network, vectors: np.ndarray, weights: np.ndarray, text: Column) -> Column:
+    """Calibrated probability of label 1 for each whole text."""
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series(network.score(np.array([pooled(t, vectors, weights) for t in b], np.float64).reshape(len(b), POOLED)))
 
-    return docs.withColumn("_score", run(F.col(text)))
+    return run(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
@@ -225,6 +225,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Other columns are not read."""
     vectors, weights = word_vectors(docs, text)
     network = fit(docs, labels.where(crc32_mod(F.col(key), folds) != held), vectors, weights, key, text, label)
-    rows = docs.select(F.col(key), F.coalesce(crc32_mod(F.col(key), folds) == held, F.lit(False)).alias("held_out"), F.col(text).alias("_text"))
-    return scored(rows, network, vectors, weights, "_text") \
-        .select(key, "held_out", F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
+    fold = crc32_mod(F.col(key), folds)
+    return docs.select(F.col(key), F.coalesce(fold == held, F.lit(False)).alias("held_out"),
+                       scored(network, vectors, weights, F.col(text)).alias("score")) \
+        .withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -66,9 +66,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boilerplate lines dropped from every document, ``source`` being its site."""
-    out = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-                      F.sha2("text", 256).alias("kept_sha256"))
+    out = line_dedup.cleaned(_table(spark, sf_dir, "documents"))
+    return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("doc.text", 256).alias("kept_sha256"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from marketpulse.llm.common import packed
 
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -143,8 +145,8 @@ def figures(texts: Iterable[str | None], min_repeat: int = MIN_REPEAT) -> np.nda
     return np.concatenate(rows)
 
 
-def measured(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT) -> DataFrame:
-    """``docs`` with one struct column ``_figures`` (see ``COLUMNS``); no shuffle."""
+def measured(docs: DataFrame, text: Column, min_repeat: int = MIN_REPEAT) -> DataFrame:
+    """``docs`` with one more struct column ``figures`` (see ``COLUMNS``); no shuffle."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
 
     @F.pandas_udf(COLUMNS)
@@ -152,13 +154,13 @@ def measured(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT)
         for b in batches:
             yield pd.DataFrame(figures(b, min_repeat), columns=names)
 
-    return docs.withColumn("_figures", run(F.col(text)))
+    return docs.withColumn("figures", run(text))
 
 
-def verdict(figures: str = "_figures", min_words: int = 50, max_repeat_pct: int = 50,
-            max_covered_pct: int = MAX_COVERED_PCT, max_repeat: int = MAX_REPEAT):
+def verdict(min_words: int = 50, max_repeat_pct: int = 50,
+            max_covered_pct: int = MAX_COVERED_PCT, max_repeat: int = MAX_REPEAT) -> tuple[Column, Column]:
     """(base_failed, kept) as columns over the struct of ``measured``."""
-    f = F.col(figures)
+    f = F.col("figures")
     failed = (f["n_words"] < min_words) | (100 * f["n_repeat_words"] > max_repeat_pct * f["n_words"])
     kept = ~failed & (100 * f["n_covered_words"] <= max_covered_pct * f["n_words"]) \
         & (f["longest_repeat"] <= max_repeat)
@@ -174,10 +176,10 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits)
     memory grows with the longest text of a batch.  Other columns are not read.
     """
     failed, kept = verdict(**limits)
-    return measured(docs.select(F.col(key), F.col(text).alias("_text")), "_text") \
-        .select(key, "_figures.*", failed.alias("base_failed"), kept.alias("kept"))
+    return measured(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), F.col("text")) \
+        .select(F.col("key").alias(key), "figures.*", failed.alias("base_failed"), kept.alias("kept"))
 
 
 def keep(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The rows of ``docs`` whose text the rules keep, with the columns of ``docs``."""
-    return measured(docs, text).where(verdict(**limits)[1]).drop("_figures")
+    return measured(packed(docs), F.col(f"doc.{text}")).where(verdict(**limits)[1]).select("doc.*")

@@ -14,7 +14,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketpulse.llm.common import saved
+from marketpulse.llm.common import packed, saved
 from marketpulse.llm.components import components
 
 SHINGLE = 4
@@ -152,9 +152,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text",
     which must read the same rows in the same order each time (a table),
     because rows are numbered by place.  Only the numbers of dropped rows are
     joined to the texts."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    group = near_duplicates(rows.select("_row", F.col(text).alias("_text")), "_row", "_text", shingle, max_bits)
-    named = saved(rows.select("_row", F.col(key).alias("_key")).join(group.select("_row", "component_id"), "_row"))
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("_key").alias("none"), "_key", "_row")).alias("first"))
-    dropped = named.join(first, "component_id").where("_row <> first._row").select("_row")
-    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
+    rows = packed(docs).withColumn("row", F.monotonically_increasing_id())
+    group = near_duplicates(rows.select("row", F.col("doc")[text].alias("text")), "row", "text", shingle, max_bits)
+    named = saved(rows.select("row", F.col("doc")[key].alias("key")).join(group.select("row", "component_id"), "row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "row")).alias("first"))
+    dropped = named.join(first, "component_id").where("row <> first.row").select("row")
+    return rows.join(dropped, "row", "left_anti").select("doc.*")
