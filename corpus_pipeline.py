@@ -26,10 +26,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source leave the texts; ``n_chars`` follows the text."""
-    out = line_dedup.drop_boilerplate(docs)
-    cols = [F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
-            if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*cols)
+    out = line_dedup.cleaned(docs)
+    if "n_chars" in docs.columns:
+        size = F.when(F.col("n_dropped") > 0, F.length("doc.text")).otherwise(F.col("doc.n_chars"))
+        out = out.withColumn("doc", F.col("doc").withField("n_chars", size.cast(docs.schema["n_chars"].dataType)))
+    return out.select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
