@@ -16,21 +16,17 @@ from marketpulse.llm.common import saved
 class Rule(NamedTuple):
     """``pattern`` (Java); matches whose ``group`` has under ``least`` characters are dropped.
 
-    ``hint``: a cheap test that holds for every text with a match."""
+    ``hint``: a cheap SQL test that holds for every text with a match."""
     kind: str
     pattern: str
     groups: int
     group: int
     least: int
-    hint: Column
+    hint: str
 
 
-def _has(*words: str) -> Column:
-    low = F.lower(F.col("text"))
-    out = low.contains(words[0])
-    for w in words[1:]:
-        out = out | low.contains(w)
-    return out
+def _has(*words: str) -> str:
+    return " OR ".join(f"contains(lower(text), '{w}')" for w in words)
 
 
 def rules() -> tuple[Rule, ...]:
@@ -39,13 +35,13 @@ def rules() -> tuple[Rule, ...]:
         # The base patterns.
         Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
              2, 2, 6, _has("password", "passwd", "secret", "token", "apikey", "api_key")),
-        Rule("access", r"AKIA[A-Z0-9]+", 0, 0, 20, F.col("text").contains("AKIA")),
+        Rule("access", r"AKIA[A-Z0-9]+", 0, 0, 20, "contains(text, 'AKIA')"),
         # A run is a match as a whole, so short runs need not be matched to be dropped.
-        Rule("hex", r"[0-9a-f]{24,}", 0, 0, 24, F.col("text").rlike("[0-9a-f]{24}")),
+        Rule("hex", r"[0-9a-f]{24,}", 0, 0, 24, "text RLIKE '[0-9a-f]{24}'"),
         # Added kinds.
-        Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, 1, F.col("text").rlike("gh[pousr]_")),
-        Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, 1, F.col("text").contains("eyJ")),
-        Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0, 1, F.col("text").contains("PRIVATE KEY-----")),
+        Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, 1, "text RLIKE 'gh[pousr]_'"),
+        Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, 1, "contains(text, 'eyJ')"),
+        Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0, 1, "contains(text, 'PRIVATE KEY-----')"),
     )
 
 
@@ -73,7 +69,7 @@ def _hits(number: int, r: Rule) -> Column:
     tested = F.zip_with(pairs, sizes(2 + r.group), lambda p, n: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), (n >= r.least).alias("good")))
     found = F.transform(tested, lambda h, k: F.struct(
         F.lit(number).alias("kind"), k.alias("k"), h["gap"].alias("gap"), h["size"].alias("size"), h["good"].alias("good")))
-    return F.when(r.hint, found)
+    return F.when(F.expr(r.hint), found)
 
 
 def addressed(versions: DataFrame, key: str, text: str = "text") -> DataFrame:
