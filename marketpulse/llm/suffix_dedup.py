@@ -101,17 +101,17 @@ def _sample(octets: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return place[new], at[new], np.diff(np.append(new, len(at))), grams[place[new]]
 
 
-def _joined(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (number of the text, place in it, bytes) of about ``SEGMENT``
+def _joined(texts: list[bytes], segment: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (number of the text, place in it, bytes) of about ``segment``
     bytes together.  Longer texts are cut with an overlap, so that each suffix
     is in one piece; a block that is cut is resolved by its parts."""
     out, size = [], 0
     for k, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - LENGTH + 1), SEGMENT - LENGTH + 1):
-            piece = t[at:at + SEGMENT]
+        for at in range(0, max(1, len(t) - LENGTH + 1), segment - LENGTH + 1):
+            piece = t[at:at + segment]
             if len(piece) < LENGTH:
                 continue
-            if size + len(piece) > SEGMENT and out:
+            if size + len(piece) > segment and out:
                 yield out
                 out, size = [], 0
             out.append((k, at, piece))
@@ -125,13 +125,13 @@ def _packed(start: np.ndarray, offset: np.ndarray, count: np.ndarray) -> np.ndar
     return (start << 20) | (offset << 10) | count
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, segment: int) -> DataFrame:
     """``rows`` (row, text) -> (row, block, key, rank): a row for each sample place."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [(t or "").encode("utf-8") for t in b["text"]]
             ids = b["row"].to_numpy()
-            for part in _joined(texts):
+            for part in _joined(texts, segment):
                 octets = b"".join(p[2] for p in part)
                 sizes = np.array([len(p[2]) for p in part])
                 ends = np.cumsum(sizes)
@@ -170,12 +170,14 @@ def _finer(rows: DataFrame, open_blocks: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            got = []
             for row, text, blocks, keys in zip(b["row"], b["text"], b["blocks"], b["keys"], strict=True):
                 octets = text.encode("utf-8")
-                got = [p for x, k in zip(blocks.tolist(), keys.tolist(), strict=True) for p in _parts(octets, x, k, size)]
-                out = pd.DataFrame(got, columns=["block", "key", "rank"], dtype="int64")
-                out.insert(0, "row", row)
-                yield out
+                got += [(row, *p) for x, k in zip(blocks.tolist(), keys.tolist(), strict=True) for p in _parts(octets, x, k, size)]
+                if len(got) > 200_000:
+                    yield pd.DataFrame(got, columns=["row", "block", "key", "rank"])
+                    got = []
+            yield pd.DataFrame(got, columns=["row", "block", "key", "rank"], dtype="int64")
 
     return rows.join(wanted, "row").mapInPandas(run, "row long, block long, key long, rank long")
 
@@ -187,8 +189,9 @@ def _resolved(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     A key that occurs once has no match.  If all blocks of a key have one
     rank, all match.  Of a key with several ranks, the blocks of a repeated
     rank match, and one block of each rank goes on to the next level."""
-    keys = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi")) \
-        .where("n > 1").select("key", (F.col("lo") != F.col("hi")).alias("several"))
+    # written first, so that the join's sides are plain shuffles, whose hot keys Spark can split
+    keys = saved(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))
+                 .where("n > 1").select("key", (F.col("lo") != F.col("hi")).alias("several")))
     met = saved(blocks.join(keys, "key"))
     several = met.where("several")
     ranks = saved(several.groupBy("key", "rank").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "block")).alias("one")))
@@ -197,13 +200,13 @@ def _resolved(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done, ranks.select("one.row", "one.block", "key")
 
 
-def repeated(rows: DataFrame) -> DataFrame:
+def repeated(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """``rows`` (row: long, text) -> (row, block): blocks of suffixes whose
     first ``LENGTH`` bytes start anywhere else too."""
-    whole, left = _resolved(saved(_blocks(rows)))
+    whole, left = _resolved(saved(_blocks(rows, segment)))
     part, left = _resolved(saved(_finer(rows, left, PART)))
     single = saved(_finer(rows, left, 1))
-    twice = single.groupBy("key", "rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = saved(single.groupBy("key", "rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "rank"))
     last = single.join(twice, ["key", "rank"], "left_semi")
     return whole.select("row", "block").unionByName(part.select("row", "block")).unionByName(last.select("row", "block"))
 
@@ -222,7 +225,7 @@ def _cut(text: bytes, blocks: np.ndarray) -> tuple[list[tuple[int, int]], bytes]
     return runs, b"".join([*kept, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """(key, n_bytes, spans: array of (start, end), kept: binary) for every row.
 
     Texts are taken as UTF-8 bytes; ``spans`` are the maximal removed runs and
@@ -233,7 +236,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     (a table), because rows are numbered by place.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    found = repeated(rows.select("row", "text")).groupBy("row").agg(F.collect_list("block").alias("blocks"))
+    found = repeated(rows.select("row", "text"), segment).groupBy("row").agg(F.collect_list("block").alias("blocks"))
 
     @F.pandas_udf("n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     def run(texts: pd.Series, blocks: pd.Series) -> pd.DataFrame:
