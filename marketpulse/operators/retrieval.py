@@ -1,20 +1,15 @@
 """Vector search and the lookups around it.
 
-Exact nearest-neighbour search scores every (query, vector) pair — that is
-what "exact" means — but never materialises the pairs as rows:
-
-* small query batches (size checked with a count) are broadcast as one
-  numpy matrix and each vector partition keeps only its best ``k`` per
-  query (``mapInPandas``); the final top-k per query is a window with
-  WindowGroupLimit over at most ``k x partitions`` rows per query;
-* larger query tables are split into query blocks and vector blocks and
-  scored cell by cell with ``cogroup().applyInPandas``, each cell bounded.
+Exact nearest-neighbour search in one lazy plan.  Vectors and queries are cut
+into tiles of bounded size, near vectors in the same tile; pairs of tiles are
+kept only if they can hold a hit (triangle inequality over the tiles' centres
+and radii), and each kept pair is scored by numpy in one bounded task.  The
+pairs of rows are never rows of a table.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,7 +21,11 @@ from marketpulse.functions.scalars import (
     NO_CONTENT, NO_LINK, NO_TIME, NO_TITLE, or_default, source_line,
 )
 
-MAX_BROADCAST_QUERIES = 4096
+#: Rows of a tile: a task holds a distance matrix of at most this squared.
+TILE_ROWS = 2048
+#: Signs of fixed random projections that order vectors by direction, and the
+#: quantiles of that order at which tiles begin.
+CODE_BITS, CUTS = 16, 256
 
 
 def _best_k(qids: np.ndarray, qmat: np.ndarray, vids: np.ndarray, vmat: np.ndarray,
@@ -64,62 +63,90 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.asarray(np.stack(series.to_numpy()), dtype=np.float64) if len(series) else np.zeros((0, 0))
 
 
+def _directions(vecs: pd.Series) -> pd.Series:
+    """``CODE_BITS`` signs of fixed random projections, as a number."""
+    if not len(vecs):
+        return pd.Series([], dtype="int32")
+    m = _matrix(vecs)
+    signs = m @ np.random.default_rng(0).normal(size=(m.shape[1], CODE_BITS)) > 0
+    return pd.Series((signs @ (1 << np.arange(CODE_BITS)[::-1])).astype(np.int32))
+
+
+def tiles(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``rows`` (id, vec) with ``tile``: about ``tile_rows`` rows or fewer each,
+    vectors of like direction together.  The number of tiles follows from
+    counts inside the plan; no job runs while it is built."""
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(code=_directions(b["vec"]).to_numpy())
+
+    coded = rows.mapInPandas(code, T.StructType([*rows.schema.fields, T.StructField("code", T.IntegerType())]))
+    stats = coded.agg(F.count(F.lit(1)).alias("n"), F.expr(
+        f"percentile_approx(code, array({', '.join(f'{k / CUTS!r}D' for k in range(1, CUTS))}), 10000)").alias("cuts"))
+    wanted = F.least(F.lit(CUTS), F.ceil(stats.select("n").scalar() / F.lit(float(tile_rows))))
+    coded = coded.withColumn("cuts", F.coalesce(stats.select("cuts").scalar(), F.array().cast("array<int>"))).withColumn("wanted", wanted)
+    cells = coded.withColumn("cell", F.expr(f"size(filter(cuts, c -> c < code)) * wanted div {CUTS}"))
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    # half as many again as needed, so that chance does not fill a part beyond its size
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") * F.lit(1.5) / F.lit(float(tile_rows))).cast("long"))
+    return cells.join(sizes, "cell").select("id", "vec", (F.col("cell") * F.lit(1 << 32) + part).alias("tile"))
+
+
+def _summaries(tiled: DataFrame) -> DataFrame:
+    """(tile, center, radius, n) of each tile."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _matrix(pdf["vec"])
+        center = m.mean(axis=0)
+        return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "center": [center], "n": [len(m)],
+                             "radius": [float(np.sqrt(((m - center) ** 2).sum(axis=1)).max())]})
+
+    return tiled.groupBy("tile").applyInPandas(run, "tile long, center array<double>, n long, radius double")
+
+
+def _tile_pairs(queries: DataFrame, vectors: DataFrame, k: int, spread: int = 16) -> DataFrame:
+    """(qt, vt): pairs of tiles that can hold one of a query's k nearest.
+
+    Any k vectors of one tile bound the k-th distance from above; a tile whose
+    nearest possible vector is farther than the best such bound is left out.
+    Each query tile's summary meets every vector tile's once (a row stands for
+    ``TILE_ROWS`` squared pairs), dealt out over ``spread`` keys."""
+    q = _summaries(queries).select(F.col("tile").alias("qt"), F.col("center").alias("qc"), F.col("radius").alias("qr"),
+                                   F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
+    v = _summaries(vectors).select(F.col("tile").alias("vt"), F.col("center").alias("vc"), F.col("radius").alias("vr"),
+                                   F.col("n").alias("vn"), F.pmod(F.xxhash64("tile"), F.lit(spread)).cast("int").alias("part"))
+    apart = F.sqrt(F.aggregate(F.zip_with("qc", "vc", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    met = q.join(v, "part").withColumn("apart", apart).select(
+        "qt", "vt", (F.col("apart") - F.col("qr") - F.col("vr")).alias("near"),
+        F.when(F.col("vn") >= k, F.col("apart") + F.col("qr") + F.col("vr")).alias("far"))
+    bound = met.groupBy("qt").agg(F.min("far").alias("bound"))
+    return met.join(bound, "qt").where("bound IS NULL OR near <= bound * (1 + 1e-9) + 1e-9").select("qt", "vt")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "id",
         vec_col: str = "embedding", q_id: str = "qid", q_col: str = "qvec",
-        max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
-        vector_block_rows: int = 200_000) -> DataFrame:
+        tile_rows: int = TILE_ROWS) -> DataFrame:
     """J8 + L1: exact k nearest vectors per query by squared L2 distance.
 
     Returns (qid, id, distance, rank) with rank 1..k ordered by
     (distance, id).  Filters on the vectors (e.g. the time floor F3) must be
-    applied to ``vectors`` before the call so they reach the scan.
+    applied to ``vectors`` before the call so they reach the scan.  Rows
+    without a vector are neither found nor answered.
     """
     qid_t = queries.schema[q_id].dataType
     vid_t = vectors.schema[vec_id].dataType
     schema = T.StructType([T.StructField("qid", qid_t), T.StructField("id", vid_t),
                            T.StructField("distance", T.DoubleType())])
-    vsel = vectors.select(F.col(vec_id).alias("id"), F.col(vec_col).alias("vec"))
-    qsel = queries.select(F.col(q_id).alias("qid"), F.col(q_col).alias("qvec"))
-    # one bounded probe: at most max_broadcast_queries + 1 query rows reach
-    # the driver; if they all fit, that is the broadcast set
-    qpd = qsel.limit(max_broadcast_queries + 1).toPandas()
-    n_q = len(qpd)
-    if n_q <= max_broadcast_queries:
-        # checked size: n_q vectors of the query side are shipped to every task
-        bq = vectors.sparkSession.sparkContext.broadcast(
-            (qpd["qid"].to_numpy(), _matrix(qpd["qvec"])))
-
-        def score(batches):
-            qids, qmat = bq.value
-            best = None
-            for pdf in batches:
-                part = _best_k(qids, qmat, pdf["id"].to_numpy(), _matrix(pdf["vec"]), k)
-                best = part if best is None else pd.concat([best, part])
-                # keep the running best k per query only
-                best = (best.sort_values(["qid", "distance", "id"])
-                            .groupby("qid", sort=False).head(k))
-            if best is not None:
-                yield best
-
-        partial = vsel.mapInPandas(score, schema)
-    else:
-        n_q = qsel.count()
-        n_v = vsel.count()
-        nqb = math.ceil(n_q / max_broadcast_queries)
-        nvb = max(1, math.ceil(n_v / vector_block_rows))
-        # both sides' cell keys must have the same type (bigint): cogroup
-        # hash-partitions each side by its own key types
-        qs = (qsel.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(nqb)).cast("long"))
-                  .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(nvb - 1)).cast("array<bigint>"))))
-        vs = (vsel.withColumn("_vb", F.pmod(F.xxhash64("id"), F.lit(nvb)).cast("long"))
-                  .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)).cast("array<bigint>"))))
-
-        def cell(vpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-            return _best_k(qpdf["qid"].to_numpy(), _matrix(qpdf["qvec"]),
-                           vpdf["id"].to_numpy(), _matrix(vpdf["vec"]), k)
-
-        partial = (vs.groupBy("_qb", "_vb").cogroup(qs.groupBy("_qb", "_vb"))
-                     .applyInPandas(cell, schema))
+    vs = tiles(vectors.select(F.col(vec_id).alias("id"), F.col(vec_col).alias("vec")).where("vec IS NOT NULL"), tile_rows)
+    qs = tiles(queries.select(F.col(q_id).alias("id"), F.col(q_col).alias("vec")).where("vec IS NOT NULL"), tile_rows)
+    pairs = _tile_pairs(qs, vs, k)
+    vs = vs.withColumnRenamed("tile", "vt").join(pairs, "vt")
+    qs = qs.withColumnRenamed("tile", "qt").join(pairs, "qt")
+
+    def cell(vpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
+        return _best_k(qpdf["id"].to_numpy(), _matrix(qpdf["vec"]),
+                       vpdf["id"].to_numpy(), _matrix(vpdf["vec"]), k)
+
+    partial = vs.groupBy("qt", "vt").cogroup(qs.groupBy("qt", "vt")).applyInPandas(cell, schema)
     return top_k(partial, ["qid"], [F.col("distance"), F.col("id")], k)
 
 

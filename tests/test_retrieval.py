@@ -23,12 +23,12 @@ def _brute(v, q, k):
     return out
 
 
-def test_knn_exact_both_paths(spark):
+def test_knn_exact_for_any_tile_size(spark):
     vec, v = _vectors(spark)
     q = np.random.default_rng(2).normal(size=(12, 8)).astype("float32")
     qdf = spark.createDataFrame([(i, q[i].tolist()) for i in range(12)], "qid long, qvec array<float>")
     want = _brute(v, q, 5)
-    for kw in ({}, {"max_broadcast_queries": 5, "vector_block_rows": 64}):
+    for kw in ({}, {"tile_rows": 40}, {"tile_rows": 3}):
         hits = rt.knn(vec, qdf, 5, **kw).collect()
         got = {}
         for r in sorted(hits, key=lambda r: (r.qid, r.rank)):
@@ -36,6 +36,37 @@ def test_knn_exact_both_paths(spark):
         assert got == want
 
 
+def test_knn_far_tiles_are_left_out(spark):
+    """Vectors in distant clusters: the result is exact though few tiles meet."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 6)) * 100
+    v = np.concatenate([c + rng.normal(size=(60, 6)) for c in centres]).astype("float32")
+    vec = spark.createDataFrame([(f"id{i:04d}", v[i].tolist()) for i in range(len(v))], "id string, embedding array<float>")
+    q = v[::37]
+    qdf = spark.createDataFrame([(i, q[i].tolist()) for i in range(len(q))], "qid long, qvec array<float>")
+    got = {}
+    for r in sorted(rt.knn(vec, qdf, 4, tile_rows=30).collect(), key=lambda r: (r.qid, r.rank)):
+        got.setdefault(r.qid, []).append(r.id)
+    assert got == _brute(v, q, 4)
+    vs = rt.tiles(vec.select("id", F.col("embedding").alias("vec")), 30)
+    n = vs.select("tile").distinct().count()
+    assert rt._tile_pairs(vs, vs, 4).count() < 0.3 * n * n
+    assert vs.groupBy("tile").count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_knn_null_vectors_and_no_job_while_planning(spark):
+    rows = [("b", [1.0, 0.0]), ("a", None), ("c", [0.0, 1.0])]
+    vec = spark.createDataFrame(rows, "id string, embedding array<float>")
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], "qid long, qvec array<float>")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("knn-plan", "")
+    hits = rt.knn(vec, q, 2)
+    assert len(tracker.getJobIdsForGroup("knn-plan")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [(r.qid, r.id) for r in hits.orderBy("rank").collect()] == [(0, "b"), (0, "c")]
+    assert rt.knn(vec.limit(0), q, 2).collect() == []
+
+
 def test_knn_ties_with_duplicate_vectors(spark):
     rows = [("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])]
     vec = spark.createDataFrame(rows, "id string, embedding array<float>")
