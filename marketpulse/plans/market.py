@@ -13,23 +13,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketpulse import schemas
 from marketpulse.functions.scalars import (
     pair_symbol, quantize_half_up, volume_or_null,
 )
 from marketpulse.operators import indicators as ind
 from marketpulse.operators import quality as q
+from marketpulse.operators import retrieval as rt
 from marketpulse.operators import tables as tb
 from marketpulse.sources import sinks
 
 
-def _append_new(table_path: str, target: DataFrame, new: DataFrame) -> int:
-    """Append ``new`` as the next table version; A7: return the number of new
-    rows.  The new rows are checkpointed once (shared checkpoint folder), the
-    count reads those files, and only they are written: the stored rows are
-    neither rewritten nor shuffled (J3/J4 read only their keys and times)."""
+def _append_new(table_path: str, new: DataFrame) -> int:
+    """Append ``new`` to the table; A7: return the number of new rows.  They
+    are checkpointed once (shared checkpoint folder) and counted there; only
+    they are written: J3 reads the stored symbols and times, nothing more."""
     new = new.checkpoint()
-    sinks.write_table(new, table_path, "symbol", append=True)
-    return new.count()
+    n = new.count()
+    if n:
+        sinks.append_rows(new, table_path, "symbol")
+    return n
 
 
 def price_rows(prices: DataFrame) -> DataFrame:
@@ -41,12 +44,22 @@ def price_rows(prices: DataFrame) -> DataFrame:
         F.col("Date").cast("timestamp_ntz").alias("recorded_at"))
 
 
-def new_prices(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """Price rows to append — later than the symbol's stored maximum,
-    one row per (symbol, recorded_at), keys already stored kept as stored."""
-    rows = price_rows(batch)
-    fresh = tb.newer_than(rows, target, "recorded_at", by=["symbol"])
-    return tb.insert_absent(target, fresh, ["symbol", "recorded_at"], ["recorded_at"])
+def _first_bars(bars: DataFrame, order: Sequence[str]) -> DataFrame:
+    """J4 inside a batch: of bars with one symbol and date the first in ``order``."""
+    return tb.first_per_key(bars, ["symbol", "Date"], order)
+
+
+def new_prices(target: DataFrame, batch: DataFrame, order: Sequence[str],
+               closed_before: dt.datetime | None = None) -> DataFrame:
+    """Price rows to append — later than the symbol's stored maximum, the
+    first of equal (symbol, date) in ``order``, the batch's input order.
+
+    ``closed_before``: bars from this time on are still open and left for a
+    later load.  A key in the table cannot come again: J3 keeps later rows only.
+    """
+    if closed_before is not None:
+        batch = batch.where(F.col("Date") < F.lit(closed_before))
+    return tb.newer_than(price_rows(_first_bars(batch, order)), target, "recorded_at", by=["symbol"])
 
 
 def indicator_rows(prices: DataFrame) -> DataFrame:
@@ -57,37 +70,40 @@ def indicator_rows(prices: DataFrame) -> DataFrame:
     return ind.quantize_indicators(out).select("symbol", "recorded_at", *ind.INDICATOR_COLUMNS)
 
 
-def new_indicators(target: DataFrame, prices: DataFrame) -> DataFrame:
-    """Indicators over the full history, then only rows later than the
-    stored maximum per symbol (so warm-up uses all history), inserted if
-    absent."""
-    rows = indicator_rows(prices)
-    fresh = tb.newer_than(rows, target, "recorded_at", by=["symbol"])
-    return tb.insert_absent(target, fresh, ["symbol", "recorded_at"], ["recorded_at"])
+def new_indicators(target: DataFrame, prices: DataFrame, order: Sequence[str],
+                   closed_before: dt.datetime | None = None) -> DataFrame:
+    """Indicators over the full history (equal dates: the first bar in
+    ``order``), then only rows later than the stored maximum per symbol, so
+    warm-up uses all history and no stored key comes again."""
+    if closed_before is not None:
+        prices = prices.where(F.col("Date") < F.lit(closed_before))
+    return tb.newer_than(indicator_rows(_first_bars(prices, order)), target, "recorded_at", by=["symbol"])
 
 
-def run_prices(table_path: str, batch: DataFrame) -> int:
-    """C2 with the sink: append new rows as a new table version."""
-    spark = batch.sparkSession
-    from marketpulse import schemas
-    target = sinks.read_table(spark, table_path, schemas.CRYPTO_PRICES)
-    return _append_new(table_path, target, new_prices(target, batch))
+def run_prices(table_path: str, batch: DataFrame, order: Sequence[str],
+               closed_before: dt.datetime | None = None) -> int:
+    """C2 with the sink: append new rows; returns their number."""
+    target = sinks.read_table(batch.sparkSession, table_path, schemas.CRYPTO_PRICES)
+    return _append_new(table_path, new_prices(target, batch, order, closed_before))
 
 
-def run_indicators(table_path: str, prices: DataFrame) -> int:
+def run_indicators(table_path: str, prices: DataFrame, order: Sequence[str],
+                   closed_before: dt.datetime | None = None) -> int:
     """C3 with the sink."""
-    spark = prices.sparkSession
-    from marketpulse import schemas
-    target = sinks.read_table(spark, table_path, schemas.CRYPTO_INDICATORS)
-    return _append_new(table_path, target, new_indicators(target, prices))
+    target = sinks.read_table(prices.sparkSession, table_path, schemas.CRYPTO_INDICATORS)
+    return _append_new(table_path, new_indicators(target, prices, order, closed_before))
 
 
 def top_pairs(listings: DataFrame, n: int = 10, excluded: Sequence[str] = q.STABLECOINS,
-              order: str = "pos", quote: str = "USDT") -> DataFrame:
+              order: str = "pos", quote: str = "USDT", by: Sequence[str] = ()) -> DataFrame:
     """C7 (S6 -> F4 -> L4 -> P3): the first ``n`` listed coins outside the
-    excluded set, in listing order, as trading pairs.  Planned as
-    TakeOrderedAndProject (each task keeps its best n)."""
+    excluded set, in listing order, as trading pairs — of each response, if
+    ``by`` names its key (top-k per key), else of the one listing (planned as
+    TakeOrderedAndProject; each task keeps its best n)."""
     kept = q.exclude(listings, "symbol", excluded)
+    if by:
+        best = rt.top_k(kept, by, [F.col(order)], n)
+        return best.select(*by, order, pair_symbol("symbol", quote).alias("pair"))
     return (kept.orderBy(order).limit(n)
                 .select(order, pair_symbol("symbol", quote).alias("pair")))
 

@@ -8,8 +8,11 @@ Vector half: strict scan (S2) -> first row per title (W10) -> document text
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketpulse import schemas
 from marketpulse.functions.scalars import content_key, document_text, to_epoch, ts_text
@@ -18,15 +21,19 @@ from marketpulse.operators import tables as tb
 from marketpulse.sources import sinks
 
 NEWS_UPDATE_COLS = ["url", "keywords"]
+#: The stored table is partitioned by this many leading hex digits of the id.
+PREFIX, PREFIX_DIGITS = "id_prefix", 2
+STORED = T.StructType([*schemas.NEWS.fields, T.StructField(PREFIX, T.StringType())])
 
 
-def keyed_news(scanned: DataFrame, created_at=None) -> DataFrame:
-    """P1 + P7: rows in the news table's shape, with ``_pos`` (input order)."""
+def keyed_news(scanned: DataFrame, created_at=None, order: str = "timestamp") -> DataFrame:
+    """P1 + P7: rows in the news table's shape, with ``_pos`` (input order:
+    the column ``order``, ties by the row's own values)."""
     created = F.lit(created_at).cast("timestamp_ntz") if created_at is not None else \
         F.lit(None).cast("timestamp_ntz")
     return scanned.select(
         content_key("title", "body").alias("id"), "title", "body", "published_at", "url", "keywords",
-        created.alias("created_at"), F.monotonically_increasing_id().alias("_pos"))
+        created.alias("created_at"), F.struct(F.col(order).alias("o"), "published_at", "url", "keywords").alias("_pos"))
 
 
 def merge_news(target: DataFrame, batch: DataFrame, order: str = "_pos") -> DataFrame:
@@ -40,16 +47,9 @@ def merge_news(target: DataFrame, batch: DataFrame, order: str = "_pos") -> Data
     return tb.upsert(target, fresh, "id", order, NEWS_UPDATE_COLS)
 
 
-def vector_rows(news: DataFrame, encoder, tz: str = "UTC", order: str = "_row") -> DataFrame:
-    """C1 vector half / S11: one vector record per distinct title."""
-    first = tb.first_per_key(news, ["title"], [order])
-    docs = first.select(
-        content_key("title", "body").alias("id"),
-        document_text("title", "body").alias("content"),
-        "title",
-        ts_text("published_at").alias("published_time"),
-        to_epoch("published_at", tz).alias("timestamp"))
-    return enrich.embed(docs, "content", encoder)
+def vector_rows(news: DataFrame, encoder, tz: str = "UTC", order: Sequence[str] = ("_file", "timestamp", "body")) -> DataFrame:
+    """C1 vector half: one vector record per distinct title, of its first row in ``order``."""
+    return rebuild_vectors(tb.first_per_key(news, ["title"], order), encoder, tz)
 
 
 def rebuild_vectors(news: DataFrame, encoder, tz: str = "UTC") -> DataFrame:
@@ -63,11 +63,39 @@ def rebuild_vectors(news: DataFrame, encoder, tz: str = "UTC") -> DataFrame:
     return enrich.embed(docs, "content", encoder)
 
 
-def run_news(table_path: str, scanned: DataFrame, created_at=None) -> int:
-    """C1 relational half with the sink: writes a new table version."""
+def _with_prefix(news: DataFrame) -> DataFrame:
+    """The partition of a news row: the first digits of its id, a hash."""
+    return news.withColumn(PREFIX, F.substring("id", 1, PREFIX_DIGITS))
+
+
+def run_news(table_path: str, scanned: DataFrame, created_at=None, order: str = "timestamp") -> int:
+    """C1 relational half with the sink; A7: returns the number of new rows.
+
+    Only the partitions of ids in the batch are read, merged and written
+    again; without new rows nothing is written.  New and merged rows are
+    checkpointed, so each is computed once and the table is not read while it
+    is overwritten."""
     spark = scanned.sparkSession
-    target = sinks.read_table(spark, table_path, schemas.NEWS)
-    merged = merge_news(target, keyed_news(scanned, created_at))
-    v = sinks.write_table(merged, table_path)
-    # rows in the new version, from the Parquet footers (no recomputation)
-    return spark.read.parquet(f"{table_path}/{v}").count()
+    target = sinks.read_table(spark, table_path, STORED)
+    fresh = _with_prefix(tb.newer_than(keyed_news(scanned, created_at, order), target, "published_at")).checkpoint()
+    n = fresh.count()
+    if n:
+        # at most 16 ** PREFIX_DIGITS values
+        touched = [r[0] for r in fresh.select(PREFIX).distinct().collect()]
+        merged = tb.upsert(target.where(F.col(PREFIX).isin(touched)).drop(PREFIX), fresh.drop(PREFIX), "id", "_pos", NEWS_UPDATE_COLS)
+        sinks.replace_partitions(_with_prefix(merged).checkpoint(), table_path, PREFIX)
+    return n
+
+
+def read_news_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """The stored news table."""
+    return sinks.read_table(spark, table_path, STORED).drop(PREFIX)
+
+
+def run_vectors(table_path: str, news: DataFrame, encoder, tz: str = "UTC",
+                order: Sequence[str] = ("_file", "timestamp", "body")) -> int:
+    """C1 vector half with the sink: the first row of each title becomes a
+    vector record; the vector table is replaced.  Returns its rows."""
+    rows = vector_rows(news, encoder, tz, order).checkpoint()
+    rows.write.mode("overwrite").parquet(table_path)
+    return rows.count()

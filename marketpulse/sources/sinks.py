@@ -1,22 +1,15 @@
-"""Sinks (S8, S9, S12) and versioned table snapshots.
-
-Keyed updates (J4–J7) produce a whole new table from (old table, batch).
-Writing that over the path being read would destroy the input mid-job, so
-a table is a folder of versions: each write goes to a fresh ``v=<id>``
-folder, then commits by creating the next numbered marker
-``_log/<seq>.json`` (create-if-absent, never overwritten or deleted).  The
-live version is the one named by the highest marker; it lists its data
-folders (an append adds one folder of new rows to the previous list).  A job that dies
-before its marker exists leaves the previous version live; two writers
-racing for the same number cannot both commit.
+"""Sinks (S8, S9, S12) and stored tables.
+
+Tables are Parquet folders written by Spark's own writers: appends for prices
+and indicators (partitioned by symbol), dynamic overwrite of the touched
+partitions for news (partitioned by a prefix of the id, which is a hash).
 """
 
 from __future__ import annotations
 
-import json
 import os
-import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,109 +64,36 @@ def write_partitioned(df: DataFrame, path: str, by: str = "symbol", mode: str =
        .option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path))
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf), p, jvm
-
-
-LOG = "_log"
-
-
-def _markers(spark: SparkSession, table_path: str) -> list:
-    """Marker paths of the table, oldest first (zero-padded names)."""
-    fs, p, jvm = _fs(spark, table_path)
-    log = jvm.org.apache.hadoop.fs.Path(p, LOG)
-    if not fs.exists(log):
-        return []
-    names = sorted(st.getPath().getName() for st in fs.listStatus(log)
-                   if st.getPath().getName().endswith(".json"))
-    return [jvm.org.apache.hadoop.fs.Path(log, n) for n in names]
-
-
-def _marker(spark: SparkSession, table_path: str) -> dict | None:
-    marks = _markers(spark, table_path)
-    if not marks:
-        return None
-    fs, _, jvm = _fs(spark, table_path)
-    stream = fs.open(marks[-1])
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table in its declared schema; an empty frame if none exists yet."""
     try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return json.loads(reader.readLine())
-    finally:
-        stream.close()
-
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
-def current_version(spark: SparkSession, table_path: str) -> str | None:
-    m = _marker(spark, table_path)
-    return None if m is None else m["version"]
 
+def append_rows(df: DataFrame, path: str, by: str = "symbol") -> None:
+    """Add rows to a partitioned table: Spark's own append, which writes new
+    files beside the stored ones and touches none of them."""
+    clustered(df, by).write.mode("append").partitionBy(by).parquet(path)
 
-def read_table(spark: SparkSession, table_path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read the live version of a table (an empty frame if none exists yet).
 
-    Without ``schema`` the schema recorded at the last write is used, so an
-    empty version (a partitioned write of no rows leaves no files) reads
-    back with its columns."""
-    m = _marker(spark, table_path)
-    if m is None:
-        if schema is None:
-            raise FileNotFoundError(table_path)
-        return spark.createDataFrame([], schema)
-    if schema is None and "schema" in m:
-        schema = T.StructType.fromJson(m["schema"])
-    # one scan over all listed folders: ``v=<id>`` is read as a partition
-    # column under the table root and dropped
-    reader = spark.read.option("basePath", table_path)
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.parquet(*[f"{table_path}/{part}" for part in _parts(m)])
-    return df.drop("v") if "v" in df.columns else df
-
-
-def _parts(marker: dict) -> list[str]:
-    """Data folders of a version: a rewrite has one, an append lists the
-    previous version's folders plus its own."""
-    return marker.get("parts", [marker["version"]])
-
-
-def write_table(df: DataFrame, table_path: str, partition_by: str | None = None,
-                append: bool = False) -> str:
-    """Write ``df`` as a new version of the table and commit it.
-
-    ``append=False``: ``df`` is the whole new table.  ``append=True``: ``df``
-    holds only rows to add; they go to a new folder and the version lists
-    the previous folders plus that one, so an append never rewrites the
-    stored rows."""
-    spark = df.sparkSession
-    v = f"v=t{uuid.uuid4().hex}"  # a letter first: always read back as a string
-    prev = _marker(spark, table_path) if append else None
-    parts = (_parts(prev) if prev else []) + [v]
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = clustered(df, partition_by).write.mode("errorifexists").partitionBy(partition_by)
-    w.parquet(f"{table_path}/{v}")
-    # commit: create the next marker; overwrite=False fails if another
-    # writer took that number first, and nothing is ever deleted
-    fs, p, jvm = _fs(spark, table_path)
-    seq = len(_markers(spark, table_path))
-    marker = jvm.org.apache.hadoop.fs.Path(jvm.org.apache.hadoop.fs.Path(p, LOG), f"{seq:020d}.json")
-    out = fs.create(marker, False)
-    try:
-        out.write(bytearray(json.dumps({"version": v, "parts": parts,
-                                        "schema": df.schema.jsonValue()}).encode()))
-    finally:
-        out.close()
-    return v
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Overwrite only the partitions that ``df`` has rows for.  ``df`` must not
+    read the table any more (checkpoint it first)."""
+    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def create_tables(spark: SparkSession, base: str) -> dict[str, str]:
-    """Create the five tables (empty first version) if absent."""
+    """Create the five tables, empty, where absent; (name, path)."""
     made = {}
     for name, schema in schemas.TABLES.items():
         path = os.path.join(base, name)
-        if current_version(spark, path) is None:
-            write_table(spark.createDataFrame([], schema), path, schemas.PARTITIONED.get(name))
+        empty = spark.createDataFrame([], schema)
+        part = schemas.PARTITIONED.get(name)
+        w = empty.write.mode("ignore")  # an existing table stays as it is
+        (w.partitionBy(part) if part else w).parquet(path)
         made[name] = path
     return made

@@ -65,7 +65,11 @@ def _advance(rows: pd.DataFrame, st: dict, keep: int) -> list[tuple]:
 
 def stream_indicators(bars: DataFrame, by: str = "symbol", ts: str = "Date",
                       close: str = "Close") -> DataFrame:
-    """Streaming indicator rows from a stream of bars (append mode)."""
+    """Streaming indicator rows from a stream of bars (append mode).
+
+    A task holds one symbol's bars of one micro-batch, to put them in order;
+    read the stream with ``ingest.file_stream``, whose ``max_files`` bounds it
+    (a backlog then comes in many micro-batches)."""
     keep = max(RSI_N + 1, BB_N)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -1,47 +1,43 @@
-"""Continuous ingest (T1): a file stream merged into a keyed table.
+"""Continuous ingest (T1): a file stream loaded into a stored table.
 
-Each micro-batch runs the same pure functions as the batch pipelines
-(high-water mark J3, then upsert J5 or insert-if-absent J4) against the live
-table version and writes the result as a new version.  Rows at or before
-the table's high-water mark are dropped, so replaying a micro-batch after a
-failure changes nothing (the sink is idempotent).
+Each micro-batch runs the same load as the batch pipelines (``run_news``,
+``run_prices``, ``run_indicators``): rows at or before the table's high-water
+mark are dropped, so replaying a micro-batch after a failure finds no new rows
+and writes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from marketpulse.sources import sinks
+#: A load: (table path, batch) -> number of new rows.
+Load = Callable[[str, DataFrame], int]
 
-Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
+def file_stream(spark: SparkSession, path: str, schema: StructType | str, max_files: int = 100) -> DataFrame:
+    """A Parquet file stream of declared schema.  ``max_files`` bounds what one
+    micro-batch reads, also the first over a large backlog."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
-def merge_into(table_path: str, schema: StructType, merge: Merge,
-               partition_by: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: new version = merge(current, batch)."""
+
+def load_into(table_path: str, load: Load) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: load each micro-batch into the table."""
     def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch.isEmpty():
-            return
-        target = sinks.read_table(spark, table_path, schema)
-        sinks.write_table(merge(target, batch), table_path, partition_by)
+        load(table_path, batch)
     return run
 
 
-def stream_ingest(stream: DataFrame, table_path: str, schema: StructType, merge: Merge,
-                  checkpoint: str, partition_by: str | None = None,
+def stream_ingest(stream: DataFrame, table_path: str, load: Load, checkpoint: str,
                   available_now: bool = True) -> StreamingQuery:
     """Start the ingest stream.
 
-    ``stream`` is a ``readStream`` frame (file source with a declared schema);
     ``checkpoint`` is a folder on shared storage for the stream's offsets.
     With ``available_now`` the query processes what is there and stops.
     """
-    w = (stream.writeStream.foreachBatch(merge_into(table_path, schema, merge, partition_by))
-               .option("checkpointLocation", checkpoint))
+    w = stream.writeStream.foreachBatch(load_into(table_path, load)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketpulse import schemas
 from marketpulse.operators import tables as tb
-from marketpulse.plans import market
+from marketpulse.plans import market, news as newsplan
 from marketpulse.sources import sinks
 from marketpulse.sources.adapters import prices_v
 from tests.conftest import SMALL
@@ -54,41 +54,87 @@ def test_delete_cascade_and_keyed_update(spark):
     s2, m2 = tb.delete_cascade(s, m, ids, "id", "session_id")
     assert {r.id for r in s2.collect()} == {"b"}
     assert {r.id for r in m2.collect()} == {"m2", "m3"}
-    ch = spark.createDataFrame([("b", "new"), ("zz", "ignored")], "id string, new_value string")
-    assert {tuple(r) for r in tb.keyed_update(s, ch, "id", "title").collect()} == {("a", "t"), ("b", "new")}
+    ch = spark.createDataFrame([("b", "new", 2), ("b", "old", 1), ("zz", "ignored", 1)], "id string, new_value string, n int")
+    assert sorted(map(tuple, tb.keyed_update(s, ch, "id", "title", "n").collect())) == [("a", "t"), ("b", "new")]
 
 
 def test_price_and_indicator_pipelines_run_twice_equal_once(spark, tmp_dir):
     p = prices_v(spark, SMALL)
     path = f"{tmp_dir}/crypto_prices"
-    first = market.run_prices(path, p)
+    first = market.run_prices(path, p, ["Close"])
     assert first == p.count()
-    assert market.run_prices(path, p) == 0
+    assert market.run_prices(path, p, ["Close"]) == 0
     ipath = f"{tmp_dir}/crypto_indicators"
-    n1 = market.run_indicators(ipath, p)
-    assert n1 == p.count() and market.run_indicators(ipath, p) == 0
+    n1 = market.run_indicators(ipath, p, ["Close"])
+    assert n1 == p.count() and market.run_indicators(ipath, p, ["Close"]) == 0
     table = sinks.read_table(spark, ipath, schemas.CRYPTO_INDICATORS)
     assert table.count() == n1
     assert "symbol" in table.columns
 
 
-def test_versioned_table_keeps_old_version(spark, tmp_dir):
-    path = f"{tmp_dir}/t"
-    v1 = sinks.write_table(spark.createDataFrame([(1,)], "x int"), path)
-    old = spark.read.parquet(f"{path}/{v1}")
-    sinks.write_table(old.withColumn("x", F.col("x") + 1), path)
-    assert sinks.read_table(spark, path).first().x == 2
-    assert spark.read.parquet(f"{path}/{v1}").first().x == 1
+def _bars(spark, rows):
+    return spark.createDataFrame(rows, "symbol string, Date timestamp_ntz, Close double, Volume double, seq int")
+
+
+def test_first_of_equal_bars_whatever_the_partitions(spark):
+    rows = [("A", T, float(k), 1.0, k) for k in range(1, 41)]
+    target = spark.createDataFrame([], schemas.CRYPTO_PRICES)
+    for n in (1, 4, 7):
+        got = market.new_prices(target, _bars(spark, rows[::-1]).repartition(n), ["seq"]).collect()
+        assert [float(r.price) for r in got] == [1.0]
+
+
+def test_open_candles_wait(spark, tmp_dir):
+    bars = _bars(spark, [("A", T + dt.timedelta(days=d), 1.0 + d, 1.0, 0) for d in range(3)])
+    path = f"{tmp_dir}/p"
+    assert market.run_prices(path, bars, ["seq"], closed_before=T + dt.timedelta(days=2)) == 2
+    assert market.run_prices(path, bars, ["seq"]) == 1
+
 
+def test_two_writers_keep_all_rows(spark, tmp_dir):
+    """B is committed while C's load is planned on the table of A: all stay."""
+    path = f"{tmp_dir}/w"
 
-def test_append_writes_only_new_rows(spark, tmp_dir):
+    def bar(symbol):
+        return _bars(spark, [(symbol, T, 1.0, 1.0, 0)])
+
+    market.run_prices(path, bar("A"), ["seq"])
+    slow = market.new_prices(sinks.read_table(spark, path, schemas.CRYPTO_PRICES), bar("C"), ["seq"])
+    market.run_prices(path, bar("B"), ["seq"])
+    sinks.append_rows(slow, path)
+    assert sorted(r.symbol for r in sinks.read_table(spark, path, schemas.CRYPTO_PRICES).collect()) == ["A", "B", "C"]
+
+
+def _files(path):
     import os
-    path = f"{tmp_dir}/a"
-    sinks.write_table(spark.createDataFrame([("A", 1)], "symbol string, x int"), path, "symbol")
-    sinks.write_table(spark.createDataFrame([("A", 2), ("B", 3)], "symbol string, x int"), path,
-                      "symbol", append=True)
-    assert sorted((r.symbol, r.x) for r in sinks.read_table(spark, path).collect()) == \
-        [("A", 1), ("A", 2), ("B", 3)]
-    assert len([d for d in os.listdir(path) if d.startswith("v=")]) == 2
-    sinks.write_table(spark.createDataFrame([("C", 4)], "symbol string, x int"), path, "symbol")
-    assert [(r.symbol, r.x) for r in sinks.read_table(spark, path).collect()] == [("C", 4)]
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs if f.startswith("part-")}
+
+
+def test_news_load_writes_only_touched_partitions(spark, tmp_dir):
+    cols = "title string, body string, published_at timestamp_ntz, url string, keywords string, timestamp long"
+    first = [(f"t{k}", "b", T, f"u{k}", "k", k) for k in range(40)]
+    path = f"{tmp_dir}/news"
+    assert newsplan.run_news(path, spark.createDataFrame(first, cols)) == 40
+    before = _files(path)
+    assert newsplan.run_news(path, spark.createDataFrame(first, cols)) == 0 and _files(path) == before
+    later = [("t0", "b", T + dt.timedelta(days=1), "new", "k2", 1), ("t0", "b", T + dt.timedelta(days=1), "newer", "k3", 2)]
+    assert newsplan.run_news(path, spark.createDataFrame(later[::-1], cols)) == 2
+    assert len(set(before) - set(_files(path))) <= 1  # one partition was written again
+    got = {r.title: r for r in newsplan.read_news_table(spark, path).collect()}
+    assert len(got) == 40 and got["t0"].url == "newer" and got["t0"].published_at == T and got["t1"].url == "u1"
+
+
+def test_stream_replay_writes_nothing(spark, tmp_dir):
+    from marketpulse.streaming.ingest import file_stream, load_into, stream_ingest
+    bars = _bars(spark, [("A", T + dt.timedelta(days=d), 1.0, 1.0, 0) for d in range(3)])
+    bars.write.parquet(f"{tmp_dir}/src")
+    path = f"{tmp_dir}/t"
+
+    def load(t, b):
+        return market.run_prices(t, b, ["seq"])
+
+    stream_ingest(file_stream(spark, f"{tmp_dir}/src", bars.schema), path, load, f"{tmp_dir}/ck").awaitTermination()
+    before = _files(path)
+    assert sinks.read_table(spark, path, schemas.CRYPTO_PRICES).count() == 3
+    load_into(path, load)(bars, 0)  # the same micro-batch once more
+    assert _files(path) == before
