@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.operators import quality as q
 from marketpulse.operators import tables as tb
-from marketpulse.operators.series import auto_bucket_seconds, index_series
+from marketpulse.operators.series import index_series
 
 # Fixed value: prefix of generated session titles ("new conversation N").
 DEFAULT_TITLE_PREFIX = "新對話 "
@@ -33,30 +33,31 @@ def number_titles(new: DataFrame, sessions: DataFrame, order: str = "created_at"
     the bucketed series index, so a large batch is not sorted in one task.
     """
     n0 = count_default_titles(sessions, prefix).scalar()
-    # a batch usually spans hours, not years: size the buckets from the batch
-    bucket = auto_bucket_seconds(new, order)
-    indexed = index_series(new.withColumn("_g", F.lit(0)), ["_g"], order, bucket, tie=["id"], idx="_pos")
+    indexed = index_series(new.withColumn("_g", F.lit(0)), ["_g"], order, tie=["id"], idx="_pos")
     gen = F.concat(F.lit(prefix), (n0 + F.col("_pos") + F.lit(1)).cast("string"))
     cols = [c for c in new.columns if c != "title"]
     return indexed.select(*cols, F.coalesce(F.col("title"), gen).alias("title"))
 
 
 def history(messages: DataFrame, session_id: str) -> DataFrame:
-    """(sender, message, created_at) of one session, oldest first."""
-    return (q.by_key(messages, "session_id", session_id)
-              .select("sender", "message", "created_at").orderBy("created_at"))
+    """(pos, sender, message, created_at) of one session, oldest first."""
+    return (histories(q.by_key(messages, "session_id", session_id))
+              .select("pos", "sender", "message", "created_at").orderBy("pos"))
 
 
 def histories(messages: DataFrame) -> DataFrame:
-    """L5 for every session at once: message position per session by time."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("session_id").orderBy("created_at", "id")
-    return messages.withColumn("pos", F.row_number().over(w))
+    """L5 for every session at once: message position per session by time
+    (from 1; ties by id).  A session with very many messages is numbered in
+    buckets, not in one task."""
+    rows = index_series(messages, ["session_id"], "created_at", tie=["id"], idx="pos")
+    return rows.withColumn("pos", F.col("pos") + 1)
 
 
 def list_sessions(sessions: DataFrame) -> DataFrame:
-    """(id, title, created_at), newest first."""
-    return sessions.select("id", "title", "created_at").orderBy(F.col("created_at").desc())
+    """(pos, id, title, created_at), newest first (ties: the later id first)."""
+    n = sessions.agg(F.count(F.lit(1))).scalar()
+    rows = index_series(sessions.withColumn("_g", F.lit(0)), ["_g"], "created_at", tie=["id"], idx="_i")
+    return rows.select((n - F.col("_i")).alias("pos"), "id", "title", "created_at").orderBy("pos")
 
 
 def validate_messages(messages: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,11 +92,12 @@ def create_sessions(sessions: DataFrame, new: DataFrame) -> DataFrame:
     return tb.append_rows(sessions, titled.select(*sessions.columns))
 
 
-def rename_sessions(sessions: DataFrame, changes: DataFrame) -> DataFrame:
-    """Set titles from ``changes`` (id, new_title); empty titles are
-    rejected (F6) and unknown ids change nothing."""
+def rename_sessions(sessions: DataFrame, changes: DataFrame, order: str) -> DataFrame:
+    """Set titles from ``changes`` (id, new_title, ``order``); empty titles
+    are rejected (F6), unknown ids change nothing, and of several renames of a
+    session the last wins."""
     ok, _ = q.require(changes, ["new_title"])
-    return tb.keyed_update(sessions, ok, "id", "title", new_col="new_title")
+    return tb.keyed_update(sessions, ok, "id", "title", order, new_col="new_title")
 
 
 def delete_sessions(sessions: DataFrame, messages: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.operators.series import (
-    BLK, DEFAULT_BLOCK_ROWS, DEFAULT_BUCKET_SECONDS, HALO, IDX,
+    BLK, DEFAULT_BLOCK_ROWS, DEFAULT_BUCKET_ROWS, HALO, IDX,
     _d, _over, _q, ema, ema_block, halo_blocks, index_series, macd_scan,
 )
 
@@ -43,11 +43,11 @@ def rsi_from_means(mean_gain: Column, mean_loss: Column) -> Column:
              .otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + mean_gain / mean_loss)))
 
 
-def _prepare(prices: DataFrame, by: str, ts: str, close: str, bucket_seconds: int,
+def _prepare(prices: DataFrame, by: str, ts: str, close: str, bucket_rows: int,
              block: int, halo: int) -> DataFrame:
     base = (prices.selectExpr(_q(by), _q(ts), f"CAST({_q(close)} AS DOUBLE) AS _x")
                   .where("_x IS NOT NULL"))
-    indexed = index_series(base, [by], ts, bucket_seconds)
+    indexed = index_series(base, [by], ts, bucket_rows, tie=["_x"])
     return halo_blocks(indexed, IDX, block, halo)
 
 
@@ -55,7 +55,7 @@ def indicators(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: s
                rsi_n: int = RSI_N, fast: int = MACD_FAST, slow: int = MACD_SLOW,
                signal: int = MACD_SIGNAL, bb_n: int = BB_N, bb_k: float = BB_K,
                block: int = DEFAULT_BLOCK_ROWS,
-               bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+               bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """RSI, MACD, MACD signal and Bollinger bands per (symbol, date).
 
     Semantics per series ordered by ``ts`` (i = 0-based row index):
@@ -63,13 +63,15 @@ def indicators(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: s
     MACD = EMA(fast) - EMA(slow), signal = EMA(signal) of MACD, both defined
     from i = 0; bands = mean ± k·sample sd over ``bb_n`` rows, from i = bb_n-1.
     Warm-up rows are kept with nulls.  Rows with a null close are left out
-    before the windows (the documented null rule).  The expressions are the
+    before the windows (the documented null rule).  Dates should be unique in
+    a series (Q2; the loads take the first bar of a date); rows of equal date
+    are ordered by close, so the result does not depend on the partitioning.  The expressions are the
     Column helpers above (diff, gain_loss, rsi_from_means), written as SQL
     text so the plan is built in a few calls.
     """
     block = ema_block([fast, slow, signal], block)
     halo = max(rsi_n, bb_n - 1)
-    rows = _prepare(prices, by, ts, close, bucket_seconds, block, halo)
+    rows = _prepare(prices, by, ts, close, bucket_rows, block, halo)
 
     own = rows.where(f"NOT {HALO}").select(by, ts, IDX, BLK, "_x")
 
@@ -101,9 +103,9 @@ def indicators(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: s
 
 def rsi(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: str = "Close",
         n: int = RSI_N, block: int = DEFAULT_BLOCK_ROWS,
-        bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+        bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """W1–W4 alone: (by, ts, delta, gain, loss, avg_gain, avg_loss, rsi)."""
-    rows = _prepare(prices, by, ts, close, bucket_seconds, block, n)
+    rows = _prepare(prices, by, ts, close, bucket_rows, block, n)
     w = Window.partitionBy(by, BLK).orderBy(IDX)
     rows = rows.withColumn("delta", diff("_x", w))
     gain, loss = gain_loss(F.col("delta"))
@@ -119,9 +121,9 @@ def rsi(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: str = "C
 
 def bollinger(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: str = "Close",
               n: int = BB_N, k: float = BB_K, block: int = DEFAULT_BLOCK_ROWS,
-              bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+              bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Rolling mean and sample sd over ``n`` rows, bands at ±k sd."""
-    rows = _prepare(prices, by, ts, close, bucket_seconds, block, n - 1)
+    rows = _prepare(prices, by, ts, close, bucket_rows, block, n - 1)
     wn = Window.partitionBy(by, BLK).orderBy(IDX).rowsBetween(-(n - 1), 0)
     ready = F.col(IDX) >= n - 1
     rows = rows.select(by, ts, HALO, F.when(ready, F.avg("_x").over(wn)).alias("mean"),
@@ -134,20 +136,20 @@ def bollinger(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: st
 
 def ema_series(prices: DataFrame, spans: dict[str, int], by: str = "symbol", ts: str = "Date",
                col: str = "Close", block: int = DEFAULT_BLOCK_ROWS,
-               bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+               bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """One EMA column per entry of ``spans`` (name -> span)."""
     base = prices.select(by, ts, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    rows = index_series(base, [by], ts, bucket_seconds)
+    rows = index_series(base, [by], ts, bucket_rows, tie=["_x"])
     rows = ema(rows, [by], IDX, {n: ("_x", s) for n, s in spans.items()}, block=block)
     return rows.select(by, ts, *spans.keys())
 
 
 def macd(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: str = "Close",
          fast: int = MACD_FAST, slow: int = MACD_SLOW, signal: int = MACD_SIGNAL,
-         block: int = DEFAULT_BLOCK_ROWS, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+         block: int = DEFAULT_BLOCK_ROWS, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """MACD line, signal line and their difference (histogram)."""
     base = prices.select(by, ts, F.col(close).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    rows = index_series(base, [by], ts, bucket_seconds)
+    rows = index_series(base, [by], ts, bucket_rows, tie=["_x"])
     rows = macd_scan(rows, [by], IDX, "_x", fast, slow, signal, block=block, out=("macd", "signal"))
     return rows.select(by, ts, "macd", "signal", (F.col("macd") - F.col("signal")).alias("hist"))
 

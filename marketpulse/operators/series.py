@@ -6,8 +6,9 @@ partitioned by ``symbol`` alone would then run that share in one task.  The
 helpers here split every series into fixed-size row blocks:
 
 * :func:`index_series` numbers the rows of each series (0-based) with a
-  deterministic two-step plan: row counts per (key, time bucket) give each
-  bucket its offset, and a window over (key, bucket) numbers rows inside it.
+  deterministic plan: quantiles of each series' times cut it into buckets of
+  a bounded number of rows, row counts per (key, bucket) give each bucket its
+  offset, and a window over (key, bucket) numbers rows inside it.
 * :func:`halo_blocks` copies the last ``halo`` rows of each block into the
   next block, so ROWS-framed windows of up to ``halo + 1`` rows are exact
   inside ``partitionBy(key, block)``.
@@ -30,10 +31,11 @@ IDX = "_i"
 BLK = "_blk"
 HALO = "_halo"
 
-# Default sizes.  A time bucket should hold what one task sorts comfortably;
-# a block is the unit of the window work (its length also bounds r**-j in
-# the EMA scan, see _block_for).
-DEFAULT_BUCKET_SECONDS = 366 * 86400
+# Default sizes.  A bucket should hold what one task sorts comfortably, and a
+# series has at most MAX_BUCKETS of them; a block is the unit of the window
+# work (its length also bounds r**-j in the EMA scan, see _block_for).
+DEFAULT_BUCKET_ROWS = 1 << 18
+MAX_BUCKETS = 128
 DEFAULT_BLOCK_ROWS = 1024
 
 
@@ -72,31 +74,39 @@ def _order_seconds(df: DataFrame, order: str) -> str:
     return f"CAST({c} AS BIGINT)"
 
 
-def auto_bucket_seconds(df: DataFrame, order: str, rows_per_bucket: int = 1 << 20) -> int:
-    """A time-bucket width giving about ``rows_per_bucket`` rows per bucket
-    even if every row belonged to one key (one stats row: min, max, count)."""
-    t = F.expr(_order_seconds(df, order))
-    st = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if st is None or st.n == 0 or st.lo is None:
-        return DEFAULT_BUCKET_SECONDS
-    span = st.hi - st.lo + 1
-    return max(1, int(math.ceil(span * rows_per_bucket / st.n)))
+def with_buckets(df: DataFrame, by: Sequence[str], order: str, bucket_rows: int = DEFAULT_BUCKET_ROWS,
+                 max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    """Add ``_tb``, a number that grows with ``order`` inside each ``by`` series
+    and holds about ``bucket_rows`` rows a value, however the times are spread.
+
+    One map-side combined aggregate per series gives its row count and the
+    quantiles of its times; a series of n rows is cut at ceil(n / bucket_rows)
+    of them, at most ``max_buckets``.  Rows of equal time share a bucket.
+    """
+    t = _order_seconds(df, order)
+    shares = ", ".join(f"{k / max_buckets!r}D" for k in range(1, max_buckets))
+    stats = df.groupBy(*by).agg(F.expr(f"percentile_approx({t}, array({shares}), {100 * max_buckets}) AS _cuts"),
+                                F.expr(f"least({max_buckets}, ceil(count(1) / {int(bucket_rows)})) AS _nb"))
+    passed = f"size(filter(coalesce(_cuts, array()), c -> c < {t}))"
+    return df.join(stats, on=list(by)).selectExpr(
+        *[_q(c) for c in df.columns], f"CASE WHEN _nb = 1 THEN 0L ELSE {passed} * _nb div {max_buckets} END AS _tb")
 
 
 def index_series(df: DataFrame, by: Sequence[str], order: str,
-                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+                 bucket_rows: int = DEFAULT_BUCKET_ROWS,
                  tie: Sequence[str] = (), idx: str = IDX) -> DataFrame:
-    """Add ``idx``: the 0-based position of each row inside its ``by`` series.
-
-    Step 1 counts rows per (by, time bucket) — a map-side-combined aggregate
-    whose result has one row per bucket.  A window over that small table
-    gives every bucket the number of rows before it.  Step 2 joins the
-    offsets back on (by, bucket) and numbers rows inside each bucket; the
-    join's exchange is the one the window needs, so the rows are shuffled
-    once.  No task ever holds more than one bucket of one series.
+    """Add ``idx``: the 0-based position of each row inside its ``by`` series
+    (by ``order``, then ``tie``).
+
+    Step 1 counts rows per (by, bucket) — a map-side-combined aggregate
+    whose result has one row per bucket (see :func:`with_buckets`).  A window
+    over that small table gives every bucket the number of rows before it.
+    Step 2 joins the offsets back on (by, bucket) and numbers rows inside each
+    bucket; the join's exchange is the one the window needs, so the rows are
+    shuffled once.  No task sorts more than one bucket of one series.
     """
     by = list(by)
-    keyed = df.selectExpr("*", f"floor({_order_seconds(df, order)} / {int(bucket_seconds)}) AS _tb")
+    keyed = with_buckets(df, by, order, bucket_rows)
     counts = keyed.groupBy(*by, "_tb").agg(F.expr("count(1) AS _n"))
     offsets = counts.selectExpr(
         *[_q(c) for c in by], "_tb",
@@ -127,12 +137,6 @@ def _block_for(span: float, block: int) -> int:
     return max(1, min(block, int(600.0 / -math.log(r))))
 
 
-def _fold_step(R: float):
-    def step(acc, x):
-        return acc * F.lit(R) + x
-    return step
-
-
 def ema(df: DataFrame, by: Sequence[str], idx: str, cols: dict[str, tuple[str, float]],
         block: int = DEFAULT_BLOCK_ROWS, carry_chunk: int = 4096,
         blk_col: str | None = None) -> DataFrame:

@@ -114,16 +114,14 @@ def delete_cascade(parent: DataFrame, child: DataFrame, ids: DataFrame, parent_k
             child.join(gone, F.col(child_fk) == F.col("_gone"), "left_anti"))
 
 
-def keyed_update(target: DataFrame, changes: DataFrame, key: str, col: str,
-                 new_col: str = "new_value", order: str | None = None) -> DataFrame:
+def keyed_update(target: DataFrame, changes: DataFrame, key: str, col: str, order: str,
+                 new_col: str = "new_value") -> DataFrame:
     """Set ``col`` from ``changes`` where the key matches; unknown keys
-    change nothing.  With several changes per key the last (by ``order``) wins.
+    change nothing.  Of several changes of a key the last (by ``order``) wins,
+    so a key stays one row.
     """
-    if order:
-        ch = changes.groupBy(key).agg(F.max_by(F.col(new_col), F.col(order)).alias("_new"))
-    else:
-        ch = changes.select(key, F.col(new_col).alias("_new"))
-    ch = ch.withColumn("_hit", F.lit(True))
+    ch = (changes.groupBy(key).agg(F.max_by(F.col(new_col), F.col(order)).alias("_new"))
+                 .withColumn("_hit", F.lit(True)))
     j = target.join(ch, on=key, how="left")
     return j.withColumn(col, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(col)))\
             .select(*target.columns)

@@ -32,6 +32,15 @@ def test_number_titles_continue_count(spark):
 
 
 def test_rename_rejects_empty_title(spark):
-    ch = spark.createDataFrame([("s1", ""), ("s2", "renamed")], "id string, new_title string")
-    out = {r.id: r.title for r in cv.rename_sessions(_sessions(spark), ch).collect()}
-    assert out == {"s1": "新對話 1", "s2": "renamed", "s3": "新對話 2"}
+    ch = spark.createDataFrame([("s1", "", 1), ("s2", "later", 3), ("s2", "renamed", 2), ("zz", "x", 1)],
+                               "id string, new_title string, n int")
+    out = [(r.id, r.title) for r in cv.rename_sessions(_sessions(spark), ch, "n").collect()]
+    assert sorted(out) == [("s1", "新對話 1"), ("s2", "later"), ("s3", "新對話 2")]
+
+
+def test_history_positions_of_a_long_session(spark):
+    rows = [(f"m{k:03d}", "s1", "user", "x", T + dt.timedelta(seconds=k // 3)) for k in range(200)]
+    m = spark.createDataFrame(rows[::-1], "id string, session_id string, sender string, message string, created_at timestamp_ntz")
+    got = {r.id: r.pos for r in cv.histories(m).collect()}
+    assert got == {f"m{k:03d}": k + 1 for k in range(200)}
+    assert [r.pos for r in cv.history(m, "s1").collect()] == list(range(1, 201))

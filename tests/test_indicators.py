@@ -63,7 +63,7 @@ def test_warm_up(spark, n):
 @pytest.mark.parametrize("block", [8, 27, 256, 1024])
 def test_long_series_any_block(spark, block):
     closes = list(np.random.default_rng(7).normal(100, 10, 700))
-    out = _run(spark, closes, block=block, bucket_seconds=30 * 86400)
+    out = _run(spark, closes, block=block, bucket_rows=60)
     ref = _pandas(closes)
     for c in ind.INDICATOR_COLUMNS:
         a, b = out[c].astype(float), ref[c].astype(float)
@@ -102,7 +102,7 @@ def test_macd_scan_many_blocks_and_carry_chunks(spark):
     from marketpulse.operators.series import IDX, index_series, macd_scan
     closes = list(np.random.default_rng(11).normal(50, 4, 500))
     rows = index_series(_series(spark, closes).withColumnRenamed("Close", "x"), ["symbol"], "Date",
-                        bucket_seconds=40 * 86400)
+                        bucket_rows=60)
     out = (macd_scan(rows, ["symbol"], IDX, "x", 12, 26, 9, block=8, carry_chunk=5)
            .orderBy("Date").toPandas())
     ref = _pandas(closes)
@@ -111,7 +111,7 @@ def test_macd_scan_many_blocks_and_carry_chunks(spark):
 
 
 def test_numbering_does_not_depend_on_session_zone(spark):
-    """20-minute bars across a DST change, 20-minute buckets: the row index (and
+    """20-minute bars across a DST change, buckets of 3 rows: the row index (and
     so every indicator) is the same whatever the session time zone."""
     from marketpulse.operators.series import IDX, index_series
     start = dt.datetime(2024, 3, 10, 0, 0)          # US spring-forward night
@@ -122,8 +122,23 @@ def test_numbering_does_not_depend_on_session_zone(spark):
         out = {}
         for tz in ("UTC", "America/New_York"):
             spark.conf.set("spark.sql.session.timeZone", tz)
-            got = index_series(df, ["symbol"], "Date", bucket_seconds=1200).orderBy("Date").collect()
+            got = index_series(df, ["symbol"], "Date", bucket_rows=3).orderBy("Date").collect()
             out[tz] = [r[IDX] for r in got]
         assert out["UTC"] == out["America/New_York"] == list(range(30))
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_buckets_are_bounded_by_rows_not_by_time(spark):
+    """One symbol with nine tenths of its rows in one day: buckets stay small,
+    the numbering is exact, and rows of equal time keep their tie order."""
+    from marketpulse.operators.series import IDX, index_series, with_buckets
+    day = dt.datetime(2024, 5, 5)
+    times = [day + dt.timedelta(seconds=30 * k) for k in range(1800)] + [dt.datetime(2020, 1, 1) + dt.timedelta(days=7 * k) for k in range(200)]
+    rows = [("HOT", t, float(k)) for k, t in enumerate(times)] + [("COLD", day, 1.0), ("COLD", day, 0.0)]
+    df = spark.createDataFrame(rows[::-1], "symbol string, Date timestamp_ntz, x double")
+    sizes = with_buckets(df, ["symbol"], "Date", 50).groupBy("symbol", "_tb").count().where("symbol = 'HOT'").collect()
+    assert len(sizes) >= 30 and max(r["count"] for r in sizes) <= 100
+    got = {(r.symbol, r.x): r[IDX] for r in index_series(df, ["symbol"], "Date", 50, tie=["x"]).collect()}
+    order = sorted(range(2000), key=lambda k: times[k])
+    assert got == {**{("HOT", float(k)): i for i, k in enumerate(order)}, ("COLD", 0.0): 0, ("COLD", 1.0): 1}
