@@ -9,10 +9,12 @@ X; no ticker -> the default list.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.functions.scalars import json_list_or, translate_coins
+from marketpulse.functions.scalars import COIN_TRANSLATION, json_list_or, translate_coins
 
 # Tickers recognised in a question (table symbols plus the
 # dictionary's extra tickers), the popular and default lists of the rules,
@@ -36,9 +38,9 @@ def _present(conds: list[tuple[str, Column]]) -> Column:
     return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, ","))
 
 
-def _mentions(tokens: Column) -> Column:
-    """Tickers, in TICKERS order, present as a whole token."""
-    return _present([(t, F.array_contains(tokens, t)) for t in TICKERS])
+def _mentions(tokens: Column, tickers: Sequence[str]) -> Column:
+    """Tickers, in their given order, present as a whole token."""
+    return _present([(t, F.array_contains(tokens, t)) for t in tickers])
 
 
 def _besides(up: Column) -> Column:
@@ -48,37 +50,33 @@ def _besides(up: Column) -> Column:
     return out
 
 
-def _rules(tokens: Column, mentioned: Column, besides: Column) -> Column:
-    others = _present([(p, ~F.array_contains(tokens, p)) for p in POPULAR])
-    return (F.when(F.size(mentioned) == 0, F.array(*[F.lit(d) for d in DEFAULT_COINS]))
+def _rules(tokens: Column, mentioned: Column, besides: Column, popular: Sequence[str], default: Sequence[str]) -> Column:
+    others = _present([(p, ~F.array_contains(tokens, p)) for p in popular])
+    return (F.when(F.size(mentioned) == 0, F.array(*[F.lit(d) for d in default]))
              .when(besides, others)
              .otherwise(mentioned))
 
 
-def coins_expr(text: Column) -> Column:
-    """Array of coin tickers a question is about, by the three rules."""
-    up = F.upper(translate_coins(text))
-    tok = _tokens(up)
-    return _rules(tok, _mentions(tok), _besides(up))
-
-
-def with_coins(df: DataFrame, text_col: str, out: str = "coins") -> DataFrame:
+def with_coins(df: DataFrame, text_col: str, out: str = "coins",
+               lexicon: Sequence[tuple[str, str]] = COIN_TRANSLATION, tickers: Sequence[str] = TICKERS,
+               popular: Sequence[str] = POPULAR, default: Sequence[str] = DEFAULT_COINS) -> DataFrame:
     """Adds ``out``: the coin array of each text.  The normalised text and
     the mention list are projected once each (staged columns, so the
     optimizer does not repeat them inside the rule expression)."""
-    staged = df.withColumn("_up", F.upper(translate_coins(F.col(text_col))))
+    staged = df.withColumn("_up", F.upper(translate_coins(F.col(text_col), lexicon)))
     staged = staged.withColumn("_tok", _tokens(F.col("_up"))).withColumn("_b", _besides(F.col("_up")))
-    staged = staged.withColumn("_m", _mentions(F.col("_tok")))
-    return (staged.withColumn(out, _rules(F.col("_tok"), F.col("_m"), F.col("_b")))
+    staged = staged.withColumn("_m", _mentions(F.col("_tok"), tickers))
+    return (staged.withColumn(out, _rules(F.col("_tok"), F.col("_m"), F.col("_b"), popular, default))
                   .drop("_up", "_tok", "_m", "_b"))
 
 
-def tag_coins(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """U4: one row per (id, pos, symbol) — the coins each text is about."""
+def tag_coins(df: DataFrame, text_col: str, id_col: str, **rules) -> DataFrame:
+    """U4: one row per (id, pos, symbol) — the coins each text is about.
+    ``rules``: another lexicon, tickers, popular or default list (see ``with_coins``)."""
     # outer explode + null filter: an inner explode would make the optimizer
     # push a size(coins) > 0 filter below the staged projections, inlining
     # (and so repeating) the whole rule expression there
-    return (with_coins(df.select(id_col, text_col), text_col, "_coins")
+    return (with_coins(df.select(id_col, text_col), text_col, "_coins", **rules)
             .select(id_col, F.posexplode_outer("_coins").alias("pos", "symbol"))
             .where(F.col("symbol").isNotNull()))
 

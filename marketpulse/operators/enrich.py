@@ -28,12 +28,17 @@ SHORT_TEXT_WORDS = 30
 
 
 def _batch_udf(model: Callable[[pd.Series], pd.Series], return_type) -> Callable[[Column], Column]:
-    """Wrap a pandas-Series model as an iterator pandas_udf (model built once)."""
+    """Wrap a pandas-Series model as an iterator pandas_udf (model built once).
+    Nulls never reach the model and give null."""
     @F.pandas_udf(return_type)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fn = model() if isinstance(model, type) else model
         for s in batches:
-            yield pd.Series(fn(s))
+            out = pd.Series([None] * len(s), dtype=object)
+            given = s[s.notna().to_numpy()]
+            if len(given):
+                out.loc[s.notna().to_numpy()] = pd.Series(list(fn(given)), dtype=object).to_numpy()
+            yield out
     return run
 
 
@@ -47,15 +52,16 @@ def summarize(df: DataFrame, col: str, out: str = "Summary",
               min_words: int = SHORT_TEXT_WORDS) -> DataFrame:
     """Texts under ``min_words`` words pass through; others are summarised.
 
-    Only the long rows reach the model: the short-text gate (F7) is a JVM
-    expression evaluated first.
+    Only the long texts reach the model: Spark evaluates a Python function for
+    every row of a batch, so short texts (F7) are handed over as null, which
+    the wrapper does not pass on.
     """
     require_columns(df, [col])
     short = short_text(col, min_words)
     if model is None:
         summary = leading_words(F.col(col))
     else:
-        summary = _batch_udf(model, T.StringType())(F.col(col))
+        summary = _batch_udf(model, T.StringType())(F.when(~short, F.col(col)))
     return df.withColumn(out, F.when(short, F.col(col)).otherwise(summary))
 
 

@@ -21,30 +21,20 @@ from marketpulse.functions.scalars import (
 NEWS_COLUMNS = ["timestamp", "published_at", "title", "body", "url", "keywords"]
 
 
-def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan over at least ``min_partitions`` tasks (default: the
-    session's default parallelism) when it has fewer.
-
-    A Parquet row group is the smallest unit a scan splits, so a file
-    written as one large row group is read, and every per-row expression on
-    it evaluated, by a single task.  Inputs already split at least that
-    finely (every large table) come back unchanged: no shuffle is added at
-    scale.  Counting partitions plans the scan but runs no job.
-    """
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n)
-
-
-def _csv(spark: SparkSession, path, schema) -> DataFrame:
+def _csv(spark: SparkSession, path, schema, multi_line: bool = True) -> DataFrame:
+    """``multi_line``: fields may hold line breaks, so a file is one split."""
     return (spark.read.schema(schema)
-            .option("header", True).option("multiLine", True)
+            .option("header", True).option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"')
             .option("mode", "PERMISSIVE").option("encoding", "UTF-8")
             .csv(path))
 
 
+def read_csv(spark: SparkSession, path, columns: Sequence[str]) -> DataFrame:
+    """A written CSV (S8) of text columns, as it was written (empty text is null)."""
+    return _csv(spark, path, ", ".join(f"`{c}` string" for c in columns))
+
+
 def read_news(spark: SparkSession, path) -> DataFrame:
     """Lenient news scan.
 
@@ -66,8 +56,8 @@ def read_news_strict(spark: SparkSession, path) -> DataFrame:
     """Strict scan by header names; a malformed time raises an error.
 
     Text is kept as written (no null tokens).  Deduplication by title is
-    left to ``tables.first_per_key`` with an explicit order column (``_row``,
-    the position in the file set).
+    left to ``tables.first_per_key`` in the input's own order: file name
+    (``_file``), then the file's ``timestamp`` column.
     """
     raw = _csv(spark, path, schemas.NEWS_CSV)
     return raw.select(
@@ -75,7 +65,7 @@ def read_news_strict(spark: SparkSession, path) -> DataFrame:
         F.coalesce(F.col("Title"), F.lit("")).alias("title"),
         F.coalesce(F.col("Body"), F.lit("")).alias("body"),
         F.col("_metadata.file_name").alias("_file"),
-        F.monotonically_increasing_id().alias("_row"))
+        F.col("Timestamp").try_cast("long").alias("timestamp"))
 
 
 def read_prices(spark: SparkSession, directory: str, symbols: Sequence[str] | None = None,
@@ -85,7 +75,7 @@ def read_prices(spark: SparkSession, directory: str, symbols: Sequence[str] | No
     The symbol comes from the file name; ``symbols`` (if given) is applied as
     a filter on it.  A header-only file gives no rows.
     """
-    raw = _csv(spark, f"{directory}/*{quote}_historical_prices.csv", schemas.PRICE_CSV)
+    raw = _csv(spark, f"{directory}/*{quote}_historical_prices.csv", schemas.PRICE_CSV, multi_line=False)
     # a plain file ``BTCUSDT_historical_prices.csv`` or a folder of that
     # name written by Spark (``[file=]BTCUSDT_historical_prices.csv/part-*``)
     sym = F.regexp_extract(F.col("_metadata.file_path"),
@@ -122,19 +112,27 @@ def decode_articles(df: DataFrame, json_col: str, tz: str = "Asia/Taipei") -> Da
         normalise_keywords(F.try_variant_get("a", "$.KEYWORDS", "variant")).alias("keywords"))
 
 
+def _others(df: DataFrame, json_col: str) -> list[str]:
+    return [c for c in df.columns if c != json_col]
+
+
 def decode_candles(df: DataFrame, json_col: str, tz: str = "UTC") -> DataFrame:
-    """Kline JSON (array of arrays) -> (Date, Open, High, Low, Close, Volume)."""
-    rows = df.select(F.explode(F.from_json(F.col(json_col), "array<array<string>>")).alias("k"))
+    """Kline JSON (array of arrays) -> the row's other columns (symbol, ...)
+    and (Date, Open, High, Low, Close, Volume)."""
+    keep = _others(df, json_col)
+    rows = df.select(*keep, F.explode(F.from_json(F.col(json_col), "array<array<string>>")).alias("_k"))
     return rows.select(
-        millis_to_date(F.col("k")[0].cast("long"), tz).alias("Date"),
-        *[F.col("k")[i].alias(n) for i, n in enumerate(["Open", "High", "Low", "Close", "Volume"], 1)])
+        *keep, millis_to_date(F.col("_k")[0].cast("long"), tz).alias("Date"),
+        *[F.col("_k")[i].alias(n) for i, n in enumerate(["Open", "High", "Low", "Close", "Volume"], 1)])
 
 
 def decode_listings(df: DataFrame, json_col: str) -> DataFrame:
-    """Listing JSON -> one row per coin in response order (pos, symbol)."""
+    """Listing JSON -> the row's other columns (the response's key, ...)
+    and one row per coin in response order (pos, symbol)."""
+    keep = _others(df, json_col)
     schema = "struct<data: array<struct<symbol: string>>>"
-    parsed = df.select(F.from_json(F.col(json_col), schema).alias("_j"))
-    return parsed.select(F.posexplode("_j.data").alias("pos", "c")).select("pos", F.col("c.symbol").alias("symbol"))
+    parsed = df.select(*keep, F.from_json(F.col(json_col), schema).alias("_j"))
+    return parsed.select(*keep, F.posexplode("_j.data").alias("pos", "_c")).select(*keep, "pos", F.col("_c.symbol").alias("symbol"))
 
 
 def _joined(fragments: list[str]) -> str:
@@ -146,6 +144,7 @@ def _extract_page(html: str, css_class: str, inner_tag: str) -> list[str]:
     """Texts of the first ``inner_tag`` inside each element of ``css_class``."""
     from html.parser import HTMLParser
 
+    skipped = {"script", "style"}
     void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
     class P(HTMLParser):
@@ -156,6 +155,7 @@ def _extract_page(html: str, css_class: str, inner_tag: str) -> list[str]:
             self.out = []
 
         def handle_starttag(self, tag, attrs):
+            self.cut()
             classes = (dict(attrs).get("class") or "").split()
             is_target = css_class in classes
             for st in self.open_targets:
@@ -171,7 +171,17 @@ def _extract_page(html: str, css_class: str, inner_tag: str) -> list[str]:
                 self.open_targets.append({"depth": len(self.stack), "inner_depth": None,
                                           "buf": None, "done": False, "slot": slot})
 
+        def cut(self):
+            """A tag or comment ends the text fragment before it."""
+            for st in self.open_targets:
+                if st["buf"]:
+                    st["buf"].append("")
+
+        def handle_comment(self, data):
+            self.cut()
+
         def handle_endtag(self, tag):
+            self.cut()
             if tag not in self.stack:
                 return
             while self.stack:
@@ -188,9 +198,14 @@ def _extract_page(html: str, css_class: str, inner_tag: str) -> list[str]:
                     break
 
         def handle_data(self, data):
+            if self.stack and self.stack[-1] in skipped:
+                return
             for st in self.open_targets:
                 if st["inner_depth"] is not None and not st["done"]:
-                    st["buf"].append(data)
+                    if st["buf"]:  # the parser may hand over one text in parts
+                        st["buf"][-1] += data
+                    else:
+                        st["buf"].append(data)
 
         def close(self):
             super().close()

@@ -84,6 +84,33 @@ def test_html_extraction_and_triples(spark):
         ("Alice", "3/2/24", "First titleunclosed"), ("Carol", "1/1/24", "Another")]
 
 
+def test_html_text_rules(spark):
+    html = ("<div class=Text><div> a &lt; b < c<script>var q=1;</script> &amp; <!-- no -->d</div></div>"
+            "<div class='Text'><style>.x{}</style><div>a < b</div></div>")
+    pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    assert [r.text for r in files.extract_texts(pages).orderBy("pos").collect()] == ["a < b < c&d", "a < b"]
+
+
+def test_decoders_keep_the_other_columns(spark):
+    bodies = spark.createDataFrame([("BTC", '[[0,"1","2","0.5","1.5","9"]]'), ("ETH", '[[86400000,"3","4","2","3.5","8"]]')], "symbol string, json string")
+    got = sorted((r.symbol, r.Date, r.Open, r.Close) for r in files.decode_candles(bodies, "json").collect())
+    assert got == [("BTC", "1970-01-01", "1", "1.5"), ("ETH", "1970-01-02", "3", "3.5")]
+    lists = spark.createDataFrame([(7, '{"data":[{"symbol":"A"},{"symbol":"B"}]}'), (8, '{"data":[{"symbol":"C"}]}')], "page int, json string")
+    assert sorted(map(tuple, files.decode_listings(lists, "json").collect())) == [(7, 0, "A"), (7, 1, "B"), (8, 0, "C")]
+
+
+def test_strict_scan_order_is_the_files_own(spark, tmp_dir):
+    import os
+    from marketpulse.operators import tables as tb
+    os.makedirs(f"{tmp_dir}/n")
+    head = "Timestamp,Published Time,Title,Body,URL,Keywords\n"
+    for k, size in ((0, 1), (1, 4000)):  # the larger file is scanned first
+        with open(f"{tmp_dir}/n/part-{k}.csv", "w") as f:
+            f.write(head + "".join(f"{100 * k + i},2024-01-01 00:00:00,t,{'x' * 200}{k}-{i},u,k\n" for i in range(size)))
+    first = tb.first_per_key(files.read_news_strict(spark, f"{tmp_dir}/n"), ["title"], ["_file", "timestamp"]).collect()
+    assert [r.body[200:] for r in first] == ["0-0"]
+
+
 def test_read_prices_header_only_and_missing(spark, tmp_dir):
     import os
     d = f"{tmp_dir}/price"
@@ -112,13 +139,13 @@ def test_create_tables_once(spark, tmp_dir):
     made = sinks.create_tables(spark, f"{tmp_dir}/db")
     assert set(made) == set(schemas.TABLES)
     for name, path in made.items():
-        t = sinks.read_table(spark, path)
+        t = sinks.read_table(spark, path, schemas.TABLES[name])
         assert t.count() == 0
-        assert [f.name for f in t.schema.fields if f.name != "symbol"] == \
-            [f.name for f in schemas.TABLES[name].fields if f.name != "symbol"]
-    v = sinks.current_version(spark, made["news"])
+        assert sorted(t.columns) == sorted(f.name for f in schemas.TABLES[name].fields)
+    sessions = spark.createDataFrame([("s", None, "t")], schemas.CHAT_SESSIONS)
+    sessions.write.mode("append").parquet(made["chat_sessions"])
     sinks.create_tables(spark, f"{tmp_dir}/db")          # existing tables are kept
-    assert sinks.current_version(spark, made["news"]) == v
+    assert sinks.read_table(spark, made["chat_sessions"], schemas.CHAT_SESSIONS).count() == 1
 
 
 def test_rebuild_vectors_every_row(spark):
@@ -134,17 +161,3 @@ def test_rebuild_vectors_every_row(spark):
     assert v.where(F.size("embedding") != 64).count() == 0
     keys = n.select(content_key("title", "body").alias("id"))
     assert v.select("id").exceptAll(keys).count() == 0
-
-
-def test_balanced_only_spreads_coarse_scans(spark):
-    from marketpulse.sources.files import balanced
-
-    def exchanges(df):
-        return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
-
-    coarse = spark.range(0, 1000, 1, numPartitions=1)
-    fine = spark.range(0, 1000, 1, numPartitions=16)
-    assert balanced(coarse, 8).rdd.getNumPartitions() == 8
-    assert exchanges(balanced(coarse, 8)) == 1
-    assert balanced(fine, 8) is fine                 # already split: unchanged, no shuffle
-    assert sorted(r.id for r in balanced(coarse, 8).collect()) == list(range(1000))
