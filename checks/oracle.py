@@ -7,15 +7,26 @@ self-contained.  Parameters mirror the constants in ``checks/queries.py``.
 
 from __future__ import annotations
 
-from marketpulse.functions.scalars import NULL_TOKENS, WORD_PATTERN, WHITESPACE_CLASS
-from marketpulse.operators.coins import DEFAULT_COINS, EXCLUSION_WORDS, POPULAR, TICKERS
-from marketpulse.sources.adapters import LISTING_EXCLUDED
 from checks.queries import (
-    BATCH_FEEDS, DEFAULT_TITLE_PREFIX, LOADED_FEEDS, NOW_EPOCH, PRICE_CUTOFF, QUESTION_TEMPLATES,
+    BATCH_FEEDS, CLOSED_BEFORE, DEFAULT_TITLE_PREFIX, LOADED_FEEDS, NOW_EPOCH, PRICE_CUTOFF, QUESTION_TEMPLATES,
     WANTED_SYMBOLS,
     SYMBOL_MAP, WINDOW_DAYS,
 )
 
+# Fixed values, written out here so that a wrong constant in the library fails.
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+               "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+COIN_TRANSLATION = [("比特幣", "BTC"), ("以太幣", "ETH"), ("以太坊", "ETH"), ("狗狗幣", "DOGE"), ("柴犬幣", "SHIB"), ("幣安幣", "BNB"),
+                    ("瑞波幣", "XRP"), ("索拉納", "SOL"), ("波卡", "DOT"), ("萊特幣", "LTC")]
+TICKERS = ["BTC", "ETH", "BNB", "XRP", "SOL", "ADA", "DOGE", "TRX", "LTC", "XLM", "HBAR", "SHIB", "DOT"]
+POPULAR = ["BTC", "ETH", "SOL"]
+DEFAULT_COINS = ["BTC", "ETH"]
+EXCLUSION_WORDS = ["除了", "BESIDES", "EXCEPT", "OTHER THAN"]
+LISTING_EXCLUDED = [f"Customer#{k:09d}" for k in range(1, 9)]
+WHITESPACE_CLASS = (r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+WORD_PATTERN = f"[^{WHITESPACE_CLASS}]+"
+
 
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -69,7 +80,7 @@ QUESTIONS_V = """questions_v AS (
 
 QTEXT = f"""qtext AS (
   SELECT doc_id AS qid,
-         {_list(QUESTION_TEMPLATES)}[doc_id % {len(QUESTION_TEMPLATES)} + 1] || split_part(text, chr(10), 1)
+         {_list(QUESTION_TEMPLATES)}[doc_id % {len(QUESTION_TEMPLATES)} + 1] || text
            AS question
   FROM documents)"""
 
@@ -86,7 +97,7 @@ SESSIONS_V = """sessions_v AS (
   SELECT 's-' || conv_id::VARCHAR AS id,
          TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id::BIGINT) AS created_at,
          CASE WHEN conv_id % 3 = 0 THEN '新對話 ' || (conv_id // 3 + 1)::VARCHAR
-              ELSE substr(first_text, 1, 30) END AS title
+              ELSE first_text END AS title
   FROM (SELECT conv_id, arg_min_null(text, turn) AS first_text FROM conversations GROUP BY conv_id))"""
 
 KNOWN_SESSIONS = f"""known AS (SELECT * FROM sessions_v WHERE NOT starts_with(title, {_lit(DEFAULT_TITLE_PREFIX)}))"""
@@ -218,8 +229,8 @@ SELECT * FROM t WHERE "Title" IS NOT NULL AND regexp_matches("Date", '^.{0,12}$'
 ORACLE["w13_number_titles"] = _w(SESSIONS_V, """new AS (
   SELECT 'n-' || conv_id::VARCHAR AS id,
          TIMESTAMP '2024-02-01 00:00:00' + to_minutes(conv_id::BIGINT) AS created_at,
-         CASE WHEN role = 'system' THEN 'kept title' END AS title
-  FROM conversations WHERE turn = 0)""", """n0 AS (SELECT count(*) AS n FROM sessions_v WHERE title LIKE '新對話 %')""") + """
+         CASE WHEN bool_or(role = 'system') THEN 'kept title' END AS title
+  FROM conversations GROUP BY conv_id)""", """n0 AS (SELECT count(*) AS n FROM sessions_v WHERE title LIKE '新對話 %')""") + """
 SELECT id, created_at,
        coalesce(title, '新對話 ' || ((SELECT n FROM n0) + row_number() OVER (ORDER BY created_at, id))::VARCHAR)
          AS title
@@ -235,7 +246,8 @@ FROM prices_v"""
 ORACLE["c2_new_prices"] = _w(PRICES_V, PRICE_ROWS, f"""mx AS (
   SELECT symbol, max(recorded_at) AS m FROM price_rows WHERE recorded_at < TIMESTAMP '{PRICE_CUTOFF}'
   GROUP BY symbol)""") + """
-SELECT r.* FROM price_rows r LEFT JOIN mx USING (symbol) WHERE m IS NULL OR recorded_at > m"""
+SELECT r.* FROM price_rows r LEFT JOIN mx USING (symbol)
+WHERE (m IS NULL OR recorded_at > m) AND recorded_at < TIMESTAMP '1998-06-01'"""
 
 ORACLE["c3_new_indicators"] = _wr(*IND_CTES, IND_ROWS, f"""mx AS (
   SELECT symbol, max(recorded_at) AS m FROM ind_rows WHERE recorded_at < TIMESTAMP '{PRICE_CUTOFF}'
@@ -248,6 +260,10 @@ FROM ind_rows LEFT JOIN mx USING (symbol) WHERE m IS NULL OR recorded_at > m"""
 ORACLE["a1_max_per_key"] = _w(PRICES_V) + 'SELECT symbol, max("Date") AS max_ts FROM prices_v GROUP BY symbol'
 ORACLE["a2_global_max"] = _w(NEWS_V) + "SELECT max(published_at) AS max_ts FROM news_v"
 ORACLE["a5_first_trade"] = _w(PRICES_V) + 'SELECT symbol, min("Date") AS first_date FROM prices_v GROUP BY symbol'
+ORACLE["a5_first_trade_or_now"] = _w(PRICES_V, """syms AS (
+  SELECT DISTINCT symbol FROM (SELECT c_mktsegment AS symbol FROM customer UNION ALL SELECT o_orderpriority FROM orders))""") + """
+SELECT symbol, coalesce(min("Date"), TIMESTAMP '2024-01-01 12:00:00') AS first_date
+FROM syms LEFT JOIN prices_v USING (symbol) GROUP BY symbol"""
 ORACLE["l3_latest"] = _w(PRICES_V) + """
 SELECT symbol, max("Date") AS "Date", arg_max_null("Close", "Date") AS "Close",
        arg_max_null("Volume", "Date") AS "Volume" FROM prices_v GROUP BY symbol"""
@@ -262,6 +278,12 @@ ORACLE["c7_top_pairs"] = f"""
 SELECT c_custkey AS pos, c_name || 'USDT' AS pair FROM customer
 WHERE c_name NOT IN {_in(LISTING_EXCLUDED)} ORDER BY c_custkey LIMIT 10"""
 
+ORACLE["c7_top_pairs_by_response"] = f"""
+SELECT page, pos, pair FROM (
+  SELECT c_custkey // 100 AS page, c_custkey AS pos, c_name || 'USDT' AS pair,
+         row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) AS k
+  FROM customer WHERE c_name NOT IN {_in(LISTING_EXCLUDED)}) WHERE k <= 10"""
+
 ORACLE["l4_rank_by_cap"] = f"""
 SELECT c_name AS symbol, c_acctbal AS market_cap, c_name || 'USDT' AS pair FROM customer
 WHERE c_name NOT IN {_in(LISTING_EXCLUDED)} ORDER BY c_acctbal DESC, c_name LIMIT 10"""
@@ -374,17 +396,18 @@ ORACLE["j6_delete_messages"] = _w(CHAT_V, FLAGGED) + \
     "SELECT id, session_id FROM chat_v WHERE session_id NOT IN (SELECT id FROM flagged)"
 ORACLE["j7_rename_sessions"] = _w(SESSIONS_V) + """
 SELECT s.id, s.created_at,
-       CASE WHEN c.role <> 'system' AND coalesce(length(c.text), 0) >= 40
-            THEN 'renamed ' || c.conv_id::VARCHAR ELSE s.title END AS title
+       coalesce('renamed ' || c.conv_id::VARCHAR || ' ' || c.turn::VARCHAR, s.title) AS title
 FROM sessions_v s
-LEFT JOIN (SELECT conv_id, role, text FROM conversations WHERE turn = 0) c
+LEFT JOIN (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role <> 'system' AND length(text) >= 40 GROUP BY conv_id) c
   ON s.id = 's-' || c.conv_id::VARCHAR"""
 ORACLE["l5_histories"] = _w(CHAT_V) + """
 SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS pos
 FROM chat_v"""
 ORACLE["l5_history_one"] = _w(CHAT_V) + \
-    "SELECT sender, message, created_at FROM chat_v WHERE session_id = 's-3'"
-ORACLE["l6_list_sessions"] = _w(SESSIONS_V) + "SELECT id, title, created_at FROM sessions_v"
+    """SELECT row_number() OVER (ORDER BY created_at, id) AS pos, sender, message, created_at
+FROM chat_v WHERE session_id = 's-3'"""
+ORACLE["l6_list_sessions"] = _w(SESSIONS_V) + """
+SELECT row_number() OVER (ORDER BY created_at DESC, id DESC) AS pos, id, title, created_at FROM sessions_v"""
 ORACLE["c6_rejected_messages"] = _w(CHAT_V, SESSIONS_V, KNOWN_SESSIONS) + """
 SELECT * FROM (
   SELECT id, CASE
@@ -394,15 +417,15 @@ SELECT * FROM (
       WHEN session_id NOT IN (SELECT id FROM known) THEN 'unknown session' END AS reason
   FROM chat_v) WHERE reason IS NOT NULL"""
 ORACLE["c6_append_messages"] = _w(CHAT_V, SESSIONS_V, KNOWN_SESSIONS) + """
-SELECT id FROM chat_v WHERE created_at < TIMESTAMP '2024-01-03 00:00:00'
+SELECT id, session_id, sender, message, created_at FROM chat_v WHERE created_at < TIMESTAMP '2024-01-03 00:00:00'
 UNION ALL
-SELECT id FROM chat_v WHERE created_at >= TIMESTAMP '2024-01-03 00:00:00'
+SELECT id, session_id, sender, message, created_at FROM chat_v WHERE created_at >= TIMESTAMP '2024-01-03 00:00:00'
   AND coalesce(session_id, '') <> '' AND coalesce(sender, '') <> '' AND coalesce(message, '') <> ''
   AND sender IN ('user', 'bot') AND session_id IN (SELECT id FROM known)"""
 ORACLE["c6_create_sessions"] = _w(SESSIONS_V, """new AS (
   SELECT 'n-' || conv_id::VARCHAR AS id,
          TIMESTAMP '2024-03-01 00:00:00' + to_hours(conv_id::BIGINT) AS created_at
-  FROM conversations WHERE turn = 1)""", """n0 AS (SELECT count(*) AS n FROM sessions_v WHERE title LIKE '新對話 %')""") + """
+  FROM conversations GROUP BY conv_id)""", """n0 AS (SELECT count(*) AS n FROM sessions_v WHERE title LIKE '新對話 %')""") + """
 SELECT id, created_at, title FROM sessions_v
 UNION ALL
 SELECT id, created_at,
@@ -438,13 +461,12 @@ SELECT doc_id, coalesce(CASE WHEN body <> '' THEN title END, '無標題') AS tit
 
 
 def _translate(expr: str) -> str:
-    from marketpulse.functions.scalars import COIN_TRANSLATION
     for src, dst in COIN_TRANSLATION:
         expr = f"replace({expr}, {_lit(src)}, {_lit(dst)})"
     return expr
 
 
-ORACLE["p13_translate"] = _w(QTEXT) + f"SELECT qid, {_translate('question')} AS translated FROM qtext"
+ORACLE["p13_translate"] = _w(QTEXT) + f"SELECT qid, md5({_translate('question')}) AS translated_md5 FROM qtext"
 ORACLE["p14_short_date"] = """
 SELECT o_orderkey,
        regexp_matches(strftime(o_orderdate, '%-m/%-d/%y'), '^(0?[1-9]|1[0-2])/(0?[1-9]|[12][0-9]|3[01])/\\d{2}$') AS m_a,
@@ -489,7 +511,7 @@ RANKED = """hits AS (
 KNN = _w(NEWS_V, VECTORS_V, QUESTIONS_V, SCORED.format(src="vectors_v"), RANKED) + """
 SELECT qid, id, round(distance, 6) AS distance, rank FROM hits"""
 ORACLE["j8_knn"] = KNN
-ORACLE["j8_knn_blocked"] = KNN
+ORACLE["j8_knn_tiles"] = KNN
 ORACLE["l2_newest_first"] = _w(NEWS_V, VECTORS_V, QUESTIONS_V, SCORED.format(src="vectors_v"), RANKED) + """
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY "timestamp" DESC, distance, id) AS pos FROM hits"""
 ORACLE["j1_attach_sources"] = _w(NEWS_V, VECTORS_V, QUESTIONS_V, SCORED.format(src="vectors_v"), RANKED,
@@ -527,6 +549,12 @@ COINS = f"""coins AS (
   SELECT qid, unnest(range(0, len(cs))) AS pos, unnest(cs) AS symbol
   FROM (SELECT qid, {_coins_sql('question')} AS cs FROM qtext))"""
 
+ORACLE["p19_coins_from_json"] = """
+SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS qid, unnest([0, 1]) AS pos, unnest([upper(role), 'ETH']) AS symbol
+FROM conversations WHERE turn % 2 = 0
+UNION ALL
+SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS qid, 0 AS pos, 'BTC' AS symbol FROM conversations WHERE turn % 2 <> 0"""
+
 ORACLE["u4_tag_coins"] = _w(QTEXT, COINS) + "SELECT qid, pos, symbol FROM coins"
 
 _TICKER_MAP = "tmap(symbol, ticker) AS (VALUES " + ", ".join(
@@ -589,6 +617,25 @@ SELECT doc_id, md5(CASE WHEN len(regexp_extract_all(body, {WP})) < 30 THEN body
                         ELSE array_to_string(regexp_extract_all(body, {WP})[1:50], ' ') END) AS summary_md5
 FROM news_v"""
 
+_LABEL = "CASE length({0}) % 3 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' ELSE 'Neutral' END"
+ORACLE["f9_enriched_news"] = _w(NEWS_V, f"""s AS (
+  SELECT published_at, title, CASE WHEN len(regexp_extract_all(body, {WP})) < 30 THEN body
+                                   ELSE 'summary: ' || substr(body, 1, 80) END AS summary FROM news_v)""") + f"""
+SELECT strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_time, md5(title) AS title_md5, md5(summary) AS summary_md5,
+       {_LABEL.format('summary')} AS sentiment
+FROM s"""
+ORACLE["u2_classify"] = f"SELECT doc_id, {_LABEL.format('text')} AS label FROM documents"
+ORACLE["u3_embed"] = f"""
+SELECT doc_id, 1024 AS dim, CASE WHEN len(regexp_extract_all(text, {WP})) > 0 THEN 1.0 ELSE 0.0 END AS norm FROM documents"""
+_VECTOR_ROWS = """
+SELECT id, md5(title || chr(10) || body) AS content_md5, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_time,
+       epoch(published_at) AS "timestamp", (length(title || chr(10) || body) % 1000)::DOUBLE AS e1,
+       ((length(title || chr(10) || body) - length(replace(title || chr(10) || body, 'a', ''))) % 1000)::DOUBLE AS e2
+FROM """
+ORACLE["s11_rebuild_vectors"] = _w(NEWS_V) + _VECTOR_ROWS + "news_v"
+ORACLE["c1_run_vectors"] = _w(NEWS_V, """first AS (
+  SELECT * FROM news_v QUALIFY row_number() OVER (PARTITION BY title ORDER BY published_at) = 1)""") + _VECTOR_ROWS + "first"
+
 ORACLE["c9_sql"] = """
 SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 100000.0"""
 
@@ -608,13 +655,27 @@ SELECT epoch(published_at)::BIGINT AS "timestamp",
 FROM news_v"""
 
 ORACLE["s5_decode_candles"] = _w(PRICES_V) + """
-SELECT strftime("Date", '%Y-%m-%d') AS "Date", "Close", "Volume"
+SELECT symbol, strftime("Date", '%Y-%m-%d') AS "Date", round("Close" - 1, 2) AS "Open", round("Close" + 2, 2) AS "High",
+       round("Close" - 2, 2) AS "Low", "Close", "Volume"
 FROM prices_v"""
 
 ORACLE["s6_decode_listings"] = """
-SELECT row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1 AS pos, c_name AS symbol
+SELECT c_custkey // 100 AS page, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1 AS pos, c_name AS symbol
 FROM customer"""
 
+_PAGE_TEXTS = f"""o AS (SELECT o_orderkey % 97 AS k, min(o_orderdate) AS d FROM orders GROUP BY 1),
+t AS (SELECT conv_id AS page_id, turn, role || ' < 9' AS author, coalesce(strftime(d, '%-m/%-d/%y'), '1/2/24') AS day,
+             regexp_replace(coalesce(text, ''), '^[{WHITESPACE_CLASS}]+|[{WHITESPACE_CLASS}]+$', '', 'g') AS title,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n
+      FROM conversations LEFT JOIN o ON conv_id % 97 = k)"""
+ORACLE["s7_extract_texts"] = f"""WITH {_PAGE_TEXTS}
+SELECT page_id, 3 * n AS pos, md5(author) AS text_md5 FROM t
+UNION ALL SELECT page_id, 3 * n + 1, md5(day) FROM t
+UNION ALL SELECT page_id, 3 * n + 2, md5(title) FROM t"""
+ORACLE["c8_extract_triples"] = f"""WITH {_PAGE_TEXTS}
+SELECT page_id, 3 * n AS pos, author AS "Youtuber", day AS "Date", md5(title) AS title_md5 FROM t
+QUALIFY row_number() OVER (PARTITION BY title ORDER BY page_id, n) = 1"""
+
 # --- streaming -----------------------------------------------------------------------
 
 ORACLE["t1_stream_ingest"] = _w(NEWS_V) + """
@@ -623,6 +684,8 @@ SELECT id, arg_min_null(title, doc_id) AS title, arg_min_null(body, doc_id) AS b
        arg_max_null(url, doc_id) AS url, arg_max_null(keywords, doc_id) AS keywords,
        NULL::TIMESTAMP AS created_at
 FROM news_v GROUP BY id"""
+ORACLE["t1_stream_prices"] = _w(PRICES_V, PRICE_ROWS) + \
+    f"SELECT * FROM price_rows WHERE recorded_at < TIMESTAMP '{CLOSED_BEFORE:%Y-%m-%d}'"
 
 BARS_V = """prices_v AS (
   SELECT event_type AS symbol, date_trunc('hour', ts) AS "Date", arg_max(value, ts) AS "Close"
@@ -645,10 +708,21 @@ WHERE symbol NOT IN (SELECT DISTINCT event_type FROM events)"""
 ORACLE["s2_read_news_strict"] = _w(NEWS_V) + """
 SELECT title, published_at, md5(body) AS body_md5 FROM (
   SELECT title, published_at, coalesce(body, '') AS body,
-         row_number() OVER (PARTITION BY title ORDER BY published_at, coalesce(body, '')) AS rn
+         row_number() OVER (PARTITION BY title ORDER BY published_at) AS rn
   FROM news_v) WHERE rn = 1"""
-ORACLE["s9_partitioned_table"] = _w(PRICES_V, PRICE_ROWS) + \
-    "SELECT * FROM price_rows WHERE symbol = '1-URGENT'"
+ORACLE["s9_partitioned_table"] = _w(PRICES_V, PRICE_ROWS) + "SELECT * FROM price_rows"
+ORACLE["a7_rows_written"] = _w(PRICES_V, NEWS_V) + """
+SELECT 'prices' AS load, 1 AS run, count(*) AS n_rows FROM prices_v
+UNION ALL SELECT 'prices', 2, 0
+UNION ALL SELECT 'news', 1, count(*) FROM news_v WHERE published_at < TIMESTAMP '2024-01-01 06:00:00'
+UNION ALL SELECT 'news', 2, count(*) FROM news_v WHERE published_at >= TIMESTAMP '2024-01-01 06:00:00'
+UNION ALL SELECT 'news', 3, 0"""
+ORACLE["s12_create_tables"] = _w(PRICES_V) + """
+SELECT name, CASE name WHEN 'crypto_prices' THEN (SELECT count(*) FROM prices_v) ELSE 0 END AS n_rows
+FROM (VALUES ('news'), ('crypto_prices'), ('crypto_indicators'), ('chat_sessions'), ('chat_messages')) t(name)"""
+ORACLE["c1_run_news_twice"] = _w(NEWS_V) + f"""
+SELECT id, arg_min(published_at, doc_id) AS published_at, arg_max(url, doc_id) AS url, arg_max(keywords, doc_id) AS keywords
+FROM news_v WHERE title NOT IN {TOKENS} AND body NOT IN {TOKENS} GROUP BY id"""
 ORACLE["c2_run_prices_twice"] = _w(PRICES_V, PRICE_ROWS) + "SELECT * FROM price_rows"
 ORACLE["c3_run_indicators_twice"] = _wr(*IND_CTES, IND_ROWS) + """
 SELECT symbol, recorded_at, round(rsi_14::DECIMAL(10,4), 4) AS rsi_14,

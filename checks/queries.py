@@ -38,6 +38,7 @@ REGISTRY: dict[str, Query] = {}
 
 # Fixed check parameters (mirrored in checks/oracle.py).
 PRICE_CUTOFF = "1998-01-01"
+CLOSED_BEFORE = dt.datetime(1998, 6, 1)
 NOW = dt.datetime(2024, 1, 1, 12, 0, 0)
 NOW_EPOCH = 1704110400.0  # NOW as epoch seconds (UTC)
 WINDOW_DAYS = 0.25
@@ -113,14 +114,20 @@ def q_triples(spark, sf):
     return scrape.triples(lines, "doc_id", "pos", "text", r"^.{0,12}$")
 
 
+def _conversations(spark, sf):
+    """One row per conversation, from all its turns."""
+    return ad.table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.bool_or(F.col("role") == "system").alias("has_system"), F.count(F.lit(1)).alias("n_turns"),
+        F.min_by("text", "turn").alias("first_text"), F.max_by("text", "turn").alias("last_text"))
+
+
 @register("w13_number_titles")
 def q_number_titles(spark, sf):
-    c = ad.table(spark, sf, "conversations")
-    new = (c.where(F.col("turn") == 0)
-            .select(F.concat(F.lit("n-"), F.col("conv_id").cast("string")).alias("id"),
-                    (F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-                     + F.make_dt_interval(F.lit(0), F.lit(0), F.col("conv_id").cast("int"))).alias("created_at"),
-                    F.when(F.col("role") == "system", F.lit("kept title")).alias("title")))
+    new = (_conversations(spark, sf)
+           .select(F.concat(F.lit("n-"), F.col("conv_id").cast("string")).alias("id"),
+                   (F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+                    + F.make_dt_interval(F.lit(0), F.lit(0), F.col("conv_id").cast("int"))).alias("created_at"),
+                   F.when(F.col("has_system"), F.lit("kept title")).alias("title")))
     return cv.number_titles(new, ad.sessions_v(spark, sf))
 
 
@@ -139,18 +146,25 @@ def q_quantize_even(spark, sf):
                     sc.quantize_half_even(F.col("Close") / F.lit(7.0), 8, 20).alias("q8"))
 
 
+def _with_repeats(p):
+    """The bars as they came (seq 1) and, of each, a later bar of the same
+    date that differs (seq 2) and must not be taken."""
+    return p.withColumn("seq", F.lit(1)).unionByName(
+        p.withColumn("Close", F.col("Close") + 1).withColumn("seq", F.lit(2)))
+
+
 @register("c2_new_prices")
 def q_new_prices(spark, sf):
     p = ad.prices_v(spark, sf)
     target = market.price_rows(p.where(F.col("Date") < F.lit(PRICE_CUTOFF)))
-    return market.new_prices(target, p)
+    return market.new_prices(target, _with_repeats(p), ["seq"], CLOSED_BEFORE)
 
 
 @register("c3_new_indicators")
 def q_new_indicators(spark, sf):
     p = ad.prices_v(spark, sf)
     target = market.indicator_rows(p).where(F.col("recorded_at") < F.lit(PRICE_CUTOFF))
-    return _round(market.new_indicators(target, p), ind.INDICATOR_COLUMNS)
+    return _round(market.new_indicators(target, _with_repeats(p), ["seq"]), ind.INDICATOR_COLUMNS)
 
 
 @register("a1_max_per_key")
@@ -168,6 +182,13 @@ def q_first_trade(spark, sf):
     return market.first_trade(ad.prices_v(spark, sf))
 
 
+@register("a5_first_trade_or_now")
+def q_first_trade_or_now(spark, sf):
+    seg = ad.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("symbol"))
+    have = ad.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("symbol"))
+    return market.first_trade(ad.prices_v(spark, sf), seg.union(have).distinct(), NOW)
+
+
 @register("l3_latest")
 def q_latest(spark, sf):
     return rt.latest(ad.prices_v(spark, sf), ["symbol"], "Date")
@@ -186,6 +207,12 @@ def q_top_pairs(spark, sf):
     return market.top_pairs(ad.listings_v(spark, sf), 10, ad.LISTING_EXCLUDED)
 
 
+@register("c7_top_pairs_by_response")
+def q_top_pairs_by_response(spark, sf):
+    c = ad.listings_v(spark, sf).withColumn("page", (F.col("pos") / 100).cast("long"))
+    return market.top_pairs(c, 10, ad.LISTING_EXCLUDED, by=["page"])
+
+
 @register("l4_rank_by_cap")
 def q_rank_by_cap(spark, sf):
     return market.rank_by_cap(ad.listings_v(spark, sf), 10, ad.LISTING_EXCLUDED)
@@ -327,14 +354,17 @@ def q_newer_than_by_key(spark, sf):
 def q_insert_absent(spark, sf):
     rows = market.price_rows(ad.prices_v(spark, sf))
     target = rows.where(F.dayofmonth("recorded_at") <= 15)
-    return tb.insert_absent(target, rows, ["symbol", "recorded_at"], ["recorded_at"])
+    # each batch key comes twice; the first in input order is the one to insert
+    batch = rows.withColumn("seq", F.lit(1)).unionByName(
+        rows.withColumn("price", (F.col("price") + 1).cast("decimal(20,8)")).withColumn("seq", F.lit(2)))
+    return tb.insert_absent(target, batch, ["symbol", "recorded_at"], ["seq"]).drop("seq")
 
 
 @register("x3_append_rows")
 def q_append(spark, sf):
     rows = market.price_rows(ad.prices_v(spark, sf))
     target = rows.where(F.dayofmonth("recorded_at") <= 15)
-    new = tb.insert_absent(target, rows, ["symbol", "recorded_at"], ["recorded_at"])
+    new = tb.insert_absent(target, rows, ["symbol", "recorded_at"], ["price"])
     return tb.append_rows(target, new)
 
 
@@ -394,14 +424,15 @@ def q_delete_messages(spark, sf):
 
 @register("j7_rename_sessions")
 def q_rename(spark, sf):
+    # every turn renames its session (the last one wins); turns of the system
+    # name an unknown session, short texts are rejected as empty titles
     s = ad.sessions_v(spark, sf)
-    c = ad.table(spark, sf, "conversations").where(F.col("turn") == 0)
-    changes = c.select(
+    changes = ad.table(spark, sf, "conversations").select(
         F.when(F.col("role") == "system", F.concat(F.lit("x-"), F.col("conv_id").cast("string")))
-         .otherwise(F.concat(F.lit("s-"), F.col("conv_id").cast("string"))).alias("id"),
+         .otherwise(F.concat(F.lit("s-"), F.col("conv_id").cast("string"))).alias("id"), "turn",
         F.when(F.coalesce(F.length("text"), F.lit(0)) < 40, F.lit(""))
-         .otherwise(F.concat(F.lit("renamed "), F.col("conv_id").cast("string"))).alias("new_title"))
-    return cv.rename_sessions(s, changes)
+         .otherwise(F.concat_ws(" ", F.lit("renamed"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("new_title"))
+    return cv.rename_sessions(s, changes, "turn")
 
 
 @register("l5_histories")
@@ -435,13 +466,13 @@ def q_append_messages(spark, sf):
     m = ad.chat_v(spark, sf).select("id", "session_id", "sender", "message", "created_at")
     existing = m.where(F.col("created_at") < F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"))
     batch = m.where(F.col("created_at") >= F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"))
-    return cv.append_messages(existing, batch, _known_sessions(spark, sf)).select("id")
+    return cv.append_messages(existing, batch, _known_sessions(spark, sf))
 
 
 @register("c6_create_sessions")
 def q_create_sessions(spark, sf):
     s = ad.sessions_v(spark, sf)
-    c = ad.table(spark, sf, "conversations").where(F.col("turn") == 1)
+    c = _conversations(spark, sf)
     new = c.select(F.concat(F.lit("n-"), F.col("conv_id").cast("string")).alias("id"),
                    (F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
                     + F.make_dt_interval(F.lit(0), F.col("conv_id").cast("int"))).alias("created_at"))
@@ -513,14 +544,14 @@ def _questions_text(spark, sf):
     d = ad.table(spark, sf, "documents")
     tmpl = F.array(*[F.lit(t) for t in QUESTION_TEMPLATES])
     text = F.concat(F.element_at(tmpl, (F.col("doc_id") % len(QUESTION_TEMPLATES) + 1).cast("int")),
-                    F.substring_index("text", "\n", 1))
+                    F.col("text"))
     return d.select(F.col("doc_id").alias("qid"), text.alias("question"))
 
 
 @register("p13_translate")
 def q_translate(spark, sf):
     qs = _questions_text(spark, sf)
-    return qs.select("qid", sc.translate_coins("question").alias("translated"))
+    return qs.select("qid", F.md5(sc.translate_coins("question")).alias("translated_md5"))
 
 
 @register("p14_short_date")
@@ -588,10 +619,10 @@ def q_knn(spark, sf):
     return _round(hits, ["distance"], 6)
 
 
-@register("j8_knn_blocked")
-def q_knn_blocked(spark, sf):
-    hits = rt.knn(_vectors(spark, sf), ad.questions_v(spark, sf), 5, max_broadcast_queries=7,
-                  vector_block_rows=128)
+@register("j8_knn_tiles")
+def q_knn_tiles(spark, sf):
+    # many small tiles, so that pairs of tiles are formed and left out
+    hits = rt.knn(_vectors(spark, sf), ad.questions_v(spark, sf), 5, tile_rows=96)
     return _round(hits, ["distance"], 6)
 
 
@@ -655,6 +686,15 @@ def _ticker_indicators(spark, sf):
                        *[F.bround(F.col(c), 2).cast("decimal(20,2)").alias(c) for c in ind.INDICATOR_COLUMNS])
 
 
+@register("p19_coins_from_json")
+def q_coins_from_json(spark, sf):
+    """A model's answer as JSON text: a list, or (for the failure branch) prose."""
+    c = ad.table(spark, sf, "conversations")
+    answer = F.when(F.col("turn") % 2 == 0, F.to_json(F.array(F.upper("role"), F.lit("ETH")))) \
+              .otherwise(F.concat(F.lit("I think: "), F.col("text")))
+    return cn.coins_from_json(c.select(F.concat_ws("-", "conv_id", "turn").alias("qid"), answer.alias("answer")), "answer", "qid")
+
+
 @register("u5_build_prompts")
 def q_prompts(spark, sf):
     qv = ad.questions_v(spark, sf)
@@ -671,6 +711,28 @@ def q_summarize(spark, sf):
     return en.summarize(n, "body", "summary").select("doc_id", F.md5("summary").alias("summary_md5"))
 
 
+def _short_label(texts):
+    """A model that SQL can state: a label by the text's length."""
+    return texts.map(lambda t: "Positive" if len(t) % 3 == 0 else "Negative" if len(t) % 3 == 1 else "Neutral")
+
+
+def _head_model(texts):
+    """A model that SQL can state: the text's first 80 characters, marked."""
+    return "summary: " + texts.str.slice(0, 80)
+
+
+@register("f9_enriched_news")
+def q_enriched_news(spark, sf):
+    from marketpulse.sources.sinks import write_csv
+    n = ad.news_v(spark, sf).select(sc.ts_text("published_at").alias("Published Time"),
+                                    F.col("title").alias("Title"), F.col("body").alias("Body"))
+    path = _scratch(spark, "enriched-csv")
+    write_csv(en.enrich_news(n, _short_label, _head_model), path)
+    out = files.read_csv(spark, path, ["Published Time", "Title", "Summary", "Sentiment"])
+    return out.select(F.col("Published Time").alias("published_time"), F.md5(F.coalesce("Title", F.lit(""))).alias("title_md5"),
+                      F.md5(F.coalesce("Summary", F.lit(""))).alias("summary_md5"), F.col("Sentiment").alias("sentiment"))
+
+
 @register("c9_sql")
 def q_sql(spark, sf):
     ad.table(spark, sf, "orders").createOrReplaceTempView("orders")
@@ -732,17 +794,16 @@ def q_decode_articles(spark, sf):
 def q_decode_candles(spark, sf):
     p = ad.prices_v(spark, sf)
     k = F.to_json(F.array(F.unix_millis(F.col("Date").cast("timestamp")).cast("string"),
-                          F.col("Close").cast("string"), F.col("Close").cast("string"),
-                          F.col("Close").cast("string"), F.col("Close").cast("string"),
-                          F.col("Volume").cast("string")))
+                          *[(F.col("Close") + x).cast("string") for x in (-1, 2, -2)],
+                          F.col("Close").cast("string"), F.col("Volume").cast("string")))
     docs = (p.select("symbol", F.year("Date").alias("y"), "Date", k.alias("k"))
               .groupBy("symbol", "y")
               .agg(F.concat(F.lit("["), F.array_join(F.transform(
                   F.array_sort(F.collect_list(F.struct("Date", "k"))), lambda s: s["k"]), ","),
                   F.lit("]")).alias("json")))
     out = files.decode_candles(docs, "json")
-    return out.select("Date", F.col("Close").cast("double").alias("Close"),
-                      F.col("Volume").cast("double").alias("Volume"))
+    return out.select("symbol", "Date", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in
+                                          ("Open", "High", "Low", "Close", "Volume")])
 
 
 @register("s6_decode_listings")
@@ -757,28 +818,63 @@ def q_decode_listings(spark, sf):
     return files.decode_listings(docs, "json")
 
 
+def _escaped(c):
+    return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _text_pages(spark, sf):
+    """A web page per conversation.  Every turn is an element of class Text
+    that holds author, date or title in turn; scripts, comments and an element
+    without an inner div are in between and are no texts.  Dates are those of
+    the orders' keys."""
+    c = ad.table(spark, sf, "conversations")
+    o = ad.table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 97).alias("k")).agg(F.min("o_orderdate").alias("d"))
+    c = c.join(o, F.col("conv_id") % 97 == F.col("k"), "left")
+    item = F.concat(F.lit("<div class='x Text'><b>skip</b><div> <script>var q = 1 < 2;</script>"), _escaped(F.col("role")),
+                    F.lit(" < 9</div><div>second</div></div><!-- <div class=Text><div>no</div></div> --><p class=Text>none</p><div class=Text><div>"),
+                    F.coalesce(F.date_format("d", "M/d/yy"), F.lit("1/2/24")), F.lit("</div></div><div class=Text><div>"),
+                    _escaped(sc.strip(F.coalesce("text", F.lit("")))), F.lit("</div></div>"))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("h")))),
+                                                             lambda s: s["h"]), "").alias("html")) \
+        .select(F.col("conv_id").alias("page_id"), F.concat(F.lit("<html><body>"), "html", F.lit("</body></html>")).alias("html"))
+
+
 @register("s7_extract_texts")
 def q_extract_texts(spark, sf):
-    return files.extract_texts(ad.table(spark, sf, "pages"), "html", "page_id", "ad", "div")
+    return files.extract_texts(_text_pages(spark, sf)).select("page_id", "pos", F.md5("text").alias("text_md5"))
 
 
 @register("c8_extract_triples")
 def q_extract_triples(spark, sf):
-    return scrape.extract_triples(ad.table(spark, sf, "pages"), css_class="ad", inner_tag="div")
+    out = scrape.extract_triples(_text_pages(spark, sf))
+    return out.select("page_id", "pos", "Youtuber", "Date", F.md5("Title").alias("title_md5"))
 
 
 @register("u3_embed")
 def q_embed(spark, sf):
     d = ad.table(spark, sf, "documents")
     model = en.fit_embedder(d, "text")
-    return en.embed(d.select("doc_id", "text"), "text", model).select("doc_id", F.size("embedding").alias("dim"))
+    out = en.embed(d.select("doc_id", "text"), "text", model)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return out.select("doc_id", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"))
+
+
+@register("s11_rebuild_vectors")
+def q_rebuild_vectors(spark, sf):
+    """Every news row re-keyed and re-embedded by a model that SQL can state."""
+    rows = newsplan.rebuild_vectors(ad.news_v(spark, sf), _size_vector)
+    return rows.select("id", F.md5("content").alias("content_md5"), "published_time", "timestamp",
+                       F.element_at("embedding", 1).cast("double").alias("e1"), F.element_at("embedding", 2).cast("double").alias("e2"))
+
+
+def _size_vector(texts):
+    return texts.map(lambda t: [float(len(t) % 1000), float(t.count("a") % 1000)])
 
 
 @register("u2_classify")
 def q_classify(spark, sf):
-    model = en.fit_sentiment(ad.labels_v(spark, sf))
     d = ad.table(spark, sf, "documents").select("doc_id", "text")
-    return en.classify(d, "text", model, "label").select("doc_id", "label")
+    return en.classify(d, "text", _short_label, "label").select("doc_id", "label")
 
 
 # ---------------------------------------------------------------- streaming
@@ -795,7 +891,8 @@ def _stream_in_chunks(spark, chunks: list[DataFrame], schema, build, out_fmt="pa
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(src)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    stream = spark.readStream.schema(schema).parquet(src)
+    from marketpulse.streaming.ingest import file_stream
+    stream = file_stream(spark, src, schema)
     for c in chunks:
         c.write.mode("append").parquet(src)
         query = build(stream).option("checkpointLocation", ck).trigger(availableNow=True).start()
@@ -804,20 +901,32 @@ def _stream_in_chunks(spark, chunks: list[DataFrame], schema, build, out_fmt="pa
 
 @register("t1_stream_ingest")
 def q_stream_ingest(spark, sf):
-    from marketpulse import schemas
-    from marketpulse.sources import sinks
-    from marketpulse.streaming.ingest import merge_into
-    n = _news_table(spark, sf)
+    from marketpulse.streaming.ingest import load_into
+    n = ad.news_v(spark, sf)
     bounds = n.agg(F.min("doc_id"), F.max("doc_id")).first()
     lo, hi = int(bounds[0]), int(bounds[1])
     step = (hi - lo) // 3 + 1
     chunks = [n.where((F.col("doc_id") >= lo + k * step) & (F.col("doc_id") < lo + (k + 1) * step))
               for k in range(3)]
     table = _scratch(spark, "news-table")
-    merge = lambda t, b: newsplan.merge_news(t, b, order="doc_id")
-    _stream_in_chunks(spark, chunks, n.schema,
-                      lambda s: s.writeStream.foreachBatch(merge_into(table, schemas.NEWS, merge)))
-    return sinks.read_table(spark, table, schemas.NEWS)
+    load = load_into(table, lambda t, b: newsplan.run_news(t, b, order="doc_id"))
+    _stream_in_chunks(spark, chunks, n.schema, lambda s: s.writeStream.foreachBatch(load))
+    return newsplan.read_news_table(spark, table)
+
+
+@register("t1_stream_prices")
+def q_stream_prices(spark, sf):
+    """Bars loaded chunk by chunk, each chunk with the one before it again."""
+    from marketpulse import schemas
+    from marketpulse.sources import sinks
+    from marketpulse.streaming.ingest import load_into
+    p = _with_repeats(ad.prices_v(spark, sf))
+    cuts = [F.lit(c).cast("timestamp_ntz") for c in ("1994-06-01", "1997-01-01")]
+    chunks = [p.where(F.col("Date") < cuts[0]), p.where(F.col("Date") < cuts[1]), p]
+    table = _scratch(spark, "price-table")
+    load = load_into(table, lambda t, b: market.run_prices(t, b, ["seq"], CLOSED_BEFORE))
+    _stream_in_chunks(spark, chunks, p.schema, lambda s: s.writeStream.foreachBatch(load))
+    return sinks.read_table(spark, table, schemas.CRYPTO_PRICES)
 
 
 @register("t2_stream_indicators")
@@ -872,44 +981,112 @@ def q_read_news_strict(spark, sf):
     from marketpulse.sources.sinks import write_csv
     n = ad.news_v(spark, sf)
     path = _scratch(spark, "news-strict-csv")
+    # one file per feed; a title comes again in the same file and in others
     write_csv(n.select(
         F.unix_timestamp(F.col("published_at").cast("timestamp")).cast("string").alias("Timestamp"),
         sc.ts_text("published_at").alias("Published Time"),
         F.col("title").alias("Title"), F.col("body").alias("Body"),
-        F.col("url").alias("URL"), F.col("keywords").alias("Keywords")), path)
+        F.col("url").alias("URL"), F.col("keywords").alias("Keywords"))
+        .repartitionByRange(8, F.col("Timestamp").cast("long")), path)
     strict = files.read_news_strict(spark, path)
-    first = tb.first_per_key(strict, ["title"], ["published_at", "body"])
+    first = tb.first_per_key(strict, ["title"], ["_file", "timestamp"])
     return first.select("title", "published_at", F.md5("body").alias("body_md5"))
 
 
 @register("s9_partitioned_table")
 def q_partitioned_table(spark, sf):
+    from marketpulse import schemas
     from marketpulse.sources import sinks
     d = _scratch(spark, "prices-by-symbol")
     sinks.write_partitioned(market.price_rows(ad.prices_v(spark, sf)), d)
-    return spark.read.parquet(d).where(F.col("symbol") == "1-URGENT")
+    return sinks.read_table(spark, d, schemas.CRYPTO_PRICES)
 
 
 @register("c2_run_prices_twice")
 def q_run_prices_twice(spark, sf):
+    from marketpulse import schemas
     from marketpulse.sources import sinks
     t = _scratch(spark, "crypto-prices")
-    batch = ad.prices_v(spark, sf)
-    market.run_prices(t, batch)
-    market.run_prices(t, batch)
-    return sinks.read_table(spark, t)
+    batch = _with_repeats(ad.prices_v(spark, sf))
+    market.run_prices(t, batch, ["seq"])
+    market.run_prices(t, batch, ["seq"])
+    return sinks.read_table(spark, t, schemas.CRYPTO_PRICES)
+
+
+@register("a7_rows_written")
+def q_rows_written(spark, sf):
+    """Rows that each of three loads reports: prices, the same again, news in
+    two loads and the second again."""
+    t = _scratch(spark, "a7")
+    p, n = ad.prices_v(spark, sf), ad.news_v(spark, sf)
+    early = n.where(F.col("published_at") < F.lit(NOW - dt.timedelta(hours=6)))
+    counts = [("prices", 1, market.run_prices(f"{t}-p", p, ["Close"])), ("prices", 2, market.run_prices(f"{t}-p", p, ["Close"])),
+              ("news", 1, newsplan.run_news(f"{t}-n", early, order="doc_id")), ("news", 2, newsplan.run_news(f"{t}-n", n, order="doc_id")),
+              ("news", 3, newsplan.run_news(f"{t}-n", n, order="doc_id"))]
+    return spark.createDataFrame(counts, "load string, run int, n_rows bigint")
+
+
+@register("s12_create_tables")
+def q_create_tables(spark, sf):
+    """Rows of the declared tables, made twice, the price table filled in between."""
+    from marketpulse import schemas
+    from marketpulse.sources import sinks
+    base = _scratch(spark, "tables")
+    made = sinks.create_tables(spark, base)
+    market.run_prices(made["crypto_prices"], ad.prices_v(spark, sf), ["Close"])
+    made = sinks.create_tables(spark, base)
+    counts = [sinks.read_table(spark, path, schemas.TABLES[name]).select(F.lit(name).alias("name"), F.lit(1).alias("one"))
+              for name, path in sorted(made.items())]
+    names = spark.createDataFrame([(n,) for n in sorted(made)], "name string")
+    rows = counts[0]
+    for c in counts[1:]:
+        rows = rows.unionByName(c)
+    return names.join(rows, "name", "left").groupBy("name").agg(F.count("one").alias("n_rows"))
+
+
+@register("c1_run_news_twice")
+def q_run_news_twice(spark, sf):
+    """C1 from files: article CSV -> lenient scan -> keyed table, loaded twice."""
+    from marketpulse.sources.sinks import write_csv
+    n = ad.news_v(spark, sf)
+    path, t = _scratch(spark, "c1-csv"), _scratch(spark, "c1-news")
+    write_csv(n.select(
+        F.unix_timestamp(F.col("published_at").cast("timestamp")).cast("string").alias("Timestamp"),
+        sc.ts_text("published_at").alias("Published Time"), F.col("title").alias("Title"), F.col("body").alias("Body"),
+        F.col("url").alias("URL"), F.col("keywords").alias("Keywords")), path)
+    newsplan.run_news(t, files.read_news(spark, path))
+    newsplan.run_news(t, files.read_news(spark, path))
+    out = newsplan.read_news_table(spark, t)
+    return out.select(F.md5(F.concat("title", "body")).alias("id"), "published_at", "url", "keywords")
+
+
+@register("c1_run_vectors")
+def q_run_vectors(spark, sf):
+    """C1 vector half from files: strict scan -> first row per title -> vector table."""
+    from marketpulse.sources.sinks import write_csv
+    n = ad.news_v(spark, sf)
+    path, t = _scratch(spark, "c1v-csv"), _scratch(spark, "c1-vectors")
+    write_csv(n.select(
+        F.unix_timestamp(F.col("published_at").cast("timestamp")).cast("string").alias("Timestamp"),
+        sc.ts_text("published_at").alias("Published Time"), F.col("title").alias("Title"), F.col("body").alias("Body"),
+        F.col("url").alias("URL"), F.col("keywords").alias("Keywords")).repartitionByRange(8, F.col("Timestamp").cast("long")), path)
+    newsplan.run_vectors(t, files.read_news_strict(spark, path), _size_vector)
+    return spark.read.parquet(t).select("id", F.md5("content").alias("content_md5"), "published_time", "timestamp",
+                                        F.element_at("embedding", 1).cast("double").alias("e1"),
+                                        F.element_at("embedding", 2).cast("double").alias("e2"))
 
 
 @register("c3_run_indicators_twice")
 def q_run_indicators_twice(spark, sf):
+    from marketpulse import schemas
     from marketpulse.sources import sinks
     t = _scratch(spark, "crypto-indicators")
-    p = ad.prices_v(spark, sf)
-    market.run_indicators(t, p.where(F.col("Date") < F.lit(PRICE_CUTOFF)))
-    market.run_indicators(t, p)
-    market.run_indicators(t, p)
+    p = _with_repeats(ad.prices_v(spark, sf))
+    market.run_indicators(t, p.where(F.col("Date") < F.lit(PRICE_CUTOFF)), ["seq"])
+    market.run_indicators(t, p, ["seq"])
+    market.run_indicators(t, p, ["seq"])
     # stored values are decimals: rounded as decimals (no double in between)
-    out = sinks.read_table(spark, t)
+    out = sinks.read_table(spark, t, schemas.CRYPTO_INDICATORS)
     for c in ind.INDICATOR_COLUMNS:
         out = out.withColumn(c, F.round(F.col(c), 4))
     return out

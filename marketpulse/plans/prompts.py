@@ -34,9 +34,8 @@ def news_context(questions: DataFrame, vectors: DataFrame, news: DataFrame, now,
     hits = hits.join(meta, hits.id == F.col("_hid"), "inner").drop("_hid")
     hits = rt.newest_first(hits)
     hits = rt.attach_sources(hits, news)
-    ctx = rt.join_lines(hits, "qid", "source", "pos", alias="context")
-    n = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n_hits"))
-    return ctx.join(n, "qid")
+    return hits.groupBy("qid").agg(_ordered_text(F.col("pos"), F.col("source"), "\n").alias("context"),
+                                   F.count(F.lit(1)).alias("n_hits"))
 
 
 def _ordered_text(pos, value, sep: str):

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketpulse.sources.files import balanced
-
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -23,11 +21,6 @@ LISTING_EXCLUDED = [
 ]
 
 
-# Tables whose rows carry long texts: per-row text work on them is CPU-bound,
-# so a scan with fewer splits than cores is spread first (see balanced()).
-TEXT_TABLES = ("documents", "pages")
-
-
 # Declared schemas of the driver's tables: the scan needs no schema
 # inference (no footer reads while the plan is built).
 TABLE_SCHEMAS = {
@@ -57,8 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read
     if name in TABLE_SCHEMAS:
         reader = reader.schema(TABLE_SCHEMAS[name])
-    df = reader.parquet(f"{sf_dir}/{name}.parquet")
-    return balanced(df) if name in TEXT_TABLES else df
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def prices_v(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +125,7 @@ def sessions_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"))
     title = F.when(F.col("conv_id") % 3 == 0,
                    F.concat(F.lit("新對話 "), (F.col("conv_id") / 3 + 1).cast("long").cast("string")))\
-             .otherwise(F.substring(F.col("first_text"), 1, 30))
+             .otherwise(F.col("first_text"))
     return first.select(
         F.concat(F.lit("s-"), F.col("conv_id").cast("string")).alias("id"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")

@@ -7,6 +7,8 @@ from checks.compare import compare, duck
 from tests.conftest import SMALL
 
 NAMES = sorted(E.queries())
+#: No row of the smallest tables is late enough for the time floor.
+NONE_AT_THIS_SCALE = {"f3_since", "f3_since_ts"}
 
 
 @pytest.fixture(scope="module")
@@ -18,9 +20,8 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     sql = E.oracle_sql().get(name)
     r = compare(spark, SMALL, name, E.queries()[name], sql, con)
-    if sql is None:
-        assert r["spark_rows"] >= 0
-    else:
+    assert r["spark_rows"] > 0 or name in NONE_AT_THIS_SCALE, r
+    if sql is not None:
         assert r["match"], r
 
 
