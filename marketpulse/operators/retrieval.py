@@ -73,9 +73,10 @@ def _directions(vecs: pd.Series) -> pd.Series:
 
 
 def tiles(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """``rows`` (id, vec) with ``tile``: about ``tile_rows`` rows or fewer each,
-    vectors of like direction together.  The number of tiles follows from
-    counts inside the plan; no job runs while it is built."""
+    """``rows`` (id, vec) with ``tile``: about ``tile_rows`` rows or fewer each
+    (twice that at most where a frequent code begins), vectors of like direction
+    together.  Where tiles begin follows from a count and quantiles inside the
+    plan; no job runs while it is built."""
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(code=_directions(b["vec"]).to_numpy())
@@ -83,13 +84,14 @@ def tiles(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     coded = rows.mapInPandas(code, T.StructType([*rows.schema.fields, T.StructField("code", T.IntegerType())]))
     stats = coded.agg(F.count(F.lit(1)).alias("n"), F.expr(
         f"percentile_approx(code, array({', '.join(f'{k / CUTS!r}D' for k in range(1, CUTS))}), 10000)").alias("cuts"))
-    wanted = F.least(F.lit(CUTS), F.ceil(stats.select("n").scalar() / F.lit(float(tile_rows))))
-    coded = coded.withColumn("cuts", F.coalesce(stats.select("cuts").scalar(), F.array().cast("array<int>"))).withColumn("wanted", wanted)
-    cells = coded.withColumn("cell", F.expr(f"size(filter(cuts, c -> c < code)) * wanted div {CUTS}"))
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
-    # half as many again as needed, so that chance does not fill a part beyond its size
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") * F.lit(1.5) / F.lit(float(tile_rows))).cast("long"))
-    return cells.join(sizes, "cell").select("id", "vec", (F.col("cell") * F.lit(1 << 32) + part).alias("tile"))
+    coded = coded.withColumn("stats", stats.select(F.struct("n", F.coalesce("cuts", F.array().cast("array<int>")).alias("cuts"))).scalar()) \
+        .select("id", "vec", "code", "stats.n", "stats.cuts")
+    wanted = f"least({CUTS}, ceil(n / {int(tile_rows)}))"
+    # a code that many quantiles fall on has as many shares of the rows; those
+    # are dealt out by hash, half as many parts again as needed
+    parts = f"greatest(1, ceil(1.5D * n * (1 + size(filter(cuts, c -> c = code))) / {CUTS * int(tile_rows)}))"
+    return coded.selectExpr("id", "vec", f"size(filter(cuts, c -> c < code)) * {wanted} div {CUTS} * {1 << 32}L"
+                                         f" + pmod(xxhash64(id), {parts}) AS tile")
 
 
 def _summaries(tiled: DataFrame) -> DataFrame:

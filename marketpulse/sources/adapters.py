@@ -46,11 +46,20 @@ TABLE_SCHEMAS = {
 }
 
 
+# Job setting: how many partitions the long texts are dealt out to after the
+# scan.  For a table that is one row group (which Spark reads in one task);
+# unset, as for every table of many row groups, the scan's own splits stay.
+TEXT_PARTITIONS = "spark.marketpulse.textPartitions"
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read
     if name in TABLE_SCHEMAS:
         reader = reader.schema(TABLE_SCHEMAS[name])
-    return reader.parquet(f"{sf_dir}/{name}.parquet")
+    df = reader.parquet(f"{sf_dir}/{name}.parquet")
+    n = int(spark.conf.get(TEXT_PARTITIONS, "0"))
+    return df.repartition(n) if n and name in TEXT_TABLES else df
 
 
 def prices_v(spark: SparkSession, sf_dir: str) -> DataFrame:
