@@ -10,7 +10,8 @@ from marketpulse.llm.common import saved
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is moved to the node's least neighbour."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written first, so that the join's sides are plain shuffles and a hub's edges can be split
+    least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -34,10 +35,10 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     stamp = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("s"),
              F.bit_xor(F.xxhash64("u", "v")).alias("x")]
-    edges = saved(_small_star(edges))
+    edges = saved(_small_star(saved(edges)))
     seen = edges.agg(*stamp).first()
     for _ in range(max_rounds if seen["n"] else 0):
-        edges = saved(_small_star(_large_star(edges)))
+        edges = saved(_small_star(saved(_large_star(edges))))
         now = edges.agg(*stamp).first()
         if now == seen:
             break
