@@ -97,10 +97,20 @@ def null_tokens(c: ColumnOrName, tokens=NULL_TOKENS) -> Column:
     return F.when(~_c(c).isin(list(tokens)), _c(c))
 
 
+def _wall_seconds(ntz: Column) -> Column:
+    """Seconds since 1970 of a wall-clock time, from its fields: no session zone is involved."""
+    return (F.unix_date(ntz.cast("date")).cast("double") * 86400 + F.hour(ntz) * 3600 + F.minute(ntz) * 60
+            + F.extract(F.lit("SECONDS"), ntz).cast("double"))
+
+
+def _utc_wall(seconds: Column) -> Column:
+    """Wall-clock time in UTC (without zone) of an epoch time."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def to_epoch(ts: ColumnOrName, tz: str = "UTC") -> Column:
     """Wall-clock time in zone ``tz`` -> epoch seconds (double)."""
-    inst = F.to_utc_timestamp(_c(ts).cast("timestamp"), tz)
-    return F.unix_micros(inst).cast("double") / F.lit(1e6)
+    return _wall_seconds(F.convert_timezone(F.lit(tz), F.lit("UTC"), _c(ts).cast("timestamp_ntz")))
 
 
 def ts_text(ts: ColumnOrName) -> Column:
@@ -109,15 +119,14 @@ def ts_text(ts: ColumnOrName) -> Column:
 
 
 def epoch_to_local(s: ColumnOrName, tz: str = SOURCE_ZONE) -> Column:
-    """Epoch seconds -> wall clock in ``tz`` as ``yyyy-MM-dd HH:mm:ss``.
-
-    Assumes the library's session zone (UTC)."""
-    return F.date_format(F.from_utc_timestamp(F.timestamp_seconds(_c(s)), tz), TEXT_TS_FORMAT)
+    """Epoch seconds -> wall clock in ``tz`` as ``yyyy-MM-dd HH:mm:ss``."""
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(tz), _utc_wall(_c(s))), TEXT_TS_FORMAT)
 
 
 def millis_to_date(ms: ColumnOrName, tz: str = "UTC") -> Column:
     """P10: epoch milliseconds -> local date text ``yyyy-MM-dd``."""
-    return F.date_format(F.from_utc_timestamp(F.timestamp_millis(_c(ms).cast("long")), tz), "yyyy-MM-dd")
+    seconds = _c(ms).cast("decimal(20,0)") / F.lit(1000)
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(tz), _utc_wall(seconds)).cast("date"), "yyyy-MM-dd")
 
 
 def normalise_keywords(v: ColumnOrName) -> Column:
