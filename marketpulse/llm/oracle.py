@@ -41,6 +41,44 @@ m AS (SELECT rid, page_id, host, path, rhost || rpath AS rule, verdict, row_numb
       FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1"""
 
+def _letters(word: str) -> str:
+    """Each letter in either case, spelled out (a case flag would fold other alphabets in)."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: (kind, pattern, group whose length counts, least length); base kinds first.
+_SECRETS = (
+    ("assign", "(" + "|".join(map(_letters, ("password", "passwd", "secret", "token", "api_?key")))
+     + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+)
+
+
+def _matches(k: int) -> str:
+    kind, pattern, group, least = _SECRETS[k]
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT rid, {k} AS k, '{kind}' AS kind, {least} AS least, generate_subscripts(ms, 1) AS i, unnest(gaps[1:len(ms)]) AS gap, unnest(ms) AS m, unnest(vs) AS v
+FROM (SELECT rid, regexp_split_to_array(text, {quoted}) AS gaps, regexp_extract_all(text, {quoted}) AS ms, regexp_extract_all(text, {quoted}, {group}) AS vs
+      FROM d WHERE regexp_matches(text, {quoted}))"""
+
+
+_OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+a AS ({' UNION ALL '.join(_matches(k) for k in range(len(_SECRETS)))}),
+e AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY rid, k ORDER BY i) AS stop FROM a),
+s AS (SELECT rid, k, kind, (stop - length(m))::BIGINT AS start, kind || ':' || (stop - length(m))::BIGINT || ':' || stop::BIGINT AS span
+      FROM e WHERE length(v) >= least),
+f AS (SELECT rid, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+             string_agg(span, ',' ORDER BY start, k) FILTER (WHERE k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS spans
+      FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (rid)"""
+
 _OP8 = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, text FROM documents),
 e AS (SELECT rid, host, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT rid, host, string_split(text, chr(10)) AS ls FROM d)),
@@ -58,5 +96,6 @@ FROM d LEFT JOIN k USING (rid)"""
 ORACLE: dict[str, str] = {
     "op2_url_filter": _OP2,
     "op4_repetition_quality": _OP4,
+    "op7_secret_scan": _OP7,
     "op8_line_dedup": _OP8,
 }
