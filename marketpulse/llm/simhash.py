@@ -155,6 +155,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = packed(docs).withColumn("row", F.monotonically_increasing_id())
     group = near_duplicates(rows.select("row", F.col("doc")[text].alias("text")), "row", "text", shingle, max_bits)
     named = saved(rows.select("row", F.col("doc")[key].alias("key")).join(group.select("row", "component_id"), "row"))
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "row")).alias("first"))
+    first = saved(named.groupBy("component_id").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "row")).alias("first")))
     dropped = named.join(first, "component_id").where("row <> first.row").select("row")
     return rows.join(dropped, "row", "left_anti").select("doc.*")
