@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, weights: np.nda
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key") \
         .select("key", "label", run("text").alias("x"), (F.pmod(F.xxhash64("key", F.lit(1)), F.lit(5)) == 0).alias("calibrate"))
-    got = sorted(((str(r["key"]), list(r["x"]), r["label"], r["calibrate"]) for r in rows.toLocalIterator()))
+    got = sorted(((str(r["key"]), list(r["x"]), r["label"], r["calibrate"]) for r in rows.collect()))
     x = np.array([g[1] for g in got], np.float64).reshape(len(got), POOLED)
     return Network(x, np.array([g[2] for g in got]), np.array([g[3] for g in got], bool))
 
