@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from marketpulse.functions.scalars import (
     NO_CONTENT, NO_LINK, NO_TIME, NO_TITLE, or_default, source_line,
 )
+from marketpulse.operators.series import shares
 
 #: Rows of a tile: a task holds a distance matrix of at most this squared.
 TILE_ROWS = 2048
@@ -83,7 +84,7 @@ def tiles(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
 
     coded = rows.mapInPandas(code, T.StructType([*rows.schema.fields, T.StructField("code", T.IntegerType())]))
     stats = coded.agg(F.count(F.lit(1)).alias("n"), F.expr(
-        f"percentile_approx(code, array({', '.join(f'{k / CUTS!r}D' for k in range(1, CUTS))}), 10000)").alias("cuts"))
+        f"percentile_approx(code, {shares(CUTS)}, 10000)").alias("cuts"))
     coded = coded.withColumn("stats", stats.select(F.struct("n", F.coalesce("cuts", F.array().cast("array<int>")).alias("cuts"))).scalar()) \
         .select("id", "vec", "code", "stats.n", "stats.cuts")
     wanted = f"least({CUTS}, ceil(n / {int(tile_rows)}))"

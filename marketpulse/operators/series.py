@@ -74,6 +74,11 @@ def _order_seconds(df: DataFrame, order: str) -> str:
     return f"CAST({c} AS BIGINT)"
 
 
+def shares(n: int) -> str:
+    """SQL for the constant array of k / n, 0 < k < n: one expression to analyse, not n."""
+    return f"CAST(split('{','.join(repr(k / n) for k in range(1, n))}', ',') AS ARRAY<DOUBLE>)"
+
+
 def with_buckets(df: DataFrame, by: Sequence[str], order: str, bucket_rows: int = DEFAULT_BUCKET_ROWS,
                  max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Add ``_tb``, a number that grows with ``order`` inside each ``by`` series
@@ -84,8 +89,7 @@ def with_buckets(df: DataFrame, by: Sequence[str], order: str, bucket_rows: int
     of them, at most ``max_buckets``.  Rows of equal time share a bucket.
     """
     t = _order_seconds(df, order)
-    shares = ", ".join(f"{k / max_buckets!r}D" for k in range(1, max_buckets))
-    stats = df.groupBy(*by).agg(F.expr(f"percentile_approx({t}, array({shares}), {100 * max_buckets}) AS _cuts"),
+    stats = df.groupBy(*by).agg(F.expr(f"percentile_approx({t}, {shares(max_buckets)}, {100 * max_buckets}) AS _cuts"),
                                 F.expr(f"least({max_buckets}, ceil(count(1) / {int(bucket_rows)})) AS _nb"))
     passed = f"size(filter(coalesce(_cuts, array()), c -> c < {t}))"
     return df.join(stats, on=list(by)).selectExpr(
