@@ -121,8 +121,8 @@ def _tile_pairs(queries: DataFrame, vectors: DataFrame, k: int, spread: int = 16
     met = q.join(v, "part").withColumn("apart", apart).select(
         "qt", "vt", (F.col("apart") - F.col("qr") - F.col("vr")).alias("near"),
         F.when(F.col("vn") >= k, F.col("apart") + F.col("qr") + F.col("vr")).alias("far"))
-    bound = met.groupBy("qt").agg(F.min("far").alias("bound"))
-    return met.join(bound, "qt").where("bound IS NULL OR near <= bound * (1 + 1e-9) + 1e-9").select("qt", "vt")
+    best = F.min("far").over(Window.partitionBy("qt"))
+    return met.withColumn("bound", best).where("bound IS NULL OR near <= bound * (1 + 1e-9) + 1e-9").select("qt", "vt")
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "id",
