@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark passages in documents: word-pair seeds, then Smith-Waterman.
 
 The benchmark is the query set, held in memory in blocks of a checked size;
 all documents are searched for it where they are read.
@@ -14,14 +14,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marketpulse.llm.common import packed
 
-#: Words of a seed.
-SEED_WORDS = 3
+#: Words of a seed (two: the bound in ``Block`` holds for pairs).
+SEED_WORDS = 2
 #: Share of an item's words, less one point for each edit, from which a passage counts as a copy.
 MIN_SCORE = 0.4
 #: Items with fewer words are not searched for: any text may hold them.
 MIN_ITEM_WORDS = 8
 #: Benchmark words in one block (a bound on the memory of a task; each block is a pass over the documents).
 BLOCK_WORDS = 500_000
+#: Words of a text that are searched at once, besides an overlap (a bound on memory only).
+PIECE_WORDS = 1 << 16
 
 # every ASCII sign that is neither a letter nor a digit separates words
 _APART = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -33,7 +35,13 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Some benchmark items with their n-gram seeds; picklable and bounded by ``BLOCK_WORDS``."""
+    """Some benchmark items with their n-gram seeds; picklable and bounded by ``BLOCK_WORDS``.
+
+    All seeds of an item are used.  A copy of score s has at most as many edits
+    as its matching words less s, and so at most one run of matching words more
+    than that: its runs hold at least s - 1 pairs of neighbouring words, in a
+    passage of at most twice the item's words less s.  Passages with fewer
+    pairs are left out, and no copy is among them."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]]):
         self.names = [i for i, _ in items]
@@ -42,11 +50,10 @@ class Block:
         self.base = len(self.vocab) + 1
         if self.base ** SEED_WORDS >= 2 ** 63:
             raise ValueError("too many different words in a block: lower block_words")
-        found = [(c, k, at) for k, ids in enumerate(self.items) for at, c in enumerate(self._grams(ids))]
-        found.sort()
-        self.code = np.array([f[0] for f in found], np.int64)
+        self.size = np.array([len(x) for x in self.items], np.int64)
+        found = sorted({(c, k) for k, ids in enumerate(self.items) for c in self._grams(ids).tolist()})
         self.item = np.array([f[1] for f in found], np.int64)
-        self.at = np.array([f[2] for f in found], np.int64)
+        self.code, self.first, self.per = np.unique(np.array([f[0] for f in found], np.int64), return_index=True, return_counts=True)
 
     def _grams(self, ids: np.ndarray) -> np.ndarray:
         """A code for each n-gram; 0 where a word is not in the vocabulary."""
@@ -64,58 +71,45 @@ class Block:
         return np.fromiter((get(w, 0) for w in ws), np.int64, len(ws))
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the text, first place in ``code``) of each seed in a text."""
+        """(item, place in the text) of each seed in a text, sorted."""
         grams = self._grams(ids)
         at = np.flatnonzero(grams)
         where = np.searchsorted(self.code, grams[at])
         ok = where < len(self.code)
         ok[ok] = self.code[where[ok]] == grams[at[ok]]
-        return at[ok], where[ok]
-
-    def rare(self, counts: dict[int, int]) -> Block:
-        """The block with each item's rarer half of n-grams as its seeds.
-
-        Rare is meant within the item, so that an item which leaked into very
-        many documents keeps seeds as any other."""
-        n = np.array([counts.get(int(c), 0) for c in self.code], np.int64)
-        order = np.lexsort((self.at, n, self.item))
-        sizes = np.bincount(self.item, minlength=len(self.items))
-        first = np.cumsum(sizes) - sizes
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        keep = rank - first[self.item] < (sizes[self.item] + 1) // 2
-        self.code, self.item, self.at = self.code[keep], self.item[keep], self.at[keep]
-        return self
+        at, where = at[ok], where[ok]
+        per = self.per[where]
+        item = self.item[np.repeat(self.first[where] - np.cumsum(per) + per, per) + np.arange(per.sum())]
+        order = np.argsort(item, kind="stable")
+        return item[order], np.repeat(at, per)[order]
 
     def matches(self, text: str | None, min_score: float) -> list[tuple[int, float]]:
         """(item id, score) of the items that a text copies, by item id."""
-        ids = self.read(text)
-        at, where = self.hits(ids)
-        if not len(at):
-            return []
-        # one candidate for each seed and item that has it
-        last = np.searchsorted(self.code, self.code[where], side="right")
-        per = last - where
-        k = np.repeat(where, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        item, begin = self.item[k], np.repeat(at, per) - self.at[k]
-        order = np.lexsort((begin, item))
-        item, begin = item[order], begin[order]
-        size = np.array([len(x) for x in self.items], np.int64)[item]
-        slack = np.maximum(3, size // 4)
-        new = np.concatenate([[True], (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > slack[1:])])
-        starts = np.flatnonzero(new)
-        best: dict[int, float] = {}
-        for a, b in zip(starts, np.append(starts[1:], len(item)), strict=True):
-            want = self.items[item[a]]
-            got = ids[max(0, begin[a] - slack[a]):max(0, begin[b - 1] + size[a] + slack[a])]
-            # an alignment cannot match more words than the passage has of the item's
-            if np.isin(got, want).sum() < min_score * len(want):
-                continue
-            score = smith_waterman(want, got) / len(want)
+        ids, best = self.read(text), {}
+        for at in range(0, len(ids), PIECE_WORDS):
+            self._aligned(ids[at:at + PIECE_WORDS + 2 * int(self.size.max())], min_score, best)
+        return sorted((self.names[k], score) for k, score in best.items())
+
+    def _aligned(self, ids: np.ndarray, min_score: float, best: dict[int, float]) -> None:
+        """Raise ``best`` (item number: score) to the scores in a piece of a text."""
+        item, at = self.hits(ids)
+        size = self.size[item]
+        need = np.ceil(min_score * size - 1e-9).astype(np.int64)
+        reach, last = 2 * size - need, np.arange(len(item)) + np.maximum(need - 1, 1) - 1
+        begin = np.flatnonzero(last < len(item))
+        last = last[begin]
+        ok = (item[last] == item[begin]) & (at[last] + SEED_WORDS - at[begin] <= reach[begin])
+        begin, last = begin[ok], last[ok]
+        if not len(begin):
+            return
+        item, low, high = item[begin], np.maximum(0, at[last] + SEED_WORDS - reach[begin]), at[begin] + reach[begin]
+        # places that overlap are one passage
+        starts = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (low[1:] > high[:-1])]))
+        for a, b in zip(starts, np.append(starts[1:], len(item)) - 1, strict=True):
+            k = int(item[a])
+            score = smith_waterman(self.items[k], ids[low[a]:high[b]]) / len(self.items[k])
             if score >= min_score:
-                name = self.names[item[a]]
-                best[name] = max(best.get(name, 0.0), round(score, 6))
-        return sorted(best.items())
+                best[k] = max(best.get(k, 0.0), round(score, 6))
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
@@ -132,10 +126,9 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def blocks(benchmark: DataFrame, docs: DataFrame, item: str = "item_id", text: str = "text", docs_text: str = "text",
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text",
            block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark in blocks of about ``block_words`` words, each with its
-    seeds chosen by a count over all ``docs``.
+    """The benchmark in blocks of about ``block_words`` words.
 
     The size is summed before anything is collected; a larger benchmark makes
     more blocks (items are dealt by the hash of their text), not larger ones.
@@ -153,22 +146,7 @@ def blocks(benchmark: DataFrame, docs: DataFrame, item: str = "item_id", text: s
                 least.setdefault(ws, r["item"])
         if not least:
             continue
-        block = Block([(i, list(ws)) for ws, i in sorted(least.items(), key=lambda x: x[1])])
-        yield block.rare(_counts(docs, docs_text, block))
-
-
-def _counts(docs: DataFrame, text: str, block: Block) -> dict[int, int]:
-    """How often each n-gram of the block occurs in all documents."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(len(block.code), np.int64)
-        for b in batches:
-            for t in b["text"]:
-                np.add.at(seen, block.hits(block.read(t))[1], 1)
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"code": block.code[at], "n": seen[at]})
-
-    got = docs.select(F.col(text).alias("text")).mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return {r["code"]: r["n"] for r in got.collect()}
+        yield Block([(i, list(ws)) for ws, i in sorted(least.items(), key=lambda x: x[1])])
 
 
 def copied_items(block: Block, text: Column, min_score: float = MIN_SCORE) -> Column:
@@ -194,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     or table gives no rows.  Other columns are not read."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = None
-    for block in blocks(benchmark, rows, item, text, "text", block_words):
+    for block in blocks(benchmark, item, text, block_words):
         got = rows.select("key", F.explode(copied_items(block, F.col("text"), min_score)).alias("i")).select("key", "i.*")
         found = got if found is None else found.unionByName(got)
     if found is None:
@@ -207,6 +185,6 @@ def keep(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str
          min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that copy no benchmark item, with the columns of ``docs``."""
     out = packed(docs)
-    for block in blocks(benchmark, docs, item, "text", text, block_words):
+    for block in blocks(benchmark, item, "text", block_words):
         out = out.where(F.size(copied_items(block, F.col("doc")[text], min_score)) == 0)
     return out.select("doc.*")

@@ -74,3 +74,41 @@ def test_edge_rows(spark, tmp_dir, tables):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2
     assert D.contaminated(none, bench).collect() == [] and D.keep(none, bench).collect() == []
     assert D.contaminated(docs, bench.limit(0)).collect() == [] and D.keep(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_every_alignment_at_the_limit_is_found(spark):
+    """One edited or partial copy of an item that occurs nowhere else, against the whole table."""
+    rng = random.Random(11)
+    items = {i: [f"i{i}w{k}" for k in range(rng.randrange(8, 60))] for i in range(40)}
+    docs = []
+    for i, ws in items.items():
+        for n, rate in enumerate((0.1, 0.2, 0.3, 0.4, 0.5)):
+            edited = []
+            for w in ws[:len(ws) // 2 + 1] if n % 2 else ws:
+                k = rng.random()
+                edited += [w] if k > rate else [] if k < rate / 3 else ["x"] if k < 2 * rate / 3 else [w, "y"]
+            docs.append((10 * i + n, " ".join(rng.choices("p q r s".split(), k=30) + edited + rng.choices("p q r s".split(), k=30))))
+        docs.append((10 * i + 9, " ".join(f"{a} {b} x" for a, b in zip(ws[::2], ws[1::2], strict=False))))  # no three words in a row
+    want = {}
+    for d, t in docs:
+        number = {}
+        a, b = ([number.setdefault(w, len(number)) for w in ws] for ws in (items[d // 10], t.split()))
+        score = D.smith_waterman(np.array(a), np.array(b)) / len(a)
+        if score >= D.MIN_SCORE:
+            want[d, d // 10] = round(score, 6)
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id long, text string")
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert len(want) > 60 and {(r.doc_id, r.item_id): r.score for r in got} == want
+
+
+def test_a_popular_part_is_found_beside_a_whole_copy(spark, monkeypatch):
+    item = [f"w{k}" for k in range(40)]
+    docs = [(0, " ".join(item))] + [(k, f"a{k} b " + " ".join(item[:20]) + f" c d{k}") for k in range(1, 60)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = [(0, 1.0)] + [(k, 0.5) for k in range(1, 60)]
+    assert sorted((r.doc_id, r.score) for r in D.contaminated(frame, bench).collect()) == want
+    assert D.keep(frame, bench).count() == 0
+    monkeypatch.setattr(D, "PIECE_WORDS", 7)  # texts in pieces: no copy is cut
+    block = D.Block([(7, [w.encode() for w in item])])
+    assert [block.matches(t, 0.4) for _, t in docs] == [[(7, s)] for _, s in want]
