@@ -6,6 +6,7 @@ all documents are searched for it where they are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from marketpulse.llm.common import packed
 SEED_WORDS = 2
 #: Share of an item's words, less one point for each edit, from which a passage counts as a copy.
 MIN_SCORE = 0.4
-#: Items with fewer words are not searched for: any text may hold them.
+#: Items with fewer words count only where all their words stand in a text, in order and next to each other.
 MIN_ITEM_WORDS = 8
 #: Benchmark words in one block (a bound on the memory of a task; each block is a pass over the documents).
 BLOCK_WORDS = 500_000
@@ -27,11 +28,20 @@ PIECE_WORDS = 1 << 16
 
 # every ASCII sign that is neither a letter nor a digit separates words
 _APART = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+# scripts without spaces between words (Thai, Lao, Tibetan, Burmese, Khmer, Japanese, Chinese): each sign is a word
+_SIGNS = re.compile("([\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+                    "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+# their punctuation separates words
+_WIDE = re.compile("[\u3000-\u3004\u3008-\u303f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 
 def words(text: str | None) -> list[bytes]:
-    """Lower-case words of a text, without ASCII punctuation."""
-    return (text or "").lower().encode("utf-8").translate(_APART).split()
+    """Lower-case words of a text, without ASCII and full-width punctuation;
+    in scripts without spaces each sign is a word."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _SIGNS.sub(r" \1 ", _WIDE.sub(" ", text))
+    return text.encode("utf-8").translate(_APART).split()
 
 
 class Block:
@@ -41,7 +51,9 @@ class Block:
     as its matching words less s, and so at most one run of matching words more
     than that: its runs hold at least s - 1 pairs of neighbouring words, in a
     passage of at most twice the item's words less s.  Passages with fewer
-    pairs are left out, and no copy is among them."""
+    pairs are left out, and no copy is among them.
+
+    Items of fewer than ``MIN_ITEM_WORDS`` words are looked up whole."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]]):
         self.names = [i for i, _ in items]
@@ -51,7 +63,11 @@ class Block:
         if self.base ** SEED_WORDS >= 2 ** 63:
             raise ValueError("too many different words in a block: lower block_words")
         self.size = np.array([len(x) for x in self.items], np.int64)
-        found = sorted({(c, k) for k, ids in enumerate(self.items) for c in self._grams(ids).tolist()})
+        found = sorted({(c, k) for k, ids in enumerate(self.items) if len(ids) >= MIN_ITEM_WORDS for c in self._grams(ids).tolist()})
+        self.short: dict[int, dict[bytes, int]] = {}
+        for k, ids in enumerate(self.items):
+            if len(ids) < MIN_ITEM_WORDS:
+                self.short.setdefault(len(ids), {})[ids.tobytes()] = k
         self.item = np.array([f[1] for f in found], np.int64)
         self.code, self.first, self.per = np.unique(np.array([f[0] for f in found], np.int64), return_index=True, return_counts=True)
 
@@ -88,8 +104,19 @@ class Block:
         ids, best = self.read(text), {}
         for at in range(0, len(ids), PIECE_WORDS):
             self._aligned(ids[at:at + PIECE_WORDS + 2 * int(self.size.max())], min_score, best)
+        best |= dict.fromkeys(self._whole(ids), 1.0)
         return sorted((self.names[k], score) for k, score in best.items())
 
+    def _whole(self, ids: np.ndarray) -> set[int]:
+        """Numbers of the short items that a text holds word for word."""
+        out = set()
+        for n, known in self.short.items():
+            # places where n words in a row are all words of the benchmark
+            runs = np.concatenate([[0], np.cumsum(ids > 0)])
+            at = np.flatnonzero(runs[n:] - runs[:-n] == n)
+            out |= {known[x] for x in {ids[a:a + n].tobytes() for a in at.tolist()} if x in known}
+        return out
+
     def _aligned(self, ids: np.ndarray, min_score: float, best: dict[int, float]) -> None:
         """Raise ``best`` (item number: score) to the scores in a piece of a text."""
         item, at = self.hits(ids)
@@ -142,7 +169,7 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text",
         least: dict[tuple[bytes, ...], int] = {}
         for r in sorted(part, key=lambda r: r["item"]):
             ws = tuple(words(r["text"]))
-            if len(ws) >= MIN_ITEM_WORDS:
+            if ws:
                 least.setdefault(ws, r["item"])
         if not least:
             continue
@@ -167,6 +194,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     """(key, item, score) of all pairs of a document and a benchmark item that
     it copies in whole or in large part, with edits; score 1 is a whole copy.
 
+    Words are separated by white space and punctuation; in scripts without
+    spaces each sign is a word.  An item of fewer than ``MIN_ITEM_WORDS`` words
+    counts only as a whole, exact copy of its words; one without a word matches
+    nothing.  A benchmark of single common words thus matches most texts.
+
     Repeated rows and equal keys give one row per pair, the best score; null
     texts match nothing; a null key is a key of its own.  An empty benchmark
     or table gives no rows.  Other columns are not read."""
@@ -183,7 +215,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
 
 def keep(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text",
          min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that copy no benchmark item, with the columns of ``docs``."""
+    """The rows of ``docs`` that copy no benchmark item, with the columns of
+    ``docs``; short items go by the rule in ``contaminated``."""
     out = packed(docs)
     for block in blocks(benchmark, item, "text", block_words):
         out = out.where(F.size(copied_items(block, F.col("doc")[text], min_score)) == 0)

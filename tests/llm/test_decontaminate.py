@@ -112,3 +112,14 @@ def test_a_popular_part_is_found_beside_a_whole_copy(spark, monkeypatch):
     monkeypatch.setattr(D, "PIECE_WORDS", 7)  # texts in pieces: no copy is cut
     block = D.Block([(7, [w.encode() for w in item])])
     assert [block.matches(t, 0.4) for _, t in docs] == [[(7, s)] for _, s in want]
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    chinese = "今天天气很好我们去公园散步然后回家吃饭"
+    bench = spark.createDataFrame([(1, "Alpha beta, gamma"), (2, "omega"), (3, chinese), (4, "你好"), (5, "?!"), (6, "alpha beta")], "item_id long, text string")
+    docs = [(1, "x alpha  BETA gamma. y"), (2, "alpha gamma beta omega!"), (3, "alphabeta gamma omegas"), (4, "他说" + chinese + "。"),
+            (5, chinese[:12]), (6, "你,好吗"), (7, "您好"), (8, ""), (9, None), (10, "alpha beta")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.score) for r in D.contaminated(frame, bench).collect())
+    assert got == [(1, 1, 1.0), (1, 6, 1.0), (2, 2, 1.0), (4, 3, 1.0), (5, 3, round(12 / len(chinese), 6)), (6, 4, 1.0), (10, 6, 1.0)]
+    assert sorted(r.doc_id for r in D.keep(frame, bench).collect()) == [3, 7, 8, 9]
