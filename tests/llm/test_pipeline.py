@@ -40,3 +40,14 @@ def test_one_copy_stays(spark, tmp_dir):
     spark.createDataFrame([(3, text), (2, text), (2, text), (None, text), (9, text + " x")], "doc_id long, text string").write.parquet(f"{tmp_dir}/d")
     assert [r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{tmp_dir}/d")).collect() if r.doc_id != 9] == [2]
     assert decontaminate.MIN_SCORE < 0.5
+
+
+def site(path, spark, texts):
+    spark.createDataFrame([(k, t, "h", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, source string, n_chars int").write.parquet(path)
+    return {r.doc_id: r for r in C.line_dedup_stage(spark, spark.read.parquet(path), SMALL).collect()}
+
+
+def test_a_line_on_eight_percent_of_the_pages_goes(spark, tmp_dir):
+    got = site(f"{tmp_dir}/d", spark, [f"body {k}" + "\nmenu" * (k < 8) + "\nquote" * (k >= 95) for k in range(100)])
+    assert [got[k].text for k in range(100)] == [f"body {k}" + "\nquote" * (k >= 95) for k in range(100)]
+    assert got[3].n_chars == 6
