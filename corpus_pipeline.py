@@ -25,8 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source leave the texts; ``n_chars`` follows the text."""
-    out = line_dedup.cleaned(docs, ratio_pct=line_dedup.SITE_RATIO_PCT)
+    """Boilerplate lines of each source leave the texts; ``n_chars`` follows
+    the text.  Copies of a text count as one page, so that none is boilerplate
+    by its copies."""
+    out = line_dedup.cleaned(docs, ratio_pct=line_dedup.SITE_RATIO_PCT, copies=False)
     if "n_chars" in docs.columns:
         size = F.when(F.col("n_dropped") > 0, F.length("doc.text")).otherwise(F.col("doc.n_chars"))
         out = out.withColumn("doc", F.col("doc").withField("n_chars", size.cast(docs.schema["n_chars"].dataType)))

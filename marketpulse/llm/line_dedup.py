@@ -30,6 +30,12 @@ def _digest(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
+def _page(body: Column, host: str) -> tuple[Column, Column]:
+    """Host and distinct line digests of a row's text."""
+    return F.coalesce(F.col("doc")[host].cast("string"), F.lit("")).alias("host"), F.array_distinct(
+        F.transform(F.filter(_lines(body), lambda x: _bare(x) != ""), lambda x: _digest(_bare(x)))).alias("lines")
+
+
 def boilerplate(pages: DataFrame, ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` (host, lines: array of distinct digests) -> (host, line) of boilerplate.
 
@@ -43,7 +49,7 @@ def boilerplate(pages: DataFrame, ratio_pct: int = RATIO_PCT, min_pages: int = M
 
 
 def cleaned(docs: DataFrame, host: str = "source", text: str = "text",
-            ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES) -> DataFrame:
+            ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """(doc, n_lines, n_dropped): each row of ``docs`` as a struct, its text
     without boilerplate lines, and the numbers (long) of its lines and of those dropped.
 
@@ -51,16 +57,22 @@ def cleaned(docs: DataFrame, host: str = "source", text: str = "text",
     blank lines are neither counted as boilerplate nor dropped, and a line that
     occurs several times on a page counts once but is dropped each time.  A
     null host is the site with the empty name.  Null texts stay null (no
-    lines).  Repeated rows are pages each.  A text that is boilerplate
+    lines).  Repeated rows and copies of a text are pages each, or with
+    ``copies`` off one page of their host, in the counts of its lines and of
+    its pages: else a text that is copied often is boilerplate.  A text that is boilerplate
     throughout becomes empty; an empty table gives an empty one.  ``docs`` must
     read the same rows in the same order each time (a table), because rows are
     numbered by place.
     """
     body = F.col("doc")[text]
     rows = packed(docs).withColumn("row", F.monotonically_increasing_id())
-    pages = rows.select("row", F.coalesce(F.col("doc")[host].cast("string"), F.lit("")).alias("host"), F.array_distinct(
-        F.transform(F.filter(_lines(body), lambda x: _bare(x) != ""), lambda x: _digest(_bare(x)))).alias("lines"))
-    bad = boilerplate(pages, ratio_pct, min_pages)
+    pages = rows.select("row", *_page(body, host))
+    counted = pages.select("host", "lines")
+    if not copies:
+        # partial first rows before the shuffle, so copies of a hot text do not meet
+        counted = rows.select(*_page(body, host), _digest(F.coalesce(body, F.lit(""))).alias("text")) \
+            .groupBy("host", "text").agg(F.first("lines").alias("lines")).select("host", "lines")
+    bad = boilerplate(counted, ratio_pct, min_pages)
     hits = pages.select("row", "host", F.explode("lines").alias("line")).join(bad, ["host", "line"]) \
         .groupBy("row").agg(F.collect_set("line").alias("bad"))
 
@@ -75,6 +87,6 @@ def cleaned(docs: DataFrame, host: str = "source", text: str = "text",
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
-                     ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES) -> DataFrame:
+                     ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; see ``cleaned``."""
-    return cleaned(docs, host, text, ratio_pct, min_pages).select("doc.*")
+    return cleaned(docs, host, text, ratio_pct, min_pages, copies).select("doc.*")

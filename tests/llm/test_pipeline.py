@@ -51,3 +51,14 @@ def test_a_line_on_eight_percent_of_the_pages_goes(spark, tmp_dir):
     got = site(f"{tmp_dir}/d", spark, [f"body {k}" + "\nmenu" * (k < 8) + "\nquote" * (k >= 95) for k in range(100)])
     assert [got[k].text for k in range(100)] == [f"body {k}" + "\nquote" * (k >= 95) for k in range(100)]
     assert got[3].n_chars == 6
+
+
+def test_a_text_with_many_copies_stays(spark, tmp_dir):
+    clean = "one clean text\nof two lines"
+    texts = [clean if k % 3 == 0 else f"body {k}" + "\nmenu" * (k % 4 == 0) for k in range(90)]
+    got = site(f"{tmp_dir}/d", spark, texts)
+    assert [got[k].text for k in range(90)] == [t.replace("\nmenu", "") for t in texts]
+    # pages of the host are distinct texts too: 5 of 61 + 1, not of 91
+    texts = [clean] * 30 + [f"body {k}" + "\nmenu" * (k < 5) for k in range(61)]
+    got = site(f"{tmp_dir}/e", spark, texts)
+    assert [got[k].text for k in range(91)] == [t.replace("\nmenu", "") for t in texts]
