@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketpulse.llm.common import packed
+from marketpulse.llm.common import packed, saved
 
 #: A line is boilerplate on more than this share of its host's pages ...
 RATIO_PCT = 10
@@ -60,12 +60,11 @@ def cleaned(docs: DataFrame, host: str = "source", text: str = "text",
     lines).  Repeated rows and copies of a text are pages each, or with
     ``copies`` off one page of their host, in the counts of its lines and of
     its pages: else a text that is copied often is boilerplate.  A text that is boilerplate
-    throughout becomes empty; an empty table gives an empty one.  ``docs`` must
-    read the same rows in the same order each time (a table), because rows are
-    numbered by place.
+    throughout becomes empty; an empty table gives an empty one.  ``docs`` is
+    read once: rows are numbered as they are written to the shared folder.
     """
     body = F.col("doc")[text]
-    rows = packed(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = saved(packed(docs).withColumn("row", F.monotonically_increasing_id()))
     pages = rows.select("row", *_page(body, host))
     counted = pages.select("host", "lines")
     if not copies:

@@ -149,10 +149,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text",
     with the least key stays (null keys last; of equal keys the first row).
 
     Null and wordless texts are one group.  The columns are those of ``docs``,
-    which must read the same rows in the same order each time (a table),
-    because rows are numbered by place.  Only the numbers of dropped rows are
-    joined to the texts."""
-    rows = packed(docs).withColumn("row", F.monotonically_increasing_id())
+    which is read once: rows are numbered as they are written to the shared
+    folder.  Only the numbers of dropped rows are joined to the texts."""
+    rows = saved(packed(docs).withColumn("row", F.monotonically_increasing_id()))
     group = near_duplicates(rows.select("row", F.col("doc")[text].alias("text")), "row", "text", shingle, max_bits)
     named = saved(rows.select("row", F.col("doc")[key].alias("key")).join(group.select("row", "component_id"), "row"))
     first = saved(named.groupBy("component_id").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "row")).alias("first")))

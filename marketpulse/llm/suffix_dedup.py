@@ -232,10 +232,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", seg
     ``kept`` the other bytes, joined.  Matches never cross texts.  Null texts
     are empty.  Repeated rows match each other (texts of ``LENGTH`` bytes or
     more go whole); shorter texts are kept.  Null keys stay null; other columns
-    are not read.  ``docs`` must read the same rows in the same order each time
-    (a table), because rows are numbered by place.
+    are not read.  ``docs`` is read once: rows are numbered as they are written to
+    the shared folder.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
     found = repeated(rows.select("row", "text"), segment).groupBy("row").agg(F.collect_list("block").alias("blocks"))
 
     @F.pandas_udf("n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
