@@ -25,14 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: what was computed survives the loss of executors, and
-    later steps read a table with known size and stable row order.
+    later steps read a table with known size and stable row order.  ``codec``
+    is the file compression; None leaves it to the session.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -93,9 +93,39 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_drop
        CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
 FROM d LEFT JOIN k USING (rid)"""
 
+_OP12 = r"""
+WITH RECURSIVE lower_map AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS big, 'abcdefghijklmnopqrstuvwxyz' AS small),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, big, small), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+      FROM documents, lower_map),
+q AS (SELECT row_number() OVER () AS iid, item_id, unnest(regexp_extract_all(translate(text, big, small), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+      FROM benchmark, lower_map),
+qt AS (SELECT iid, item_id, t, count(*) AS times FROM q GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS total FROM d WHERE len(ts) > 0),
+p AS (SELECT rid, doc_id, n, t, count(*) AS tf FROM (SELECT rid, doc_id, len(ts) AS n, unnest(ts) AS t FROM d)
+      WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t, n_docs),
+x AS (SELECT rid, doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // total))) AS impact
+      FROM p JOIN w USING (t), s),
+r AS (SELECT iid, item_id, rid, doc_id, sum(times * impact)::BIGINT AS score FROM x JOIN qt USING (t) GROUP BY ALL HAVING sum(times * impact) > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM r)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20"""
+
+_OP13 = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+v AS (SELECT rid, vec_id, x FROM e WHERE x IS NOT NULL AND len(list_filter(x, c -> c <> 0)) > 0
+      AND len(list_filter(x, c -> c IS NULL OR NOT isfinite(c))) = 0),
+l AS (SELECT a.rid AS u, b.rid AS w FROM v a JOIN v b ON a.rid <> b.rid AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reach(u, w) AS (SELECT rid, rid FROM e UNION SELECT reach.u, l.w FROM reach JOIN l ON reach.w = l.u),
+g AS (SELECT reach.u AS rid, min(o.vec_id) AS component_id FROM reach JOIN e o ON reach.w = o.rid GROUP BY reach.u),
+n AS (SELECT u AS rid, count(*) AS n_links FROM l GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e JOIN g USING (rid) LEFT JOIN n USING (rid)"""
+
 ORACLE: dict[str, str] = {
     "op2_url_filter": _OP2,
     "op4_repetition_quality": _OP4,
     "op7_secret_scan": _OP7,
     "op8_line_dedup": _OP8,
+    "op12_lexical_search": _OP12,
+    "op13_embedding_dedup": _OP13,
 }

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketpulse.llm import bpe, decontaminate, langid, line_dedup, quality_net, repetition, secrets, simhash, suffix_dedup, url_filter
+from marketpulse.llm import (
+    bpe, decontaminate, embedding_dedup, langid, lexical, line_dedup, quality_net, repetition, secrets, simhash, suffix_dedup,
+    token_alignment, url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +85,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def alignment_paths() -> tuple[str, str]:
+    """The public byte-level and piece vocabularies that are aligned."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers aligned on every document, with corpus-wide link counts."""
+    return token_alignment.align(_table(spark, sf_dir, "documents"), *alignment_paths())
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_simhash_dedup, op2_url_filter, op3_language_id, op4_repetition_quality, op5_bpe_encoding, op6_quality_classifier, op7_secret_scan,
-    op8_line_dedup, op9_decontamination, op10_suffix_dedup,
+    op8_line_dedup, op9_decontamination, op10_suffix_dedup, op11_token_alignment, op12_lexical_search, op13_embedding_dedup,
 )}
