@@ -112,8 +112,8 @@ SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20"""
 
 _OP13 = """
 WITH RECURSIVE e AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-v AS (SELECT rid, vec_id, x FROM e WHERE x IS NOT NULL AND len(list_filter(x, c -> c <> 0)) > 0
-      AND len(list_filter(x, c -> c IS NULL OR NOT isfinite(c))) = 0),
+v AS (SELECT rid, vec_id, x FROM e WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c <> 0)) > 0
+      AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 l AS (SELECT a.rid AS u, b.rid AS w FROM v a JOIN v b ON a.rid <> b.rid AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
 reach(u, w) AS (SELECT rid, rid FROM e UNION SELECT reach.u, l.w FROM reach JOIN l ON reach.w = l.u),
 g AS (SELECT reach.u AS rid, min(o.vec_id) AS component_id FROM reach JOIN e o ON reach.w = o.rid GROUP BY reach.u),
