@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from marketpulse.llm.common import saved
 
 #: Bytes of text aligned at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 #: Distinct pairs that one task holds at a time.
 BLOCK = 1 << 22
 #: Distinct pairs of a shard, the unit in which hashes are built.
@@ -61,12 +61,8 @@ class ByteLevel:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
-        self.exact.no_padding()
-        self.exact.no_truncation()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = _byte_alphabet()
@@ -80,11 +76,21 @@ class ByteLevel:
         if [vocab[i] for i in ids] == by_merge:
             self.quick = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks={v: k for k, v in vocab.items()}, special_tokens={})
 
+    @functools.cached_property
+    def exact(self):
+        """The tokenizers library's own encoder, made where a text needs it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        made.no_padding()
+        made.no_truncation()
+        return made
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.quick is None:
-            return [np.array(e.ids, np.int64) for e in self.exact.encode_batch(texts, add_special_tokens=False)]
-        return [np.array(self.exact.encode(t, add_special_tokens=False).ids if _ODD.search(t) else self.quick.encode_ordinary(t), np.int64)
-                for t in texts]
+        quick = self.quick
+        return [np.array(self.exact.encode(t, add_special_tokens=False).ids if quick is None or _ODD.search(t)
+                         else quick.encode_ordinary(t), np.int64) for t in texts]
 
 
 class Pieces:
