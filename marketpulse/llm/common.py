@@ -37,6 +37,19 @@ def saved(df: DataFrame, codec: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_by(df: DataFrame, key: str, codec: str | None = None) -> DataFrame:
+    """As :func:`saved`, dealt by ``key`` into the buckets of a table, one file
+    a bucket.  Joins and aggregates on ``key`` read the buckets as they stand
+    and move only the other side.  The table is named in the session's
+    catalog; its files lie in the shared folder."""
+    spark = df.sparkSession
+    name = f"llm_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.bucketBy(buckets, key) \
+        .options(path=f"{shared_dir(spark).rstrip('/')}/{name}", **({"compression": codec} if codec else {})).saveAsTable(name)
+    return spark.read.table(name)
+
+
 def crc32_mod(col: Column, n: int) -> Column:
     """crc32 of the value's text, modulo n (null stays null)."""
     return F.crc32(col.cast("string").cast("binary")) % n

@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from marketpulse.llm.common import saved
+from marketpulse.llm.common import saved, saved_by
 
 LENGTH = 200
 GRAM = 32
@@ -232,10 +232,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", seg
     ``kept`` the other bytes, joined.  Matches never cross texts.  Null texts
     are empty.  Repeated rows match each other (texts of ``LENGTH`` bytes or
     more go whole); shorter texts are kept.  Null keys stay null; other columns
-    are not read.  ``docs`` is read once: rows are numbered as they are written to
-    the shared folder.
+    are not read; an empty table gives an empty one.  A very long text is searched
+    ``SEGMENT`` bytes at a time; its row holds it whole.  ``docs`` is read once:
+    rows are numbered as they are written to the shared folder.
     """
-    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
+    # dealt by row once: the texts do not move again, only blocks are brought to them
+    rows = saved_by(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "row", "zstd")
     found = repeated(rows.select("row", "text"), segment).groupBy("row").agg(F.collect_list("block").alias("blocks"))
 
     @F.pandas_udf("n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

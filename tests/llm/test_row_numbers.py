@@ -12,13 +12,16 @@ def shifting(spark, monkeypatch):
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     spark.conf.set(SPLITS, "1")
 
-    def saved(df):
-        out = common.saved(df)
-        spark.conf.set(SPLITS, "40")
-        return out
+    def then_shift(save):
+        def run(*args):
+            out = save(*args)
+            spark.conf.set(SPLITS, "40")
+            return out
+        return run
 
     for m in (line_dedup, simhash, suffix_dedup):
-        monkeypatch.setattr(m, "saved", saved, raising=False)
+        for name in ("saved", "saved_by"):
+            monkeypatch.setattr(m, name, then_shift(getattr(common, name)), raising=False)
     yield
     for k in (SPLITS, "spark.sql.files.openCostInBytes"):
         spark.conf.unset(k)
