@@ -215,6 +215,45 @@ ORACLE["w5_ema"] = _wr(PRICES_V, P_IDX, EMA_REC) + """
 SELECT p.symbol, p."Date", round(e12, 4) AS ema_12, round(e26, 4) AS ema_26
 FROM p JOIN e ON p.symbol = e.symbol AND p.i = e.i"""
 
+# bars with null closes: every row counts, averages carry over the gaps
+_GAPPED = """gapped AS (SELECT symbol, "Date", CASE WHEN "Volume"::BIGINT % 4 <> 0 THEN "Close" END AS x FROM prices_v),
+p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY "Date") - 1 AS i FROM gapped),
+d AS (SELECT *, x - lag(x) OVER (PARTITION BY symbol ORDER BY i) AS dl FROM p),
+s AS (SELECT symbol, "Date", i, x, count(x) OVER w20 AS n20, avg(x) OVER w20 AS m, stddev_samp(x) OVER w20 AS sd,
+             avg(CASE WHEN dl > 0 THEN dl ELSE 0 END) OVER w14 AS g, avg(CASE WHEN dl < 0 THEN -dl ELSE 0 END) OVER w14 AS l
+      FROM d
+      WINDOW w14 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 13 PRECEDING AND CURRENT ROW),
+             w20 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
+
+
+def _carried(span: int, e: str) -> str:
+    old = f"pow({_r(span)}, e.gap + 1)"
+    return f"CASE WHEN p.x IS NULL THEN {e} WHEN {e} IS NULL THEN p.x ELSE ({old} * {e} + {_a(span)} * p.x) / ({old} + {_a(span)}) END"
+
+
+_CARRIED_REC = f"""e(symbol, i, gap, e12, e26, sig) AS (
+  SELECT symbol, i, CASE WHEN x IS NULL THEN 1 ELSE 0 END, x, x, x - x FROM p WHERE i = 0
+  UNION ALL
+  SELECT symbol, i, gap, e12, e26, CASE WHEN sig IS NULL THEN e12 - e26 ELSE sig * {_r(9)} + (e12 - e26) * {_a(9)} END
+  FROM (SELECT p.symbol, p.i, CASE WHEN p.x IS NULL THEN e.gap + 1 ELSE 0 END AS gap,
+               {_carried(12, 'e.e12')} AS e12, {_carried(26, 'e.e26')} AS e26, e.sig
+        FROM e JOIN p ON p.symbol = e.symbol AND p.i = e.i + 1))"""
+_CARRIED_INDICATORS = _wr(PRICES_V, _GAPPED, _CARRIED_REC) + f"""
+SELECT s.symbol, s."Date", round({RSI_EXPR}, 4) AS rsi_14, round(e12 - e26, 2) AS macd, round(sig, 2) AS macd_signal,
+       round(CASE WHEN n20 = 20 THEN m + 2 * sd END, 4) AS bb_upper, round(CASE WHEN n20 = 20 THEN m END, 4) AS bb_middle,
+       round(CASE WHEN n20 = 20 THEN m - 2 * sd END, 4) AS bb_lower
+FROM s JOIN e ON s.symbol = e.symbol AND s.i = e.i"""
+ORACLE["w12_indicators_carry"] = _CARRIED_INDICATORS
+ORACLE["w12_indicators_carry_blocks"] = _CARRIED_INDICATORS
+ORACLE["w5_ema_carry"] = _wr(PRICES_V, _GAPPED, _CARRIED_REC) + """
+SELECT symbol, "Date", round(e12, 2) AS ema_12, round(e26, 2) AS ema_26 FROM e JOIN p USING (symbol, i)"""
+ORACLE["w7_macd_carry"] = _wr(PRICES_V, _GAPPED, _CARRIED_REC) + """
+SELECT symbol, "Date", round(e12 - e26, 2) AS macd, round(sig, 2) AS signal, round(e12 - e26 - sig, 2) AS hist FROM e JOIN p USING (symbol, i)"""
+ORACLE["w9_bollinger_carry"] = _w(PRICES_V, _GAPPED) + """
+SELECT symbol, "Date", round(CASE WHEN n20 = 20 THEN m END, 4) AS mean, round(CASE WHEN n20 = 20 THEN sd END, 4) AS sd,
+       round(CASE WHEN n20 = 20 THEN m + 2 * sd END, 4) AS upper, round(CASE WHEN n20 = 20 THEN m - 2 * sd END, 4) AS lower
+FROM s"""
+
 ORACLE["w10_first_per_key"] = _w(NEWS_V) + """
 SELECT title, min(doc_id) AS doc_id, arg_min_null(id, doc_id) AS id FROM news_v GROUP BY title"""
 
@@ -684,6 +723,7 @@ SELECT id, arg_min_null(title, doc_id) AS title, arg_min_null(body, doc_id) AS b
        arg_max_null(url, doc_id) AS url, arg_max_null(keywords, doc_id) AS keywords,
        NULL::TIMESTAMP AS created_at
 FROM news_v GROUP BY id"""
+ORACLE["t1_stream_dedup"] = _w(NEWS_V) + "SELECT doc_id, id, url, published_at FROM news_v"
 ORACLE["t1_stream_prices"] = _w(PRICES_V, PRICE_ROWS) + \
     f"SELECT * FROM price_rows WHERE recorded_at < TIMESTAMP '{CLOSED_BEFORE:%Y-%m-%d}'"
 
@@ -692,6 +732,7 @@ BARS_V = """prices_v AS (
   FROM events GROUP BY 1, 2)"""
 
 ORACLE["t2_stream_indicators"] = INDICATORS.replace(PRICES_V, BARS_V)
+ORACLE["t2_stream_from_state"] = ORACLE["t2_stream_indicators"]
 
 
 # --- files and table sinks ---------------------------------------------------
@@ -704,12 +745,24 @@ BARS_FULL = """bars AS (
 ORACLE["s3_read_prices"] = _w(BARS_FULL) + "SELECT * FROM bars"
 ORACLE["s3_missing_symbols"] = f"""
 SELECT symbol FROM (VALUES {', '.join(f'({_lit(s)})' for s in WANTED_SYMBOLS)}) w(symbol)
-WHERE symbol NOT IN (SELECT DISTINCT event_type FROM events)"""
+WHERE symbol NOT IN (SELECT DISTINCT event_type FROM events) AND symbol <> 'LEO'"""
 ORACLE["s2_read_news_strict"] = _w(NEWS_V) + """
 SELECT title, published_at, md5(body) AS body_md5 FROM (
   SELECT title, published_at, coalesce(body, '') AS body,
          row_number() OVER (PARTITION BY title ORDER BY published_at) AS rn
   FROM news_v) WHERE rn = 1"""
+ORACLE["s2_read_news_newest_first"] = _w(NEWS_V) + """
+SELECT title, TIMESTAMP '2024-01-01 00:00:00' AS published_at, md5(coalesce(body, '')) AS body_md5 FROM (
+  SELECT title, body, row_number() OVER (PARTITION BY title ORDER BY doc_id * 8 // (last + 1), doc_id DESC) AS rn
+  FROM news_v, (SELECT max(doc_id) AS last FROM news_v)) WHERE rn = 1"""
+ORACLE["s10_merge_schema"] = _w(NEWS_V) + """
+SELECT doc_id, id, title, CASE WHEN keywords NOT LIKE 'en|%' THEN url END AS url,
+       CASE WHEN keywords NOT LIKE 'en|%' THEN keywords END AS keywords, NULL::TIMESTAMP AS created_at FROM news_v"""
+ORACLE["c1_run_vectors_twice"] = _w(NEWS_V) + """,
+early AS (SELECT DISTINCT ON (title) id, title, body FROM news_v WHERE published_at < TIMESTAMP '2024-01-01 06:00:00' ORDER BY title, doc_id),
+every AS (SELECT DISTINCT ON (title) id, title, body FROM news_v ORDER BY title, doc_id)
+SELECT id, length(title || chr(10) || body) AS size, 1 AS load FROM early
+UNION ALL SELECT id, length(title || chr(10) || body), 2 FROM every WHERE id NOT IN (SELECT id FROM early)"""
 ORACLE["s9_partitioned_table"] = _w(PRICES_V, PRICE_ROWS) + "SELECT * FROM price_rows"
 ORACLE["a7_rows_written"] = _w(PRICES_V, NEWS_V) + """
 SELECT 'prices' AS load, 1 AS run, count(*) AS n_rows FROM prices_v

@@ -78,6 +78,42 @@ def q_indicators(spark, sf):
     return _round(ind.indicators(ad.prices_v(spark, sf)), ind.INDICATOR_COLUMNS)
 
 
+def _gapped(spark, sf):
+    """Bars in which days with a number of orders divisible by 4 have no close."""
+    return ad.prices_v(spark, sf).withColumn("Close", F.when(F.col("Volume") % 4 != 0, F.col("Close")))
+
+
+def _round_carried(df):
+    """MACD to 2 places: over prices near 10^6 the two engines' recursions agree to about 10^-8."""
+    return _round(_round(df, ["macd", "macd_signal"], 2), ["rsi_14", "bb_upper", "bb_middle", "bb_lower"])
+
+
+@register("w12_indicators_carry")
+def q_indicators_carry(spark, sf):
+    return _round_carried(ind.indicators(_gapped(spark, sf), nulls=ind.CARRY))
+
+
+@register("w12_indicators_carry_blocks")
+def q_indicators_carry_blocks(spark, sf):
+    """The same in blocks of 32 rows, so that nulls lie at many block edges and some blocks hold few closes."""
+    return _round_carried(ind.indicators(_gapped(spark, sf), nulls=ind.CARRY, block=32, bucket_rows=200))
+
+
+@register("w5_ema_carry")
+def q_ema_carry(spark, sf):
+    return _round(ind.ema_series(_gapped(spark, sf), {"ema_12": 12, "ema_26": 26}, nulls=ind.CARRY), ["ema_12", "ema_26"], 2)
+
+
+@register("w7_macd_carry")
+def q_macd_carry(spark, sf):
+    return _round(ind.macd(_gapped(spark, sf), nulls=ind.CARRY), ["macd", "signal", "hist"], 2)
+
+
+@register("w9_bollinger_carry")
+def q_bollinger_carry(spark, sf):
+    return _round(ind.bollinger(_gapped(spark, sf), nulls=ind.CARRY), ["mean", "sd", "upper", "lower"])
+
+
 @register("w4_rsi")
 def q_rsi(spark, sf):
     out = ind.rsi(ad.prices_v(spark, sf))
@@ -892,6 +928,9 @@ def _stream_in_chunks(spark, chunks: list[DataFrame], schema, build, out_fmt="pa
     path = jvm.org.apache.hadoop.fs.Path(src)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
     from marketpulse.streaming.ingest import file_stream
+    from marketpulse.streaming.indicators import STATE_STORE
+    for k, v in STATE_STORE.items():  # the caller's session may lack it
+        spark.conf.set(k, v)
     stream = file_stream(spark, src, schema)
     for c in chunks:
         c.write.mode("append").parquet(src)
@@ -929,6 +968,44 @@ def q_stream_prices(spark, sf):
     return sinks.read_table(spark, table, schemas.CRYPTO_PRICES)
 
 
+@register("t1_stream_dedup")
+def q_stream_dedup(spark, sf):
+    """News in three chunks, each with the rows of the one before again; the
+    last also with rows that no chunk had, 30 days behind the others."""
+    from marketpulse.streaming.ingest import deduplicated
+    n = ad.news_v(spark, sf).select("doc_id", "id", "url", "published_at")
+    bounds = n.agg(F.min("doc_id"), F.max("doc_id")).first()
+    lo, step = int(bounds[0]), (int(bounds[1]) - int(bounds[0])) // 3 + 1
+    part = [n.where((F.col("doc_id") >= lo + k * step) & (F.col("doc_id") < lo + (k + 1) * step)) for k in range(3)]
+    late = part[2].select((-F.col("doc_id") - 1).alias("doc_id"), "id", F.lit("late").alias("url"),
+                          (F.col("published_at") - F.expr("INTERVAL '30' DAY")).alias("published_at"))
+    again = part[1].withColumn("url", F.concat("url", F.lit("?again")))
+    chunks = [part[0], part[0].unionByName(part[1]), again.unionByName(part[2]).unionByName(late)]
+    out = _scratch(spark, "stream-dedup")
+    _stream_in_chunks(spark, chunks, n.schema, lambda s: deduplicated(s, ["doc_id"], "published_at", "20 days")
+                      .writeStream.format("parquet").option("path", out).outputMode("append"))
+    return spark.read.schema(n.schema).parquet(out)
+
+
+@register("t2_stream_from_state")
+def q_stream_from_state(spark, sf):
+    """The first third of the bars as a batch, whose states are stored; a
+    stream that starts from them gives the rest, in two runs."""
+    from marketpulse.operators import indicator_state as ist
+    from marketpulse.streaming.indicators import stream_indicators
+    bars = ad.bars_v(spark, sf).select("symbol", "Date", "Close")
+    bounds = bars.agg(F.min("Date"), F.max("Date")).first()
+    cuts = [bounds[0] + (bounds[1] - bounds[0]) / 3 * k for k in (1, 2)]
+    rows = ist.resume(bars.where(F.col("Date") < F.lit(cuts[0])), ist.empty_state(spark)).checkpoint()
+    stored, out = _scratch(spark, "state"), _scratch(spark, "stream-rest")
+    ist.next_state(rows).write.parquet(stored)
+    state = spark.read.schema(ist.STATE).parquet(stored)
+    chunks = [bars.where(F.col("Date") < F.lit(cuts[1])), bars.where(F.col("Date") >= F.lit(cuts[1]))]  # the first again with stored bars
+    _stream_in_chunks(spark, chunks, bars.schema, lambda s: stream_indicators(s, state=state).writeStream.format("parquet")
+                      .option("path", out).outputMode("append"))
+    return _round(ist.new_rows(rows).unionByName(spark.read.parquet(out)), ind.INDICATOR_COLUMNS)
+
+
 @register("t2_stream_indicators")
 def q_stream_indicators(spark, sf):
     from marketpulse.streaming.indicators import stream_indicators
@@ -972,8 +1049,10 @@ WANTED_SYMBOLS = ["click", "view", "purchase", "LEO", "HYPE"]
 
 @register("s3_missing_symbols")
 def q_missing_symbols(spark, sf):
-    p = files.read_prices(spark, _price_files(spark, sf), WANTED_SYMBOLS)
-    return files.missing_symbols(spark, p, WANTED_SYMBOLS)
+    """LEO has a file with a header and no row: it is not missing, HYPE is."""
+    d = _price_files(spark, sf)
+    files.read_prices(spark, d).where("false").drop("symbol").coalesce(1).write.option("header", True).csv(f"{d}/LEOUSDT_historical_prices.csv")
+    return files.missing_symbols(spark, d, WANTED_SYMBOLS)
 
 
 @register("s2_read_news_strict")
@@ -989,7 +1068,24 @@ def q_read_news_strict(spark, sf):
         F.col("url").alias("URL"), F.col("keywords").alias("Keywords"))
         .repartitionByRange(8, F.col("Timestamp").cast("long")), path)
     strict = files.read_news_strict(spark, path)
-    first = tb.first_per_key(strict, ["title"], ["_file", "timestamp"])
+    first = tb.first_per_key(strict, ["title"], files.FILE_ORDER)
+    return first.select("title", "published_at", F.md5("body").alias("body_md5"))
+
+
+@register("s2_read_news_newest_first")
+def q_read_news_newest_first(spark, sf):
+    """Eight files, in each the newest article first, all of one time: of equal
+    titles the record that stands first in the first file stays."""
+    n = ad.news_v(spark, sf)
+    last = n.agg(F.max("doc_id")).scalar()
+    path = _scratch(spark, "news-newest-first")
+    n.select(F.expr("doc_id").alias("d"), F.floor(F.col("doc_id") * 8 / (last + 1)).alias("feed"), F.lit("1704067200").alias("Timestamp"),
+             F.lit("2024-01-01 00:00:00").alias("Published Time"), F.col("title").alias("Title"), F.col("body").alias("Body"),
+             F.col("url").alias("URL"), F.col("keywords").alias("Keywords")) \
+        .repartitionByRange(8, "feed").sortWithinPartitions("feed", F.desc("d")).drop("d") \
+        .write.partitionBy("feed").option("header", True).option("quote", '"').option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    first = tb.first_per_key(files.read_news_strict(spark, path), ["title"], files.FILE_ORDER)
     return first.select("title", "published_at", F.md5("body").alias("body_md5"))
 
 
@@ -1028,15 +1124,13 @@ def q_rows_written(spark, sf):
 
 @register("s12_create_tables")
 def q_create_tables(spark, sf):
-    """Rows of the declared tables, made twice, the price table filled in between."""
-    from marketpulse import schemas
+    """Rows of the catalog's tables, made twice, the price table filled in between."""
     from marketpulse.sources import sinks
-    base = _scratch(spark, "tables")
-    made = sinks.create_tables(spark, base)
+    base, db = _scratch(spark, "tables"), f"mp_{uuid.uuid4().hex}"
+    made = sinks.create_tables(spark, base, db)
     market.run_prices(made["crypto_prices"], ad.prices_v(spark, sf), ["Close"])
-    made = sinks.create_tables(spark, base)
-    counts = [sinks.read_table(spark, path, schemas.TABLES[name]).select(F.lit(name).alias("name"), F.lit(1).alias("one"))
-              for name, path in sorted(made.items())]
+    made = sinks.create_tables(spark, base, db)
+    counts = [sinks.refresh_table(spark, name, db).select(F.lit(name).alias("name"), F.lit(1).alias("one")) for name in sorted(made)]
     names = spark.createDataFrame([(n,) for n in sorted(made)], "name string")
     rows = counts[0]
     for c in counts[1:]:
@@ -1076,6 +1170,36 @@ def q_run_vectors(spark, sf):
                                         F.element_at("embedding", 2).cast("double").alias("e2"))
 
 
+@register("c1_run_vectors_twice")
+def q_run_vectors_twice(spark, sf):
+    """Vectors of the early articles, then of all: the second load embeds new
+    keys only (its vectors say so), and a third must not call the model."""
+    n = ad.news_v(spark, sf).withColumn("_file", F.lit("f")).withColumn("_pos", F.col("doc_id"))
+    t = _scratch(spark, "c1-vectors-twice")
+
+    def loaded(k):
+        return lambda texts: [[float(len(x)), float(k)] for x in texts]
+
+    def never(texts):
+        raise AssertionError("the model was called")
+
+    newsplan.run_vectors(t, n.where(F.col("published_at") < F.lit(NOW - dt.timedelta(hours=6))), loaded(1))
+    newsplan.run_vectors(t, n, loaded(2))
+    newsplan.run_vectors(t, n, never)
+    return spark.read.parquet(t).select("id", F.element_at("embedding", 1).cast("int").alias("size"), F.element_at("embedding", 2).cast("int").alias("load"))
+
+
+@register("s10_merge_schema")
+def q_merge_schema(spark, sf):
+    """One table over files that lack url and keywords and files that have them."""
+    from marketpulse.sources import sinks
+    n = ad.news_v(spark, sf).withColumn("feed", F.split_part("keywords", F.lit("|"), F.lit(1)))
+    path = _scratch(spark, "news-ages")
+    n.where("feed = 'en'").select("doc_id", "id", "title").write.mode("append").parquet(path)
+    n.where("feed <> 'en'").select("doc_id", "id", "title", "url", "keywords").write.mode("append").parquet(path)
+    return sinks.read_merged(spark, path, {"url": "string", "keywords": "string", "created_at": "timestamp_ntz"})
+
+
 @register("c3_run_indicators_twice")
 def q_run_indicators_twice(spark, sf):
     from marketpulse import schemas

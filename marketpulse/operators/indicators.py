@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.operators.series import (
     BLK, DEFAULT_BLOCK_ROWS, DEFAULT_BUCKET_ROWS, HALO, IDX,
-    _d, _over, _q, ema, ema_block, halo_blocks, index_series, macd_scan,
+    _d, _over, _q, ema, ema_block, ema_gaps, halo_blocks, index_series, macd_scan,
 )
 
 # Indicator parameters and output order of the indicator table.
@@ -43,27 +43,48 @@ def rsi_from_means(mean_gain: Column, mean_loss: Column) -> Column:
              .otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + mean_gain / mean_loss)))
 
 
+#: What a null close does: its row is left out, or stays and carries values on.
+DROP, CARRY = "drop", "carry"
+
+
+def _indexed(prices: DataFrame, by: str, ts: str, close: str, bucket_rows: int, nulls: str = DROP) -> DataFrame:
+    if nulls not in (DROP, CARRY):
+        raise ValueError(f"nulls must be {DROP!r} or {CARRY!r}, not {nulls!r}")
+    base = prices.selectExpr(_q(by), _q(ts), f"CAST({_q(close)} AS DOUBLE) AS _x")
+    return index_series(base.where("_x IS NOT NULL") if nulls == DROP else base, [by], ts, bucket_rows, tie=["_x"])
+
+
 def _prepare(prices: DataFrame, by: str, ts: str, close: str, bucket_rows: int,
-             block: int, halo: int) -> DataFrame:
-    base = (prices.selectExpr(_q(by), _q(ts), f"CAST({_q(close)} AS DOUBLE) AS _x")
-                  .where("_x IS NOT NULL"))
-    indexed = index_series(base, [by], ts, bucket_rows, tie=["_x"])
-    return halo_blocks(indexed, IDX, block, halo)
+             block: int, halo: int, nulls: str = DROP) -> DataFrame:
+    return halo_blocks(_indexed(prices, by, ts, close, bucket_rows, nulls), IDX, block, halo)
+
+
+def _carried_macd(rows: DataFrame, by: str, fast: int, slow: int, signal: int, block: int) -> DataFrame:
+    """``rows`` (by, IDX, _x nullable) with macd and macd_signal: the EMAs carry
+    over null rows, the signal runs over every row from the first close on."""
+    rows = ema_gaps(rows, [by], IDX, "_x", {"_ef": fast, "_es": slow}, block=block, first="_i0")
+    rows = rows.selectExpr("*", "_ef - _es AS macd", "coalesce(_ef - _es, 0.0D) AS _m", f"{IDX} - coalesce(_i0, 0) AS _k").drop("_ef", "_es", "_i0")
+    rows = ema(rows, [by], "_k", {"_sig": ("_m", signal)}, block=block)
+    return rows.selectExpr("*", "CASE WHEN macd IS NOT NULL THEN _sig END AS macd_signal").drop("_sig", "_m", "_k")
 
 
 def indicators(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: str = "Close",
                rsi_n: int = RSI_N, fast: int = MACD_FAST, slow: int = MACD_SLOW,
                signal: int = MACD_SIGNAL, bb_n: int = BB_N, bb_k: float = BB_K,
                block: int = DEFAULT_BLOCK_ROWS,
-               bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+               bucket_rows: int = DEFAULT_BUCKET_ROWS, nulls: str = DROP) -> DataFrame:
     """RSI, MACD, MACD signal and Bollinger bands per (symbol, date).
 
     Semantics per series ordered by ``ts`` (i = 0-based row index):
     RSI = simple-mean form over ``rsi_n`` deltas, defined from i = rsi_n-1;
     MACD = EMA(fast) - EMA(slow), signal = EMA(signal) of MACD, both defined
     from i = 0; bands = mean ± k·sample sd over ``bb_n`` rows, from i = bb_n-1.
-    Warm-up rows are kept with nulls.  Rows with a null close are left out
-    before the windows (the documented null rule).  Dates should be unique in
+    Warm-up rows are kept with nulls.  With ``nulls="drop"`` rows with a null
+    close are left out before the windows.  With ``nulls="carry"`` they stay and
+    count as rows: a delta with a null side is neither gain nor loss, bands are
+    null while a null is in their window, and the averages keep their last value
+    at a null row while the weight of that value keeps decaying by position
+    (rows before the first close have no MACD).  Dates should be unique in
     a series (Q2; the loads take the first bar of a date); rows of equal date
     are ordered by close, so the result does not depend on the partitioning.  The expressions are the
     Column helpers above (diff, gain_loss, rsi_from_means), written as SQL
@@ -71,7 +92,7 @@ def indicators(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: s
     """
     block = ema_block([fast, slow, signal], block)
     halo = max(rsi_n, bb_n - 1)
-    rows = _prepare(prices, by, ts, close, bucket_rows, block, halo)
+    rows = _prepare(prices, by, ts, close, bucket_rows, block, halo, nulls)
 
     own = rows.where(f"NOT {HALO}").select(by, ts, IDX, BLK, "_x")
 
@@ -86,15 +107,18 @@ def indicators(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: s
     g, l = f"avg({gain}) {w_rsi}", f"avg({loss}) {w_rsi}"                # W3
     rsi = (f"CASE WHEN {IDX} >= {rsi_n - 1} THEN (CASE WHEN {l} = 0 THEN "   # W4
            f"(CASE WHEN {g} > 0 THEN 100.0D END) ELSE 100.0D - 100.0D / (1.0D + {g} / {l}) END) END")
-    ready = f"{IDX} >= {bb_n - 1}"
+    ready = f"{IDX} >= {bb_n - 1}" if nulls == DROP else f"count(_x) {w_bb} = {bb_n}"
     rows = (rows.selectExpr(
         _q(by), _q(ts), IDX, BLK, HALO, "_x", f"{rsi} AS rsi_14",
         f"CASE WHEN {ready} THEN avg(_x) {w_bb} END AS bb_middle",        # W8
         f"CASE WHEN {ready} THEN stddev_samp(_x) {w_bb} END AS _sd")
         .where(f"NOT {HALO}").drop(HALO))
 
-    rows = macd_scan(rows, [by], IDX, "_x", fast, slow, signal, block=block, blk_col=BLK,
-                     blocks_from=own)                                    # W5-W7
+    if nulls == CARRY:
+        rows = _carried_macd(rows.drop(BLK), by, fast, slow, signal, block)
+    else:
+        rows = macd_scan(rows, [by], IDX, "_x", fast, slow, signal, block=block, blk_col=BLK,
+                         blocks_from=own)                                # W5-W7
     k = _d(bb_k)
     return rows.selectExpr(                                              # W9
         _q(by), _q(ts), "rsi_14", "macd", "macd_signal",
@@ -121,11 +145,12 @@ def rsi(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: str = "C
 
 def bollinger(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: str = "Close",
               n: int = BB_N, k: float = BB_K, block: int = DEFAULT_BLOCK_ROWS,
-              bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
-    """Rolling mean and sample sd over ``n`` rows, bands at ±k sd."""
-    rows = _prepare(prices, by, ts, close, bucket_rows, block, n - 1)
+              bucket_rows: int = DEFAULT_BUCKET_ROWS, nulls: str = DROP) -> DataFrame:
+    """Rolling mean and sample sd over ``n`` rows, bands at ±k sd; with
+    ``nulls="carry"`` null where a close in the window is null."""
+    rows = _prepare(prices, by, ts, close, bucket_rows, block, n - 1, nulls)
     wn = Window.partitionBy(by, BLK).orderBy(IDX).rowsBetween(-(n - 1), 0)
-    ready = F.col(IDX) >= n - 1
+    ready = F.count("_x").over(wn) == n
     rows = rows.select(by, ts, HALO, F.when(ready, F.avg("_x").over(wn)).alias("mean"),
                        F.when(ready, F.stddev_samp("_x").over(wn)).alias("sd"))
     return (rows.where(~F.col(HALO))
@@ -136,21 +161,24 @@ def bollinger(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: st
 
 def ema_series(prices: DataFrame, spans: dict[str, int], by: str = "symbol", ts: str = "Date",
                col: str = "Close", block: int = DEFAULT_BLOCK_ROWS,
-               bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+               bucket_rows: int = DEFAULT_BUCKET_ROWS, nulls: str = DROP) -> DataFrame:
     """One EMA column per entry of ``spans`` (name -> span)."""
-    base = prices.select(by, ts, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    rows = index_series(base, [by], ts, bucket_rows, tie=["_x"])
+    rows = _indexed(prices, by, ts, col, bucket_rows, nulls)
+    if nulls == CARRY:
+        return ema_gaps(rows, [by], IDX, "_x", spans, block=block).select(by, ts, *spans.keys())
     rows = ema(rows, [by], IDX, {n: ("_x", s) for n, s in spans.items()}, block=block)
     return rows.select(by, ts, *spans.keys())
 
 
 def macd(prices: DataFrame, by: str = "symbol", ts: str = "Date", close: str = "Close",
          fast: int = MACD_FAST, slow: int = MACD_SLOW, signal: int = MACD_SIGNAL,
-         block: int = DEFAULT_BLOCK_ROWS, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+         block: int = DEFAULT_BLOCK_ROWS, bucket_rows: int = DEFAULT_BUCKET_ROWS, nulls: str = DROP) -> DataFrame:
     """MACD line, signal line and their difference (histogram)."""
-    base = prices.select(by, ts, F.col(close).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    rows = index_series(base, [by], ts, bucket_rows, tie=["_x"])
-    rows = macd_scan(rows, [by], IDX, "_x", fast, slow, signal, block=block, out=("macd", "signal"))
+    rows = _indexed(prices, by, ts, close, bucket_rows, nulls)
+    if nulls == CARRY:
+        rows = _carried_macd(rows, by, fast, slow, signal, block).withColumnRenamed("macd_signal", "signal")
+    else:
+        rows = macd_scan(rows, [by], IDX, "_x", fast, slow, signal, block=block, out=("macd", "signal"))
     return rows.select(by, ts, "macd", "signal", (F.col("macd") - F.col("signal")).alias("hist"))
 
 

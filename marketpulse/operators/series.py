@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -335,3 +335,99 @@ def macd_scan(df: DataFrame, by: Sequence[str], idx: str, src: str, fast: float,
 def ema_block(spans: Sequence[float], block: int = DEFAULT_BLOCK_ROWS) -> int:
     """Block length usable by :func:`ema` for all ``spans``."""
     return min(_block_for(s, block) for s in spans)
+
+
+# ------------------------------------------------------------ series with gaps
+
+def gap_rate(span: float) -> float:
+    """Least decay of an old value a row, in natural log: after an observation
+    ``g`` rows on, the old value keeps A(g) = r**g / (r**g + a) of its weight."""
+    r = 1.0 - 2.0 / (span + 1.0)
+    if r <= 0.0:
+        return 600.0
+    g = range(1, 4096)
+    return min(-(k * math.log(r) - math.log(r ** k + 1.0 - r)) / k for k in g)
+
+
+def _last_before(blocks: DataFrame, by: Sequence[str], cols: dict[str, str], chunk: int) -> DataFrame:
+    """Add ``cols`` (new name -> column): the last non-null value of the column
+    in the earlier blocks of the series.  The block table is searched inside
+    chunks of ``chunk`` blocks, and one row a chunk carries over."""
+    by = list(by)
+    rows = blocks.withColumn("_ck", F.floor(F.col(BLK) / F.lit(chunk)))
+    ends = rows.groupBy(*by, "_ck").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(BLK))).alias(f"_e_{n}") for n, c in cols.items()])
+    before = Window.partitionBy(*by).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "_ck", *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_p_{n}") for n in cols])
+    inside = Window.partitionBy(*by, "_ck").orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"_i_{n}") for n, c in cols.items()])
+    out = rows.join(ends, [*by, "_ck"])
+    return out.select(*blocks.columns, *[F.coalesce(f"_i_{n}", f"_p_{n}").alias(n) for n in cols])
+
+
+def ema_gaps(df: DataFrame, by: Sequence[str], idx: str, src: str, spans: dict[str, float],
+             block: int = DEFAULT_BLOCK_ROWS, carry_chunk: int = 4096, first: str | None = None) -> DataFrame:
+    """EMAs of ``src`` where it may be null: at a null row the last value stands,
+    and the weight of the old value keeps decaying by position.
+
+    With g rows since the last observation, y = A y' + (1 - A) x and
+    A = r**g / (r**g + a), r = 1 - a, a = 2 / (span + 1); the first observation
+    seeds the series, and earlier rows are null.  ``spans`` maps output name to
+    span; ``first`` names a column for the index of the first observation.
+
+    Plan: each step is an affine map of the value before it.  Inside a block of
+    rows the maps after the block's first observation are composed by running
+    sums (of ln A, and of the inputs over the composed weight).  One row a
+    block holds the whole block's map; since a block's rows bound the sum of
+    its gaps, no weight underflows.  Over the small block table the maps are
+    applied in a bounded frame (older values have decayed below the smallest
+    double), and blocks without an observation take the last value before.
+    """
+    by = list(by)
+    B = ema_block(list(spans.values()), block)
+    x, i = F.col(src).cast("double"), F.col(idx)
+    seen = x.isNotNull()
+    rates = {n: (1.0 - 2.0 / (s + 1.0), 2.0 / (s + 1.0)) for n, s in spans.items()}
+
+    def old(n: str, g: Column) -> Column:
+        r, a = rates[n]
+        p = F.pow(F.lit(r), g)
+        return p / (p + F.lit(a))
+
+    w = Window.partitionBy(*by, BLK).orderBy(idx)
+    past, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn(BLK, F.floor(i / F.lit(B)))
+    rows = rows.withColumn("_g", F.when(seen, i - F.last(F.when(seen, i), ignorenulls=True).over(past)))
+    rows = rows.select("*", F.first(x, ignorenulls=True).over(upto).alias("_x1"),
+                       *[F.coalesce(F.sum(F.log(old(n, F.col("_g")))).over(upto), F.lit(0.0)).alias(f"_s_{n}") for n in spans])
+    rows = rows.select("*", *[F.when(F.col("_g").isNotNull(), (F.lit(1.0) - old(n, F.col("_g"))) * x * F.exp(-F.col(f"_s_{n}"))).alias(f"_q_{n}")
+                              for n in spans])
+
+    blocks = rows.groupBy(*by, BLK).agg(
+        F.min(F.when(seen, i)).alias("_f"), F.max(F.when(seen, i)).alias("_l"),
+        F.min_by(x, F.when(seen, i)).alias("_bx"),
+        *[F.coalesce(F.sum(F.log(old(n, F.col("_g")))), F.lit(0.0)).alias(f"_S_{n}") for n in spans],
+        *[F.coalesce(F.sum(f"_q_{n}"), F.lit(0.0)).alias(f"_Q_{n}") for n in spans])
+    blocks = _last_before(blocks, by, {"_pl": "_l"}, carry_chunk)
+    # the block's first step: 0 where nothing was seen before it
+    blocks = blocks.select("*", *[F.when(F.col("_pl").isNull(), F.lit(0.0)).otherwise(old(n, F.col("_f") - F.col("_pl"))).alias(f"_A_{n}") for n in spans])
+    some = blocks.where("_f IS NOT NULL").select(
+        *by, BLK, *[F.struct((F.exp(f"_S_{n}") * F.col(f"_A_{n}")).alias("m"),
+                             (F.exp(f"_S_{n}") * ((F.lit(1.0) - F.col(f"_A_{n}")) * F.col("_bx") + F.col(f"_Q_{n}"))).alias("l")).alias(f"_m_{n}") for n in spans])
+    frame = max(int(math.ceil(1500.0 / (B * gap_rate(s)))) + 1 for s in spans.values())
+    chunked = halo_blocks(some, BLK, carry_chunk, frame, blk="_cb", is_halo="_ch")
+    ends = chunked.selectExpr(*[_q(c) for c in by], BLK, "_ch", *[
+        f"aggregate(collect_list(_m_{n}) {_over([*by, '_cb'], BLK, f'{frame} PRECEDING AND CURRENT ROW')}, 0.0D, (acc, v) -> acc * v.m + v.l) AS _y_{n}"
+        for n in spans]).where("NOT _ch").drop("_ch")
+    table = blocks.select(*by, BLK, "_f", *[f"_A_{n}" for n in spans]).join(ends, [*by, BLK], "left")
+    table = _last_before(table, by, {f"_c_{n}": f"_y_{n}" for n in spans}, carry_chunk)
+    if first:
+        table = table.join(blocks.groupBy(*by).agg(F.min("_f").alias(first)), by)
+    table = table.select(*by, BLK, *[f"_A_{n}" for n in spans], *[f"_c_{n}" for n in spans], *([first] if first else []))
+
+    out = rows.join(table, [*by, BLK])
+    for n in spans:
+        c, a1 = F.col(f"_c_{n}"), F.col(f"_A_{n}")
+        inside = F.exp(f"_s_{n}") * (a1 * F.coalesce(c, F.lit(0.0)) + (F.lit(1.0) - a1) * F.col("_x1")
+                                     + F.coalesce(F.sum(f"_q_{n}").over(upto), F.lit(0.0)))
+        out = out.withColumn(n, F.when(F.col("_x1").isNull(), c).otherwise(inside))
+    return out.select(*df.columns, *spans, *([first] if first else []))

@@ -10,13 +10,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marketpulse import schemas
 from marketpulse.functions.scalars import (
     pair_symbol, quantize_half_up, volume_or_null,
 )
+from marketpulse.operators import indicator_state as ist
 from marketpulse.operators import indicators as ind
 from marketpulse.operators import quality as q
 from marketpulse.operators import retrieval as rt
@@ -25,14 +26,11 @@ from marketpulse.sources import sinks
 
 
 def _append_new(table_path: str, new: DataFrame) -> int:
-    """Append ``new`` to the table; A7: return the number of new rows.  They
-    are checkpointed once (shared checkpoint folder) and counted there; only
-    they are written: J3 reads the stored symbols and times, nothing more."""
-    new = new.checkpoint()
-    n = new.count()
-    if n:
-        sinks.append_rows(new, table_path, "symbol")
-    return n
+    """Append ``new`` to the table; A7: return the number of rows, observed by
+    the write itself.  J3 reads the stored symbols and times, nothing more."""
+    written = Observation()
+    sinks.append_rows(new, table_path, "symbol", written)
+    return written.get.get("rows", 0)
 
 
 def price_rows(prices: DataFrame) -> DataFrame:
@@ -64,7 +62,10 @@ def new_prices(target: DataFrame, batch: DataFrame, order: Sequence[str],
 
 def indicator_rows(prices: DataFrame) -> DataFrame:
     """W12 + P5 in the indicator table's shape."""
-    out = ind.indicators(prices)
+    return _stored_shape(ind.indicators(prices))
+
+
+def _stored_shape(out: DataFrame) -> DataFrame:
     out = out.withColumnRenamed("Date", "recorded_at").withColumn(
         "recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
     return ind.quantize_indicators(out).select("symbol", "recorded_at", *ind.INDICATOR_COLUMNS)
@@ -87,11 +88,37 @@ def run_prices(table_path: str, batch: DataFrame, order: Sequence[str],
     return _append_new(table_path, new_prices(target, batch, order, closed_before))
 
 
+def state_path(table_path: str) -> str:
+    """Where the indicator table's series states are stored, beside it."""
+    return f"{table_path.rstrip('/')}_state"
+
+
+def read_state(spark: SparkSession, table_path: str) -> DataFrame:
+    """The latest stored state of every symbol."""
+    return ist.latest_state(sinks.read_table(spark, state_path(table_path), ist.STATE))
+
+
 def run_indicators(table_path: str, prices: DataFrame, order: Sequence[str],
                    closed_before: dt.datetime | None = None) -> int:
-    """C3 with the sink."""
-    target = sinks.read_table(prices.sparkSession, table_path, schemas.CRYPTO_INDICATORS)
-    return _append_new(table_path, new_indicators(target, prices, order, closed_before))
+    """C3 with the sink; returns the number of rows written.
+
+    The load goes on from the stored state of each symbol: bars up to the
+    state's last are dropped after the scan, and only later ones are numbered
+    and windowed.  A symbol without state needs its full history in ``prices``.
+    Rows are appended first, then the states; after a crash in between, the
+    next load computes those rows again from the older states and J3 keeps
+    them out.  A late or revised bar does not change later values; to recompute,
+    load the history into a new table.
+    """
+    spark = prices.sparkSession
+    if closed_before is not None:
+        prices = prices.where(F.col("Date") < F.lit(closed_before))
+    rows = ist.resume(_first_bars(prices, order), read_state(spark, table_path)).checkpoint()
+    target = sinks.read_table(spark, table_path, schemas.CRYPTO_INDICATORS)
+    n = _append_new(table_path, tb.newer_than(_stored_shape(ist.new_rows(rows)), target, "recorded_at", by=["symbol"]))
+    if not rows.where("NOT _old").isEmpty():
+        ist.next_state(rows).write.mode("append").parquet(state_path(table_path))
+    return n
 
 
 def top_pairs(listings: DataFrame, n: int = 10, excluded: Sequence[str] = q.STABLECOINS,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from marketpulse.functions.scalars import content_key, document_text, to_epoch,
 from marketpulse.operators import enrich
 from marketpulse.operators import tables as tb
 from marketpulse.sources import sinks
+from marketpulse.sources.files import FILE_ORDER
 
 NEWS_UPDATE_COLS = ["url", "keywords"]
 #: The stored table is partitioned by this many leading hex digits of the id.
@@ -26,14 +27,18 @@ PREFIX, PREFIX_DIGITS = "id_prefix", 2
 STORED = T.StructType([*schemas.NEWS.fields, T.StructField(PREFIX, T.StringType())])
 
 
-def keyed_news(scanned: DataFrame, created_at=None, order: str = "timestamp") -> DataFrame:
-    """P1 + P7: rows in the news table's shape, with ``_pos`` (input order:
-    the column ``order``, ties by the row's own values)."""
+def keyed_news(scanned: DataFrame, created_at=None, order: Sequence[str] | str | None = None) -> DataFrame:
+    """P1 + P7: rows in the news table's shape, with ``_pos`` (input order: the
+    columns ``order``, by default the files' own, or ``timestamp`` where the
+    rows come from no file; ties by the row's values)."""
+    if order is None:
+        order = FILE_ORDER if set(FILE_ORDER) <= set(scanned.columns) else ["timestamp"]
+    order = [order] if isinstance(order, str) else list(order)
     created = F.lit(created_at).cast("timestamp_ntz") if created_at is not None else \
         F.lit(None).cast("timestamp_ntz")
     return scanned.select(
         content_key("title", "body").alias("id"), "title", "body", "published_at", "url", "keywords",
-        created.alias("created_at"), F.struct(F.col(order).alias("o"), "published_at", "url", "keywords").alias("_pos"))
+        created.alias("created_at"), F.struct(F.struct(*order).alias("o"), "published_at", "url", "keywords").alias("_pos"))
 
 
 def merge_news(target: DataFrame, batch: DataFrame, order: str = "_pos") -> DataFrame:
@@ -47,20 +52,24 @@ def merge_news(target: DataFrame, batch: DataFrame, order: str = "_pos") -> Data
     return tb.upsert(target, fresh, "id", order, NEWS_UPDATE_COLS)
 
 
-def vector_rows(news: DataFrame, encoder, tz: str = "UTC", order: Sequence[str] = ("_file", "timestamp", "body")) -> DataFrame:
+def vector_rows(news: DataFrame, encoder, tz: str = "UTC", order: Sequence[str] = FILE_ORDER) -> DataFrame:
     """C1 vector half: one vector record per distinct title, of its first row in ``order``."""
     return rebuild_vectors(tb.first_per_key(news, ["title"], order), encoder, tz)
 
 
 def rebuild_vectors(news: DataFrame, encoder, tz: str = "UTC") -> DataFrame:
     """Re-key and re-embed every news row (no title dedup)."""
-    docs = news.select(
+    return enrich.embed(vector_records(news, tz), "content", encoder)
+
+
+def vector_records(news: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Vector records without their vectors."""
+    return news.select(
         content_key("title", "body").alias("id"),
         document_text("title", "body").alias("content"),
         "title",
         ts_text("published_at").alias("published_time"),
         to_epoch("published_at", tz).alias("timestamp"))
-    return enrich.embed(docs, "content", encoder)
 
 
 def _with_prefix(news: DataFrame) -> DataFrame:
@@ -68,7 +77,7 @@ def _with_prefix(news: DataFrame) -> DataFrame:
     return news.withColumn(PREFIX, F.substring("id", 1, PREFIX_DIGITS))
 
 
-def run_news(table_path: str, scanned: DataFrame, created_at=None, order: str = "timestamp") -> int:
+def run_news(table_path: str, scanned: DataFrame, created_at=None, order: Sequence[str] | str | None = None) -> int:
     """C1 relational half with the sink; A7: returns the number of new rows.
 
     Only the partitions of ids in the batch are read, merged and written
@@ -83,7 +92,7 @@ def run_news(table_path: str, scanned: DataFrame, created_at=None, order: str =
         # at most 16 ** PREFIX_DIGITS values
         touched = [r[0] for r in fresh.select(PREFIX).distinct().collect()]
         merged = tb.upsert(target.where(F.col(PREFIX).isin(touched)).drop(PREFIX), fresh.drop(PREFIX), "id", "_pos", NEWS_UPDATE_COLS)
-        sinks.replace_partitions(_with_prefix(merged).checkpoint(), table_path, PREFIX)
+        sinks.replace_partitions(_with_prefix(merged).checkpoint(), table_path, PREFIX, "id")
     return n
 
 
@@ -93,9 +102,14 @@ def read_news_table(spark: SparkSession, table_path: str) -> DataFrame:
 
 
 def run_vectors(table_path: str, news: DataFrame, encoder, tz: str = "UTC",
-                order: Sequence[str] = ("_file", "timestamp", "body")) -> int:
+                order: Sequence[str] = FILE_ORDER) -> int:
     """C1 vector half with the sink: the first row of each title becomes a
-    vector record; the vector table is replaced.  Returns its rows."""
-    rows = vector_rows(news, encoder, tz, order).checkpoint()
-    rows.write.mode("overwrite").parquet(table_path)
-    return rows.count()
+    vector record, if its content key is not stored yet.  Only new records go
+    through the model; they are appended, and stored ones stay as they are.
+    Returns the number of new records."""
+    stored = sinks.read_table(news.sparkSession, table_path, schemas.VECTORS)
+    records = vector_records(tb.first_per_key(news, ["title"], order), tz)
+    new = enrich.embed(records.join(stored.select("id"), "id", "left_anti"), "content", encoder)
+    written = Observation()
+    new.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(table_path)
+    return written.get.get("rows", 0)

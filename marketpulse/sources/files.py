@@ -30,6 +30,16 @@ def _csv(spark: SparkSession, path, schema, multi_line: bool = True) -> DataFram
             .csv(path))
 
 
+#: Columns that order the records of news files as they were written.
+FILE_ORDER = ["_file", "_pos"]
+
+
+def _in_file_order(scan: DataFrame) -> DataFrame:
+    """``scan`` with ``FILE_ORDER``.  A multi-line file is one split and a task
+    reads its records in order, so the numbers of a file's records increase."""
+    return scan.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_pos"))
+
+
 def read_csv(spark: SparkSession, path, columns: Sequence[str]) -> DataFrame:
     """A written CSV (S8) of text columns, as it was written (empty text is null)."""
     return _csv(spark, path, ", ".join(f"`{c}` string" for c in columns))
@@ -40,15 +50,17 @@ def read_news(spark: SparkSession, path) -> DataFrame:
 
     Columns renamed by position; null tokens become null; an unparseable
     time becomes null; rows lacking published_at, title or body are dropped.
-    Every data row is read (the header is the only row skipped).
+    Every data row is read (the header is the only row skipped).  ``_file`` and
+    ``_pos`` order rows as the files have them.
     """
-    raw = _csv(spark, path, schemas.NEWS_CSV).toDF(*NEWS_COLUMNS)
-    cleaned = raw.select(*[null_tokens(c).alias(c) for c in NEWS_COLUMNS])
+    scan = _csv(spark, path, schemas.NEWS_CSV)
+    raw = _in_file_order(scan.select(*[F.col(c).alias(n) for c, n in zip(schemas.NEWS_CSV.fieldNames(), NEWS_COLUMNS, strict=True)]))
+    cleaned = raw.select(*[null_tokens(c).alias(c) for c in NEWS_COLUMNS], *FILE_ORDER)
     typed = cleaned.select(
         F.col("timestamp").try_cast("long").alias("timestamp"),
         F.try_to_timestamp(F.col("published_at"), F.lit("yyyy-MM-dd HH:mm:ss"))
          .cast("timestamp_ntz").alias("published_at"),
-        "title", "body", "url", "keywords")
+        "title", "body", "url", "keywords", *FILE_ORDER)
     return typed.na.drop(subset=["published_at", "title", "body"])
 
 
@@ -56,15 +68,15 @@ def read_news_strict(spark: SparkSession, path) -> DataFrame:
     """Strict scan by header names; a malformed time raises an error.
 
     Text is kept as written (no null tokens).  Deduplication by title is
-    left to ``tables.first_per_key`` in the input's own order: file name
-    (``_file``), then the file's ``timestamp`` column.
+    left to ``tables.first_per_key`` in the input's own order ``FILE_ORDER``:
+    file path (``_file``), then the record's place in the file (``_pos``).
     """
-    raw = _csv(spark, path, schemas.NEWS_CSV)
+    raw = _in_file_order(_csv(spark, path, schemas.NEWS_CSV))
     return raw.select(
         F.to_timestamp(F.col("Published Time"), "yyyy-MM-dd HH:mm:ss").cast("timestamp_ntz").alias("published_at"),
         F.coalesce(F.col("Title"), F.lit("")).alias("title"),
         F.coalesce(F.col("Body"), F.lit("")).alias("body"),
-        F.col("_metadata.file_name").alias("_file"),
+        *FILE_ORDER,
         F.col("Timestamp").try_cast("long").alias("timestamp"))
 
 
@@ -89,10 +101,18 @@ def read_prices(spark: SparkSession, directory: str, symbols: Sequence[str] | No
     return df
 
 
-def missing_symbols(spark: SparkSession, prices: DataFrame, symbols: Sequence[str]) -> DataFrame:
-    """S3 notice: wanted symbols that have no price rows."""
+def price_files(spark: SparkSession, directory: str, quote: str = "USDT") -> DataFrame:
+    """(symbol) of every price file under ``directory``, from the listing alone:
+    no file is opened, so a header-only file is one like any other."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path")
+    symbol = F.regexp_extract("path", rf"([^/=]+){quote}_historical_prices\.csv(/[^/]*)?$", 1)
+    return listed.select(symbol.alias("symbol")).where("symbol <> ''").distinct()
+
+
+def missing_symbols(spark: SparkSession, directory: str, symbols: Sequence[str], quote: str = "USDT") -> DataFrame:
+    """S3 notice: wanted symbols that have no price file."""
     wanted = spark.createDataFrame([(s,) for s in symbols], "symbol string")
-    return wanted.join(prices.select("symbol"), "symbol", "left_anti")
+    return wanted.join(price_files(spark, directory, quote), "symbol", "left_anti")
 
 
 def decode_articles(df: DataFrame, json_col: str, tz: str = "Asia/Taipei") -> DataFrame:

@@ -10,11 +10,12 @@ from __future__ import annotations
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketpulse import schemas
+from marketpulse.operators import tables
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -74,26 +75,56 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def append_rows(df: DataFrame, path: str, by: str = "symbol") -> None:
+def append_rows(df: DataFrame, path: str, by: str = "symbol", written: Observation | None = None) -> None:
     """Add rows to a partitioned table: Spark's own append, which writes new
-    files beside the stored ones and touches none of them."""
-    clustered(df, by).write.mode("append").partitionBy(by).parquet(path)
+    files beside the stored ones and touches none of them.  ``written``
+    observes the number of rows (``rows``) in the writing stage, after the
+    rows are arranged, so that the sampling of the ranges is not counted."""
+    out = clustered(df, by)
+    if written is not None:
+        out = out.observe(written, F.count(F.lit(1)).alias("rows"))
+    out.write.mode("append").partitionBy(by).parquet(path)
 
 
-def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+def replace_partitions(df: DataFrame, path: str, by: str, within: str) -> None:
     """Overwrite only the partitions that ``df`` has rows for.  ``df`` must not
-    read the table any more (checkpoint it first)."""
-    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    read the table any more (checkpoint it first).  Rows are dealt out by
+    ranges of (by, within), so a large partition is written by many tasks."""
+    df.repartitionByRange(by, within).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def create_tables(spark: SparkSession, base: str) -> dict[str, str]:
-    """Create the five tables, empty, where absent; (name, path)."""
+def create_tables(spark: SparkSession, base: str, database: str = "marketpulse") -> dict[str, str]:
+    """Create the five tables in the session's catalog where absent, their
+    files under ``base``; (name, path).  Raises if a table of that name is
+    there with files elsewhere."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     made = {}
     for name, schema in schemas.TABLES.items():
         path = os.path.join(base, name)
-        empty = spark.createDataFrame([], schema)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in schema.fields)
         part = schemas.PARTITIONED.get(name)
-        w = empty.write.mode("ignore")  # an existing table stays as it is
-        (w.partitionBy(part) if part else w).parquet(path)
+        empty = spark.createDataFrame([], schema).write.mode("ignore")  # the folder; stored files stay as they are
+        (empty.partitionBy(part) if part else empty).parquet(path)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet "
+                  + (f"PARTITIONED BY (`{part}`) " if part else "") + f"LOCATION '{path}'")
+        told = spark.sql(f"DESCRIBE TABLE EXTENDED `{database}`.`{name}`").where("col_name = 'Location'").first()["data_type"]
+        if not told.rstrip("/").endswith(path.split(":")[-1].rstrip("/")):
+            raise ValueError(f"{database}.{name} is stored at {told}, not at {path}")
         made[name] = path
     return made
+
+
+def refresh_table(spark: SparkSession, name: str, database: str = "marketpulse") -> DataFrame:
+    """The catalog's table after loads by path: new files and partitions are known."""
+    table = f"`{database}`.`{name}`"
+    if name in schemas.PARTITIONED:
+        spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
+def read_merged(spark: SparkSession, path: str, columns: dict[str, T.DataType | str]) -> DataFrame:
+    """S10 on stored files of different ages: one table whose columns are those
+    of all files; a column that a file lacks is null in its rows, and those of
+    ``columns`` are there even if no file has them."""
+    return tables.ensure_columns(spark.read.option("mergeSchema", True).parquet(path), columns)

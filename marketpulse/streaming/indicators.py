@@ -1,14 +1,15 @@
 """Stateful streaming indicators.
 
-Per symbol the state holds the bar count, the three EMA values (fast, slow,
-signal), the last bar time and the last ``max(rsi_n + 1, bb_n)`` closes —
-about 25 numbers, whatever the length of the series.  Each new bar yields
-one indicator row.  Bars at or before the symbol's last bar are dropped (the
-same late-data rule as the batch high-water mark): a stream cannot revise
-values it has already emitted, while the batch path would fold a late bar
+Each symbol's state is a typed value of ``operators.indicator_state.STATE``: the
+bar count, the last bar time, the three EMA values and the last 20 closes, about
+25 numbers whatever the length of the series, in the RocksDB state store.  Each
+new bar yields one indicator row.  Bars at or before the symbol's last bar are
+dropped (the same late-data rule as the batch high-water mark): a stream cannot
+revise values it has already emitted, while the batch path would fold a late bar
 into the later values.
 
-On ordered input the output equals the batch indicator table (W12).
+On ordered input the output equals the batch indicator table (W12); started from
+a stored state it equals the rest of that table.
 """
 
 from __future__ import annotations
@@ -18,14 +19,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from marketpulse.operators.indicators import BB_K, BB_N, MACD_FAST, MACD_SIGNAL, MACD_SLOW, RSI_N
+from marketpulse.operators.indicator_state import KEEP, STATE
+from marketpulse.operators.indicators import BB_K, BB_N, INDICATOR_COLUMNS, MACD_FAST, MACD_SIGNAL, MACD_SLOW, RSI_N
 
 OUTPUT_SCHEMA = ("symbol string, Date timestamp_ntz, rsi_14 double, macd double, "
                  "macd_signal double, bb_upper double, bb_middle double, bb_lower double")
-STATE_SCHEMA = ("n long, last_ts timestamp_ntz, e_fast double, e_slow double, e_sig double, "
-                "closes array<double>")
+STATE_SCHEMA = "n long, last_ts timestamp_ntz, e_fast double, e_slow double, e_sig double, closes array<double>"
+#: What a session needs for the stream's state.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass":
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def _advance(rows: pd.DataFrame, st: dict, keep: int) -> list[tuple]:
@@ -63,36 +67,53 @@ def _advance(rows: pd.DataFrame, st: dict, keep: int) -> list[tuple]:
     return out
 
 
-def stream_indicators(bars: DataFrame, by: str = "symbol", ts: str = "Date",
-                      close: str = "Close") -> DataFrame:
-    """Streaming indicator rows from a stream of bars (append mode).
+class SeriesProcessor(StatefulProcessor):
+    """One symbol's indicator state and the rows that its new bars give."""
 
-    A task holds one symbol's bars of one micro-batch, to put them in order;
-    read the stream with ``ingest.file_stream``, whose ``max_files`` bounds it
-    (a backlog then comes in many micro-batches)."""
-    keep = max(RSI_N + 1, BB_N)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("series", STATE_SCHEMA)
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            n, last_ts, ef, es, eg, closes = state.get
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        r = initialState.iloc[0]
+        self._put(dict(n=int(r["n"]), last_ts=r["last_ts"], closes=list(r["closes"]),
+                       **{c: float(r[c]) for c in ("e_fast", "e_slow", "e_sig")}))
+
+    def _put(self, st: dict) -> None:
+        self.state.update((st["n"], pd.Timestamp(st["last_ts"]).to_pydatetime(), st["e_fast"], st["e_slow"], st["e_sig"],
+                           [float(x) for x in st["closes"]]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            n, last_ts, ef, es, eg, closes = self.state.get()
             st = dict(n=n, last_ts=last_ts, e_fast=ef, e_slow=es, e_sig=eg, closes=list(closes))
         else:
             st = dict(n=0, last_ts=None, e_fast=0.0, e_slow=0.0, e_sig=0.0, closes=[])
-        batch = pd.concat(list(pdfs), ignore_index=True)
+        batch = pd.concat(list(rows), ignore_index=True)
         batch = batch[batch["Close"].notna()].sort_values("Date", kind="stable")
         if st["last_ts"] is not None:
             batch = batch[batch["Date"] > pd.Timestamp(st["last_ts"])]
-        batch = batch.drop_duplicates("Date", keep="first")
-        rows = _advance(batch, st, keep)
-        if st["n"] > 0:
-            state.update((st["n"], st["last_ts"], st["e_fast"], st["e_slow"], st["e_sig"], st["closes"]))
-        if rows:
-            out = pd.DataFrame(rows, columns=["Date", "rsi_14", "macd", "macd_signal",
-                                              "bb_upper", "bb_middle", "bb_lower"])
+        made = _advance(batch.drop_duplicates("Date", keep="first"), st, KEEP)
+        if made:
+            self._put(st)
+            out = pd.DataFrame(made, columns=["Date", *INDICATOR_COLUMNS])
             out.insert(0, "symbol", key[0])
             yield out
 
+    def close(self) -> None:
+        pass
+
+
+def stream_indicators(bars: DataFrame, by: str = "symbol", ts: str = "Date", close: str = "Close",
+                      state: DataFrame | None = None) -> DataFrame:
+    """Streaming indicator rows from a stream of bars (append mode).
+
+    ``state`` (``indicator_state.STATE``, one row a symbol): the stream goes on
+    from there, as after a batch load; it is read when the query first starts.
+    The session needs ``STATE_STORE`` (``session.get_session`` sets it).
+    A task holds one symbol's bars of one micro-batch, to put them in order;
+    read the stream with ``ingest.file_stream``, whose ``max_files`` bounds it
+    (a backlog then comes in many micro-batches)."""
     sel = bars.select(bars[by].alias("symbol"), bars[ts].cast("timestamp_ntz").alias("Date"),
                       bars[close].cast("double").alias("Close"))
-    return sel.groupBy("symbol").applyInPandasWithState(
-        step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    start = None if state is None else state.select(*[f.name for f in STATE.fields]).groupBy("symbol")
+    return sel.groupBy("symbol").transformWithStateInPandas(SeriesProcessor(), OUTPUT_SCHEMA, "Append", "None", start)

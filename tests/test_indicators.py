@@ -142,3 +142,52 @@ def test_buckets_are_bounded_by_rows_not_by_time(spark):
     got = {(r.symbol, r.x): r[IDX] for r in index_series(df, ["symbol"], "Date", 50, tie=["x"]).collect()}
     order = sorted(range(2000), key=lambda k: times[k])
     assert got == {**{("HOT", float(k)): i for i, k in enumerate(order)}, ("COLD", 0.0): 0, ("COLD", 1.0): 1}
+
+
+def _gaps(seed, n=900):
+    """Closes with single nulls, a run over several blocks and leading nulls."""
+    rng = np.random.default_rng(seed)
+    closes = list(rng.normal(100, 10, n))
+    for k in rng.choice(n, n // 40, replace=False):
+        closes[k] = None
+    closes[:5] = [None] * 5
+    closes[300:420] = [None] * 120
+    closes[600:640:2] = [None] * 20
+    return closes
+
+
+@pytest.mark.parametrize("block", [1, 27, 1024])
+def test_null_closes_are_carried_any_block(spark, block):
+    closes = _gaps(block)
+    out = _run(spark, closes, block=block, bucket_rows=60, nulls=ind.CARRY)
+    ref = _pandas([np.nan if c is None else c for c in closes])
+    assert len(out) == len(closes)
+    for c in ind.INDICATOR_COLUMNS:
+        a, b = out[c].astype(float), ref[c].astype(float)
+        assert (a.isna() == b.isna()).all(), c
+        assert np.nanmax(np.abs(a - b)) < 1e-7, c
+
+
+def test_carried_averages_at_the_ends(spark):
+    assert _run(spark, [None, None], nulls=ind.CARRY)["macd"].isna().all()
+    one = _run(spark, [None, 5.0, None, None], nulls=ind.CARRY)
+    assert one["macd"].isna().tolist() == [True, False, False, False] and (one["macd_signal"].dropna() == 0).all()
+    with pytest.raises(ValueError, match="nulls"):
+        ind.indicators(_series(spark, [1.0]), nulls="zero")
+
+
+def test_carry_without_nulls_equals_drop(spark):
+    closes = list(np.random.default_rng(5).normal(100, 10, 300))
+    a, b = (_run(spark, closes, block=16, nulls=n) for n in (ind.CARRY, ind.DROP))
+    for c in ind.INDICATOR_COLUMNS:
+        assert np.nanmax(np.abs(a[c].astype(float) - b[c].astype(float))) < 1e-8
+
+
+def test_a_gap_longer_than_the_frame(spark):
+    """300 null rows in blocks of 1: far more blocks than a frame needs to hold."""
+    from marketpulse.operators.series import IDX, ema_gaps, index_series
+    closes = [10.0, 20.0] + [None] * 300 + [30.0, None, 40.0]
+    rows = index_series(_series(spark, closes).withColumnRenamed("Close", "x"), ["symbol"], "Date", bucket_rows=10)
+    out = ema_gaps(rows, ["symbol"], IDX, "x", {"e": 3}, block=1, carry_chunk=7).orderBy("Date").toPandas()["e"].astype(float)
+    ref = pd.Series([np.nan if c is None else c for c in closes]).ewm(span=3, adjust=False).mean()
+    assert np.abs(out - ref).max() < 1e-9

@@ -1,3 +1,4 @@
+import pytest
 """Sources and scalar edge cases (FIXTURES part C)."""
 
 import json
@@ -107,7 +108,7 @@ def test_strict_scan_order_is_the_files_own(spark, tmp_dir):
     for k, size in ((0, 1), (1, 4000)):  # the larger file is scanned first
         with open(f"{tmp_dir}/n/part-{k}.csv", "w") as f:
             f.write(head + "".join(f"{100 * k + i},2024-01-01 00:00:00,t,{'x' * 200}{k}-{i},u,k\n" for i in range(size)))
-    first = tb.first_per_key(files.read_news_strict(spark, f"{tmp_dir}/n"), ["title"], ["_file", "timestamp"]).collect()
+    first = tb.first_per_key(files.read_news_strict(spark, f"{tmp_dir}/n"), ["title"], files.FILE_ORDER).collect()
     assert [r.body[200:] for r in first] == ["0-0"]
 
 
@@ -121,7 +122,22 @@ def test_read_prices_header_only_and_missing(spark, tmp_dir):
         f.write("Date,Open,High,Low,Close,Volume\n")
     p = files.read_prices(spark, d, ["BTC", "LEO", "ETH"])
     assert sorted((r.symbol, r.Close) for r in p.collect()) == [("BTC", 1.5), ("BTC", 1.7)]
-    assert {r.symbol for r in files.missing_symbols(spark, p, ["BTC", "LEO", "ETH"]).collect()} == {"LEO", "ETH"}
+    assert {r.symbol for r in files.missing_symbols(spark, d, ["BTC", "LEO", "ETH"]).collect()} == {"ETH"}  # LEO has a file
+
+
+def test_first_record_of_the_file_wins_whatever_its_time(spark, tmp_dir):
+    """Newest first, equal times, quoted line breaks: the place in the file counts."""
+    from marketpulse.operators import tables as tb
+    from marketpulse.plans import news as newsplan
+    with open(f"{tmp_dir}/n.csv", "w") as f:
+        f.write("Timestamp,Published Time,Title,Body,URL,Keywords\n"
+                '9,2024-01-09 00:00:00,t,"first\n""body""",u1,k\n5,2024-01-05 00:00:00,t,second,u2,k\n'
+                "5,2024-01-05 00:00:00,s,a,u3,k\n5,2024-01-05 00:00:00,s,b,u4,k\n7,2024-01-07 00:00:00,s,a,u5,k\n")
+    strict = tb.first_per_key(files.read_news_strict(spark, f"{tmp_dir}/n.csv"), ["title"], files.FILE_ORDER).collect()
+    assert {r.title: r.body for r in strict} == {"t": 'first\n"body"', "s": "a"}
+    newsplan.run_news(f"{tmp_dir}/news", files.read_news(spark, f"{tmp_dir}/n.csv"))
+    got = {(r.title, r.body): (r.published_at.day, r.url) for r in newsplan.read_news_table(spark, f"{tmp_dir}/news").collect()}
+    assert got[("s", "a")] == (5, "u5")                    # the first row's time, the last row's url
 
 
 def test_json_list_or_falls_back(spark):
@@ -136,7 +152,7 @@ def test_json_list_or_falls_back(spark):
 def test_create_tables_once(spark, tmp_dir):
     from marketpulse import schemas
     from marketpulse.sources import sinks
-    made = sinks.create_tables(spark, f"{tmp_dir}/db")
+    made = sinks.create_tables(spark, f"{tmp_dir}/db", "mp_once")
     assert set(made) == set(schemas.TABLES)
     for name, path in made.items():
         t = sinks.read_table(spark, path, schemas.TABLES[name])
@@ -144,7 +160,10 @@ def test_create_tables_once(spark, tmp_dir):
         assert sorted(t.columns) == sorted(f.name for f in schemas.TABLES[name].fields)
     sessions = spark.createDataFrame([("s", None, "t")], schemas.CHAT_SESSIONS)
     sessions.write.mode("append").parquet(made["chat_sessions"])
-    sinks.create_tables(spark, f"{tmp_dir}/db")          # existing tables are kept
+    sinks.create_tables(spark, f"{tmp_dir}/db", "mp_once")          # existing tables are kept
+    assert sinks.refresh_table(spark, "chat_sessions", "mp_once").count() == 1
+    with pytest.raises(ValueError, match="stored at"):
+        sinks.create_tables(spark, f"{tmp_dir}/other", "mp_once")
     assert sinks.read_table(spark, made["chat_sessions"], schemas.CHAT_SESSIONS).count() == 1
 
 
@@ -161,3 +180,29 @@ def test_rebuild_vectors_every_row(spark):
     assert v.where(F.size("embedding") != 64).count() == 0
     keys = n.select(content_key("title", "body").alias("id"))
     assert v.select("id").exceptAll(keys).count() == 0
+
+
+def test_catalog_table_prunes_partitions(spark, tmp_dir):
+    from marketpulse.plans import market
+    from marketpulse.sources import sinks
+    from marketpulse.sources.adapters import prices_v
+    from tests.conftest import SMALL
+    made = sinks.create_tables(spark, f"{tmp_dir}/db", "mp_prune")
+    n = market.run_prices(made["crypto_prices"], prices_v(spark, SMALL), ["Close"])
+    t = sinks.refresh_table(spark, "crypto_prices", "mp_prune")
+    symbols = [r[0] for r in spark.sql("SHOW PARTITIONS mp_prune.crypto_prices").collect()]
+    assert t.count() == n and len(symbols) == 5
+    one = t.where("symbol = '5-LOW'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: []" in plan and "5-LOW)], PushedFilters" in plan     # the filter is one on partitions
+    assert 0 < len(one.inputFiles()) < len(t.inputFiles())
+
+
+def test_required_columns_are_checked(spark):
+    from marketpulse.operators import quality as q
+    df = spark.createDataFrame([("t", "b")], "Title string, Body string")
+    assert q.require_columns(df, ["Title", "Body"]) is df
+    with pytest.raises(ValueError, match="Body"):
+        q.require_columns(df.drop("Body"), ["Title", "Body"])
+    with pytest.raises(ValueError, match="Title"):
+        q.require_columns(df.toDF("title", "Body"), ["Title", "Body"])   # names are taken as written
