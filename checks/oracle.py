@@ -664,8 +664,46 @@ SELECT strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_time, md5(title)
        {_LABEL.format('summary')} AS sentiment
 FROM s"""
 ORACLE["u2_classify"] = f"SELECT doc_id, {_LABEL.format('text')} AS label FROM documents"
-ORACLE["u3_embed"] = f"""
-SELECT doc_id, 1024 AS dim, CASE WHEN len(regexp_extract_all(text, {WP})) > 0 THEN 1.0 ELSE 0.0 END AS norm FROM documents"""
+# the public 32-bit MurmurHash3 of a token's UTF-8 bytes, seed 42 (fixed values: its constants), modulo 1024
+_M32 = 0xFFFFFFFF
+
+
+def _times(x: str, c: int) -> str:
+    return f"(({x})::HUGEINT * {c} % 4294967296)::BIGINT"
+
+
+def _rotated(x: str, n: int) -> str:
+    return f"((({x}) << {n}) & {_M32} | (({x}) >> {32 - n}))"
+
+
+def _word(k: str) -> str:
+    return _times(_rotated(_times(k, 0xCC9E2D51), 15), 0x1B873593)
+
+
+def _octet(at: str) -> str:
+    return f"('0x' || substr(hx, 2 * ({at}) + 1, 2))::BIGINT"
+
+
+_BUCKETS = f"""tok AS (SELECT t, hex(encode(t)) AS hx, octet_length(encode(t))::BIGINT AS n FROM (SELECT DISTINCT t FROM tf)),
+wrd AS (SELECT t, hx, n, list_transform(range(0, n // 4), lambda i: {_octet('4 * i')} + 256 * {_octet('4 * i + 1')}
+                         + 65536 * {_octet('4 * i + 2')} + 16777216 * {_octet('4 * i + 3')}) AS ks FROM tok),
+h0 AS (SELECT t, hx, n, list_reduce(list_prepend(42::BIGINT, ks),
+                         lambda h, k: ({_times(_rotated(f"xor(h, {_word('k')})", 13), 5)} + 3864292196) & {_M32}) AS h FROM wrd),
+h1 AS (SELECT t, n, CASE WHEN n % 4 = 0 THEN h ELSE xor(h, {_word(
+    f"({_octet('n // 4 * 4')} + CASE WHEN n % 4 > 1 THEN 256 * {_octet('n // 4 * 4 + 1')} ELSE 0 END + CASE WHEN n % 4 > 2 THEN 65536 * {_octet('n // 4 * 4 + 2')} ELSE 0 END)")}) END AS h FROM h0),
+h2 AS (SELECT t, xor(h, n) AS h FROM h1),
+h3 AS (SELECT t, {_times('xor(h, h >> 16)', 0x85EBCA6B)} AS h FROM h2),
+h4 AS (SELECT t, {_times('xor(h, h >> 13)', 0xC2B2AE35)} AS h FROM h3),
+bkt AS (SELECT t, xor(h, h >> 16) & 1023 AS b FROM h4)"""
+ORACLE["u3_embed"] = f"""WITH tf AS (SELECT doc_id, t, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {WP})) AS t FROM documents) GROUP BY ALL),
+{_BUCKETS},
+v AS (SELECT doc_id, b, sum(c) AS c FROM tf JOIN bkt USING (t) GROUP BY ALL),
+i AS (SELECT b, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM v GROUP BY b),
+w AS (SELECT doc_id, c * idf AS x FROM v JOIN i USING (b)),
+s AS (SELECT doc_id, sqrt(sum(x * x)) AS nrm, count(*) FILTER (WHERE x <> 0) AS n_set, max(x) AS top, sum(x) AS total FROM w GROUP BY doc_id)
+SELECT doc_id, 1024 AS dim, CASE WHEN nrm > 0 THEN 1.0 ELSE 0.0 END AS norm, coalesce(n_set, 0)::INTEGER AS n_set,
+       coalesce(round(top / nrm, 3), 0.0) AS greatest, coalesce(round(total / nrm, 2), 0.0) AS total
+FROM documents LEFT JOIN s USING (doc_id)"""
 _VECTOR_ROWS = """
 SELECT id, md5(title || chr(10) || body) AS content_md5, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_time,
        epoch(published_at) AS "timestamp", (length(title || chr(10) || body) % 1000)::DOUBLE AS e1,

@@ -892,7 +892,11 @@ def q_embed(spark, sf):
     model = en.fit_embedder(d, "text")
     out = en.embed(d.select("doc_id", "text"), "text", model)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return out.select("doc_id", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"))
+    wide = F.transform("embedding", lambda x: x.cast("double"))
+    return out.select("doc_id", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"),
+                      F.size(F.filter("embedding", lambda x: x != 0)).alias("n_set"),
+                      F.round(F.array_max(wide), 3).alias("greatest"),
+                      F.round(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x), 2).alias("total"))
 
 
 @register("s11_rebuild_vectors")
