@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marketpulse.llm.common import packed, saved
 
-#: A line is boilerplate on more than this share of its host's pages ...
-RATIO_PCT = 10
-#: The pipeline's ratio.  After the quality rules of sf0.1 the shared line stands on 9.2 to 13.9 % of the
-#: pages of each of the 20 sources (8.6 to 13.2 % before them), the next line on 5.1 % at most (4.8 %).
-SITE_RATIO_PCT = 6
-#: ... and on at least this many of them (hosts with a page or two have no boilerplate).
-MIN_PAGES = 5
+#: A line is boilerplate on more than this share of its host's pages, distinct texts.  In sf0.1 the shared
+#: line stands on 8.6 to 13.2 % of the pages of each of the 20 sources (9.2 to 13.9 % after the quality
+#: rules), the next line on 4.8 % at most (5.1 %) ...
+RATIO_PCT = 6
+#: ... and on at least this many of them: what one or two pages hold is no boilerplate.
+MIN_PAGES = 3
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -49,34 +48,27 @@ def boilerplate(pages: DataFrame, ratio_pct: int = RATIO_PCT, min_pages: int = M
 
 
 def cleaned(docs: DataFrame, host: str = "source", text: str = "text",
-            ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+            ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES) -> DataFrame:
     """(doc, n_lines, n_dropped): each row of ``docs`` as a struct, its text
     without boilerplate lines, and the numbers (long) of its lines and of those dropped.
 
-    A page is a row.  Lines are compared without surrounding white space;
-    blank lines are neither counted as boilerplate nor dropped, and a line that
-    occurs several times on a page counts once but is dropped each time.  A
-    null host is the site with the empty name.  Null texts stay null (no
-    lines).  Repeated rows and copies of a text are pages each, or with
-    ``copies`` off one page of their host, in the counts of its lines and of
-    its pages: else a text that is copied often is boilerplate.  A text that is boilerplate
-    throughout becomes empty.  Hosts of fewer than ``min_pages`` pages are
-    exempt with all their pages, and on hosts of fewer than
-    100 * (min_pages - 1) / ratio_pct pages (40; 67 at the pipeline's 6 %) a
-    line on ``min_pages`` - 1 pages stays above the ratio.  No host of sf0.01
-    and sf0.1 (50 and 500 pages each) is exempt; after the quality rules of
-    sf0.01 (41 to 48 pages) the most frequent line is on fewer than 5 pages on 5
-    of 20 hosts.  An empty table gives an empty one.  ``docs`` is
-    read once: rows are numbered as they are written to the shared folder.
+    A page is a distinct text of its host, so copies of a text and repeated rows
+    count once: else a text that is copied often would be boilerplate.  Lines are
+    compared without surrounding white space; blank lines are neither counted as
+    boilerplate nor dropped, and a line that occurs several times on a page counts
+    once but is dropped each time.  A null host is the site with the empty name.
+    Null texts stay null (no lines) and count as the empty page.  A text that is
+    boilerplate throughout becomes empty.  A line has to stand on ``min_pages``
+    pages, so hosts of fewer distinct texts keep all their lines.  A very long text
+    is split in its row.  An empty table gives an empty one.  ``docs`` is read
+    once: rows are numbered as they are written to the shared folder.
     """
     body = F.col("doc")[text]
     rows = saved(packed(docs).withColumn("row", F.monotonically_increasing_id()))
     pages = rows.select("row", *_page(body, host))
-    counted = pages.select("host", "lines")
-    if not copies:
-        # partial first rows before the shuffle, so copies of a hot text do not meet
-        counted = rows.select(*_page(body, host), _digest(F.coalesce(body, F.lit(""))).alias("text")) \
-            .groupBy("host", "text").agg(F.first("lines").alias("lines")).select("host", "lines")
+    # partial first rows before the shuffle, so copies of a hot text do not meet
+    counted = rows.select(*_page(body, host), _digest(F.coalesce(body, F.lit(""))).alias("text")) \
+        .groupBy("host", "text").agg(F.first("lines").alias("lines")).select("host", "lines")
     bad = boilerplate(counted, ratio_pct, min_pages)
     hits = pages.select("row", "host", F.explode("lines").alias("line")).join(bad, ["host", "line"]) \
         .groupBy("row").agg(F.collect_set("line").alias("bad"))
@@ -92,6 +84,6 @@ def cleaned(docs: DataFrame, host: str = "source", text: str = "text",
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
-                     ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+                     ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; see ``cleaned``."""
-    return cleaned(docs, host, text, ratio_pct, min_pages, copies).select("doc.*")
+    return cleaned(docs, host, text, ratio_pct, min_pages).select("doc.*")

@@ -81,11 +81,12 @@ FROM d LEFT JOIN f USING (rid)"""
 
 _OP8 = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, text FROM documents),
+f AS (SELECT min(rid) AS rid FROM d GROUP BY host, coalesce(text, '')),
 e AS (SELECT rid, host, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT rid, host, string_split(text, chr(10)) AS ls FROM d)),
 b AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM e),
-n AS (SELECT host, bare, count(DISTINCT rid) AS n FROM b WHERE bare <> '' GROUP BY ALL HAVING count(DISTINCT rid) >= 5),
-t AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
-bad AS (SELECT host, bare FROM n JOIN t USING (host) WHERE 100 * n > 10 * pages),
+n AS (SELECT host, bare, count(DISTINCT rid) AS n FROM b JOIN f USING (rid) WHERE bare <> '' GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+t AS (SELECT host, count(*) AS pages FROM d JOIN f USING (rid) GROUP BY host),
+bad AS (SELECT host, bare FROM n JOIN t USING (host) WHERE 100 * n > 6 * pages),
 k AS (SELECT b.rid, count(*) AS n_lines, count(bad.bare) AS n_dropped,
              string_agg(b.line, chr(10) ORDER BY i) FILTER (WHERE bad.bare IS NULL) AS kept
       FROM b LEFT JOIN bad ON b.host = bad.host AND b.bare = bad.bare GROUP BY b.rid)
