@@ -31,14 +31,24 @@ BATCH_CHARS = 2_000_000
 MARK = "▁"
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _letter_runs(text: str) -> Iterator[str]:
+    """Runs of letters (Unicode category L).  The pattern also takes number
+    signs such as one half or a Roman numeral; they are no letters and end a run."""
+    for w in _WORDS.findall(text):
+        if w.isalpha():
+            yield w
+        else:
+            yield from "".join(c if c.isalpha() else " " for c in w).split()
+
+
 def words(text: str | None) -> list[str]:
     """Units of a text: lower-case runs of letters, with a mark in front, cut at ``UNIT``."""
     out = []
-    for w in _LETTERS.findall((text or "").lower()):
+    for w in _letter_runs((text or "").lower()):
         if len(w) <= UNIT:
             out.append(MARK + w)
         else:

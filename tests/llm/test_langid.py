@@ -55,3 +55,8 @@ def test_edge_rows(spark, tmp_dir):
     assert by_id[5].lang_pred == "en" and by_id[None].held_out is False
     assert L.identify(empty_docs(spark, tmp_dir), piece_path()).collect() == []
     assert {r.lang_pred for r in L.identify(docs.where("lang IS NULL"), piece_path()).collect()} == {"und"}
+
+
+def test_number_signs_are_no_letters():
+    assert L.words("½ ² ⅷ ₂ ① 12 _") == []
+    assert L.words("m² a½b ⅷx") == ["▁m", "▁a", "▁b", "▁x"]
