@@ -24,6 +24,15 @@ SEED = 42
 #: bits differ by at most 1 bit in one of the first two segments, or agree in
 #: the third (2 + 2 + 1 > 4), so balls of 1 + 22, 1 + 21 and 1 keys find all.
 SEGMENTS = (22, 21, 21)
+#: From this many distinct fingerprints on, two segments: 562 keys a fingerprint
+#: instead of 46, but a key then meets n / 2^32 others instead of n / 2^21.
+#: Both are complete, so the result is the same.
+WIDE_FROM, WIDE_SEGMENTS = 100_000_000, (32, 32)
+
+
+def segment_widths(n: int) -> tuple[int, ...]:
+    """Segment widths for ``n`` distinct fingerprints."""
+    return SEGMENTS if n < WIDE_FROM else WIDE_SEGMENTS
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -124,21 +133,25 @@ def link_components(fps: DataFrame, max_bits: int = MAX_BITS,
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS,
-                    widths: tuple[int, ...] = SEGMENTS) -> DataFrame:
+                    widths: tuple[int, ...] | None = None) -> DataFrame:
     """(doc_id, fp: long, component_id) for every row of ``docs``.
 
+    ``widths``: segment widths of the search; by default they follow the number
+    of distinct fingerprints.  The result does not depend on them.
+
     ``component_id`` is the least key reachable over links of ``max_bits`` or
     fewer differing bits.  Equal fingerprints are one node, so copies are
     grouped before anything is joined.  Null or wordless texts have
     fingerprint 0 and are linked like any other; repeated rows are returned
     as often as they come; null keys are ignored when the least key is taken,
-    so a component of null keys alone has a null id.  An empty table gives an
-    empty one.  Other columns of ``docs`` are not read.
+    so a component of null keys alone has a null id.  A very long text is
+    fingerprinted whole, in its row.  An empty table gives an empty one.  Other columns of ``docs`` are not read.
     """
     rows = saved(fingerprints(docs, key, text, shingle))
-    least = rows.groupBy("fp").agg(F.min("key").alias("key"))
-    root = saved(link_components(rows.select("fp").distinct(), max_bits, widths))
-    ids = root.join(least, "fp").groupBy("root").agg(F.min("key").alias("component_id"))
+    least = saved(rows.groupBy("fp").agg(F.min("key").alias("key")))
+    root = saved(link_components(least.select("fp"), max_bits, widths or segment_widths(least.count())))
+    # written first, so that the join below is dealt anew and a large component can be split
+    ids = saved(root.join(least, "fp").groupBy("root").agg(F.min("key").alias("component_id")))
     label = root.join(ids, "root").select("fp", "component_id")
     return rows.join(label, "fp").select(F.col("key").alias(key), "fp", "component_id")
 

@@ -87,3 +87,10 @@ def test_edge_rows(spark, tmp_dir):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(g for g in group if g is not None))
     none = empty_docs(spark, tmp_dir)
     assert simhash.near_duplicates(none).collect() == [] and simhash.keep_one(none).collect() == []
+
+
+def test_widths_follow_the_count_and_change_nothing(spark):
+    assert simhash.segment_widths(10 ** 6) == (22, 21, 21) and simhash.segment_widths(10 ** 9) == (32, 32)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    narrow, wide = (sorted(map(tuple, simhash.near_duplicates(docs, widths=w).collect())) for w in (None, (32, 32)))
+    assert narrow == wide
