@@ -35,15 +35,21 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 2)
 
 
-def _hashed(df: DataFrame, expression: Column) -> DataFrame:
-    digest = F.sha2(expression, 256)
-    return df.withColumn("full", digest).withColumn("short", F.substring(digest, 1, PREFIX))
+def _look_up(asked: DataFrame, expression: str, known: DataFrame, key: str) -> DataFrame:
+    """``asked`` with the columns of ``known`` where ``expression`` equals ``key``.
 
+    The join compares the short prefixes alone; a prefix brings all full digests
+    that begin with it, and the asked digest, made after the join and so only for
+    what met a prefix, picks its own.  No full digest of an asked expression is shuffled."""
+    def short(digest: Column) -> Column:
+        return F.substring(digest, 1, PREFIX).alias("short")
 
-def _look_up(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """Equi-join on the short prefixes, confirmed by the full digests."""
-    return asked.join(known, (asked["short"] == known["short"]) & (asked["full"] == known["full"])) \
-        .drop("short", "full")
+    digest = F.sha2(expression, 256)
+    entries = known.withColumn("full", F.sha2(key, 256)).groupBy(short(F.col("full"))) \
+        .agg(F.collect_set(F.struct("full", *known.columns)).alias("entries"))
+    met = asked.select("*", short(digest)).join(entries, "short").withColumn("asked", digest)
+    fits = F.filter("entries", lambda e: e["full"] == F.col("asked"))
+    return met.withColumn("hit", F.explode(fits)).select(*asked.columns, "hit.*").drop("full", key)
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -57,21 +63,19 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """
     rules = rules.where("host <> ''").select("host", "path", "verdict")
     labels = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
-    rule_hosts = _hashed(rules.groupBy(F.col("host").alias("rule_host"))
-                         .agg(F.collect_set(F.length("path")).alias("lengths")), F.col("rule_host"))
+    rule_hosts = rules.groupBy(F.col("host").alias("rule_host")).agg(F.collect_set(F.length("path")).alias("lengths"))
     parts = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.greatest(F.lit(1), F.size(parts) - labels + 1), F.size(parts)),
                         lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     suffixes = urls.select("host").distinct().select("host", F.explode(tails).alias("suffix"))
-    under = _look_up(_hashed(suffixes, F.col("suffix")), rule_hosts).select("host", "suffix", "lengths")
+    under = _look_up(suffixes, "suffix", rule_hosts, "rule_host")
     prefixes = urls.join(under, "host").select("host", "path", "suffix", F.explode("lengths").alias("n")) \
         .where(F.length("path") >= F.col("n")) \
         .withColumn("expression", F.concat("suffix", F.expr("substring(path, 1, n)"))).drop("suffix", "n")
-    table = _hashed(rules.select(F.concat("host", "path").alias("rule"), F.length("host").alias("host_size"), "verdict"),
-                    F.col("rule"))
-    best = F.max(F.struct(F.length("rule").alias("size"), "host_size", (F.col("verdict") == "block").alias("blocks"),
-                          "rule", "verdict")).alias("best")
-    return _look_up(_hashed(prefixes, F.col("expression")), table).groupBy("host", "path").agg(best) \
+    table = rules.select(F.concat("host", "path").alias("rule"), F.length("host").alias("host_size"), "verdict")
+    best = F.max(F.struct(F.length("expression").alias("size"), "host_size", (F.col("verdict") == "block").alias("blocks"),
+                          F.col("expression").alias("rule"), "verdict")).alias("best")
+    return _look_up(prefixes, "expression", table, "rule").groupBy("host", "path").agg(best) \
         .select("host", "path", "best.rule", "best.verdict")
 
 
@@ -83,7 +87,9 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     it is for null urls and urls without ``://``, whose host and path are
     empty.  An empty path does not start with ``/``.  Verdicts are found once
     for each distinct (host, path) and joined back, so repeated rows cost no
-    look-ups and are all returned.  Other columns are not read.
+    look-ups and are all returned.  A very long url is hashed once a suffix or
+    prefix that a rule's length allows.  An empty table gives an empty one, an
+    empty rule table the default.  Other columns are not read.
     """
     rows = pages.select(F.col(key), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     won = matches(rows.select("host", "path").distinct(), rules)

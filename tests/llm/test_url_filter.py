@@ -42,3 +42,13 @@ def test_empty_tables(spark):
     assert U.judge(none, U.rule_table(spark)).collect() == []
     page = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert [tuple(r) for r in U.judge(page, U.rule_table(spark, [])).collect()] == [(1, "a.org", "/", None, "allow")]
+
+
+def test_join_compares_short_prefixes_alone(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
+    plan = U.judge(pages, U.rule_table(spark))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "short" in line]
+    assert len(joins) == 2 and all("full" not in j and "asked" not in j for j in joins)
+    # one hex digit: most expressions meet a rule's prefix, the full digests keep them apart
+    monkeypatch.setattr(U, "PREFIX", 1)
+    test_many_rules(spark)
