@@ -50,9 +50,15 @@ KINDS = tuple(r.kind for r in rules())
 
 
 def rules_version() -> str:
-    """Names the rule set: changes with any pattern or limit."""
-    text = "\n".join(f"{r.kind} {r.pattern} {r.group} {r.least}" for r in rules())
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
+    """Names how rules are applied (how matches follow each other and are
+    counted); a part of every rule's version."""
+    return "leftmost-1"
+
+
+def rule_versions() -> tuple[str, ...]:
+    """The version of each rule: changes with any field of its own, its hint
+    included, and with no other rule."""
+    return tuple(hashlib.sha256(repr((rules_version(), *r)).encode()).hexdigest()[:16] for r in rules())
 
 
 def _hits(number: int, r: Rule) -> Column:
@@ -78,32 +84,52 @@ def addressed(versions: DataFrame, key: str, text: str = "text") -> DataFrame:
     return versions.select(F.col(key).alias("path"), F.sha2(body, 256).alias("blob"), body.alias("text"))
 
 
+def _texts(blobs: DataFrame) -> DataFrame:
+    """Every blob once.  Copies meet already in the tasks that read them; only
+    one text a task and blob is shuffled."""
+    return blobs.groupBy("blob").agg(F.first("text").alias("text"))
+
+
 def _scan(blobs: DataFrame) -> DataFrame:
-    """``blobs`` (blob, text) -> (blob, spans: array of (start, kind, end)), every blob once."""
+    """``blobs`` (blob, text; distinct) -> (blob, spans: array of (start, rule version, end)).
+
+    With a column ``todo`` (array of rule versions) a blob is scanned with those rules only."""
     nothing = F.array().cast("array<struct<kind:int,k:int,gap:int,size:int,good:boolean>>")
-    hits = [F.coalesce(_hits(n, r), nothing) for n, r in enumerate(rules())]
-    # copies meet already in the tasks that read them; only one text a task and blob is shuffled
-    read = saved(blobs.groupBy("blob").agg(F.first("text").alias("text")).select("blob", F.concat(*hits).alias("hits")))
+    named = F.array(*map(F.lit, rule_versions()))
+    hits = [_hits(n, r) for n, r in enumerate(rules())]
+    if "todo" in blobs.columns:
+        hits = [F.when(F.array_contains("todo", v), h) for h, v in zip(hits, rule_versions(), strict=True)]
+    read = saved(blobs.select("blob", F.concat(*[F.coalesce(h, nothing) for h in hits]).alias("hits")))
     so_far = Window.partitionBy("blob", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     found = read.where(F.size("hits") > 0).select("blob", F.explode("hits").alias("h")).select("blob", "h.*") \
         .withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).where("good") \
         .groupBy("blob").agg(F.sort_array(F.collect_list(F.struct(
-            (F.col("end") - F.col("size")).alias("start"), "kind", "end"))).alias("spans"))
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+            (F.col("end") - F.col("size")).alias("start"), F.element_at(named, F.col("kind") + 1).alias("rule"), "end"))).alias("spans"))
+    empty = F.array().cast("array<struct<start:bigint,rule:string,end:bigint>>")
     return read.select("blob").join(found, "blob", "left").select("blob", F.coalesce("spans", empty).alias("spans"))
 
 
 def update_ledger(blobs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """``blobs`` (blob, text; any number of copies) and a ledger (blob, rules,
-    spans) -> the ledger with what was missing under the present rules.
-
-    Blobs that the ledger has under this rule version are not read again: the
-    anti-join on the content address runs before the scan.  Returned as a
-    written table, to be kept for the next run."""
-    version = rules_version()
-    todo = blobs if ledger is None else blobs.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
-    new = _scan(todo).select("blob", F.lit(version).alias("rules"), "spans")
-    return saved(new if ledger is None else ledger.select("blob", "rules", "spans").unionByName(new))
+    spans; a row a blob, ``rules`` the rule versions it was scanned with) -> the
+    ledger with the missing pairs of a blob and a present rule version.
+
+    Pairs that the ledger has are not scanned again: the content address finds
+    them before the scan, and a blob meets only the rules it has not met.  Pairs
+    of older versions stay.  Returned as a written table, to be kept for the next run."""
+    now = F.array(*map(F.lit, rule_versions()))
+    if ledger is None:
+        return saved(_scan(_texts(blobs)).select("blob", now.alias("rules"), "spans"))
+    ledger = ledger.select("blob", "rules", "spans")
+    no_rule = F.array().cast("array<string>")
+    todo = _texts(blobs).join(ledger.select("blob", "rules"), "blob", "left") \
+        .withColumn("todo", F.array_except(now, F.coalesce("rules", no_rule))).where(F.size("todo") > 0).drop("rules")
+    new = _scan(todo).select("blob", F.col("spans").alias("more"), F.lit(True).alias("scanned"))
+    empty = F.array().cast(ledger.schema["spans"].dataType)
+    known = F.coalesce("rules", no_rule)
+    return saved(ledger.join(new, "blob", "full").select(
+        "blob", F.when(F.col("scanned"), F.array_union(known, now)).otherwise(known).alias("rules"),
+        F.concat(F.coalesce("spans", empty), F.coalesce("more", empty)).alias("spans")))
 
 
 def findings(versions: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id",
@@ -113,11 +139,16 @@ def findings(versions: DataFrame, ledger: DataFrame | None = None, key: str = "d
     ``spans`` are (start, kind number, end) in code points, by start, then
     kind; empty where nothing is found, as for null and empty texts.  Repeated
     rows are returned each.  Only blobs with findings are joined back to the
-    paths.  Other columns are not read.
+    paths.  A very long text is scanned whole, in its row; an empty table gives
+    an empty one.  Other columns are not read.
     """
     known = addressed(versions, key, text)
     ledger = update_ledger(known.select("blob", "text"), ledger)
-    hit = ledger.where((F.col("rules") == rules_version()) & (F.size("spans") > 0)).select("blob", "spans")
+    number = F.array(*map(F.lit, rule_versions()))
+    present = F.sort_array(F.filter(F.transform("spans", lambda s: F.struct(
+        s["start"].alias("start"), (F.array_position(number, s["rule"]) - 1).cast("int").alias("kind"), s["end"].alias("end"))),
+        lambda s: s["kind"] >= 0))
+    hit = ledger.where(F.size("spans") > 0).select("blob", present.alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     rows = known.select("path", "blob").join(hit, "blob", "left") \
         .select(F.col("path").alias(key), F.coalesce("spans", empty).alias("spans"))
