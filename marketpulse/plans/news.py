@@ -80,20 +80,40 @@ def _with_prefix(news: DataFrame) -> DataFrame:
 def run_news(table_path: str, scanned: DataFrame, created_at=None, order: Sequence[str] | str | None = None) -> int:
     """C1 relational half with the sink; A7: returns the number of new rows.
 
-    Only the partitions of ids in the batch are read, merged and written
-    again; without new rows nothing is written.  New and merged rows are
+    New ids are appended, so a load of new articles rewrites no stored file.
+    Only the partitions that hold an id of the batch already are read, merged
+    and written again; which those are follows from the id column alone.
+    Without new rows nothing is written.  Fresh and merged rows are
     checkpointed, so each is computed once and the table is not read while it
-    is overwritten."""
+    is overwritten.
+
+    The overwrite comes first: it changes no ``published_at``, so a load that
+    is lost between the two writes finds the same new rows when it runs again.
+    """
     spark = scanned.sparkSession
     target = sinks.read_table(spark, table_path, STORED)
-    fresh = _with_prefix(tb.newer_than(keyed_news(scanned, created_at, order), target, "published_at")).checkpoint()
-    n = fresh.count()
-    if n:
-        # at most 16 ** PREFIX_DIGITS values
-        touched = [r[0] for r in fresh.select(PREFIX).distinct().collect()]
-        merged = tb.upsert(target.where(F.col(PREFIX).isin(touched)).drop(PREFIX), fresh.drop(PREFIX), "id", "_pos", NEWS_UPDATE_COLS)
+    newer = _with_prefix(tb.newer_than(keyed_news(scanned, created_at, order), target, "published_at")).checkpoint()
+    known = target.select("id").join(newer.select("id").distinct(), "id", "left_semi").withColumn("_known", F.lit(True))
+    fresh = newer.join(known, "id", "left").withColumn("_known", F.coalesce("_known", F.lit(False))).checkpoint()
+    # at most 2 * 16 ** PREFIX_DIGITS rows
+    parts = fresh.groupBy(PREFIX, "_known").count().collect()
+    touched = [r[PREFIX] for r in parts if r["_known"]]
+    if touched:
+        merged = tb.upsert(target.where(F.col(PREFIX).isin(touched)).drop(PREFIX),
+                           fresh.where("_known").drop(PREFIX, "_known"), "id", "_pos", NEWS_UPDATE_COLS)
         sinks.replace_partitions(_with_prefix(merged).checkpoint(), table_path, PREFIX, "id")
-    return n
+    if len(touched) < len(parts):
+        none = spark.createDataFrame([], schemas.NEWS)
+        added = tb.upsert(none, fresh.where("NOT _known").drop(PREFIX, "_known"), "id", "_pos", NEWS_UPDATE_COLS)
+        sinks.append_rows(_with_prefix(added), table_path, PREFIX, order="id")
+    return sum(r["count"] for r in parts)
+
+
+def compact_news(spark: SparkSession, table_path: str) -> None:
+    """Write the stored news table again in few files a partition: many small
+    loads append many small files.  The rows stay as they are; run it between loads."""
+    stored = sinks.read_table(spark, table_path, STORED).checkpoint()
+    sinks.replace_partitions(stored, table_path, PREFIX, "id")
 
 
 def read_news_table(spark: SparkSession, table_path: str) -> DataFrame:

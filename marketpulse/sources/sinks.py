@@ -1,8 +1,9 @@
 """Sinks (S8, S9, S12) and stored tables.
 
 Tables are Parquet folders written by Spark's own writers: appends for prices
-and indicators (partitioned by symbol), dynamic overwrite of the touched
-partitions for news (partitioned by a prefix of the id, which is a hash).
+and indicators (partitioned by symbol); for news (partitioned by a prefix of
+the id, which is a hash) appends of new ids and dynamic overwrite of the
+partitions whose stored rows change.
 """
 
 from __future__ import annotations
@@ -75,12 +76,13 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def append_rows(df: DataFrame, path: str, by: str = "symbol", written: Observation | None = None) -> None:
+def append_rows(df: DataFrame, path: str, by: str = "symbol", written: Observation | None = None,
+                order: str | None = None) -> None:
     """Add rows to a partitioned table: Spark's own append, which writes new
     files beside the stored ones and touches none of them.  ``written``
     observes the number of rows (``rows``) in the writing stage, after the
     rows are arranged, so that the sampling of the ranges is not counted."""
-    out = clustered(df, by)
+    out = clustered(df, by, order)
     if written is not None:
         out = out.observe(written, F.count(F.lit(1)).alias("rows"))
     out.write.mode("append").partitionBy(by).parquet(path)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from marketpulse import schemas
@@ -124,6 +125,40 @@ def test_news_load_writes_only_touched_partitions(spark, tmp_dir):
     assert len(got) == 40 and got["t0"].url == "newer" and got["t0"].published_at == T and got["t1"].url == "u1"
 
 
+def test_news_load_appends_new_ids_and_survives_a_loss_between_the_writes(spark, tmp_dir, monkeypatch):
+    cols = "title string, body string, published_at timestamp_ntz, url string, keywords string, timestamp long"
+    path = f"{tmp_dir}/news"
+    newsplan.run_news(path, spark.createDataFrame([(f"t{k}", "b", T, f"u{k}", "k", k) for k in range(40)], cols))
+    before = _files(path)
+    day = T + dt.timedelta(days=1)
+    more = spark.createDataFrame([(f"n{k}", "b", day, f"v{k}", "k", k) for k in range(30)], cols)
+    assert newsplan.run_news(path, more) == 30
+    after = _files(path)
+    assert all(after.get(f) == at for f, at in before.items()) and len(after) > len(before)  # no stored file was touched
+
+    # new and stored ids together; the first try is lost after the overwrite
+    day += dt.timedelta(days=1)
+    both = spark.createDataFrame([("t1", "b", day, "changed", "k", 1), ("x", "b", day, "w1", "k", 2), ("x", "b", day, "w2", "k", 3)], cols)
+    append = sinks.append_rows
+
+    def lost(*_, **__):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(sinks, "append_rows", lost)
+    with pytest.raises(RuntimeError, match="lost"):
+        newsplan.run_news(path, both)
+    monkeypatch.setattr(sinks, "append_rows", append)
+    assert newsplan.run_news(path, both) == 3 and newsplan.run_news(path, both) == 0
+    rows = newsplan.read_news_table(spark, path)
+    got = {r.title: r for r in rows.collect()}
+    assert rows.count() == len(got) == 71
+    assert (got["t1"].url, got["t1"].published_at, got["x"].url, got["x"].published_at) == ("changed", T, "w2", day)
+
+    many, stored = len(_files(path)), sorted(map(str, rows.collect()))
+    newsplan.compact_news(spark, path)
+    assert len(_files(path)) < many and sorted(map(str, newsplan.read_news_table(spark, path).collect())) == stored
+
+
 def test_stream_replay_writes_nothing(spark, tmp_dir):
     from marketpulse.streaming.ingest import file_stream, load_into, stream_ingest
     bars = _bars(spark, [("A", T + dt.timedelta(days=d), 1.0, 1.0, 0) for d in range(3)])
