@@ -31,11 +31,12 @@ IDX = "_i"
 BLK = "_blk"
 HALO = "_halo"
 
-# Default sizes.  A bucket should hold what one task sorts comfortably, and a
-# series has at most MAX_BUCKETS of them; a block is the unit of the window
-# work (its length also bounds r**-j in the EMA scan, see _block_for).
+# Default sizes.  A bucket should hold what one task sorts comfortably; one
+# pass cuts a series into CUTS buckets at most, and longer series are cut in
+# further passes; a block is the unit of the window work (its length also
+# bounds r**-j in the EMA scan, see _block_for).
 DEFAULT_BUCKET_ROWS = 1 << 18
-MAX_BUCKETS = 128
+CUTS = 128
 DEFAULT_BLOCK_ROWS = 1024
 
 
@@ -79,21 +80,38 @@ def shares(n: int) -> str:
     return f"CAST(split('{','.join(repr(k / n) for k in range(1, n))}', ',') AS ARRAY<DOUBLE>)"
 
 
+def _cut(df: DataFrame, by: Sequence[str], value: str, rows: int, cuts: int, name: str) -> DataFrame:
+    """Add ``name``: 0 up to ``cuts - 1``, growing with the SQL ``value`` inside
+    each ``by`` group.  A group of n rows gets ceil(n / rows) numbers, at most
+    ``cuts``, changing at quantiles of its values."""
+    stats = df.groupBy(*by).agg(F.expr(f"percentile_approx({value}, {shares(cuts)}, {100 * cuts}) AS _cuts"),
+                                F.expr(f"least({cuts}, ceil(count(1) / {int(rows)})) AS _nb"))
+    passed = f"size(filter(coalesce(_cuts, array()), c -> c < {value}))"
+    return df.join(stats, on=list(by)).selectExpr(
+        *[_q(c) for c in df.columns], f"CASE WHEN _nb = 1 THEN 0L ELSE {passed} * _nb div {cuts} END AS {_q(name)}")
+
+
 def with_buckets(df: DataFrame, by: Sequence[str], order: str, bucket_rows: int = DEFAULT_BUCKET_ROWS,
-                 max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                 cuts: int = CUTS) -> DataFrame:
     """Add ``_tb``, a number that grows with ``order`` inside each ``by`` series
-    and holds about ``bucket_rows`` rows a value, however the times are spread.
+    and holds about ``bucket_rows`` rows a value, however the times are spread
+    and however long the series is.
 
     One map-side combined aggregate per series gives its row count and the
     quantiles of its times; a series of n rows is cut at ceil(n / bucket_rows)
-    of them, at most ``max_buckets``.  Rows of equal time share a bucket.
+    of them, at most ``cuts`` in one pass.  One small job counts the rows of the
+    longest series first: above ``cuts * bucket_rows`` the buckets are cut again
+    at quantiles of their own times, in as many passes as the count asks.  Rows
+    whose times fall in one second share a bucket.
     """
-    t = _order_seconds(df, order)
-    stats = df.groupBy(*by).agg(F.expr(f"percentile_approx({t}, {shares(max_buckets)}, {100 * max_buckets}) AS _cuts"),
-                                F.expr(f"least({max_buckets}, ceil(count(1) / {int(bucket_rows)})) AS _nb"))
-    passed = f"size(filter(coalesce(_cuts, array()), c -> c < {t}))"
-    return df.join(stats, on=list(by)).selectExpr(
-        *[_q(c) for c in df.columns], f"CASE WHEN _nb = 1 THEN 0L ELSE {passed} * _nb div {max_buckets} END AS _tb")
+    by, value = list(by), _order_seconds(df, order)
+    longest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    out = _cut(df, by, value, bucket_rows, cuts, "_tb")
+    while longest > cuts * bucket_rows:
+        longest = -(-longest // cuts)
+        out = _cut(out, [*by, "_tb"], value, bucket_rows, cuts, "_finer").selectExpr(
+            *[_q(c) for c in df.columns], f"_tb * {cuts} + _finer AS _tb")
+    return out
 
 
 def index_series(df: DataFrame, by: Sequence[str], order: str,

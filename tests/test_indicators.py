@@ -144,6 +144,37 @@ def test_buckets_are_bounded_by_rows_not_by_time(spark):
     assert got == {**{("HOT", float(k)): i for i, k in enumerate(order)}, ("COLD", 0.0): 0, ("COLD", 1.0): 1}
 
 
+@pytest.mark.parametrize("cuts,bucket_rows", [(128, 3), (4, 2), (2, 1)])
+def test_series_longer_than_one_pass_of_cuts(spark, cuts, bucket_rows):
+    """A series of more than ``cuts * bucket_rows`` rows is cut again until its
+    buckets are small; crowded and sparse stretches alike, a short series and
+    rows without a time beside it."""
+    from marketpulse.operators.series import IDX, index_series, with_buckets
+    day = dt.datetime(2024, 5, 5)
+    n = 1200 if cuts == 128 else 160
+    times = [day + dt.timedelta(seconds=k) for k in range(n * 3 // 4)] + [day - dt.timedelta(days=k) for k in range(1, n // 4 + 1)]
+    rows = [("HOT", t, float(k)) for k, t in enumerate(times)] + [("COLD", day, 0.0), ("NONE", None, 0.0)]
+    df = spark.createDataFrame(rows[::-1], "symbol string, Date timestamp_ntz, x double")
+    assert n > cuts * bucket_rows
+    cut = with_buckets(df, ["symbol"], "Date", bucket_rows, cuts).collect()
+    sizes = {}
+    for r in cut:
+        sizes[r.symbol, r._tb] = sizes.get((r.symbol, r._tb), 0) + 1
+    assert len(cut) == n + 2 and max(sizes.values()) <= 3 * bucket_rows
+    hot = [r._tb for r in sorted((r for r in cut if r.symbol == "HOT"), key=lambda r: r.Date)]
+    assert hot == sorted(hot)
+    if cuts == 128:
+        got = {(r.symbol, r.x): r[IDX] for r in index_series(df, ["symbol"], "Date", bucket_rows, tie=["x"]).collect()}
+        order = sorted(range(n), key=lambda k: times[k])
+        assert got == {**{("HOT", float(k)): i for i, k in enumerate(order)}, ("COLD", 0.0): 0, ("NONE", 0.0): 0}
+
+
+def test_empty_series_table_has_no_buckets(spark):
+    from marketpulse.operators.series import index_series
+    df = spark.createDataFrame([], "symbol string, Date timestamp_ntz, x double")
+    assert index_series(df, ["symbol"], "Date").collect() == []
+
+
 def _gaps(seed, n=900):
     """Closes with single nulls, a run over several blocks and leading nulls."""
     rng = np.random.default_rng(seed)
