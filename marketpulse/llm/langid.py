@@ -3,7 +3,10 @@
 Each language has a probability for every piece of a fixed public vocabulary.
 A word's probability is the sum over all its segmentations into pieces, by the
 forward algorithm; the pieces' probabilities come from expectation
-maximisation (forward-backward) on labelled text.
+maximisation (forward-backward) on labelled text.  A word is a whole run of
+letters, however long; the sums are rescaled on the way, so they neither
+vanish nor overflow.  Short words are scored together, a length at a time;
+longer ones (scripts without spaces) one by one, in time linear in the run.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from marketpulse.llm.common import crc32_mod, saved
 TRAIN_DOCS = 3000
 #: Expectation maximisation rounds, and the count added to every piece.
 ROUNDS, SMOOTH = 3, 0.1
-#: Longer runs of letters are scored in parts of this length.
-UNIT = 32
+#: Words up to this length are scored together, longer ones alone (the result is the same).
+TOGETHER = 32
+#: Letters between two rescalings of the running sums (probabilities from 1e-15 on stay in range).
+RESCALE = 8
 #: Probability of a letter that no piece is, times the language's share of such letters.
 UNSEEN = 1e-7
 #: Distinct words that are scored together (a bound on memory only).
@@ -46,14 +51,8 @@ def _letter_runs(text: str) -> Iterator[str]:
 
 
 def words(text: str | None) -> list[str]:
-    """Units of a text: lower-case runs of letters, with a mark in front, cut at ``UNIT``."""
-    out = []
-    for w in _letter_runs((text or "").lower()):
-        if len(w) <= UNIT:
-            out.append(MARK + w)
-        else:
-            out += [MARK + w[:UNIT], *(w[k:k + UNIT] for k in range(UNIT, len(w), UNIT))]
-    return out
+    """Units of a text: whole lower-case runs of letters, with a mark in front."""
+    return [MARK + w for w in _letter_runs((text or "").lower())]
 
 
 def vocabulary(path: str) -> list[str]:
@@ -62,8 +61,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(k) for k in range(model.get_piece_size())}
-    return sorted(p for p in pieces if p == p.lower() and len(p) <= UNIT
-                  and (p.removeprefix(MARK).isalpha() or p == MARK))
+    return sorted(p for p in pieces if p == p.lower() and (p.removeprefix(MARK).isalpha() or p == MARK))
 
 
 class Pieces:
@@ -115,25 +113,80 @@ class Pieces:
                     yield a, b, rows, ids
 
 
+    def matches(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begins, ends, pieces) of all pieces in one word, by begin; a single
+        letter that is no piece has the number ``count``."""
+        codes = np.array([word]).view(np.uint32).astype(np.uint64)
+        h = np.zeros(len(codes), np.uint64)
+        found = []
+        for size in range(1, min(self.longest, len(codes)) + 1):
+            h = h[:len(codes) - size + 1] * _BASE + codes[size - 1:]
+            begins = np.arange(len(h)) if size == 1 else np.flatnonzero(self.seen[self._slot(h)])
+            at = np.searchsorted(self.hashes, h[begins])
+            at[at == self.count] = 0
+            ok = self.hashes[at] == h[begins] if self.count else np.zeros(len(begins), bool)
+            ids = self.ids[at] if self.count else at
+            if size == 1:
+                ids, ok = np.where(ok, ids, self.count), np.ones(len(begins), bool)
+            found.append((begins[ok], begins[ok] + size, ids[ok]))
+        begins, ends, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(begins, kind="stable")
+        return begins[order], ends[order], ids[order]
+
+
 def _by_length(batch: list[str]) -> dict[int, list[int]]:
+    """Places of the words of each length up to ``TOGETHER``."""
     out: dict[int, list[int]] = {}
     for k, w in enumerate(batch):
-        out.setdefault(len(w), []).append(k)
+        if len(w) <= TOGETHER:
+            out.setdefault(len(w), []).append(k)
     return out
 
 
+def _long(batch: list[str]) -> list[int]:
+    return [k for k, w in enumerate(batch) if len(w) > TOGETHER]
+
+
 def log_likelihood(pieces: Pieces, table: np.ndarray, batch: list[str]) -> np.ndarray:
     """log probability of each word under each language; ``table`` is (pieces + 1, languages)."""
     out = np.zeros((len(batch), table.shape[1]))
     for n, at in _by_length(batch).items():
         forward = np.zeros((n + 1, len(at), table.shape[1]))
         forward[0] = 1
+        scale, scaled = np.zeros(forward.shape[1:]), 0
         for a, b, rows, ids in pieces.spans([batch[k] for k in at]):
+            if a % RESCALE == 0 and a > scaled:
+                by = forward[a].copy()
+                forward[a:a + pieces.longest] /= by
+                scale += np.log(by)
+                scaled = a
             forward[b][rows] += forward[a][rows] * table[ids]
-        out[at] = np.log(forward[n])
+        out[at] = np.log(forward[n]) + scale
+    for k in _long(batch):
+        out[k] = _long_log_likelihood(pieces, table, batch[k])
     return out
 
 
+def _long_log_likelihood(pieces: Pieces, table: np.ndarray, word: str) -> np.ndarray:
+    """The forward sums of one word; only as many of them are held as a piece is long."""
+    n, ring = len(word), pieces.longest + 1
+    begins, ends, ids = pieces.matches(word)
+    first = np.searchsorted(begins, np.arange(n + 1))
+    forward = np.zeros((ring, table.shape[1]))
+    forward[0] = 1
+    scale = np.zeros(table.shape[1])
+    for a in range(n):
+        if a and a % RESCALE == 0:
+            by = forward[a % ring].copy()
+            forward /= by
+            scale += np.log(by)
+        here = forward[a % ring].copy()
+        forward[a % ring] = 0
+        s = slice(first[a], first[a + 1])
+        forward[ends[s] % ring] += here * table[ids[s]]
+    return np.log(forward[n % ring]) + scale
+
+
 def expected_counts(pieces: Pieces, table: np.ndarray, batch: list[str], n_times: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece under one language's ``table`` (pieces + 1)."""
     out = np.zeros(len(table))
@@ -141,16 +194,68 @@ def expected_counts(pieces: Pieces, table: np.ndarray, batch: list[str], n_times
         spans = list(pieces.spans([batch[k] for k in at]))
         forward, backward = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
         forward[0] = backward[n] = 1
+        # logarithms of what was taken out of the sums up to each place
+        f_scale, b_scale = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
+        scaled = 0
         for a, b, rows, ids in spans:
+            if a % RESCALE == 0 and a > scaled:
+                by = forward[a].copy()
+                forward[a:a + pieces.longest] /= by
+                f_scale[a:] += np.log(by)
+                scaled = a
             forward[b][rows] += forward[a][rows] * table[ids]
+        whole = mark = n  # the last place whose backward sum is whole, the last one rescaled
         for a, b, rows, ids in reversed(spans):
-            backward[a][rows] += backward[b][rows] * table[ids]
-        weight = n_times[at] / forward[n]
+            if a + 1 < whole:
+                whole = a + 1
+                if whole % RESCALE == 0:
+                    b_scale[:whole] = b_scale[whole] + np.log(backward[whole])
+                    mark = whole
+            step = backward[b][rows] * table[ids]
+            backward[a][rows] += step if b < mark or mark == n else step * np.exp(b_scale[b] - b_scale[a])[rows]
+        total = np.log(forward[n]) + f_scale[n]
         for a, b, rows, ids in spans:
+            weight = n_times[at] * np.exp(f_scale[a] + b_scale[b] - total)
             out += np.bincount(ids, forward[a][rows] * table[ids] * backward[b][rows] * weight[rows], len(out))
+    for k in _long(batch):
+        out += n_times[k] * _long_expected(pieces, table, batch[k])
     return out
 
 
+def _long_expected(pieces: Pieces, table: np.ndarray, word: str) -> np.ndarray:
+    """Expected uses of each piece in one word, by forward and backward sums."""
+    n = len(word)
+    begins, ends, ids = pieces.matches(word)
+    forward, f_scale = _chain(n, begins, ends, table[ids])
+    # backward is forward from the other end
+    order = np.argsort(n - ends, kind="stable")
+    backward, b_scale = _chain(n, (n - ends)[order], (n - begins)[order], table[ids][order])
+    with np.errstate(divide="ignore"):
+        f, b = np.log(forward) + f_scale, (np.log(backward) + b_scale)[::-1]
+        return np.bincount(ids, np.exp(f[begins] + np.log(table[ids]) + b[ends] - f[n]), len(table))
+
+
+def _chain(n: int, begins: np.ndarray, ends: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all paths from 0 to each place along steps sorted by begin, and
+    the logarithm of what rescaling took out of each."""
+    first = np.searchsorted(begins, np.arange(n + 1)).tolist()
+    to, prob = ends.tolist(), p.tolist()
+    sums, scales = [0.0] * (n + 1), np.zeros(n + 1)
+    sums[0], scale, ahead = 1.0, 0.0, 0
+    for a in range(n):
+        if a and a % RESCALE == 0:
+            by = sums[a]
+            for k in range(a, ahead + 1):
+                sums[k] /= by
+            scale += float(np.log(by))
+        scales[a] = scale
+        for s in range(first[a], first[a + 1]):
+            sums[to[s]] += sums[a] * prob[s]
+            ahead = max(ahead, to[s])
+    scales[n] = scale
+    return np.array(sums), scales
+
+
 def _in_batches(items: list[str], size: int = BATCH_CHARS) -> Iterator[slice]:
     """Slices of about ``size`` characters."""
     at, total = 0, 0
@@ -269,8 +374,10 @@ def identify(docs: DataFrame, path: str, key: str = "doc_id", lang: str = "lang"
     Learns from rows whose crc32(key) modulo ``folds`` is not 0; the label,
     the key and other columns are no inputs of a prediction.  Rows with a null
     key are neither learned from nor held out.  Null texts and texts without
-    letters are ``und`` with score 0; so is all if nothing is labelled.
-    Repeated rows are all returned."""
+    letters are ``und`` with score 0; so is all if nothing is labelled or the
+    table is empty (then without rows).  Texts are read whole, runs of letters
+    of any length too.  Of languages that tie, the first in sorted order is
+    returned.  Repeated rows are all returned."""
     fold = crc32_mod(F.col(key), folds)
     model = fit(docs.sparkSession, docs.where(fold != 0), path, lang, text)
     return docs.select(F.col(key), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), predicted(model, F.col(text)).alias("found")) \

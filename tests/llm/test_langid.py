@@ -37,6 +37,75 @@ def test_forward_sums_all_segmentations():
     assert counts == pytest.approx(want_counts)
 
 
+def log_chain(word, number, unseen, longest, table):
+    """Plain forward and backward sums of logarithms, one letter at a time."""
+    n = len(word)
+    steps = [(a, b, number.get(word[a:b], unseen)) for a in range(n) for b in range(a + 1, min(n, a + longest) + 1)
+             if word[a:b] in number or b == a + 1]
+    forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    forward[0] = backward[n] = 0
+    for a, b, k in steps:
+        forward[b] = np.logaddexp(forward[b], forward[a] + math.log(table[k]))
+    for a, b, k in reversed(steps):
+        backward[a] = np.logaddexp(backward[a], backward[b] + math.log(table[k]))
+    uses = np.zeros(len(table))
+    for a, b, k in steps:
+        uses[k] += math.exp(forward[a] + math.log(table[k]) + backward[b] - forward[n])
+    return forward[n], uses
+
+
+@pytest.mark.parametrize("length", [7, 8, 9, 16, 31, 32, 33, 100, 1500])
+def test_runs_of_any_length_are_summed_whole(length):
+    """Words on both sides of ``TOGETHER``, with probabilities so small that
+    plain products leave the double range; pieces lie across every place."""
+    rng = np.random.default_rng(length)
+    names = ["a", "ab", "b", "ba", "aba", "abababab", "babaabba", "aa"]
+    table = 10.0 ** -rng.uniform(1, 14, (len(names) + 1, 3))
+    p, number = L.Pieces(names), {x: k for k, x in enumerate(names)}
+    batch = ["".join(rng.choice(list("abx" if k else "ab"), length)) for k in range(4)]
+    got = L.log_likelihood(p, table, batch)
+    times = np.array([1.0, 2, 3, 1])
+    want = [[log_chain(w, number, len(names), p.longest, table[:, j]) for j in range(3)] for w in batch]
+    assert got == pytest.approx(np.array([[x[0] for x in row] for row in want]), rel=1e-9)
+    counts = L.expected_counts(p, table[:, 1], batch, times)
+    assert counts == pytest.approx(sum(t * row[1][1] for t, row in zip(times, want, strict=True)), rel=1e-6, abs=1e-9)
+
+
+def test_one_run_is_one_word():
+    assert L.words("字" * 100 + " Ab") == ["▁" + "字" * 100, "▁ab"]
+
+
+def test_a_text_of_one_long_run_is_predicted():
+    p = L.Pieces(["a", "b", "ab"])
+    model = L.Model(p, ["x", "y"], np.array([[.4, .2], [.4, .2], [.1, .5], [1e-7, 1e-7]]))
+    assert model.predict(["ab" * 100_000])[0] == ("y", pytest.approx(1.0))
+
+
+def test_predictions_equal_plain_sums_over_documents(spark):
+    """Every document's language and score again, word by word with plain logarithms."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").where("doc_id % 10 = 3")
+    fitted = L.fit(spark, docs, piece_path(), rounds=1)
+    names = L.vocabulary(piece_path())
+    number, known = {x: k for k, x in enumerate(names)}, {}
+    texts = [r.text for r in docs.collect()]
+    for text, (lang, score) in zip(texts, fitted.predict(texts), strict=True):
+        every = L.words(text)
+        if not every:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        for w in set(every) - known.keys():
+            sums = np.full((len(w) + 1, len(fitted.langs)), -np.inf)
+            sums[0] = 0
+            for b in range(1, len(w) + 1):
+                for a in range(max(0, b - fitted.pieces.longest), b):
+                    if w[a:b] in number or b == a + 1:
+                        sums[b] = np.logaddexp(sums[b], sums[a] + np.log(fitted.table[number.get(w[a:b], len(names))]))
+            known[w] = sums[-1]
+        total = sum(known[w] for w in every)
+        assert lang == fitted.langs[int(total.argmax())]
+        assert score == pytest.approx(1 / np.exp(total - total.max()).sum(), abs=1e-9)
+
+
 def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in op3_language_id(spark, MEDIUM).collect()}
     truth = [(r.doc_id, r.lang) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "lang").collect()]
