@@ -25,8 +25,10 @@ from marketpulse.operators.series import shares
 #: Rows of a tile: a task holds a distance matrix of at most this squared.
 TILE_ROWS = 2048
 #: Signs of fixed random projections that order vectors by direction, and the
-#: quantiles of that order at which tiles begin.
-CODE_BITS, CUTS = 16, 256
+#: most parts into which one pass cuts that order.
+CODE_BITS, CUTS = 32, 256
+#: Tiles of each side whose summaries meet in one task.
+MEET_TILES = 256
 
 
 def _best_k(qids: np.ndarray, qmat: np.ndarray, vids: np.ndarray, vmat: np.ndarray,
@@ -67,32 +69,36 @@ def _matrix(series: pd.Series) -> np.ndarray:
 def _directions(vecs: pd.Series) -> pd.Series:
     """``CODE_BITS`` signs of fixed random projections, as a number."""
     if not len(vecs):
-        return pd.Series([], dtype="int32")
+        return pd.Series([], dtype="int64")
     m = _matrix(vecs)
     signs = m @ np.random.default_rng(0).normal(size=(m.shape[1], CODE_BITS)) > 0
-    return pd.Series((signs @ (1 << np.arange(CODE_BITS)[::-1])).astype(np.int32))
+    return pd.Series((signs @ (1 << np.arange(CODE_BITS)[::-1])).astype(np.int64))
 
 
-def tiles(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+def tiles(rows: DataFrame, tile_rows: int = TILE_ROWS, n_rows: int | None = None, most: int = CUTS) -> DataFrame:
     """``rows`` (id, vec) with ``tile``: about ``tile_rows`` rows or fewer each
     (twice that at most where a frequent code begins), vectors of like direction
-    together.  Where tiles begin follows from a count and quantiles inside the
-    plan; no job runs while it is built."""
+    together.  Where tiles begin follows from counts and quantiles inside the
+    plan; ``n_rows``, the number of rows or a bound on it, says in how
+    many passes of ``most`` parts the order is cut; if it is not known there is
+    one, and beyond ``most`` tiles a part's rows are dealt out by hash."""
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(code=_directions(b["vec"]).to_numpy())
 
-    coded = rows.mapInPandas(code, T.StructType([*rows.schema.fields, T.StructField("code", T.IntegerType())]))
-    stats = coded.agg(F.count(F.lit(1)).alias("n"), F.expr(
-        f"percentile_approx(code, {shares(CUTS)}, 10000)").alias("cuts"))
-    coded = coded.withColumn("stats", stats.select(F.struct("n", F.coalesce("cuts", F.array().cast("array<int>")).alias("cuts"))).scalar()) \
-        .select("id", "vec", "code", "stats.n", "stats.cuts")
-    wanted = f"least({CUTS}, ceil(n / {int(tile_rows)}))"
+    stats = [F.count(F.lit(1)).alias("n"), F.expr(f"percentile_approx(code, {shares(most)}, 10000) AS cuts")]
+    coded = rows.mapInPandas(code, T.StructType([*rows.schema.fields, T.StructField("code", T.LongType())]))
+    one = coded.agg(*stats).select(F.struct("n", F.coalesce("cuts", F.array().cast("array<long>")).alias("cuts")))
+    cut = coded.withColumn("stats", one.scalar()).selectExpr("id", "vec", "code", "0L AS cell", "stats.n", "stats.cuts")
+    part = f"cell * {most} + size(filter(cuts, c -> c < code)) * least({most}, ceil(n / {int(tile_rows)})) div {most}"
+    while n_rows is not None and n_rows > most * tile_rows:
+        n_rows = -(-n_rows // most)
+        finer = cut.selectExpr("id", "vec", "code", f"{part} AS cell")
+        cut = finer.join(finer.groupBy("cell").agg(*stats), "cell")
     # a code that many quantiles fall on has as many shares of the rows; those
     # are dealt out by hash, half as many parts again as needed
-    parts = f"greatest(1, ceil(1.5D * n * (1 + size(filter(cuts, c -> c = code))) / {CUTS * int(tile_rows)}))"
-    return coded.selectExpr("id", "vec", f"size(filter(cuts, c -> c < code)) * {wanted} div {CUTS} * {1 << 32}L"
-                                         f" + pmod(xxhash64(id), {parts}) AS tile")
+    parts = f"greatest(1, ceil(1.5D * n * (1 + size(filter(cuts, c -> c = code))) / {most * int(tile_rows)}))"
+    return cut.selectExpr("id", "vec", f"({part}) * {1 << 32}L + pmod(xxhash64(id), {parts}) AS tile")
 
 
 def _summaries(tiled: DataFrame) -> DataFrame:
@@ -106,19 +112,28 @@ def _summaries(tiled: DataFrame) -> DataFrame:
     return tiled.groupBy("tile").applyInPandas(run, "tile long, center array<double>, n long, radius double")
 
 
-def _tile_pairs(queries: DataFrame, vectors: DataFrame, k: int, spread: int = 16) -> DataFrame:
+def _groups(rows: int | None, tile_rows: int, unknown: int) -> int:
+    """Groups of about ``MEET_TILES`` tiles each; ``unknown`` where the number of rows is."""
+    return unknown if rows is None else max(1, -(-rows // (MEET_TILES * tile_rows)))
+
+
+def _tile_pairs(queries: DataFrame, vectors: DataFrame, k: int, q_groups: int = 1, v_groups: int = 16) -> DataFrame:
     """(qt, vt): pairs of tiles that can hold one of a query's k nearest.
 
     Any k vectors of one tile bound the k-th distance from above; a tile whose
     nearest possible vector is farther than the best such bound is left out.
-    Each query tile's summary meets every vector tile's once (a row stands for
-    ``TILE_ROWS`` squared pairs), dealt out over ``spread`` keys."""
+    Summaries stand for whole tiles (a pair of them for ``TILE_ROWS`` squared
+    pairs of rows); each side is dealt out over groups of about ``MEET_TILES``
+    tiles, and a pair of groups meets in one task."""
     q = _summaries(queries).select(F.col("tile").alias("qt"), F.col("center").alias("qc"), F.col("radius").alias("qr"),
-                                   F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
+                                   F.pmod(F.xxhash64("tile"), F.lit(q_groups)).cast("int").alias("qg"))
     v = _summaries(vectors).select(F.col("tile").alias("vt"), F.col("center").alias("vc"), F.col("radius").alias("vr"),
-                                   F.col("n").alias("vn"), F.pmod(F.xxhash64("tile"), F.lit(spread)).cast("int").alias("part"))
+                                   F.col("n").alias("vn"), F.pmod(F.xxhash64("tile"), F.lit(v_groups)).cast("int").alias("vg"))
+    v = v.withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))))
     apart = F.sqrt(F.aggregate(F.zip_with("qc", "vc", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    met = q.join(v, "part").withColumn("apart", apart).select(
+
+    q = q.withColumn("vg", F.explode(F.sequence(F.lit(0), F.lit(v_groups - 1))))
+    met = q.join(v, ["qg", "vg"]).withColumn("apart", apart).select(
         "qt", "vt", (F.col("apart") - F.col("qr") - F.col("vr")).alias("near"),
         F.when(F.col("vn") >= k, F.col("apart") + F.col("qr") + F.col("vr")).alias("far"))
     best = F.min("far").over(Window.partitionBy("qt"))
@@ -127,21 +142,26 @@ def _tile_pairs(queries: DataFrame, vectors: DataFrame, k: int, spread: int = 16
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "id",
         vec_col: str = "embedding", q_id: str = "qid", q_col: str = "qvec",
-        tile_rows: int = TILE_ROWS) -> DataFrame:
+        tile_rows: int = TILE_ROWS, n_vectors: int | None = None, n_queries: int | None = None) -> DataFrame:
     """J8 + L1: exact k nearest vectors per query by squared L2 distance.
 
     Returns (qid, id, distance, rank) with rank 1..k ordered by
     (distance, id).  Filters on the vectors (e.g. the time floor F3) must be
     applied to ``vectors`` before the call so they reach the scan.  Rows
-    without a vector are neither found nor answered.
+    without a vector are neither found nor answered.  No job
+    runs while the plan is built.  Above ``CUTS * tile_rows`` rows give
+    ``n_vectors`` and ``n_queries``, their numbers or bounds on them: tiles are
+    then cut by direction in further passes, and their summaries meet in as many
+    tasks as they need (16 where the numbers are not known).  The result is the
+    same without.
     """
     qid_t = queries.schema[q_id].dataType
     vid_t = vectors.schema[vec_id].dataType
     schema = T.StructType([T.StructField("qid", qid_t), T.StructField("id", vid_t),
                            T.StructField("distance", T.DoubleType())])
-    vs = tiles(vectors.select(F.col(vec_id).alias("id"), F.col(vec_col).alias("vec")).where("vec IS NOT NULL"), tile_rows)
-    qs = tiles(queries.select(F.col(q_id).alias("id"), F.col(q_col).alias("vec")).where("vec IS NOT NULL"), tile_rows)
-    pairs = _tile_pairs(qs, vs, k)
+    vs = tiles(vectors.select(F.col(vec_id).alias("id"), F.col(vec_col).alias("vec")).where("vec IS NOT NULL"), tile_rows, n_vectors, CUTS)
+    qs = tiles(queries.select(F.col(q_id).alias("id"), F.col(q_col).alias("vec")).where("vec IS NOT NULL"), tile_rows, n_queries, CUTS)
+    pairs = _tile_pairs(qs, vs, k, _groups(n_queries, tile_rows, 1), _groups(n_vectors, tile_rows, 16))
     vs = vs.withColumnRenamed("tile", "vt").join(pairs, "vt")
     qs = qs.withColumnRenamed("tile", "qt").join(pairs, "qt")
 

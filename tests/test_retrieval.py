@@ -1,6 +1,7 @@
 """Vector search, coin tagging and prompt assembly."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marketpulse.operators import coins as cn
@@ -95,3 +96,35 @@ def test_attach_sources_defaults(spark):
     news = spark.createDataFrame([("x", "http://u"), ("y", None)], "id string, url string")
     out = {r.id: r.source for r in rt.attach_sources(hits, news).collect()}
     assert out == {"x": "T1 : http://u", "y": "無標題 : None", "z": "T3 : 無連結"}
+
+
+def test_more_tiles_than_one_pass_cuts(spark):
+    """Cut in three passes of four parts: every row keeps a tile, tiles stay
+    bounded (a crowd of one direction too), and like directions stay together."""
+    from marketpulse.operators.retrieval import tiles
+    rng = np.random.default_rng(7)
+    vecs = [rng.normal(size=6).tolist() for _ in range(400)] + [[1.0, 2.0, 3.0, 4.0, 5.0, 6.0]] * 200
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    got = tiles(df, 10, 600, 4).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.tile] = sizes.get(r.tile, 0) + 1
+    assert sorted(r.id for r in got) == list(range(600))
+    assert len(sizes) >= 40 and max(sizes.values()) <= 40
+
+
+@pytest.mark.parametrize("meet", [1, 3])
+def test_knn_over_many_groups_of_tiles(spark, monkeypatch, meet):
+    """Summaries dealt out over many groups, several passes of cuts: still exact."""
+    from marketpulse.operators import retrieval
+    monkeypatch.setattr(retrieval, "MEET_TILES", meet)
+    monkeypatch.setattr(retrieval, "CUTS", 4)
+    rng = np.random.default_rng(meet)
+    centers = rng.normal(0, 50, (5, 4))
+    v = [(i, (centers[i % 5] + rng.normal(size=4)).tolist()) for i in range(150)] + [(150, None)]
+    q = [(i, (centers[i % 5] + rng.normal(size=4)).tolist()) for i in range(40)]
+    got = retrieval.knn(spark.createDataFrame(v, "id long, embedding array<double>"),
+                        spark.createDataFrame(q, "qid long, qvec array<double>"), 3, tile_rows=8, n_vectors=151, n_queries=40).collect()
+    m = np.array([x for _, x in v[:150]])
+    want = {(i, r + 1): int(k) for i, x in q for r, k in enumerate(np.argsort(((m - x) ** 2).sum(1), kind="stable")[:3])}
+    assert {(r.qid, r["rank"]): r.id for r in got} == want
