@@ -128,3 +128,33 @@ def test_knn_over_many_groups_of_tiles(spark, monkeypatch, meet):
     m = np.array([x for _, x in v[:150]])
     want = {(i, r + 1): int(k) for i, x in q for r, k in enumerate(np.argsort(((m - x) ** 2).sum(1), kind="stable")[:3])}
     assert {(r.qid, r["rank"]): r.id for r in got} == want
+
+
+def test_rows_are_sent_once_a_group_however_small_the_tiles(spark):
+    """Tiles of 4 rows that all meet: a row goes to as many tasks as the other side has groups, not tiles."""
+    import pandas as pd
+    from pyspark.sql import types as T
+    vec, _ = _vectors(spark, 200)
+    vs = rt.tiles(vec.select("id", F.col("embedding").alias("vec")), 4)
+    def count(q, v):
+        return pd.DataFrame({"q": [len(q)], "v": [len(v)]})
+    got = rt._meet(vs, vs, F.lit(2), F.lit(3), count, T.StructType.fromDDL("q long, v long")).agg(F.sum("q"), F.sum("v"), F.count("q")).first()
+    assert tuple(got) == (200 * 3, 200 * 2, 6)
+    assert vs.select("tile").distinct().count() >= 40
+
+
+def test_knn_of_far_offset_copies_and_values_that_are_not_finite(spark):
+    """Far from the origin single precision says nothing; many copies tie; a vector with NaN hides no other; ids may be null."""
+    rng = np.random.default_rng(5)
+    v = [(f"id{i:03d}", (1e6 + rng.normal(size=4)).tolist()) for i in range(60)]
+    v += [(f"c{i:03d}", [1e6] * 4) for i in range(30)] + [("nan", [float("nan")] * 4), (None, [1e6 + 9.0] * 4)]
+    q = [(0, [1e6] * 4), (1, v[7][1]), (2, [1e6 + 8.0] * 4), (3, [float("inf")] * 4)]
+    hits = rt.knn(spark.createDataFrame(v, "id string, embedding array<double>"),
+                  spark.createDataFrame(q, "qid long, qvec array<double>"), 3, tile_rows=5).collect()
+    got = {(r.qid, r["rank"]): r.id for r in hits}
+    known = [(i, np.array(x)) for i, x in v if i != "nan"]
+    want = {}
+    for qid, x in q[:3]:
+        best = sorted(known, key=lambda r: (((r[1] - np.array(x)) ** 2).sum(), r[0] or ""))[:3]
+        want.update({(qid, n + 1): i for n, (i, _) in enumerate(best)})
+    assert got == want and got[2, 1] is None
