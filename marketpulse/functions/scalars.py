@@ -54,6 +54,9 @@ WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
                     + "".join(chr(c) for c in range(0x2000, 0x200B))
                     + "\u2028\u2029\u202f\u205f\u3000")
 
+# Digits of the source's decimal arithmetic (Python's default context).
+QUANTIZE_DIGITS = 28
+
 TEXT_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 SOURCE_ZONE = "Asia/Taipei"
 
@@ -83,8 +86,13 @@ def quantize_half_up(x: ColumnOrName, places: int = 8, precision: int = 20) -> C
 
 
 def quantize_half_even(x: ColumnOrName, places: int = 8, precision: int = 20) -> Column:
-    """P5: decimal(precision, places), rounding half to even; null stays null."""
-    return F.bround(_c(x), places).cast(f"decimal({precision},{places})")
+    """P5: decimal of ``places`` places, rounding half to even; null stays null.
+
+    ``precision`` is the least number of digits: the type holds at least
+    ``QUANTIZE_DIGITS``, as the source's decimals do, so a value too large for the
+    stored column is quantised like any other (Q5 says whether it fits there).
+    """
+    return F.bround(_c(x), places).cast(f"decimal({max(precision, QUANTIZE_DIGITS)},{places})")
 
 
 def volume_or_null(v: ColumnOrName) -> Column:

@@ -23,3 +23,12 @@ def test_times_do_not_depend_on_the_session_zone(spark):
     assert [r[2] for r in got[0]] == ["2024-03-10 10:30:00", "2024-11-03 09:30:00", "1970-01-01 07:59:59"]
     assert [r[3] for r in got[0]] == ["2024-03-10", "2024-11-03", "1969-12-31"]
     assert [r[4] for r in got[0]] == ["2024-03-10", "2024-11-03", "1970-01-01"]
+
+
+def test_quantize_keeps_values_beyond_the_stored_precision(spark):
+    """Sums over a larger table have more digits than decimal(10,4): none is refused or lost."""
+    from decimal import Decimal
+    df = spark.createDataFrame([(2.00005,), (16000000.12345,), (-999999999999.5,), (None,)], "x double")
+    got = [tuple(r) for r in df.select(sc.quantize_half_even("x", 4, 10), sc.quantize_half_even("x", 8, 20)).collect()]
+    assert got == [(Decimal("2.0000"), Decimal("2.00005")), (Decimal("16000000.1234"), Decimal("16000000.12345")),
+                   (Decimal("-999999999999.5"), Decimal("-999999999999.5")), (None, None)]
