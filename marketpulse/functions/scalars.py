@@ -49,6 +49,10 @@ SHORT_DATE_PATTERN = r"^(0?[1-9]|1[0-2])/(0?[1-9]|[12][0-9]|3[01])/\d{2}$"
 WHITESPACE_CLASS = (r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 WORD_PATTERN = f"[^{WHITESPACE_CLASS}]+"
+# The same words by the ranges of their characters, common ones first: Java asks
+# each part of a class in turn, for every character of a text.
+WORD_RANGES = (r"[!-\x{84}\x{A1}-\x{167F}\x{3001}-\x{10FFFF}\x{00}-\x{08}\x{0E}-\x{1B}\x{86}-\x{9F}\x{1681}-\x{1FFF}"
+               r"\x{200B}-\x{2027}\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{2FFF}]+")
 # The same set as single characters, for translate().
 WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
                     + "".join(chr(c) for c in range(0x2000, 0x200B))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketpulse.functions.scalars import WORD_PATTERN
+from marketpulse.functions.scalars import WORD_PATTERN, WORD_RANGES
 from marketpulse.operators.quality import require_columns, short_text
 
 SUMMARY_WORDS = 50
@@ -69,7 +69,7 @@ def fit_sentiment(labelled: DataFrame, text: str = "text", label: str = "label",
                   features: int = 1 << 16) -> PipelineModel:
     """Default classifier for U2: hashed TF-IDF + logistic regression."""
     pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=WORD_PATTERN, gaps=False,
+        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=WORD_RANGES, gaps=False,
                        toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_features"),
@@ -98,7 +98,7 @@ def classify(df: DataFrame, col: str, model, out: str = "Sentiment",
 def fit_embedder(corpus: DataFrame, col: str, features: int = 1 << 10) -> PipelineModel:
     """Default encoder for U3: hashed TF-IDF, L2-normalised."""
     pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=col, outputCol="_tok", pattern=WORD_PATTERN, gaps=False, toLowercase=True),
+        RegexTokenizer(inputCol=col, outputCol="_tok", pattern=WORD_RANGES, gaps=False, toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="_vec", p=2.0),
